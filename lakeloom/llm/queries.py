@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from lakeloom.llm import decontaminate, exact_dedup, hilbert, html_lstm, language_id, line_dedup, packing, pii, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chunk_line_dedup": line_dedup.op1_chunk_line_dedup,
     "op2_fuse_exact_dedup": exact_dedup.op2_fuse_exact_dedup,
+    "op3_hilbert_sharding": hilbert.op3_hilbert_sharding,
     "op4_automaton_decontamination": decontaminate.op4_automaton_decontamination,
+    "op5_validated_pii": pii.op5_validated_pii,
+    "op6_trie_token_counts": token_counts.op6_trie_token_counts,
+    "op7_recurrent_extraction": html_lstm.op7_recurrent_extraction,
     "op8_pivot_simhash": simhash.op8_pivot_simhash,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_language_id": language_id.op10_language_id,
