@@ -16,6 +16,7 @@ rows, and extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import html
 import random
 import zlib
 from collections.abc import Iterator
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.llm.common import map_arrow, read
 from lakeloom.llm.html_blocks import Block, blocks
 
-PATH_BINS, WORD_BINS, MEASURES = 48, 16, 6
+PATH_BINS, WORD_BINS, MEASURES = 80, 16, 6
 HIDDEN = 16
 #: Generated pages that the labeller is trained on, and rounds over them.
-PAGES, ROUNDS = 1200, 6
+PAGES, ROUNDS = 1200, 8
+#: Share of the training blocks whose text is hidden, so that odd texts don't outweigh their place.
+BLIND = 0.4
 
 
 @functools.lru_cache(20_000)
@@ -152,13 +155,14 @@ def training_page(seed: int) -> tuple[str, set[str]]:
     syllables = r.choice(_SYLLABLES)
     main: set[str] = set()
     serial = 0
+    noisy, gap = r.random() < 0.15, r.choice([" "] * 9 + [" | "])
 
     def word() -> str:
         return "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
 
     def sentence(n: int) -> str:
-        noise = r.random() < 0.1
-        return " ".join(word() + (r.choice(["%%%", "***", "!!", ""]) if noise else "") for _ in range(n)).capitalize() + "."
+        noise = noisy or r.random() < 0.05
+        return gap.join(word() + (r.choice(["%%%", "***", "!!", "###", "$$$", "&amp;&amp;&amp;"]) if noise else "") for _ in range(n)).capitalize() + "."
 
     def text(low: int, high: int, keep: bool) -> str:
         nonlocal serial
@@ -171,7 +175,7 @@ def training_page(seed: int) -> tuple[str, set[str]]:
         else:
             t = r.choice([" ", " ", " ", " ", " | "]).join(sentence(r.randint(1, 18)) for _ in range(r.randint(low, high))) + (f" {word()}{serial}" if not keep or r.random() < 0.3 else f" {word()}{serial}.")
         if keep:
-            main.add(" ".join(t.split()))
+            main.add(" ".join(html.unescape(t).split()))
         return t
 
     def note(kind: str) -> str:
@@ -250,7 +254,9 @@ def training_rows(pages: int, first: int = 0) -> Iterator[tuple[np.ndarray, np.n
     for seed in range(first, first + pages):
         page, main = training_page(seed)
         found = blocks(page)
-        yield np.stack([vector(b) for b in found]), np.array([b.text in main and "head" not in b.path for b in found], np.float32)
+        x = np.stack([vector(b) for b in found])
+        x[np.random.default_rng(seed).random(len(x)) < BLIND, PATH_BINS:] = 0
+        yield x, np.array([b.text in main and "head" not in b.path for b in found], np.float32)
 
 
 @functools.lru_cache(1)
@@ -268,7 +274,8 @@ def trained(pages: int = PAGES, rounds: int = ROUNDS, seed: int = 7) -> Labeller
     model, order = Labeller(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
-    step = 0
+    mean = {k: np.zeros_like(v) for k, v in model.p.items()}  # of the weights of the last rounds
+    step = taken = 0
     for epoch in range(rounds):
         for at in order.permutation(len(data)):
             _, g = model.gradients(*data[at])
@@ -279,6 +286,11 @@ def trained(pages: int = PAGES, rounds: int = ROUNDS, seed: int = 7) -> Labeller
                 first[k] = 0.9 * first[k] + 0.1 * d
                 second[k] = 0.99 * second[k] + 0.01 * d * d
                 v -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            if epoch >= rounds // 2:
+                taken += 1
+                for k, v in model.p.items():
+                    mean[k] += (v - mean[k]) / taken
+    model.p = mean
     return model
 
 
