@@ -118,9 +118,10 @@ def report(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, and digests of the spans."""
     name = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("found", lambda x: x["rank"] < BASE)
+    count = lambda i: F.size(F.filter("found", lambda x: x["rank"] == i))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found", lambda x, i=i: x["rank"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS[:BASE])],
+        *[count(i).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS[:BASE])],
         F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("found", name), ",").alias("spans"),
     )

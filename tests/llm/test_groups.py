@@ -1,0 +1,303 @@
+"""Operators 3, 5, 7 and 8 and the pipeline against brute force, and their defined cases."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lakeloom.llm import hilbert, html_lstm, pii, simhash
+from lakeloom.llm.components import components
+from lakeloom.llm.html_blocks import blocks
+
+from .test_texts import ODD, frame
+
+# Hilbert order
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
+def test_hilbert_curve_visits_neighbours(dims, bits):
+    side = 1 << bits
+    points = np.stack(np.meshgrid(*[np.arange(side)] * dims, indexing="ij"), -1).reshape(-1, dims)
+    index = hilbert.hilbert_index(points, bits)
+    assert sorted(index) == list(range(side**dims))
+    path = points[np.argsort(index)]
+    assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_sharding_law(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = hilbert.assign(docs).collect()
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(texts))
+    shards = defaultdict(list)
+    for r in rows:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]]) + 8, zlib.crc32(texts[r["doc_id"]]), "rows", None)
+        shards[r["shard"]].append(r)
+    counts = [len(shards[k]) for k in range(24)]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
+    last = -1
+    for k in range(24):
+        assert sorted(r["slot"] for r in shards[k]) == list(range(len(shards[k])))
+        curve = [r["curve"] for r in sorted(shards[k], key=lambda r: r["slot"])]
+        assert curve == sorted(curve) and curve[0] >= last
+        last = curve[-1]
+
+
+def test_sharding_prunes_better_than_chance(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    joined = hilbert.assign(docs).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    spread = lambda key: sum(len({r[c] for r in joined if key(r) == k}) for k in range(24) for c in ("source", "lang"))
+    assert spread(lambda r: r["shard"]) < 0.75 * spread(lambda r: r["doc_id"] % 24)
+
+
+def test_sharding_defined_cases(spark):
+    df = frame(spark, ODD).withColumn("source", F.lit(None).cast("string")).withColumn("curve", F.lit("x"))
+    rows = {r["doc_id"]: r for r in hilbert.assign(df).collect()}
+    assert len(rows) == len(ODD) and (rows[0]["size"], rows[0]["text_crc32"]) == (8, 0)
+    assert hilbert.assign(frame(spark, [])).count() == 0
+    counts = Counter(r["shard"] for r in hilbert.assign(df.unionByName(df)).collect())
+    assert sum(counts.values()) == 2 * len(ODD) and set(counts.values()) <= {1, 2}
+
+
+# PII
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def brute_base(text):
+    found = [(m.start(), k, name, m.end()) for k, (name, (p, ok)) in enumerate(BASE.items()) for m in re.finditer(p, text) if ok(m[0])]
+    return [f"{name}:{a}:{b}" for a, _, name, b in sorted(found)]
+
+
+def base_of(rows):
+    names = set(BASE)
+    return {r["doc_id"]: [s for s in r["spans"].split(",") if s and s.split(":")[0] in names] for r in rows}
+
+
+TRICKY = [
+    "a@b.co", "x.y+z@d-e.fr.g_h@i.jk", "a@b.c@d.e", "@a.b", "a@b", "a@b..c", "a@b.c.", "mail ä a@ü.de b@c.d",
+    "1.2.3.4.5.6.7.8", "256.1.1.1", "001.002.003.0004", "1.2.3", "99999999999999999999.1.1.1", "1.2.3.4 +1.2.3.4567890",
+    "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "4111  1111 1111 1111", "5 4111111111111111", "0000000000000", "411111111111111111111111",
+    "+49 (0)30 1234567", "+1", "+12 ", "+1 2 3 4 5 6 7 8 9 x", "+1234567890123456", "++4930123456789", "+49 30 12345678 +49 30 12345678", "+4930.12345678-9 .",
+    "card 4111111111111111 mail a.b@c.de ip 10.0.0.1 tel +4930123456789", "日本 a@b.co 日本 4111111111111111",
+]
+
+
+def test_pii_like_plain_patterns(spark, sf_dir):
+    texts = [*TRICKY, *ODD, "1 " * 20_000, "a" * 40_000 + "@", "a." * 20_000, "a@" + "b." * 20_000 + "c", "+" + "1 " * 9000, "9" * 30_000]
+    rows = pii.report(pii.detect(frame(spark, texts))).collect()
+    got = base_of(rows)
+    for r in rows:
+        want = brute_base(texts[r["doc_id"]] or "")
+        assert got[r["doc_id"]] == want, texts[r["doc_id"]][:80]
+        assert [r[f"n_{k}"] for k in BASE] == [sum(w.startswith(k) for w in want) for k in BASE]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = base_of(pii.report(pii.detect(docs)).collect())
+    assert got == {r["doc_id"]: brute_base(r["text"]) for r in docs.collect()}
+
+
+@given(st.lists(st.text("a1.@+- (4ä", max_size=40), min_size=20, max_size=40))
+@settings(max_examples=8, deadline=None)
+def test_pii_random_texts(spark, texts):
+    got = base_of(pii.report(pii.detect(frame(spark, texts))).collect())
+    assert got == {i: brute_base(t) for i, t in enumerate(texts)}
+
+
+def test_pii_added_kinds_need_proof_or_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00.", "DE89370400440532013000", "DE88370400440532013000", "my SSN is 123-45-6789", "number 123-45-6789", "call 030 1234 5678 now", "row 030 1234 5678 end"]
+    spans = {r["doc_id"]: [s for s in r["spans"].split(",") if s] for r in pii.report(pii.detect(frame(spark, texts))).collect()}
+    assert [spans[i] for i in range(3)] == [["iban:5:32"], ["iban:0:22"], []]
+    assert [len(spans[i]) for i in range(3, 7)] == [1, 0, 1, 0]
+    assert pii.detect(frame(spark, [])).count() == 0
+
+
+def test_pii_runs_without_python(spark, sf_dir):
+    plan = pii.report(pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+# pages
+
+
+def test_blocks():
+    page = "<html><head><title>T &amp; x</title><script>var a='</p>'</script></head><body><!-- no --><p>One <b>two</b>\n three<br>four<p>five &eacute;&#33;<ul><li>a<li>b</ul><div class='x ad'>six</div>tail < 3"
+    assert [(b.text, b.path[-1]) for b in blocks(page)] == [("T & x", "title"), ("One two three four", "p"), ("five é!", "p"), ("a", "li"), ("b", "li"), ("six", "class=ad"), ("tail < 3", "body")]
+    assert blocks("") == []
+    assert [b.text for b in blocks("plain")] == ["plain"]
+    assert blocks("<script>never closed") == []
+
+
+def test_gradients_are_those_of_the_loss():
+    r = np.random.default_rng(0)
+    model = html_lstm.Labeller(width=5, hidden=3)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, mask = r.standard_normal((4, 3, 5)), np.ones((4, 3, 1), bool)
+    mask[2:, 1] = mask[3:, 2] = False
+    x = x * mask
+    y = (r.random((4, 3)) > 0.5).astype(float)
+    _, g = model.gradients(x, mask, y)
+    for name, w in model.p.items():
+        for at in list(np.ndindex(w.shape))[:: max(1, w.size // 6)]:
+            keep = w[at]
+            w[at] = keep + 1e-3
+            up = model.gradients(x, mask, y)[0]
+            w[at] = keep - 1e-3
+            down = model.gradients(x, mask, y)[0]
+            w[at] = keep
+            assert abs((up - down) / 2e-3 - g[name][at]) < 2e-4, (name, at)
+
+
+def test_extraction_held_out_accuracy():
+    model, wrong, n = html_lstm.trained(), 0, 0
+    for seed in range(50_000, 50_150):
+        page, main = html_lstm.training_page(seed)
+        cut = blocks(page)
+        x, mask = html_lstm.padded([np.stack([html_lstm.vector(b) for b in cut])])
+        said = model.scores(x, mask)[:, 0] > 0.5
+        wrong += sum(bool(s) != (b.text in main and "head" not in b.path) for b, s in zip(cut, said, strict=True))
+        n += len(cut)
+    assert wrong / n < 0.02
+
+
+def test_extraction_of_whole_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    rows = html_lstm.extract(pages.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))).collect()
+    right = sum(r["text"] == " ".join(b.text for b in blocks(source[r["page_id"]]) if "article" in b.path) for r in rows)
+    assert right / len(rows) > 0.97
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_extraction_defined_cases(spark):
+    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<nav>x</nav>"), (5, "u", "<div>" * 3000)], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in html_lstm.extract(df).collect()}
+    assert rows[1]["text"] == rows[2]["text"] == rows[5]["text"] == "" and rows[1]["n_chars"] == 0
+    assert html_lstm.extract(df.limit(0)).count() == 0
+
+
+# SimHash
+
+
+def brute_fingerprint(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    """Smallest index reachable over links of two bits."""
+    label = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(fps)):
+            for j in range(len(fps)):
+                if (fps[i] ^ fps[j]).bit_count() <= 2 and label[j] < label[i]:
+                    label[i], changed = label[j], True
+    return label
+
+
+def test_fingerprints(spark):
+    texts = [*ODD, "One two THREE four", "one two three  four", "ÀB c d"]
+    got = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in simhash.fingerprints(frame(spark, texts)).collect()}
+    assert got == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    shingle = spark.sql("SELECT xxhash64('one two three') AS h").first()["h"]
+    assert shingle == np.array([xxhash.xxh64_intdigest(b"one two three", 42)], np.uint64).view(np.int64)[0]
+
+
+def made_fingerprints(seed=5):
+    """Random ones, chains of links, and a ball of very many near one another."""
+    r = np.random.default_rng(seed)
+    out = [int(x) for x in r.integers(0, 2**63, 150)]
+    for start in out[:10]:
+        x = start
+        for _ in range(6):
+            for b in r.choice(64, 2, replace=False):
+                x ^= 1 << int(b)
+            out.append(x)
+    ball = out[20]
+    out += [ball ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in r.integers(0, 12, (160, 3))]
+    return list(dict.fromkeys([*out, 0, 1, 7, 2**64 - 1]))
+
+
+@pytest.mark.parametrize("limit", [64, 4, 1, 10_000])
+def test_links_lose_nothing(spark, limit):
+    fps = made_fingerprints()
+    df = spark.createDataFrame([(int(np.array([f], np.uint64).view(np.int64)[0]),) for f in fps], "fp long")
+    edges = [(r["u"], r["v"]) for r in simhash.links(df, limit).collect()]
+    assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 4 for u, v in edges)
+    joined = {r["node"]: r["component"] for r in components(simhash.links(df, limit)).collect()}
+    signed = [r["fp"] for r in df.collect()]
+    want = brute_components(fps)
+    groups = defaultdict(set)
+    for i, s in enumerate(signed):
+        groups[joined.get(s, s)].add(i)
+    brute = defaultdict(set)
+    for i, c in enumerate(want):
+        brute[c].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_pivots_discard_only_unlinked_pairs():
+    r = np.random.default_rng(2)
+    fp = r.integers(0, 2**64, 200, np.uint64)
+    fp[100:] = fp[:100] ^ np.uint64(3)
+    i, j = simhash.linked(fp, simhash.pivot_table(fp))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(200) for b in range(a + 1, 200) if int(fp[a] ^ fp[b]).bit_count() <= 2}
+
+
+def test_classes_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(frame(spark, ODD).withColumn("doc_id", F.col("doc_id") + 1000).select("doc_id", "text", "lang", "source", "n_chars"))
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    fps = [brute_fingerprint(t) for _, t in texts]
+    want = {texts[i][0]: (f"{fps[i]:016x}", texts[c][0]) for i, c in enumerate(brute_components(fps))}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.classes(docs).collect()}
+    assert got == want
+    kept = simhash.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()})
+    assert kept.columns == docs.columns
+
+
+def test_classes_defined_cases(spark):
+    assert simhash.classes(frame(spark, [])).count() == 0
+    df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, None), (3, None), (2, "")], "doc_id long, text string")
+    rows = Counter((r["doc_id"], r["component_id"]) for r in simhash.classes(df).collect())
+    assert rows == Counter({(None, None): 2, (3, 2): 2, (2, 2): 1})
+    assert Counter(r["doc_id"] for r in simhash.keep_one(df).collect()) == Counter([None, 2])
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids <= {r["doc_id"] for r in docs.collect()}
+        docs = docs.where(F.col("doc_id").isin(list(ids)))
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert packed == ids
