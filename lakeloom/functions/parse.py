@@ -55,8 +55,8 @@ def interval(c: Column | str) -> Column:
 
 def interval_text(c: Column | str) -> Column:
     """``HH:mm:ss``, for hashing."""
-    x = _col(c)
-    s = F.extract(F.lit("HOUR"), x) * 3600 + F.extract(F.lit("MINUTE"), x) * 60 + F.extract(F.lit("SECOND"), x).cast("int")
+    x = _col(c).cast("interval day to second")
+    s = F.extract(F.lit("DAY"), x) * 86400 + F.extract(F.lit("HOUR"), x) * 3600 + F.extract(F.lit("MINUTE"), x) * 60 + F.extract(F.lit("SECOND"), x).cast("int")
     return F.when(x.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("int"), F.pmod(F.floor(s / 60), F.lit(60)).cast("int"), F.pmod(s, F.lit(60)).cast("int")))
 
 

@@ -7,6 +7,7 @@ Orders are bookings and tickets, suppliers are routes, lines of an order are seg
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,7 @@ def staged(frames: dict[str, DataFrame], name: str, run: Run = RUN) -> DataFrame
     return increment.staged(rows, frames[name].columns, event or run.ts(), run)
 
 
+@lru_cache(8)
 def current(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Current-state frames of a first load."""
     frames = sources(spark, sf_dir)
@@ -101,8 +103,9 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name].schema)
 
 
+@lru_cache(8)
 def dims(spark: SparkSession, sf_dir: str, run: Run = RUN) -> marts.Dims:
-    """Dimensions of a first load."""
+    """Dimensions of a first load. Their plans are kept, so that keys are counted once for a folder."""
     ods = current(spark, sf_dir)
     make = lambda n, rows, sk, bk, attributes: dimension.scd1_dimension(empty(spark, f"dds.dim_{n}"), rows, sk, bk, attributes, run)
     airports = make("airports", ods["airports"].withColumnRenamed("airport_code", "airport_bk"), "airport_sk", "airport_bk", ["airport_name", "city", "country", "timezone", "coordinates"])

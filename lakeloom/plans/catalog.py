@@ -83,7 +83,7 @@ _FLIGHTS = "count(DISTINCT flight_id)"
     + f"""SELECT r.route_bk, r.route_sk, d.airport_bk AS departure_airport_bk, d.city AS departure_city, a.airport_bk AS arrival_airport_bk, a.city AS arrival_city,
   r.brand AS airplane_bk, p.model AS airplane_model, p.total_seats, {_FLIGHTS} AS total_flights, count(*) AS total_tickets, {_BOARDED} AS total_boarded,
   CAST(sum(price) AS DOUBLE) AS total_revenue, {_MEAN} AS avg_ticket_price, {_RATE.format(a=_BOARDED, b="count(*)")} AS avg_boarding_rate,
-  {_RATE.format(a=_BOARDED, b=f"({_FLIGHTS} * p.total_seats)")} AS avg_load_factor, min(f.day) AS first_flight_date, max(f.day) AS last_flight_date
+  {_RATE.format(a=_BOARDED, b=f"({_FLIGHTS} * max(p.total_seats))")} AS avg_load_factor, min(f.day) AS first_flight_date, max(f.day) AS last_flight_date
 FROM fact f JOIN route r USING (route_sk) JOIN airport d ON d.n_nationkey = r.dep_n JOIN airport a ON a.n_nationkey = r.arr_n JOIN plane p ON p.airplane_bk = r.brand
 GROUP BY ALL"""
 )
@@ -95,7 +95,7 @@ def mart_route_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     adapter.SQL
     + f"""SELECT year(f.day) AS year_actual, month(f.day) AS month_actual, f.airplane_sk, p.airplane_bk, p.model AS airplane_model, p.total_seats, {_FLIGHTS} AS total_flights,
   count(*) AS total_tickets, {_BOARDED} AS total_boarded, CAST(sum(price) AS DOUBLE) AS total_revenue, {_MEAN} AS avg_ticket_price,
-  {_RATE.format(a=_BOARDED, b=f"({_FLIGHTS} * p.total_seats)")} AS avg_load_factor, count(DISTINCT f.route_sk) AS unique_routes, count(DISTINCT f.passenger_sk) AS unique_passengers
+  {_RATE.format(a=_BOARDED, b=f"({_FLIGHTS} * max(p.total_seats))")} AS avg_load_factor, count(DISTINCT f.route_sk) AS unique_routes, count(DISTINCT f.passenger_sk) AS unique_passengers
 FROM fact f JOIN plane p USING (airplane_sk) GROUP BY ALL"""
 )
 def mart_monthly_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
