@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import fuse
-from lakeloom.llm.common import join_bounded, materialise, read, several_texts
+from lakeloom.llm.common import BROADCAST_BYTES, join_bounded, materialise, read, several_texts
 
 #: Digests of one filter, about; a filter then has about 1.2 MB.
 FILTER_KEYS = 1_000_000
@@ -113,23 +113,22 @@ def classify(docs: DataFrame, in_snapshot: Column | None = None, digest: Callabl
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    verdict = materialise(classify(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
+    """The rows of ``docs`` that stay, with all their columns: an anti-join with those that go."""
+    verdict = materialise(classify(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "verdict")
+    gone, on = verdict.where(~F.col("kept")).select("_id", "_sha"), ["_id", "_sha"]
+    repeated = not verdict.groupBy(*on).count().where("count > 1").isEmpty()
+    if repeated:  # rows that agree in doc_id and text: one of them stays if any does
+        gone = verdict.groupBy(*on).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(*on)
     mine = docs.withColumn("_sha", F.sha2(normalised("text"), 256))
-    match = mine["doc_id"].eqNullSafe(verdict["_id"]) & (mine["_sha"] == verdict["_sha"])
-    kept = mine.join(verdict, match, "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows: one of them stays
-        longest = F.row_number().over(_same_row())
-        kept = kept.withColumn("_rank", longest).where("_rank = 1").drop("_rank")
+    n = gone.count()
+    there = F.broadcast(gone) if n * 110 <= BROADCAST_BYTES else gone
+    kept = mine.join(there, mine["doc_id"].eqNullSafe(gone["_id"]) & (mine["_sha"] == gone["_sha"]), "left_anti")
+    if repeated:
+        rank = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.char_length("text").desc_nulls_last()))
+        kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     return kept.drop("_sha")
 
 
-def _same_row():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "_sha").orderBy(F.char_length("text").desc_nulls_last())
-
-
 def op2_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import map_arrow, materialise, read
+from lakeloom.llm.common import BROADCAST_BYTES, map_arrow, materialise, read
 from lakeloom.llm.components import components
 
 SHINGLE = 3
@@ -148,13 +148,14 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their group, one of each, with all their columns.
 
-    Rows without a doc_id stay only if no row of their group has one.
+    Rows without a doc_id can't be named and all stay; of rows that agree in doc_id and text one stays.
     """
     found = materialise(classes(docs), "near-classes")
-    names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["_id"]), "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id"])
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    there = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
+    kept = docs.join(there, docs["doc_id"] == gone["_id"], "left_anti")
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
+        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
     return kept
 
 
