@@ -31,7 +31,9 @@ END_ID = 0
 #: Pieces of a group, about: one task packs a group, and leaves a few sequences open.
 GROUP = 20_000
 #: Words whose ids a worker keeps.
-WORDS = 400_000
+WORDS = 1_000_000
+#: Stands between words that share a text on their way through the tokenizer.
+MARK = "~"
 
 _KEPT: dict[int, tuple] = {}
 
@@ -48,20 +50,35 @@ def tokenizer(json: str):
     return _KEPT[key]
 
 
+def word_ids(coder, words: list[bytes]) -> dict[bytes, bytes]:
+    """Ids of each word, as little-endian bytes. Many words go through the tokenizer as one text, between
+    marks whose single id nothing else has; words that hold the mark's character go alone."""
+    mark = coder.encode(MARK, add_special_tokens=False).ids
+    plain = [w for w in words if MARK.encode() not in w] if len(mark) == 1 else []
+    out: dict[bytes, bytes] = {}
+    texts = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+    between = f" {MARK} ".encode()
+    for part, e in zip(texts, coder.encode_batch_fast([between.join([*x, b""]).decode() for x in texts], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        raw, stops = ids.tobytes(), np.flatnonzero(ids == mark[0])
+        out |= zip(part, [raw[a:b] for a, b in zip([0, *(4 * stops[:-1] + 4).tolist()], (4 * stops).tolist(), strict=True)], strict=True)
+    alone = [w for w in words if w not in out]
+    for w, e in zip(alone, coder.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+        out[w] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def encode(json: str, texts: list[bytes], kept_words: int = WORDS) -> list[np.ndarray]:
     """Ids of whole texts, without the end id."""
     coder, table = tokenizer(json)
     split = [t.split() for t in texts]
-    new = {w for words in split for w in words if w not in table}
+    words = set().union(*split)
+    new = words - table.keys()
     if len(table) + len(new) > kept_words:
         table.clear()
-        new = {w for words in split for w in words}
-    ordered = list(new)
-    for at in range(0, len(ordered), 4096):
-        part = ordered[at : at + 4096]
-        for w, e in zip(part, coder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            table[w] = np.array(e.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join(map(table.__getitem__, words)), "<u4") for words in split]
+        new = words
+    table |= word_ids(coder, list(new))
+    return [np.frombuffer(b"".join(map(table.__getitem__, own)), "<u4") for own in split]
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
