@@ -12,7 +12,7 @@ from lakeloom.operators import increment
 from lakeloom.plans import layers
 from lakeloom.quality import checks
 from lakeloom.quality.checks import Finding
-from lakeloom.schemas import INCREMENTAL, SNAPSHOT, SOURCE, TABLES, source_schema
+from lakeloom.schemas import INCREMENTAL, SNAPSHOT, SOURCE, TABLES
 from lakeloom.session import Run
 from lakeloom.sources.readers import Reader
 from lakeloom.sources.storage import Store
@@ -177,6 +177,3 @@ def reconcile(store: Store) -> list[Finding]:
     out.append(Finding("revenue", checks.ERROR, (a[0] or 0) == (b[0] or 0), 0, f"fact {a[0]}, mart {b[0]}"))
     out.append(Finding("boarded", checks.ERROR, (a[1] or 0) == (b[1] or 0), 0, f"fact {a[1]}, mart {b[1]}"))
     return checks.require(out)
-
-
-COLUMNS = {n: source_schema(n).fieldNames() for n in SOURCE}
