@@ -100,8 +100,8 @@ def classify(docs: DataFrame, in_snapshot: Column | None = None, digest: Callabl
             raise ValueError("different texts with one SHA-256")
     marked = join_bounded(rows, candidates.withColumn("candidate", F.lit(True)), ["digest"], "left", n, 16)
     best = marked.where("candidate").groupBy("digest", "text_sha256").agg(F.max(F.struct("cp", F.bitwise_not("doc_id").alias("low"), F.bitwise_not("row").alias("r"), "doc_id", "row")).alias("best"), F.count("*").alias("size"))
-    best = best.select("digest", "text_sha256", F.col("best.doc_id").alias("keep"), F.col("best.row").alias("keep_row"), "size")
-    joined = marked.join(best, ["digest", "text_sha256"], "left")
+    best = materialise(best.select("digest", "text_sha256", F.col("best.doc_id").alias("keep"), F.col("best.row").alias("keep_row"), "size"), "kept-rows")
+    joined = join_bounded(marked, best, ["digest", "text_sha256"], "left", n, 150)
     alone = F.col("size").isNull()
     return joined.select(
         "doc_id",
