@@ -108,9 +108,14 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], l
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` rows of each language, chosen by doc_id's hash; texts are read for these only."""
-    low = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("low", low).where(F.col("low") <= per_language)
+    """At most ``per_language`` rows of each language, chosen by doc_id's hash; texts are read for these only.
+
+    A language's count sets how low a hash must be, so that about twice the rows needed are sorted.
+    """
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    share = labelled.groupBy("lang").agg((F.lit(float(2 * per_language + 50) * (1 << 40)) / F.count(F.lit(1))).alias("below"))
+    low = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = labelled.join(F.broadcast(share), "lang").where(F.col("h") < F.col("below")).withColumn("low", low).where(F.col("low") <= per_language)
     chosen = docs.where(learn).select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
     return [(r["lang"], r["text"].encode()) for r in chosen.where("text is not null").collect()]
 
