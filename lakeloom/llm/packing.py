@@ -2,9 +2,9 @@
 
 A document is its token ids and an end id. Documents longer than a sequence are cut into whole
 sequences and a rest. A whole sequence stands alone; other pieces are dealt by hash to groups of
-about ``GROUP`` pieces, and each group is packed, longest pieces first, by the sum-of-squares rule: of all
-open residual gaps and a new sequence, a piece goes where the sum of the squared counts of open
-sequences per gap becomes smallest (ties: the smallest gap left).
+about ``GROUP`` pieces, and each group is packed, longest pieces first, by the sum-of-squares rule: a piece
+goes where the sum of the squared counts of open sequences per residual gap becomes smallest (ties:
+the smallest gap left); a new sequence is opened where no open one has room.
 
 Texts are cut at ASCII white space before they reach the tokenizer, which never joins ids across
 it; the ids of each such word are kept in a bounded table of the worker.
@@ -16,6 +16,7 @@ empty table gives no piece. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,59 +31,93 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces of a group, about: one task packs a group, and leaves a few sequences open.
 GROUP = 20_000
-#: Words whose ids a worker keeps.
-WORDS = 1_000_000
+#: Words in each of the two tables that a worker keeps.
+WORDS = 300_000
 #: Stands between words that share a text on their way through the tokenizer.
 MARK = "~"
 
-_KEPT: dict[int, tuple] = {}
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
+_KEPT: dict[int, Words] = {}
 
-def tokenizer(json: str):
-    """Tokenizer and table of word ids of this worker."""
+
+class Words:
+    """Ids of words, kept in two tables: when the newer one is full it becomes the older one."""
+
+    def __init__(self, json: str, kept: int = WORDS):
+        from tokenizers import Tokenizer
+
+        self.coder, self.kept = Tokenizer.from_str(json), kept
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.mark = self.coder.encode(MARK, add_special_tokens=False).ids
+        vocabulary = self.coder.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part of a text
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts, without the end id."""
+        split = [t.split() for t in texts]
+        words = set().union(*split)
+        lacking = words - self.new.keys()
+        if len(self.new) + len(lacking) > self.kept:
+            self.old, self.new = self.new, {}
+            lacking = words
+        known = lacking & self.old.keys()
+        self.new |= {w: self.old[w] for w in known}
+        self.new |= self.ids(list(lacking - known))
+        return [np.frombuffer(b"".join(map(self.new.__getitem__, own)), "<u4") for own in split]
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word as little-endian bytes. Many words share a text on their way through the tokenizer.
+
+        Words of letters are one part each, so that ids which end a part tell them apart. Other
+        words stand between marks, whose single id nothing else has; those that hold the mark's
+        character, or whose text didn't come apart as expected, go alone.
+        """
+        out: dict[bytes, bytes] = {}
+        self._share([w for w in words if _LETTERS.fullmatch(w.decode())], b" ", out)
+        if len(self.mark) == 1:
+            self._share([w for w in words if w not in out and MARK.encode() not in w], f" {MARK} ".encode(), out)
+        alone = [w for w in words if w not in out]
+        for w, e in zip(alone, self._batch(alone), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _batch(self, texts: list[bytes]) -> list:
+        return self.coder.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+
+    def _share(self, words: list[bytes], between: bytes, out: dict[bytes, bytes]) -> None:
+        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, e in zip(parts, self._batch([between.join([*x, b""]) for x in parts]), strict=True):
+            ids = np.array(e.ids, "<u4")
+            if between == b" ":
+                stops = np.flatnonzero(self.last[ids]) + 1
+                starts = np.concatenate([[0], stops[:-1]])
+            else:
+                stops = np.flatnonzero(ids == self.mark[0])
+                starts = np.concatenate([[0], stops[:-1] + 1])
+            if len(stops) == len(part):
+                raw = ids.tobytes()
+                out |= zip(part, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)], strict=True)
+
+
+def encode(json: str, texts: list[bytes]) -> list[np.ndarray]:
+    """Ids of whole texts, without the end id, by this worker's tables."""
     key = hash(json)
     if key not in _KEPT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         _KEPT.clear()
-        _KEPT[key] = (Tokenizer.from_str(json), {})
-    return _KEPT[key]
-
-
-def word_ids(coder, words: list[bytes]) -> dict[bytes, bytes]:
-    """Ids of each word, as little-endian bytes. Many words go through the tokenizer as one text, between
-    marks whose single id nothing else has; words that hold the mark's character go alone."""
-    mark = coder.encode(MARK, add_special_tokens=False).ids
-    plain = [w for w in words if MARK.encode() not in w] if len(mark) == 1 else []
-    out: dict[bytes, bytes] = {}
-    texts = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
-    between = f" {MARK} ".encode()
-    for part, e in zip(texts, coder.encode_batch_fast([between.join([*x, b""]).decode() for x in texts], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, "<u4")
-        raw, stops = ids.tobytes(), np.flatnonzero(ids == mark[0])
-        out |= zip(part, [raw[a:b] for a, b in zip([0, *(4 * stops[:-1] + 4).tolist()], (4 * stops).tolist(), strict=True)], strict=True)
-    alone = [w for w in words if w not in out]
-    for w, e in zip(alone, coder.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-        out[w] = np.array(e.ids, "<u4").tobytes()
-    return out
-
-
-def encode(json: str, texts: list[bytes], kept_words: int = WORDS) -> list[np.ndarray]:
-    """Ids of whole texts, without the end id."""
-    coder, table = tokenizer(json)
-    split = [t.split() for t in texts]
-    words = set().union(*split)
-    new = words - table.keys()
-    if len(table) + len(new) > kept_words:
-        table.clear()
-        new = words
-    table |= word_ids(coder, list(new))
-    return [np.frombuffer(b"".join(map(table.__getitem__, own)), "<u4") for own in split]
-
-
-def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece, placed in the order given."""
+        _KEPT[key] = Words(json)
+    return _KEPT[key].encode(texts)
+
+
+def sum_of_squares(lengths: np.ndarray, size: int = LENGTH, open_early: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece, placed in the order given.
+
+    By the plain rule (``open_early``) a new sequence competes with the open ones; else one is opened only
+    where no open one has room, which leaves fewer sequences when pieces come longest first.
+    """
     open_at: list[list[int]] = [[] for _ in range(size + 1)]  # sequences by gap
     count = np.zeros(size + 1, np.int64)
     used: list[int] = []
@@ -91,8 +126,10 @@ def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray,
         # change of the sum if a sequence of gap g gets the piece; gap 0 is closed and counts nothing
         change = 2 * (count[: size + 1 - n] - count[n:]) + 2
         change[0] = 1 - 2 * count[n]
-        change = np.where(count[n:] > 0, change, np.iinfo(np.int64).max)
-        change[size - n] = 2 * count[size - n] + 1 if n < size else 0  # a new sequence
+        room = count[n:] > 0
+        change = np.where(room, change, np.iinfo(np.int64).max)
+        if open_early or not room.any():
+            change[size - n] = 2 * count[size - n] + 1 if n < size else 0  # a new sequence
         left = int(change.argmin())
         if left == size - n:
             bin_, at = len(used), 0

@@ -301,3 +301,19 @@ def test_pipeline_stages(spark, sf_dir):
         docs = docs.where(F.col("doc_id").isin(list(ids)))
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert packed == ids
+
+
+def test_pipeline_defined_cases(spark, sf_dir):
+    """Odd texts, nulls, repeated rows and an empty table pass all stages."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    odd = frame(spark, ODD).select(*columns)
+    odd = odd.unionByName(odd).unionByName(odd.where("doc_id > 2").withColumn("lang", F.lit(None).cast("string")))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            kept = docs.collect()
+            if name != "packing":
+                docs = spark.createDataFrame(kept, odd.schema)
+        assert len({(r["doc_id"], r["piece"]) for r in kept}) == len(kept)
