@@ -17,6 +17,7 @@ from lakeloom.plans import layers, marts
 from lakeloom.schemas import TABLES
 from lakeloom.session import Run
 from lakeloom.sources.readers import Reader, frames_source
+from lakeloom.sources.storage import stable
 
 FIRST, LAST = date(1995, 1, 1), date(2002, 12, 31)
 RUN = Run("run_1", datetime(2024, 1, 2, 3, 4, 5))
@@ -105,12 +106,12 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
 
 @lru_cache(8)
 def dims(spark: SparkSession, sf_dir: str, run: Run = RUN) -> marts.Dims:
-    """Dimensions of a first load. Their plans are kept, so that keys are counted once for a folder."""
+    """Dimensions of a first load, stored once for a folder as a warehouse stores them."""
     ods = current(spark, sf_dir)
-    make = lambda n, rows, sk, bk, attributes: dimension.scd1_dimension(empty(spark, f"dds.dim_{n}"), rows, sk, bk, attributes, run)
+    make = lambda n, rows, sk, bk, attributes: stable(dimension.scd1_dimension(empty(spark, f"dds.dim_{n}"), rows, sk, bk, attributes, run))
     airports = make("airports", ods["airports"].withColumnRenamed("airport_code", "airport_bk"), "airport_sk", "airport_bk", ["airport_name", "city", "country", "timezone", "coordinates"])
     planes = make("airplanes", layers.airplanes_with_seats(ods["airplanes"], ods["seats"]).withColumnRenamed("airplane_code", "airplane_bk"), "airplane_sk", "airplane_bk", ["model", "range_km", "speed_kmh", "total_seats"])
-    routes = dimension.scd2_apply(empty(spark, "dds.dim_routes"), layers.route_versions(ods["routes"], airports, planes), "route_sk", "route_bk", layers.ROUTE_HASH, layers.ROUTE_REFRESH, run)
+    routes = stable(dimension.scd2_apply(empty(spark, "dds.dim_routes"), layers.route_versions(ods["routes"], airports, planes), "route_sk", "route_bk", layers.ROUTE_HASH, layers.ROUTE_REFRESH, run))
     return {
         "calendar": dimension.calendar(spark, FIRST, LAST),
         "airports": airports,
