@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = found.groupBy("digest").agg(F.min(place).alias("first"))
     later = join_bounded(found, first, ["digest"], "inner", n, 60).where((F.col("row") != F.col("first.row")) | (F.col("no") != F.col("first.no")))
     gone = materialise(later.groupBy("row").agg(F.collect_list("no").alias("gone")), "removed-chunks")
-    joined = join_bounded(held, gone, ["row"], "left", gone.count(), 100)
+    entries = gone.agg(F.sum(F.size("gone") + 16)).first()[0] or 0
+    joined = join_bounded(held, gone, ["row"], "left", entries, 4)
     return map_arrow(joined.select("doc_id", "text", "chunks", "gone"), _cut, "doc_id long, n_lines long, n_chunks long, n_removed long, text string")
 
 
