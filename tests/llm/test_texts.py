@@ -172,6 +172,38 @@ def test_line_dedup_like_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def brute_passages(rows):
+    """Without chunks: both lines of a pair of neighbours go where the pair has an earlier place that it doesn't overlap."""
+    seen, out = {}, {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        lines = lines if lines[-1] else lines[:-1]
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            place = seen.setdefault(pair, (i, k))
+            if place != (i, k):
+                gone |= {k, k + 1} - ({k} if place == (i, k - 1) else set())
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t or "", len(gone))
+    return out
+
+
+def test_passages_like_brute_force(spark, sf_dir):
+    """Every run of two or more lines goes at its later places, wherever chunks end; single lines stay."""
+    r = np.random.default_rng(5)
+    shared = [[f"passage {k} line {j}" for j in range(k % 6 + 2)] for k in range(24)]
+    texts = [None, "", "\n\n\n", "é\n" * 5000, "a\na\na", "alone", "x\nalone\ny", "alone\n"]
+    for i in range(60):
+        a, b = shared[i % 24], shared[int(r.integers(24))]
+        texts.append("\n".join([f"own {i}", *a, f"between {i}", f"more {i}", *b]) + "\n" * (i % 2))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_passages(frame(spark, texts)).collect()}
+    assert got == brute_passages(list(enumerate(texts)))
+    assert got[3] == ("é\né", 4998) and got[6] == ("x\nalone\ny", 0) and got[8 + 24][0].startswith("own 24\nbetween 24\nmore 24")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.op1_chunk_line_dedup(spark, sf_dir).collect()} == brute_passages(rows)
+    assert line_dedup.dedup_passages(frame(spark, [])).count() == 0
+
+
 # token counts
 
 
