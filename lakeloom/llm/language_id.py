@@ -4,7 +4,9 @@ Texts are lower-cased, everything but letters becomes one space, and byte n-gram
 are hashed into ``BINS`` bins. Vectors are log TF times IDF, scaled to length one. Each language
 has several centroids, found by spherical k-means over a bounded sample of labelled rows; the
 language of the nearest centroid by cosine wins. A document is rejected if it has no letter, or
-if it has enough letters to tell and its distance to the nearest centroid exceeds ``FAR``.
+if its cosine is below its language's limit at its number of n-grams. Limits are ``MARGIN`` times
+a low quantile of the cosines that pieces of a language's labelled texts, of all lengths, have with
+the language's centroids; the fewer n-grams, the lower they are.
 
 Defined cases: null text, empty text and text without a letter give ``und`` with score 0. Ties go
 to the first language by name. Without any labelled row every text gets ``und``. Very long texts
@@ -27,8 +29,10 @@ BINS = 4096
 #: Labelled rows a language that a model is fitted on; the bound of the training sample.
 SAMPLE = 300
 CENTROIDS = 3
-#: Cosine distance to the nearest centroid from which on a text is rejected, and the n-grams it must have for that.
-FAR, TELLING = 0.93, 300
+#: A text is rejected below MARGIN times this quantile of the cosines of labelled pieces with as many n-grams.
+QUANTILE, MARGIN = 0.01, 0.65
+#: Characters of the pieces; how many pieces about a power of two of n-grams must have to set a limit there.
+PIECES, ENOUGH = [4 << k for k in range(12)], 40
 
 _LETTER = re.compile(rb"[A-Za-z]")
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,6 +43,7 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # one a row, of length 1
     idf: np.ndarray
+    limits: dict[str, tuple[np.ndarray, np.ndarray]]  # log2 of n-grams and least cosine, of each language
 
 
 def has_letter(text: bytes) -> bool:
@@ -80,16 +85,39 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def limit(texts: list[bytes], own: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least cosine of a text by the log2 of its n-grams, from pieces of a language's texts."""
+    sizes, cosines = [], []
+    for chars in [*PIECES, None]:
+        if chars is None:
+            cut = texts
+        else:
+            whole = [t for t in map(bytes.decode, texts) if len(t) > chars]
+            cut = [t[at : at + chars].encode() for t in whole for at in (0, (len(t) - chars) // 2)]
+        tf = [counts(t) for t in cut if has_letter(t)]
+        if tf:
+            tf = np.stack(tf)
+            sizes.append(np.log2(tf.sum(1)))
+            cosines.append((vectors(tf, idf) @ own.T).max(1))
+    size, cosine = np.concatenate(sizes), np.concatenate(cosines)
+    at = np.round(size)
+    held = [b for b in np.unique(at) if (at == b).sum() >= ENOUGH]
+    if not held:
+        return np.zeros(1), np.array([MARGIN * np.quantile(cosine, QUANTILE)])
+    return np.array(held), np.array([MARGIN * np.quantile(cosine[at == b], QUANTILE) for b in held])
+
+
 def fit(rows: list[tuple[str, bytes]], k: int = CENTROIDS) -> Model:
     """Model of (language, text) rows."""
     rows = sorted((lang, text) for lang, text in rows if has_letter(text))
     if not rows:
-        return Model([], np.zeros((0, BINS), np.float32), np.ones(BINS))
+        return Model([], np.zeros((0, BINS), np.float32), np.ones(BINS), {})
     tf = np.stack([counts(text) for _, text in rows])
     idf = np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1
     x, names = vectors(tf, idf), np.array([lang for lang, _ in rows], object)
     found = [(lang, c) for lang in sorted(set(names)) for c in cluster(x[names == lang], k)]
-    return Model([lang for lang, _ in found], np.stack([c for _, c in found]), idf)
+    limits = {lang: limit([t for name, t in rows if name == lang], np.stack([c for name, c in found if name == lang]), idf) for lang in sorted(set(names))}
+    return Model([lang for lang, _ in found], np.stack([c for _, c in found]), idf, limits)
 
 
 def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
@@ -103,7 +131,7 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], l
         for i, best, n, row in zip(part, cos.argmax(1), tf.sum(1), cos, strict=True):
             langs[i] = model.languages[best]
             scores[i] = float(min(1, max(0, row[best])))
-            rejected[i] = bool(n >= TELLING and 1 - row[best] > FAR)
+            rejected[i] = bool(row[best] < np.interp(np.log2(n), *model.limits[langs[i]]))
     return langs, scores, rejected
 
 

@@ -348,6 +348,24 @@ def test_language_defined_cases(spark):
     assert language_id.identify(frame(spark, [])).count() == 0
 
 
+def test_language_rejects_other_texts(spark, sf_dir):
+    """Foreign languages and random letters, from a few words on, are rejected; held-out documents of all lengths aren't."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    model = language_id.fit(language_id.sample(docs, ~language_id.held_out()))
+    r = np.random.default_rng(4)
+    words = lambda letters, n: " ".join("".join(r.choice(list(letters), r.integers(2, 10))) for _ in range(n)).encode()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрстуфхцчшщыэюя", "的一是不了人我在有他这为之大来以个中上们"):
+        for n in (12, 40, 200, 1000):
+            assert sum(language_id.predict(model, [words(letters, n) for _ in range(20)])[2]) >= 18, (letters, n)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."
+    greek = "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση."
+    foreign = [t[:n].encode() for t in (polish, russian, greek) for n in (40, 80, 160)]
+    assert all(language_id.predict(model, foreign)[2])
+    clean = [t["text"].encode() for t in docs.where(language_id.held_out()).select("text").collect()]
+    assert not any(language_id.predict(model, clean)[2])
+
+
 def test_language_is_learned_from_the_fold_alone(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     wrong = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
