@@ -7,18 +7,22 @@ import re
 from dataclasses import dataclass
 
 #: Elements that stay inside a line of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't text of the page.
-HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select"
+#: Elements whose content isn't text of the page. Raw ones have no tags inside and run to the end of the page if nothing
+#: ends them; of the others a tag without its end tag hides nothing. A tag closed in itself hides nothing either.
+RAW = frozenset("script style textarea iframe".split())
+HIDDEN = frozenset("noscript template svg object canvas select annotation annotation-xml".split())
 #: A new block ends an open paragraph; a new item ends an open one of these kinds in the same list or table.
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot select body html div article section main".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -37,6 +41,32 @@ def _marks(attributes: str) -> list[str]:
     return out
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, stop, tag, slash of an end tag, attributes) of each token; hidden content is part of its start tag's."""
+    found: list[tuple[int, int, str, str, str]] = []
+    opened: dict[str, list[int]] = {}
+    stops: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag, slash, attributes = (m[2] or m[5] or "").lower(), m[1] or m[4] or "", m[3] or m[6] or ""
+        if tag in RAW and not slash and not _SELF_CLOSED.search(attributes):
+            end = _RAW_END[tag].search(page, at)
+            at = stops[len(found)] = end.end() if end else len(page)
+        elif tag in HIDDEN and slash:
+            if opened.get(tag):
+                stops[opened[tag].pop()] = at
+        elif tag in HIDDEN and not _SELF_CLOSED.search(attributes):
+            opened.setdefault(tag, []).append(len(found))
+        found.append((m.start(), at, tag, slash, attributes))
+    out, upto = [], 0
+    for k, token in enumerate(found):
+        if token[0] >= upto:
+            upto = stops.get(k, token[1])
+            out.append((token[0], upto, "" if k in stops else token[2], " " if k in stops else token[3], token[4]))
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Broken markup is read as far as it goes."""
     out: list[Block] = []
@@ -65,15 +95,12 @@ def blocks(page: str) -> list[Block]:
                 link_chars += len(text)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
+    for start, stop, tag, ending, attributes in _tokens(page):
+        add(page[at:start])
+        at = stop
         if not tag:
-            if m[1]:
-                parts.append(" ")
+            parts.append(ending)
             continue
-        tag, ending, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         inline = tag in INLINE
         if tag == "br":
             parts.append(" ")

@@ -143,6 +143,22 @@ def test_blocks():
     assert blocks("<script>never closed") == []
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<svg class="i"/><p>b</p>', ["b"]),
+        ("<p>a</p><svg/><canvas /><p>b</p><svg><text>no</text></svg><p>c</p>", ["a", "b", "c"]),
+        ("<select-box>a</select-box><template-x><p>b</template-x><script-y>c", ["a", "b", "c"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b</p><math/><p>c", ["a x=2 b", "c"]),
+        ("<svg><svg>no</svg>no</svg><p>a<select><option>no</select> b", ["a b"]),
+        ("<template>open<p>a</p><noscript>b<p>c", ["open", "a", "b", "c"]),
+        ("<p>a</p><script>'<svg>' </svg> <!-- </script ><p>b</p><style/><p>c</p><script src=/x/>no</script><p>d<textarea>no", ["a", "b", "c", "d"]),
+    ],
+)
+def test_hidden_elements_end_where_they_do(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
     model = html_lstm.Labeller(width=5, hidden=3)
