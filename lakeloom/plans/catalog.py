@@ -329,22 +329,41 @@ SELECT coalesce(t.c_custkey, d.c_custkey) AS c_custkey, CASE WHEN t.c_custkey IS
 FROM (SELECT * FROM customer WHERE c_custkey < 1000) t FULL JOIN d ON t.c_custkey = d.c_custkey"""
 
 
-def _upsert(spark: SparkSession, sf_dir: str, rows: int | None) -> DataFrame:
-    c = adapter.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+def _renamed(customers: DataFrame) -> DataFrame:
     k = F.col("c_custkey") % 20
     name = F.when(k == 0, F.lit(None)).when(k == 1, F.concat(F.upper("c_name"), F.lit("*"))).otherwise(F.col("c_name"))
-    delta = c.where((k < 5) | (F.col("c_custkey") >= 1000)).withColumn("c_name", name).withColumn("touched", F.lit("run_2"))
-    return merge.scd1_upsert(c.where("c_custkey < 1000").withColumn("touched", F.lit("run_1")), delta, ["c_custkey"], ["c_name"], delta_rows=rows)
+    return customers.withColumn("c_name", name).withColumn("touched", F.lit("run_2"))
+
+
+def _upsert(spark: SparkSession, sf_dir: str, counted: bool) -> DataFrame:
+    c = adapter.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    delta = _renamed(c.where((F.col("c_custkey") % 20 < 5) | (F.col("c_custkey") >= 1000)))
+    return merge.scd1_upsert(c.where("c_custkey < 1000").withColumn("touched", F.lit("run_1")), delta, ["c_custkey"], ["c_name"], delta_rows=delta.count() if counted else None)
 
 
 @query(_UPSERT)
 def scd1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _upsert(spark, sf_dir, None)
+    return _upsert(spark, sf_dir, False)
 
 
 @query(_UPSERT)
 def scd1_upsert_small_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _upsert(spark, sf_dir, 1000)
+    """The delta's rows are counted; it is broadcast only as long as they are few."""
+    return _upsert(spark, sf_dir, True)
+
+
+@query(
+    """WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_custkey % 20 = 1 THEN upper(c_name) || '*' ELSE c_name END AS c_name FROM customer WHERE c_custkey < 100 AND c_custkey % 20 < 5 OR c_custkey BETWEEN 100 AND 119)
+SELECT coalesce(t.c_custkey, d.c_custkey) AS c_custkey, CASE WHEN t.c_custkey IS NULL OR (d.c_custkey IS NOT NULL AND t.c_name IS DISTINCT FROM d.c_name) THEN d.c_name ELSE t.c_name END AS c_name,
+  CASE WHEN t.c_custkey IS NULL OR (d.c_custkey IS NOT NULL AND t.c_name IS DISTINCT FROM d.c_name) THEN 'run_2' ELSE 'run_1' END AS touched
+FROM (SELECT * FROM customer WHERE c_custkey NOT BETWEEN 100 AND 119) t FULL JOIN d ON t.c_custkey = d.c_custkey"""
+)
+def scd1_upsert_large_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delta of some 45 rows, new and changed ones, against a target that grows with the table."""
+    c = adapter.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    delta = _renamed(c.where("c_custkey < 100 AND c_custkey % 20 < 5 OR c_custkey BETWEEN 100 AND 119"))
+    target = c.where("c_custkey NOT BETWEEN 100 AND 119").withColumn("touched", F.lit("run_1"))
+    return merge.scd1_upsert(target, delta, ["c_custkey"], ["c_name"], delta_rows=delta.count())
 
 
 # relational inventory

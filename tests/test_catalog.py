@@ -34,3 +34,15 @@ def test_entry_contract():
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(catalog.QUERIES) <= set(e.queries())
     assert set(catalog.QUERIES) == set(catalog.SQL)
+
+
+def test_small_deltas_are_counted(spark, sf_dir, monkeypatch):
+    seen = []
+    upsert = catalog.merge.scd1_upsert
+    monkeypatch.setattr(catalog.merge, "scd1_upsert", lambda target, delta, *a, **b: seen.append((target.count(), delta.count(), b["delta_rows"])) or upsert(target, delta, *a, **b))
+    larger = sf_dir.replace("0.001", "0.01")
+    catalog.QUERIES["scd1_upsert_small_delta"](spark, larger)
+    for at in (sf_dir, larger):
+        catalog.QUERIES["scd1_upsert_large_target"](spark, at)
+    assert all(n == rows for _, n, rows in seen)
+    assert seen[1][1] == seen[2][1] < 50 and seen[2][0] >= 1000
