@@ -22,15 +22,25 @@ BROADCAST_BYTES = 32 << 20
 _OWN_DIR: list[str] = []
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name made from ``name`` that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only where none is configured (tests)."""
+    """Folder that driver and executors share; a local one only on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="lakeloom-"))
     return f"file://{_OWN_DIR[0]}"
@@ -40,7 +50,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lakeloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.held_at = path
+    return held
+
+
+def discard(*held: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more; what a result still reads stays."""
+    for df in held:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.held_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -77,3 +97,20 @@ def several_texts(rows: DataFrame, key: str, payload: str) -> DataFrame:
     Copies collapse before the shuffle, so a key with very many equal payloads sends one row a task.
     """
     return rows.groupBy(key, payload).agg(F.count("*").alias("_n")).groupBy(key).agg(F.count("*").alias("_texts")).where("_texts > 1").select(key)
+
+
+def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key (nulls are alike), whichever. No task gets all rows of a key.
+
+    Rows are written with a number each; the least number of a key is found by partial sums, and
+    only keys and numbers of rows with repeated keys are joined, then the numbers that go.
+    """
+    row, least, n = free("_row", docs), free("_least", docs), free("_n", docs)
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    again = materialise(numbered.groupBy(*keys).agg(F.min(row).alias(least), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).drop(n), "repeated-keys")
+    names = [free(f"_key{i}", numbered) for i in range(len(keys))]
+    again = again.select(*[F.col(k).alias(x) for k, x in zip(keys, names, strict=True)], least)
+    same = [numbered[k].eqNullSafe(again[x]) for k, x in zip(keys, names, strict=True)]
+    small = again.count() * 150 <= BROADCAST_BYTES
+    gone = materialise(numbered.select(row, *keys).join(F.broadcast(again) if small else again, same).where(F.col(row) != F.col(least)).select(row), "repeated-rows")
+    return numbered.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, row, "left_anti").select(*docs.columns)

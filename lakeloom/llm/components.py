@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise
+from lakeloom.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == last or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        last = mark
+        last, before = mark, now
         now = materialise(_star(_star(now, True), False), name)
+        discard(before)

@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import fuse
-from lakeloom.llm.common import BROADCAST_BYTES, join_bounded, materialise, read, several_texts
+from lakeloom.llm.common import BROADCAST_BYTES, discard, free, join_bounded, materialise, one_of_each, read, several_texts
 
 #: Digests of one filter, about; a filter then has about 1.2 MB.
 FILTER_KEYS = 1_000_000
@@ -44,25 +44,26 @@ class Snapshot:
     entries: DataFrame  # bucket int, digest long
     filters: DataFrame  # bucket int, filter binary
     buckets: int
+    distinct: DataFrame  # the table behind entries
 
 
 def bucket_of(digest: str, buckets: int) -> Column:
     return F.pmod(F.shiftrightunsigned(F.col(digest), 7), F.lit(buckets)).cast("int")
 
 
-def build_snapshot(digests: DataFrame, filter_keys: int = FILTER_KEYS) -> Snapshot:
-    """Snapshot of the column ``digest``; the number of buckets follows the number of digests, and is that of
-    the shuffle partitions at least, so that all tasks get some."""
+def build_snapshot(digests: DataFrame, filter_keys: int = FILTER_KEYS, incoming: int = 0) -> Snapshot:
+    """Snapshot of the column ``digest``; the number of buckets follows the number of digests, or of those that
+    will be screened if they are more, and is that of the shuffle partitions at least, so that all tasks get some."""
     distinct = materialise(digests.select("digest").distinct(), "snapshot-digests")
     least = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-distinct.count() // filter_keys))
+    buckets = max(least, -(-max(distinct.count(), incoming) // filter_keys))
     entries = distinct.select(bucket_of("digest", buckets).alias("bucket"), "digest")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "filter": [fuse.build(part["digest"].to_numpy())]})
 
     filters = materialise(entries.groupBy("bucket").applyInPandas(build, "bucket int, filter binary"), "snapshot-filters")
-    return Snapshot(entries, filters, buckets)
+    return Snapshot(entries, filters, buckets, distinct)
 
 
 def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -88,11 +89,12 @@ def classify(docs: DataFrame, in_snapshot: Column | None = None, digest: Callabl
     texts = docs.select("doc_id", F.coalesce(part, F.lit(False)).alias("old"), normalised("text").alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("cp")).withColumn("digest", digest(F.col("norm")))
     rows = materialise(texts.select("doc_id", "old", "digest", F.sha2("norm", 256).alias("text_sha256"), "cp", F.monotonically_increasing_id().alias("row")), "digests")
     old, new = rows.where("old"), rows.where(~F.col("old"))
-    snapshot = build_snapshot(old)
     batch = materialise(new.groupBy("digest").agg(F.count("*").alias("n")), "batch-digests")
+    snapshot = build_snapshot(old, incoming=batch.count())
     held = screen(batch, snapshot)
     again = old.groupBy("digest").agg(F.count("*").alias("n")).unionByName(batch).where("n > 1").select("digest")
     candidates = materialise(held.unionByName(again).distinct(), "candidates")
+    discard(batch, snapshot.filters, snapshot.distinct)
     n = candidates.count()
     copies = join_bounded(texts, candidates, ["digest"], "left_semi", n, 16)
     if not several_texts(copies, "digest", "norm").isEmpty():  # texts with one digest: SHA-256 tells them apart
@@ -113,20 +115,32 @@ def classify(docs: DataFrame, in_snapshot: Column | None = None, digest: Callabl
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: an anti-join with those that go."""
-    verdict = materialise(classify(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "verdict")
-    gone, on = verdict.where(~F.col("kept")).select("_id", "_sha"), ["_id", "_sha"]
-    repeated = not verdict.groupBy(*on).count().where("count > 1").isEmpty()
-    if repeated:  # rows that agree in doc_id and text: one of them stays if any does
-        gone = verdict.groupBy(*on).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(*on)
-    mine = docs.withColumn("_sha", F.sha2(normalised("text"), 256))
-    n = gone.count()
-    there = F.broadcast(gone) if n * 110 <= BROADCAST_BYTES else gone
-    kept = mine.join(there, mine["doc_id"].eqNullSafe(gone["_id"]) & (mine["_sha"] == gone["_sha"]), "left_anti")
-    if repeated:
-        rank = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.char_length("text").desc_nulls_last()))
-        kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.drop("_sha")
+    """The rows of ``docs`` that stay, with all their columns: an anti-join with those that go.
+
+    Rows are told apart by doc_id (nulls are alike) and text; of rows that agree in both one stays,
+    if any does. Columns of any name are kept as they are.
+    """
+    verdict = materialise(classify(docs).select("doc_id", "text_sha256", "kept"), "verdict")
+    id_, sha, mine = free("_id", docs), free("_sha", docs), free("_mine", docs)
+    rows = verdict.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+    gone = materialise(rows.where(~F.col("any")).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)), "gone")
+    marked = docs.withColumn(mine, F.sha2(normalised("text"), 256))
+    there = F.broadcast(gone) if gone.count() * 110 <= BROADCAST_BYTES else gone
+    kept = marked.join(there, marked["doc_id"].eqNullSafe(gone[id_]) & (marked[mine] == gone[sha]), "left_anti")
+    if not rows.where("any AND n > 1").isEmpty():  # fully repeated rows, or copies under one doc_id
+        kept = _longest(kept, mine)
+    return kept.drop(mine)
+
+
+def _longest(docs: DataFrame, sha: str) -> DataFrame:
+    """Of rows with one doc_id and digest those with most code points, then one of them."""
+    length, most, digest, id_ = (free(x, docs) for x in ("_cp", "_most", "_digest", "_id"))
+    sized = docs.withColumn(length, F.char_length(F.coalesce("text", F.lit(""))))
+    best = sized.groupBy("doc_id", sha).agg(F.max(length).alias(most), F.count_distinct(length).alias("k")).where("k > 1")
+    best = best.select(F.col("doc_id").alias(id_), F.col(sha).alias(digest), most)
+    joined = sized.join(best, sized["doc_id"].eqNullSafe(best[id_]) & (sized[sha] == best[digest]), "left")
+    longest = joined.where(F.col(most).isNull() | (F.col(length) == F.col(most))).drop(length, most, digest, id_)
+    return one_of_each(longest, ["doc_id", sha])
 
 
 def op2_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import map_arrow, read, small_batches
+from lakeloom.llm.common import discard, join_bounded, map_arrow, materialise, read, small_batches
 
 BINS = 4096
 #: Labelled rows a language that a model is fitted on; the bound of the training sample.
 SAMPLE = 300
+#: Characters of a sampled text that are fitted on. Predictions read whole texts.
+FIT_CHARS = 20_000
 CENTROIDS = 3
 #: A text is rejected below MARGIN times this quantile of the cosines of labelled pieces with as many n-grams.
 QUANTILE, MARGIN = 0.01, 0.65
@@ -136,16 +138,27 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], l
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` rows of each language, chosen by doc_id's hash; texts are read for these only.
+    """At most ``per_language`` different rows of each language, chosen by a hash of doc_id and text.
 
-    A language's count sets how low a hash must be, so that about twice the rows needed are sorted.
+    Rows that agree in language, doc_id and text count once, whatever their number, so that a
+    language with any labelled row is learned. A language's count sets how low a hash must be, so
+    that about twice the rows needed are sorted; of each chosen text the first FIT_CHARS characters
+    are fitted on, which bounds what reaches the driver.
     """
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    share = labelled.groupBy("lang").agg((F.lit(float(2 * per_language + 50) * (1 << 40)) / F.count(F.lit(1))).alias("below"))
-    low = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = labelled.join(F.broadcast(share), "lang").where(F.col("h") < F.col("below")).withColumn("low", low).where(F.col("low") <= per_language)
-    chosen = docs.where(learn).select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
-    return [(r["lang"], r["text"].encode()) for r in chosen.where("text is not null").collect()]
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    distinct = materialise(rows.groupBy("lang", "h", "h2").agg(F.count(F.lit(1)).alias("n")).drop("n"), "labelled")
+    spread = F.pmod("h", F.lit(1 << 40))
+    share = distinct.groupBy("lang").agg((F.lit(float(2 * per_language + 50) * (1 << 40)) / F.count(F.lit(1))).alias("below"))
+    low = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "h2"))
+    ids = distinct.join(share, "lang").where(spread < F.col("below")).withColumn("low", low).where(F.col("low") <= per_language).select("lang", "h", "h2")
+    named = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    held = materialise(ids, "sampled")
+    chosen = join_bounded(named, held, ["lang", "h", "h2"], "left_semi", held.count(), 60)
+    once = chosen.groupBy("lang", "h", "h2").agg(F.first(F.substring("text", 1, FIT_CHARS)).alias("text"))
+    found = [(r["lang"], r["text"].encode()) for r in once.collect()]
+    discard(distinct, held)
+    return found
 
 
 def held_out() -> Column:
