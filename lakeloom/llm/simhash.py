@@ -13,6 +13,11 @@ all: each of its fingerprints names itself and its neighbours at one free bit, a
 fingerprints within two bits name a common one. That is exact, linear, and no name has more than
 33 fingerprints.
 
+``keep_one`` removes near copies as the pipeline means them: five words and a similarity of 0.8. Two bits of
+64 are much nearer than that (a pair at 0.8 differs in about ten), so it has sketches of SKETCH bits:
+one of shingles of two words, whose bands bring candidates together, and one of five words, whose
+distance decides. References of its pivot tables are rows of the bucket.
+
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other. Rows with
 one fingerprint are in one group. A null doc_id is passed through and never names a group unless
 all its rows have none. Repeated rows get equal rows. Extra columns are ignored, and kept by
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import BROADCAST_BYTES, map_arrow, materialise, read
+from lakeloom.llm.common import BROADCAST_BYTES, discard, free, join_bounded, map_arrow, materialise, one_of_each, read
 from lakeloom.llm.components import components
 
 SHINGLE = 3
@@ -37,6 +42,14 @@ RADIUS = 2
 PIVOTS = 16
 BUCKET = 64
 
+# near copies: bits of a sketch; words of the shingles that screen and that decide; the least similarity (Jaccard);
+# the share of pairs at that similarity that no band may bring together; rows of a chunk
+SKETCH = 256
+SCREEN_WORDS, WORDS = 2, 5
+SIMILAR = 0.8
+MISSED = 0.03
+CHUNK = 512
+
 _BANDS = list(combinations(range(4), 2))
 _REFERENCES = np.random.default_rng(20).integers(0, 1 << 64, PIVOTS, np.uint64)
 
@@ -142,21 +155,209 @@ def classes(docs: DataFrame) -> DataFrame:
     owned = distinct.join(joined, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = owned.groupBy("component").agg(F.min("low").alias("component_id"))
     named = materialise(owned.join(lowest, "component").select("fp", "component_id"), "components")
+    discard(distinct)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# near copies by five words
+
+
+def shingle_sketch(text: bytes, size: int) -> np.ndarray:
+    """SKETCH bits (as numbers of 64) of the distinct shingles of ``size`` words of a whole text."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(SKETCH // 64, np.uint64)
+    word = np.array([xxhash.xxh64_intdigest(x, 42) for x in w], np.uint64)
+    n = max(1, len(word) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(size, len(word))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + _mixed(word[k : k + n])
+    h = np.unique(h)
+    wide = np.stack([_mixed(h + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) for k in range(SKETCH // 64)], 1)
+    ones = np.zeros(SKETCH, np.int64)
+    for at in range(0, len(wide), 16384):
+        ones += np.unpackbits(wide[at : at + 16384].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, sha (of the text), screen and sketch: bits of shingles of two and of five words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        columns = [pa.array([shingle_sketch(t, k).tobytes() for t in texts], pa.binary()) for k in (SCREEN_WORDS, WORDS)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "sha", "screen", "sketch"])
+
+    return map_arrow(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text"), run, "doc_id long, sha string, screen binary, sketch binary")
+
+
+def bands(rows: int) -> np.ndarray:
+    """Bits of each band. A band has about as many cells as there are rows, and there are so many bands that of
+    pairs at the least similarity MISSED at most agree in none."""
+    bits = max(16, int(np.ceil(np.log2(max(rows, 2)))))
+    agree = (1 - _differing(SIMILAR, SCREEN_WORDS)) ** bits
+    n = int(np.ceil(np.log(MISSED) / np.log(1 - agree)))
+    r = np.random.default_rng(11)
+    order = np.concatenate([r.permutation(SKETCH) for _ in range(-(-n * bits // SKETCH) + 1)])
+    return order[: n * bits].reshape(n, bits)
+
+
+def _differing(jaccard: float, size: int) -> float:
+    """Share of bits in which two sketches of ``size`` words differ, if edits leave this similarity of five words."""
+    kept = (2 * jaccard / (1 + jaccard)) ** (size / WORDS)
+    return float(np.arccos(kept) / np.pi)
+
+
+#: Differing bits of two sketches at the least similarity.
+FAR_BITS = int(SKETCH * _differing(SIMILAR, WORDS))
+
+
+def near_pairs(sketch: np.ndarray, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices i < j of linked sketches, one a row. The first rows are the references of the pivot tables: pairs whose
+    distances to one of them differ by more than the radius are discarded, the others verified."""
+    radius = FAR_BITS if radius is None else radius
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
+    tables = np.stack([apart(sketch, p) for p in sketch[:PIVOTS]], 1)
+    out_i, out_j = [], []
+    for i in range(len(sketch) - 1):
+        j = np.arange(i + 1, len(sketch))
+        for c in range(tables.shape[1]):
+            j = j[np.abs(tables[j, c] - tables[i, c]) <= radius]
+        j = j[apart(sketch[j], sketch[i]) <= radius]
+        out_i.append(np.full(len(j), i))
+        out_j.append(j)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_i or none), np.concatenate(out_j or none)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that hang each member of a component to the one with most links, and those members."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    degree = np.bincount(np.concatenate([i, j]).astype(np.int64), minlength=n)
+    hub: dict[int, int] = {}
+    for x in range(n):
+        r = find(x)
+        if r not in hub or degree[x] > degree[hub[r]]:
+            hub[r] = x
+    return [(hub[find(x)], x) for x in range(n) if hub[find(x)] != x], sorted(hub.values())
+
+
+def _band_rows(many: np.ndarray):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        screen = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        bits = np.unpackbits(screen, axis=1, bitorder="little")
+        keys = []
+        for k, band in enumerate(many):
+            key = np.full(batch.num_rows, k + 1, np.uint64)
+            for word in range(0, len(band), 32):
+                own = bits[:, band[word : word + 32]].astype(np.uint64)
+                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + own @ (np.uint64(1) << np.arange(own.shape[1], dtype=np.uint64)))
+            keys.append(key.view(np.int64))
+        n = len(many)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0).combine_chunks() if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0)] * n), pa.concat_arrays([batch.column(2)] * n)], ["bucket", "node", "sketch"])
+
+    return run
+
+
+def _chunk_links(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Edges of each chunk, and its hubs where its bucket has more chunks."""
+    bucket, u, v, sketch = [], [], [], []
+    for b, chunks, nodes, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        order = np.argsort(np.array(nodes))
+        x = np.frombuffer(b"".join(own), np.uint64).reshape(len(nodes), -1)[order]
+        edges, hubs = forest(len(nodes), *near_pairs(x))
+        nodes = [nodes[k] for k in order]
+        bucket += [b] * len(edges)
+        u += [nodes[i] for i, _ in edges]
+        v += [nodes[j] for _, j in edges]
+        sketch += [None] * len(edges)
+        if chunks > 1:
+            bucket += [b] * len(hubs)
+            u += [nodes[i] for i in hubs]
+            v += [None] * len(hubs)
+            sketch += [x[i].tobytes() for i in hubs]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sketch, pa.binary())], ["bucket", "u", "v", "sketch"])
+
+
+def near_edges(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) between the ``node`` of ``held`` (node, screen, sketch) whose sketches link.
+
+    Rows that agree in a band meet in its bucket. A bucket is dealt to chunks of about ``chunk`` rows,
+    each of which is linked whole; where a bucket has several, the hub of each component goes on to
+    a next round over the bucket, until one chunk holds them. All rounds together take little more
+    than the first, whatever the size of a group.
+    """
+    many = bands(held.count())
+    rows = map_arrow(held.select("node", "screen", "sketch"), _band_rows(many), "bucket long, node long, sketch binary")
+    found, level, before = [], 0, None
+    while True:
+        rows = materialise(rows, "band-rows")
+        large = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "large-buckets")
+        n = large.count()
+        dealt = join_bounded(rows, large, ["bucket"], "left", n, 24).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        part = F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks")).alias("part")
+        groups = dealt.groupBy("bucket", part, "chunks").agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches")).where((F.size("nodes") > 1) | (F.col("chunks") > 1))
+        out = materialise(map_arrow(groups.select("bucket", "chunks", "nodes", "sketches"), _chunk_links, "bucket long, u long, v long, sketch binary"), "near-links")
+        found.append(out.where("v IS NOT NULL").select("u", "v"))
+        discard(rows, large)
+        hubs = out.where("v IS NULL")
+        left = hubs.count() if n else 0
+        if not left or left == before:  # the same hubs again: chunks that don't link
+            break
+        before, level = left, level + 1
+        rows = hubs.select("bucket", F.col("u").alias("node"), "sketch")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and sha of each different row with its group ``component``; doc_id and sha of the one that stays of each group."""
+    held = materialise(sketches(docs).groupBy("doc_id", "sha").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    joined = components(near_edges(held), "near-components")
+    named = held.select("doc_id", "sha", "node").join(joined, "node", "left").select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "near-classes")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    stay = named.groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.sha")
+    return named, stay
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their group, one of each, with all their columns.
+    """One row of each group of near copies, with all its columns: the smallest doc_id (null last), then the smallest digest of the text.
 
-    Rows without a doc_id can't be named and all stay; of rows that agree in doc_id and text one stays.
+    Rows are told apart by doc_id (nulls are alike) and text, so rows with one doc_id and different
+    texts go or stay each for itself; of rows that agree in both one stays, if any does. Columns of any name
+    are kept as they are. Two texts are near copies at a similarity of SIMILAR of their sets of
+    five-word shingles, as the distance of their sketches tells it.
     """
-    found = materialise(classes(docs), "near-classes")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    there = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
-    kept = docs.join(there, docs["doc_id"] == gone["_id"], "left_anti")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
-    return kept
+    named, stay = near_copies(docs)
+    id_, sha, mine = free("_id", docs), free("_sha", docs), free("_mine", docs)
+    gone = named.select("doc_id", "sha").exceptAll(stay)
+    gone = materialise(gone.select(F.col("doc_id").alias(id_), F.col("sha").alias(sha)), "near-gone")
+    marked = docs.withColumn(mine, F.sha2(F.coalesce("text", F.lit("")), 256))
+    there = F.broadcast(gone) if gone.count() * 110 <= BROADCAST_BYTES else gone
+    kept = marked.join(there, marked["doc_id"].eqNullSafe(gone[id_]) & (marked[mine] == gone[sha]), "left_anti")
+    if not marked.groupBy("doc_id", mine).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = one_of_each(kept, ["doc_id", mine])
+    return kept.drop(mine)
 
 
 def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
