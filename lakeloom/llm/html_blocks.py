@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+
 #: Elements that stay inside a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,11 +31,83 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-@dataclass
+#: Cells that the marks of a path are hashed to.
+PATH_BINS = 80
+
+
+@functools.lru_cache(20_000)
+def _cells(mark: str) -> tuple[tuple[int, int], ...]:
+    """Two cells a mark, so that two marks rarely look alike, with a sign each."""
+    hashes = [zlib.crc32((salt + mark).encode()) for salt in "#$"]
+    return tuple((h % PATH_BINS, 1 if h >> 16 & 1 else -1) for h in hashes)
+
+
+@dataclass(slots=True)
+class Element:
+    """An open element; a path is a chain of them, so that blocks share what they have in common."""
+
+    tag: str
+    marks: list[str]  # its tag name and name=word attributes; inline elements have none
+    parent: Element | None
+
+
+@dataclass(slots=True)
 class Block:
-    path: list[str]  # tag names and name=word attributes, from the root
+    element: Element | None
     text: str
     link_chars: int
+    cells: np.ndarray  # hashed distinct marks of the path
+
+    @property
+    def path(self) -> list[str]:
+        """Tag names and name=word attributes, from the root."""
+        chain, e = [], self.element
+        while e:
+            chain.append(e.marks)
+            e = e.parent
+        return [x for marks in reversed(chain) for x in marks]
+
+
+class _Open:
+    """Open elements with what is asked about them, each step in time that doesn't grow with their number."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        self.outer: list[int] = []  # depths of those that aren't inline
+        self.held: dict[str, int] = {}  # open elements with a mark
+        self.cells = np.zeros(PATH_BINS, np.int16)
+
+    def depth(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these tags, -1 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, marks: list[str]) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.outer.append(len(self.stack))
+            marks = [tag, *marks]
+        else:
+            marks = []
+        self.stack.append(Element(tag, marks, self.stack[-1] if self.stack else None))
+        for m in marks:
+            self.held[m] = self.held.get(m, 0) + 1
+            if self.held[m] == 1:
+                for i, sign in _cells(m):
+                    self.cells[i] += sign
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            e = self.stack.pop()
+            self.at[e.tag].pop()
+            if e.marks:
+                self.outer.pop()
+            for m in e.marks:
+                self.held[m] -= 1
+                if not self.held[m]:
+                    del self.held[m]
+                    for i, sign in _cells(m):
+                        self.cells[i] -= sign
 
 
 def _marks(attributes: str) -> list[str]:
@@ -68,30 +145,25 @@ def _tokens(page: str) -> list[tuple[int, int, str, str, str]]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Broken markup is read as far as it goes."""
+    """Blocks with text, in page order. Broken markup is read as far as it goes; time is in proportion to the page."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    tree = _Open()
     parts: list[str] = []
-    links = link_chars = 0
+    link_chars = 0
 
     def flush() -> None:
         nonlocal parts, link_chars
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block([x for tag, marks in stack if tag not in INLINE for x in (tag, *marks)], text, link_chars))
+            out.append(Block(tree.stack[-1] if tree.stack else None, text, link_chars, tree.cells.copy()))
         parts, link_chars = [], 0
 
-    def close(upto: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[upto:])
-        del stack[upto:]
-
     def add(text: str) -> None:
         nonlocal link_chars
         if text:
             text = html.unescape(text)
             parts.append(text)
-            if links:
+            if tree.at.get("a"):
                 link_chars += len(text)
 
     at = 0
@@ -108,24 +180,16 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             flush()
         if ending:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if inline and stack[i][0] not in INLINE:
-                    break
+            depth = tree.depth((tag,))
+            if depth >= 0 and not (inline and tree.outer and tree.outer[-1] > depth):
+                tree.close(depth)
             continue
         if not inline:
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i][0]
-                if name == "p" or name in ITEMS.get(tag, ()):
-                    close(i)
-                    break
-                if name in HOLDERS:
-                    break
+            depth = tree.depth(("p", *ITEMS.get(tag, ())))
+            if depth > tree.depth(HOLDERS):
+                tree.close(depth)
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, _marks(attributes)))
-            links += tag == "a"
+            tree.push(tag, _marks(attributes))
     add(page[at:])
     flush()
     return out

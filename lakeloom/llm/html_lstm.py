@@ -26,36 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm.common import map_arrow, read
-from lakeloom.llm.html_blocks import Block, blocks
+from lakeloom.llm.html_blocks import PATH_BINS, Block, blocks
 
-PATH_BINS, WORD_BINS, MEASURES = 80, 16, 6
+WORD_BINS, MEASURES = 16, 6
 HIDDEN = 16
 #: Generated pages that the labeller is trained on, and rounds over them.
 PAGES, ROUNDS = 1200, 8
 #: Share of the training blocks whose text is hidden, so that odd texts don't outweigh their place.
 BLIND = 0.4
-
-
-@functools.lru_cache(20_000)
-def _hashed(word: str, bins: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode())
-    return h % bins, 1.0 if h >> 16 & 1 else -1.0
-
-
-@functools.lru_cache(20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Two cells a mark, so that two marks rarely look alike."""
-    v = np.zeros(PATH_BINS, np.float32)
-    for x in dict.fromkeys(path):
-        for salt in "#", "$":
-            i, sign = _hashed(salt + x, PATH_BINS)
-            v[i] += sign
-    return v
+#: Blocks that share a pass of the labeller, padding included; a longer page has a pass of its own.
+PASS = 8192
 
 
 def vector(block: Block) -> np.ndarray:
     v = np.zeros(PATH_BINS + WORD_BINS + MEASURES, np.float32)
-    v[:PATH_BINS] = _path_vector(tuple(block.path))
+    v[:PATH_BINS] = block.cells
     h = np.fromiter(map(zlib.crc32, block.text.lower().encode().split()), np.int64)
     hashed = np.bincount(h % WORD_BINS, 1.0 - (h >> 15 & 2), WORD_BINS)
     v[PATH_BINS : PATH_BINS + WORD_BINS] = hashed / max(1.0, np.linalg.norm(hashed))
@@ -96,9 +81,30 @@ class Labeller:
         return out, kept
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Probability of main text, (time, page)."""
-        both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"] + [x], 2)
-        return 1 / (1 + np.exp(-(both @ self.p["o"] + self.p["c"])))
+        """Probability of main text, (time, page). Both directions take their steps together."""
+        time, n, h = len(x), x.shape[1], self.h
+        state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        forth, back = (x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb")
+        u = np.stack([self.p["uf"], self.p["ub"]])
+        logit = x @ self.p["o"][2 * h :] + self.p["c"]
+        out = self.p["o"][: 2 * h].reshape(2, h, 1)
+        z, m = np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 1), bool)
+        whole = bool(mask.all())
+        for t in range(time):
+            z[0], z[1] = forth[t], back[-1 - t]
+            z += state @ u
+            gates = 1 / (1 + np.exp(-np.clip(z[:, :, : 3 * h], -30, 30)))
+            new = gates[:, :, h : 2 * h] * cell + gates[:, :, :h] * np.tanh(z[:, :, 3 * h :])
+            now = gates[:, :, 2 * h :] * np.tanh(new)
+            if whole:
+                cell, state = new, now
+            else:
+                m[0], m[1] = mask[t], mask[-1 - t]
+                cell, state = np.where(m, new, cell), np.where(m, now, state)
+            said = (state @ out)[:, :, 0]
+            logit[t] += said[0]
+            logit[-1 - t] += said[1]
+        return 1 / (1 + np.exp(-logit))
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean log loss over the blocks, and its gradient for every weight."""
@@ -137,7 +143,9 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-_SYLLABLES = ["the ing er an re on at en nd ti es or te of ed is it al ar st".split(), "sch ein ung ge be ver lich keit en st ä ü ö ß zu pf".split(), "é è que eau tion ment ou ai la le ç ê oi".split(), "ción ado ñ rr ll ue os as í mente ja ez".split(), "ka to shi ra mo no ha yu ki ta".split()]
+#: Scripts that made-up words take their letters from, and signs that noise is made of.
+_LETTERS = ["abcdefghijklmnopqrstuvwxyz", "aeioubcdfglmnprstv", "abdeghiklmnorstuzäöüß", "abcdeilmnoprstuvàéèêç", "абвгдежзиклмнопрстуфхцчшыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这为之大来以个中上们"]
+_SIGNS = list("!?.,;:-_=+*/|~^°§@()[]{}'") + ["&amp;", "&lt;", "&gt;", "&quot;", "$", "%", "#"]
 _NOTES = {
     "menu": ["Home", "About", "Contact", "News", "Login", "Search"],
     "footer": ["© {w}", "Copyright {w}", "All rights reserved.", "Privacy policy", "Terms of use"],
@@ -149,31 +157,45 @@ _NOTES = {
 }
 
 
-def training_page(seed: int) -> tuple[str, set[str]]:
+#: Layout families of training pages: what an article stands in.
+FAMILIES = {
+    "article": ["article"],
+    "main": ["main"],
+    "content": ['div class="content"', 'section id="content"', 'div class="entry-content"', 'div class="article-body"'],
+    "post": ['div class="post"', 'div id="story"', 'section class="entry"'],
+    "itemprop": ['div itemprop="articleBody"'],
+    "plain": ["div", "section", 'div class="{w}"', 'div id="{w}"', 'section class="{w} {w}"', "{w}"],
+}
+
+
+def training_page(seed: int, families: tuple[str, ...] = tuple(FAMILIES)) -> tuple[str, set[str]]:
     """A made-up page, and the texts of its main blocks. Every block of it has a text of its own."""
     r = random.Random(seed)
-    syllables = r.choice(_SYLLABLES)
+    letters = r.choice(_LETTERS)
     main: set[str] = set()
     serial = 0
-    noisy, gap = r.random() < 0.15, r.choice([" "] * 9 + [" | "])
+    noisy, gap = r.random() < 0.15, r.choice([" "] * 9 + [f" {r.choice(_SIGNS)} "])
 
     def word() -> str:
-        return "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+        return "".join(r.choices(letters, k=r.randint(1, 9)))
+
+    def noise() -> str:
+        return r.choice(_SIGNS) * r.randint(1, 4)
 
     def sentence(n: int) -> str:
-        noise = noisy or r.random() < 0.05
-        return gap.join(word() + (r.choice(["%%%", "***", "!!", "###", "$$$", "&amp;&amp;&amp;"]) if noise else "") for _ in range(n)).capitalize() + "."
+        noised = noisy or r.random() < 0.05
+        return gap.join(word() + (noise() if noised else "") for _ in range(n)).capitalize() + "."
 
     def text(low: int, high: int, keep: bool) -> str:
         nonlocal serial
         serial += 1
         if r.random() < 0.15:  # a few words, with or without an end
-            t = " ".join(word() for _ in range(r.randint(1, 4))).capitalize() + r.choice(["", ".", " |", "!!", " -"])
+            t = " ".join(word() for _ in range(r.randint(1, 4))).capitalize() + r.choice(["", ".", noise()])
             t = f"{t} {serial}" if r.random() < 0.3 else f"{serial}{word()} {t}"
         elif r.random() < 0.06:  # one word again and again
             t = " ".join([word()] * r.randint(5, 300)) + f" {serial}"
         else:
-            t = r.choice([" ", " ", " ", " ", " | "]).join(sentence(r.randint(1, 18)) for _ in range(r.randint(low, high))) + (f" {word()}{serial}" if not keep or r.random() < 0.3 else f" {word()}{serial}.")
+            t = r.choice([" ", " ", " ", " ", gap]).join(sentence(r.randint(1, 18)) for _ in range(r.randint(low, high))) + (f" {word()}{serial}" if not keep or r.random() < 0.3 else f" {word()}{serial}.")
         if keep:
             main.add(" ".join(html.unescape(t).split()))
         return t
@@ -237,8 +259,9 @@ def training_page(seed: int) -> tuple[str, set[str]]:
         body.append(paragraph())
         if r.random() < 0.06:
             body.append(junk(r.choice(["ad", "aside", "form", "notice"])))
-    article = wrap(["article", "article", "article", "main", *named("content", "post", "entry-content", "article-body", "main", "story"), "main", 'div itemprop="articleBody"'], "".join(body))
-    if r.random() < 0.15:
+    unknown = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9)))
+    article = wrap([x.replace("{w}", unknown) for x in FAMILIES[r.choice(families)]], "".join(body))
+    if r.random() < 0.15 and "main" in families:
         article = f"<main>{article}</main>"
     kinds = ["header", "menu", "notice", "ad", "aside", "form"]
     before = [junk(k) for k in r.sample(kinds, r.randint(0, 4))]
@@ -250,19 +273,19 @@ def training_page(seed: int) -> tuple[str, set[str]]:
     return page + "</body></html>" * (r.random() < 0.9), main
 
 
-def training_rows(pages: int, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def training_rows(pages: int, first: int = 0, families: tuple[str, ...] = tuple(FAMILIES)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for seed in range(first, first + pages):
-        page, main = training_page(seed)
+        page, main = training_page(seed, families)
         found = blocks(page)
         x = np.stack([vector(b) for b in found])
         x[np.random.default_rng(seed).random(len(x)) < BLIND, PATH_BINS:] = 0
         yield x, np.array([b.text in main and "head" not in b.path for b in found], np.float32)
 
 
-@functools.lru_cache(1)
-def trained(pages: int = PAGES, rounds: int = ROUNDS, seed: int = 7) -> Labeller:
+@functools.lru_cache(2)
+def trained(pages: int = PAGES, rounds: int = ROUNDS, seed: int = 7, families: tuple[str, ...] = tuple(FAMILIES)) -> Labeller:
     """Labeller fitted by Adam; once in a process."""
-    rows = sorted(training_rows(pages), key=lambda r: len(r[0]))
+    rows = sorted(training_rows(pages, 0, families), key=lambda r: len(r[0]))
     groups = [rows[i : i + 30] for i in range(0, len(rows), 30)]
     data = []
     for g in groups:
@@ -295,12 +318,16 @@ def trained(pages: int = PAGES, rounds: int = ROUNDS, seed: int = 7) -> Labeller
 
 
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
-    """Main text of each page; pages of like length share a pass."""
+    """Main text of each page; pages of like length share a pass of PASS blocks at most, unless one alone has more."""
     cut = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i, b in enumerate(cut) if b), key=lambda i: len(cut[i]))
-    for at in range(0, len(order), 64):
-        part = order[at : at + 64]
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * len(cut[order[to]]) <= PASS:
+            to += 1
+        part, at = order[at:to], to
         x, mask = padded([np.stack([vector(b) for b in cut[i]]) for i in part])
         scores = model.scores(x, mask)
         for k, i in enumerate(part):
