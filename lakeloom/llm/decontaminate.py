@@ -5,8 +5,11 @@ words of an item, or all of a shorter one. The automaton holds each distinct win
 spaces; the words of a document, joined by spaces, run through it once. Hits are mapped back to
 code points of the original text.
 
-Items are broadcast: their windows are measured first, and beyond ``BLOCK_CHARS`` they are cut into
-blocks of items that scan the documents one after the other, with results merged by document.
+Windows are cut, grouped and measured by Spark. The driver takes them block by block, and a block has about
+``BLOCK_CHARS`` characters. One block, the usual case, is one automaton over one scan. With
+more, each block scans the documents with an automaton of its own and gives rows for hit documents alone, which
+are merged by doc_id and a digest of the text; a task belongs to one block, so a
+worker builds an automaton once, not once for each batch.
 
 Defined cases: null and empty texts have no words and no hits; items without words are never
 found; equal items all count; a null item_id counts as the empty string. Repeated documents get
@@ -17,15 +20,19 @@ equal rows. Without benchmark items nothing is hit. Extra columns are ignored, a
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import map_arrow, read, small_batches
+from lakeloom.llm.common import BROADCAST_BYTES, discard, free, map_arrow, materialise, read, small_batches
 
 WINDOW = 10
 #: Characters of windows in one automaton; it needs about 60 bytes for each.
@@ -44,39 +51,55 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
 
 
-def blocks(items: Iterable[tuple[str, bytes]], size: int = WINDOW, chars: int = BLOCK_CHARS) -> Iterator[dict[bytes, list[str]]]:
-    """Windows with the items that have them, in blocks of a bounded number of characters."""
-    held: dict[bytes, list[str]] = {}
-    total = 0
-    for item, text in items:
-        for w in windows(text, size):
-            if w not in held:
-                total += len(w) + 2
-            own = held.setdefault(w, [])
-            if item not in own[-1:]:
-                own.append(item)
-        if total > chars:
-            yield held
-            held, total = {}, 0
-    if held:
-        yield held
+@dataclass(frozen=True)
+class Block:
+    """Windows, with the items that have them, of one automaton; broadcast under a name of its own."""
+
+    name: str
+    held: dict[bytes, list[str]]
 
 
 _BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
-def automaton(held: dict[bytes, list[str]], name: str) -> ahocorasick.Automaton | None:
+def automaton(block: Block) -> ahocorasick.Automaton | None:
     """The automaton of a block; a worker keeps the last one."""
-    if not held:
+    if not block.held:
         return None
-    if name not in _BUILT:
+    if block.name not in _BUILT:
         _BUILT.clear()
         a = ahocorasick.Automaton()
-        for w, own in held.items():
+        for w, own in block.held.items():
             a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, own))
         a.make_automaton()
-        _BUILT[name] = a
-    return _BUILT[name]
+        _BUILT[block.name] = a
+    return _BUILT[block.name]
+
+
+def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """window (binary) and the ids of the items that have it, as sorted strings; a row for each distinct window."""
+    ids = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, found = [], []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            own = set(windows(text or b"", size))
+            names += [name] * len(own)
+            found += own
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["id", "window"])
+
+    return map_arrow(ids, cut, "id string, window binary").groupBy("window").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def blocks(items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS) -> Iterator[Block]:
+    """The windows in blocks of about ``chars`` characters of windows and ids; the driver holds one at a time."""
+    held = materialise(item_windows(items, size), "windows")
+    total = held.agg(F.sum(F.length("window") + 2 + F.aggregate("ids", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+    n = max(1, -(-int(total) // chars))
+    for k in range(n):
+        rows = held.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).collect()
+        yield Block(uuid.uuid4().hex, {bytes(r["window"]): r["ids"] for r in rows})
+    discard(held)
 
 
 def scan(a: ahocorasick.Automaton | None, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -126,52 +149,103 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string
 _NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
-def item_rows(items: DataFrame) -> Iterator[tuple[str, bytes]]:
-    """Items one partition at a time; a row for each id and text."""
-    for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
-        yield r["id"], r["text"].encode()
+def _scan_one(docs: DataFrame, block: Block) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, rows = automaton(shared.value), []
+        for text in (x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()):
+            n, runs, items = scan(a, text)
+            rows.append(_row(n, text, runs, items))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(_TYPES)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], ["doc_id", *_NAMES])
 
-def scan_blocks(docs: DataFrame, many: list[dict[bytes, list[str]]]) -> DataFrame:
-    """The blocks one after the other over each batch of documents; one automaton is held at a time."""
-    small_batches(docs.sparkSession)
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in many]
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id long, {FIELDS}")
+
+
+_HITS = "doc_id long, digest string, starts array<int>, stops array<int>, items array<string>"
+
+
+def hit_rows(docs: DataFrame, block: Block) -> DataFrame:
+    """doc_id, digest of the text, runs of hit words and items, of the documents that a block hits."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, at, rows = automaton(shared.value), [], []
+        for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+            _, runs, items = scan(a, text or b"")
+            if runs:
+                at.append(i)
+                rows.append(([x for x, _ in runs], [y for _, y in runs], sorted(items)))
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        types = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        own = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "digest", "starts", "stops", "items"])
+
+    return map_arrow(docs.select("doc_id", _digest().alias("digest"), "text"), run, _HITS)
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def all_hits(docs: DataFrame, many: Iterable[Block]) -> DataFrame:
+    """The hit rows of all blocks, a row for each hit doc_id and text; each block is scanned and written by itself."""
+    found = [materialise(hit_rows(docs, block), "hits") for block in many]
+    rows = reduce(DataFrame.unionByName, found)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731 - a document has one row for each block, and for each repeated row
+    once = rows.groupBy("doc_id", "digest", "starts", "stops", "items").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    return materialise(once.groupBy("doc_id", "digest").agg(flat("starts"), flat("stops"), flat("items")), "merged-hits")
+
+
+def _scan_many(docs: DataFrame, many: Iterable[Block]) -> DataFrame:
+    hits = all_hits(docs, many)
+    there = hits.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "starts", "stops", "items")
+    mine = docs.select("doc_id", "text", _digest().alias("digest"))
+    size = hits.agg(F.sum(80 + 8 * F.size("starts") + 40 * F.size("items"))).first()[0] or 0
+    joined = mine.join(F.broadcast(there) if size <= BROADCAST_BYTES else there, mine["doc_id"].eqNullSafe(there["_id"]) & (mine["digest"] == there["_digest"]), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        n, runs, items = [len(words(t)) for t in texts], [[] for _ in texts], [set() for _ in texts]
-        for block in shared:
-            held = block.value
-            a = automaton(held, hashlib.sha256(b"\n".join(held)).hexdigest())
-            for i, text in enumerate(texts):
-                _, more, found = scan(a, text)
-                runs[i] += more
-                items[i] |= found
-        rows = [_row(n[i], t, merged(runs[i]), items[i]) for i, t in enumerate(texts)]
+        rows = []
+        for text, starts, stops, items in zip(batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            text = text or b""
+            rows.append(_row(len(words(text)), text, merged(list(zip(starts or (), stops or (), strict=True))), items or ()))
         columns = list(zip(*rows, strict=True)) or [[]] * len(_TYPES)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], ["doc_id", *_NAMES])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id long, {FIELDS}")
+    return map_arrow(joined.select("doc_id", "text", "starts", "stops", "items"), run, f"doc_id long, {FIELDS}")
+
+
+def _first_two(many: Iterator[Block]) -> tuple[Block, Iterator[Block] | None]:
+    """The first block, and all of them if there are more."""
+    first = next(many)
+    second = next(many, None)
+    return first, None if second is None else chain([first, second], many)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans of each document."""
-    return scan_blocks(docs, list(blocks(item_rows(items), size, chars)))
+    first, more = _first_two(blocks(items, size, chars))
+    return _scan_one(docs, first) if more is None else _scan_many(docs, more)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
+    first, more = _first_two(blocks(items, size, chars))
+    if more is not None:
+        id_, digest, mine = free("_id", docs), free("_digest", docs), free("_mine", docs)
+        hits = all_hits(docs, more).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+        marked = docs.withColumn(mine, _digest())
+        there = F.broadcast(hits) if hits.count() * 80 <= BROADCAST_BYTES else hits
+        return marked.join(there, marked["doc_id"].eqNullSafe(hits[id_]) & (marked[mine] == hits[digest]), "left_anti").drop(mine)
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(list(blocks(item_rows(items))))
+    shared = docs.sparkSession.sparkContext.broadcast(first)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            clean = [True] * len(texts)
-            for held in shared.value:
-                a = automaton(held, hashlib.sha256(b"\n".join(held)).hexdigest())
-                clean = [ok and not scan(a, t)[1] for ok, t in zip(clean, texts, strict=True)]
+            a = automaton(shared.value)
+            clean = [not scan(a, x or b"")[1] for x in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
