@@ -1,6 +1,8 @@
 """Operators 1, 2, 4, 6, 9 and 10 against brute force, and their defined cases."""
 
+import functools
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, exact_dedup, fuse, language_id, line_dedup, packing, token_counts
+from lakeloom.llm import common, decontaminate, exact_dedup, fuse, language_id, line_dedup, packing, simhash, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, bucket string, slot string"
 
@@ -79,8 +81,36 @@ def test_exact_dedup_empty_nulls_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b")], "doc_id long, text string")
     rows = exact_dedup.classify(df).collect()
     assert sorted((r["doc_id"] is None, r["keep_id"] is None, r["group_size"], r["kept"]) for r in rows) == [(False, False, 3, False), (False, False, 3, True), (True, False, 3, False), (True, True, 1, True)]
-    kept = exact_dedup.drop_copies(df.withColumn("_id", F.lit(1))).select("doc_id", "text").collect()
-    assert Counter(map(tuple, kept)) == Counter([(1, "a"), (None, "b")])
+    clash = df.select("*", *[F.lit(c).alias(c) for c in ("_id", "_sha", "_mine", "_rank", "_row", "_least", "_n", "_key0", "digest", "kept")])
+    kept = exact_dedup.drop_copies(clash)
+    assert kept.columns == clash.columns
+    assert Counter((r["doc_id"], r["text"], r["_sha"], r["_rank"]) for r in kept.collect()) == Counter([(1, "a", "_sha", "_rank"), (None, "b", "_sha", "_rank")])
+
+
+def test_copies_under_one_doc_id(spark):
+    """Rows are told apart by doc_id and text; of copies under one doc_id the longest stays."""
+    df = spark.createDataFrame([(2, "A"), (5, "A"), (5, "B"), (5, "B "), (5, "C"), (None, "D"), (None, "D"), (7, None), (7, "")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(df).collect() if r["doc_id"] != 7) == Counter([(2, "A"), (5, "B "), (5, "C"), (None, "D")])
+    assert exact_dedup.drop_copies(df).where("doc_id = 7").count() == 1
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_broadcast_or_shuffle_gives_the_same(spark, monkeypatch, limit):
+    """The joins of operators 1, 2, 4 and 8 shuffle where a side is not proven small."""
+    for module in (common, exact_dedup, simhash, decontaminate):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+    texts = ODD + ["hot copy"] * 40 + ["hot  copy"]
+    assert exact_result(exact_dedup.classify(frame(spark, texts))) == brute_exact(enumerate(texts))
+    kept = {c for c, *_ in brute_exact(enumerate(texts)).values()}
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(frame(spark, texts)).collect()} == kept
+    block = "\n".join(f"shared line {i}" for i in range(12))
+    lines = [block, f"mine\n{block}", "x\ny", f"{block}\nx\ny"]
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_passages(frame(spark, lines)).collect()} == brute_passages(list(enumerate(lines)))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    clean = decontaminate.drop_contaminated(frame(spark, TEXTS), items, chars=60)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, t in enumerate(TEXTS) if not brute_hits(t, ITEMS)[4]}
+    near = [" ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(1, 101)), "else"]
+    assert {r["doc_id"] for r in simhash.keep_one(frame(spark, near)).collect()} == {0, 2}
 
 
 # decontamination
@@ -118,11 +148,30 @@ def test_decontamination_like_brute_force(spark, chars):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == brute_hits(TEXTS[r["doc_id"]], ITEMS), r["doc_id"]
         words = [x for a, b in [map(int, s.split(":")) for s in r["spans"].split(",") if s] for x in WORD.findall(lower(TEXTS[r["doc_id"]][a:b]))]
         assert len(words) == r["n_hit"]
-    clean = decontaminate.drop_contaminated(frame(spark, TEXTS), items)
+    docs = frame(spark, TEXTS).unionByName(frame(spark, TEXTS[2:4])).withColumn("_id", F.lit(1)).withColumn("_digest", F.lit(2))
+    rows = decontaminate.decontaminate(docs, items, chars=chars).collect()
+    assert len(rows) == len(TEXTS) + 2
+    clean = decontaminate.drop_contaminated(docs.limit(len(TEXTS)).where("text is not null or doc_id = 0"), items, chars=chars)
+    assert clean.columns == docs.columns
+    clean = decontaminate.drop_contaminated(frame(spark, TEXTS), items, chars=chars)
     assert {r["doc_id"] for r in clean.collect()} == {i for i, t in enumerate(TEXTS) if not brute_hits(t, ITEMS)[4]}
     assert clean.columns == frame(spark, []).columns
 
 
+def test_windows_come_in_blocks(spark):
+    """Each window is in one block with all its items, a block is bounded, and a batch builds no automaton again."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = defaultdict(set)
+    for i, t in ITEMS:
+        for w in decontaminate.windows((t or "").encode()):
+            want[w].add(str(i))
+    many = list(decontaminate.blocks(items, chars=60))
+    assert len(many) > 2 and len({b.name for b in many}) == len(many)
+    held = [(w, set(ids)) for b in many for w, ids in b.held.items()]
+    assert len(held) == len(want) and dict(held) == want
+    assert decontaminate.automaton(many[0]) is decontaminate.automaton(many[0])
+
+
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.decontaminate(frame(spark, TEXTS), none).collect()} == {0}
@@ -142,13 +191,38 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert len(pieces(text) & pieces(moved)) >= len(found) - 6
 
 
+def brute_chunks(raw):
+    """Boundaries by their definition, one line after the other, without numpy."""
+    lines = raw.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    mask, factor = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    h = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines]
+    out, own, at = [], [], 0
+    for i, line in enumerate(lines):
+        own.append(line)
+        rolled = (h[i] + (h[i - 1] * factor if i else 0)) & mask
+        if (len(own) >= 2 and (rolled >> 17) % 3 == 0) or i == len(lines) - 1:
+            size = min(sum(len(x) + 1 for x in own), len(raw) - at)
+            out.append((len(out), len(own), at, at + size))
+            own, at = [], at + size
+    return out
+
+
+@given(st.lists(st.sampled_from(["a", "b", "", "é", "long line"]), max_size=40))
+@settings(max_examples=80, deadline=None)
+def test_chunks_like_their_definition(lines):
+    raw = "\n".join(lines).encode()
+    assert line_dedup.chunks(raw) == brute_chunks(raw)
+
+
 def brute_lines(rows):
     """First places win; a chunk is its body without the last newline."""
     seen, out = set(), {}
     cut = {}
     for i, t in rows:
         raw = (t or "").encode()
-        cut[i] = [(k, raw[a:b]) for _, k, a, b in line_dedup.chunks(raw)]
+        cut[i] = [(k, raw[a:b]) for _, k, a, b in brute_chunks(raw)]
     for i, t in sorted(rows, key=lambda r: r[0]):
         kept, gone = [], 0
         for k, part in cut[i]:
@@ -236,6 +310,40 @@ def test_token_counts_with_bounded_tables(spark, monkeypatch):
     assert token_counts.Counter(v).counts(texts) == [(len(t.split()), sum(brute_tokens(v, "▁" + w) for w in t.split())) for t in texts]
 
 
+def viterbi(scores, word):
+    """Tokens of the best split, by recursion over the rest of a word."""
+    @functools.cache
+    def best(at):
+        if at == len(word):
+            return 0.0, 0
+        ways = [(scores[word[at:to]], 1, to) for to in range(at + 1, min(len(word), at + 20) + 1) if word[at:to] in scores]
+        ways.append((token_counts.UNKNOWN, len(word[at].encode()), at + 1))
+        found = [(s + best(to)[0], n + best(to)[1]) for s, n, to in ways]
+        top = max(s for s, _ in found)
+        return top, min(n for s, n in found if abs(s - top) < 1e-9)
+
+    return best(0)[1]
+
+
+def test_token_counts_of_whole_documents(spark, sf_dir):
+    """The registered query against a Viterbi with scores computed here."""
+    pieces = token_counts.pieces()
+    total = math.log(sum(1 / (i + 1) for i in range(len(pieces))))
+    scores = {}
+    for i, p in enumerate(pieces):
+        scores.setdefault(p, -math.log(i + 1) - total)
+    assert max(map(len, scores)) <= 20
+    known = functools.cache(lambda w: viterbi(scores, "▁" + w))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = token_counts.op6_trie_token_counts(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = texts[r["doc_id"]].split()
+        long = [w for w in words if len(w) > 300]
+        if not long:
+            assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(map(known, words))), r["doc_id"]
+
+
 def test_token_counts_defined_cases(spark):
     rows = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(frame(spark, ODD), token_counts.pieces()).collect()}
     assert rows[0] == rows[1] == rows[2] == 0 and rows[3] == rows[4] and len(rows) == len(ODD)
@@ -371,3 +479,44 @@ def test_language_is_learned_from_the_fold_alone(spark, sf_dir):
     wrong = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     a, b = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(x).collect()} for x in (docs, wrong))
     assert a == b
+
+
+def test_language_sample_of_rows_that_share_a_doc_id(spark):
+    """A language whose rows all have one doc_id, or are all alike, is learned, and the sample stays bounded."""
+    rows = [(7, f"the cat number {i} sat on the mat", "en") for i in range(900)] + [(7, "le chat noir dort sur le lit", "fr")] * 900 + [(None, f"der Hund {i} schläft", "de") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.lit("x"))
+    found = Counter(lang for lang, _ in language_id.sample(df, F.lit(True)))
+    assert 250 <= found["en"] <= 300 and found["fr"] == 1 and found["de"] == 5
+    long = spark.createDataFrame([(1, "ab " * 50_000, "en")], "doc_id long, text string, lang string")
+    assert len(language_id.sample(long, F.lit(True))[0][1]) == language_id.FIT_CHARS
+
+
+def test_language_predictions_like_brute_force(spark, sf_dir):
+    """Bins, vectors, nearest centroid and rejection, written out for one text at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(language_id.sample(docs, ~language_id.held_out()))
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+
+    def wrapped(x):
+        return (x + 2**31) % 2**32 - 2**31
+
+    for r in docs.collect()[:60]:
+        text = (r["text"] or "").lower() if not (r["text"] or "").isascii() else r["text"]
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+        raw = b" " + b" ".join(raw.split()) + b" "
+        tf = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                g = raw[i : i + n]
+                pair = g[0] * 257 + g[1] if n > 1 else 0
+                x = (g[0] + 1, pair * 31 + 7, (pair * 263 + g[-1]) * 2 + 1)[n - 1]
+                tf[(wrapped(wrapped(x) * 40503) >> 4) & 4095] += 1
+        v = {b: math.log1p(c) * model.idf[b] for b, c in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * c[b] for b, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        row = got[r["doc_id"]]
+        assert row["lang_pred"] == model.languages[best] and abs(row["score"] - min(1, max(0, cosines[best]))) < 1e-4
+        sizes, limits = model.limits[row["lang_pred"]]
+        limit = np.interp(math.log2(sum(tf.values())), sizes, limits)
+        assert row["rejected"] == (cosines[best] < limit) or abs(cosines[best] - limit) < 1e-5
