@@ -149,15 +149,15 @@ def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE) -> list[t
     rows = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
     distinct = materialise(rows.groupBy("lang", "h", "h2").agg(F.count(F.lit(1)).alias("n")).drop("n"), "labelled")
     spread = F.pmod("h", F.lit(1 << 40))
-    share = distinct.groupBy("lang").agg((F.lit(float(2 * per_language + 50) * (1 << 40)) / F.count(F.lit(1))).alias("below"))
+    share = materialise(distinct.groupBy("lang").agg((F.lit(float(2 * per_language + 50) * (1 << 40)) / F.count(F.lit(1))).alias("below")), "shares")
     low = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "h2"))
-    ids = distinct.join(share, "lang").where(spread < F.col("below")).withColumn("low", low).where(F.col("low") <= per_language).select("lang", "h", "h2")
+    ids = join_bounded(distinct, share, ["lang"], "inner", share.count(), 60).where(spread < F.col("below")).withColumn("low", low).where(F.col("low") <= per_language).select("lang", "h", "h2")
     named = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
     held = materialise(ids, "sampled")
     chosen = join_bounded(named, held, ["lang", "h", "h2"], "left_semi", held.count(), 60)
     once = chosen.groupBy("lang", "h", "h2").agg(F.first(F.substring("text", 1, FIT_CHARS)).alias("text"))
     found = [(r["lang"], r["text"].encode()) for r in once.collect()]
-    discard(distinct, held)
+    discard(distinct, share, held)
     return found
 
 
