@@ -30,6 +30,16 @@ class Outcome:
         return self
 
 
+def poll(done: Callable[[], object], every: float = 5.0, tries: int = 120, sleep: Callable[[float], None] = time.sleep) -> object:
+    """Ask until the answer is true, ``tries`` times at most; a TimeoutError then."""
+    for k in range(tries):
+        if k:
+            sleep(every)
+        if answer := done():
+            return answer
+    raise TimeoutError(f"not done after {tries} tries")
+
+
 class Graph:
     def __init__(self, tasks: Iterable[Task]):
         self.tasks = {t.name: t for t in tasks}

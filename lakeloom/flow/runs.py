@@ -67,7 +67,7 @@ def dm_graph(store: Store, run: Run, delay: float = 30.0) -> Graph:
 
 def validate_graph(store: Store, run: Run) -> Graph:
     snapshots = [Task(f"validate_{n}", lambda n=n: tables.validate_snapshot(store, n), (), 0) for n in SNAPSHOT]
-    ends = [Task("validate_dimensions", lambda: tables.validate_dimensions(store), tuple(t.name for t in snapshots), 0), Task("validate_marts", lambda: tables.validate_marts(store), (), 0), Task("reconcile", lambda: tables.reconcile(store), (), 0)]
+    ends = [Task("validate_dimensions", lambda: tables.validate_dimensions(store), tuple(t.name for t in snapshots), 0), Task("same_batch", lambda: tables.checks.require([tables.same_batch(store)]), (), 0), Task("qa", lambda: tables.qa(store, run), (), 0), Task("validate_marts", lambda: tables.validate_marts(store), (), 0), Task("reconcile", lambda: tables.reconcile(store), (), 0)]
     return Graph([*snapshots, *ends, Task("scd2_active_test", lambda: tables.scd2_active_test(store, run), ("validate_dimensions",), 0)])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.parse import hashdiff
-from lakeloom.operators.increment import latest, same
+from lakeloom.operators.increment import free, latest, same
 from lakeloom.operators.merge import insert_new, scd1_upsert
 from lakeloom.session import Run
 from lakeloom.sources.storage import stable
@@ -22,10 +22,11 @@ ONE_SORT = 1_000_000
 def assign_keys(rows: DataFrame, name: str, order: Sequence[str], start: int = 0, one_sort: int = ONE_SORT) -> DataFrame:
     """Dense keys from ``start + 1`` in an order; the first column is the key.
 
-    Beyond ``one_sort`` rows: a range-partitioned sort that is written once, the row counts of its
-    partitions, and offsets from them. No task sees more than its range.
+    Rows are written once before they are counted, so that nothing is computed twice. Beyond
+    ``one_sort`` rows: a range-partitioned sort, the row counts of its partitions, and offsets from
+    them. No task sees more than its range.
     """
-    columns = rows.columns
+    columns, rows = rows.columns, stable(rows)
     if rows.count() <= one_sort:
         key = (F.row_number().over(Window.orderBy(*order)) + start).cast("int")
         return rows.select(key.alias(name), *columns)
@@ -106,9 +107,11 @@ def asof_lookup(fact: DataFrame, dim: DataFrame, key: tuple[str, str], day: Colu
 
     Versions of a key may not overlap, or rows repeat.
     """
-    d = dim.select(F.col(key[1]).alias("_k"), F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"), *[F.col(c).alias(n) for c, n in columns.items()])
-    on = (F.col(key[0]) == F.col("_k")) & (day >= F.col("_from")) & (F.col("_to").isNull() | (day < F.col("_to")))
-    return fact.join(d, on, "left").drop("_k", "_from", "_to")
+    k, low, high, at = (free(x, fact) for x in ("_k", "_from", "_to", "_day"))
+    d = dim.select(F.col(key[1]).alias(k), F.col(valid_from).alias(low), F.col(valid_to).alias(high), *[F.col(c).alias(n) for c, n in columns.items()])
+    rows = fact.withColumn(at, day)
+    on = (rows[key[0]] == d[k]) & (rows[at] >= d[low]) & (d[high].isNull() | (rows[at] < d[high]))
+    return rows.join(d, on, "left").drop(k, low, high, at)
 
 
 def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
@@ -123,11 +126,17 @@ def gaps(dim: DataFrame, bk: str) -> DataFrame:
 
 
 def overlaps(dim: DataFrame, sk: str, bk: str) -> DataFrame:
-    """Pairs of versions of one key that share a day; zero-length versions share none."""
+    """Versions that share a day with an earlier one of their key (a_sk the one that lasts longest, b_sk the later one).
+
+    One sort a key, and a row for each version that is in the way, not for each pair; zero-length
+    versions share no day.
+    """
     far = F.lit("9999-12-31").cast("date")
-    a, b = (dim.select(F.col(bk).alias(f"{x}_bk"), F.col(sk).alias(f"{x}_sk"), F.col("valid_from").alias(f"{x}_from"), F.coalesce("valid_to", far).alias(f"{x}_to")).where(f"{x}_from < {x}_to") for x in "ab")
-    on = (F.col("a_bk") == F.col("b_bk")) & (F.col("a_sk") < F.col("b_sk")) & (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
-    return a.join(b, on)
+    rows = dim.select(F.col(bk).alias("bk"), F.col(sk).alias("b_sk"), F.col("valid_from").alias("b_from"), F.coalesce("valid_to", far).alias("b_to")).where("b_from < b_to")
+    before = Window.partitionBy("bk").orderBy("b_from", "b_sk").rowsBetween(Window.unboundedPreceding, -1)
+    longest = F.max(F.struct(F.col("b_to").alias("to"), F.col("b_sk").alias("sk"), F.col("b_from").alias("from"))).over(before)
+    met = rows.withColumn("a", longest).where(F.col("a.to") > F.col("b_from"))
+    return met.select(F.col("bk").alias("a_bk"), F.col("a.sk").alias("a_sk"), F.col("a.from").alias("a_from"), F.col("a.to").alias("a_to"), F.col("bk").alias("b_bk"), "b_sk", "b_from", "b_to")
 
 
 def calendar(spark: SparkSession, first: date = date(2016, 1, 1), last: date = date(2030, 12, 31)) -> DataFrame:
@@ -148,8 +157,9 @@ def calendar(spark: SparkSession, first: date = date(2016, 1, 1), last: date = d
 
 def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, columns: dict[str, str]) -> DataFrame:
     """Left join that keeps rows whose key the dimension lacks."""
-    d = dim.select(F.col(dim_key).alias("_k"), *[F.col(c).alias(n) for c, n in columns.items()])
-    return fact.join(d, F.col(fact_key) == F.col("_k"), "left").drop("_k")
+    k = free("_k", fact)
+    d = dim.select(F.col(dim_key).alias(k), *[F.col(c).alias(n) for c, n in columns.items()])
+    return fact.join(d, fact[fact_key] == d[k], "left").drop(k)
 
 
 __all__ = ["asof_lookup", "assign_keys", "calendar", "gaps", "latest_version", "lookup", "max_key", "overlaps", "same", "scd1_dimension", "scd2_apply"]

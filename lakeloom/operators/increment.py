@@ -13,6 +13,14 @@ from lakeloom.session import Run
 FLOOR = datetime(1900, 1, 1)
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name made from ``name`` that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def same(a: str, b: str, keys: Sequence[str]) -> Column:
     """Equality of keys, not null-safe: a null key matches nothing."""
     on = F.lit(True)
@@ -62,8 +70,8 @@ def snapshot_append(source: DataFrame, target: DataFrame, key: Sequence[str], bu
 
 def latest(rows: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
     """First row of each key in an order."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rank, place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)), free("_rank", rows)
+    return rows.withColumn(place, rank).where(F.col(place) == 1).drop(place)
 
 
 def latest_event(rows: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.increment import same
 
-#: Rows of a delta up to which it may be broadcast instead of shuffling the target.
-BROADCAST_ROWS = 200_000
+#: Bytes of a counted delta up to which it may be broadcast instead of shuffling the target.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """A generous size of a row in memory, by its types: the engine's own default sizes, with 100 bytes a text."""
+    return 16 + sum(100 if k == "string" else 400 if "<" in k else 16 for _, k in df.dtypes)
 
 
 def differs(a: str, b: str, columns: Sequence[str]) -> Column:
@@ -31,7 +36,7 @@ def scd1_upsert(target: DataFrame, delta: DataFrame, key: Sequence[str], compare
     changed = differs("t", "d", compare)
     pick = [(F.when(F.col("_hit") & changed, F.col(f"d.{c}")).otherwise(F.col(f"t.{c}")) if c in update else F.col(f"t.{c}")).alias(c) for c in columns]
     new = delta.select(*columns).withColumn("_hit", F.lit(True))
-    if delta_rows is not None and delta_rows <= BROADCAST_ROWS:
+    if delta_rows is not None and delta_rows * row_bytes(delta) <= BROADCAST_BYTES:
         small = F.broadcast(new)
         kept = target.alias("t").join(small.alias("d"), same("t", "d", key), "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))).select(*pick)
         if not insert:

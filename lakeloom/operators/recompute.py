@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,20 +12,25 @@ from lakeloom.operators.increment import high_water_mark, newer
 from lakeloom.operators.merge import scd1_upsert
 
 
-def affected(fact: DataFrame, mart: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Distinct keys of facts loaded after everything in the mart."""
-    return newer(fact, "_load_ts", high_water_mark(mart, "_load_ts")).select(*key).distinct()
+def affected(fact: DataFrame, mark: datetime, key: Sequence[str]) -> DataFrame:
+    """Distinct keys of facts loaded after a mark."""
+    return newer(fact, "_load_ts", mark).select(*key).distinct()
 
 
-def affected_recompute(fact: DataFrame, mart: DataFrame, affected_key: Sequence[str], aggregate: Callable[[DataFrame], DataFrame], grain: Sequence[str], compare: Sequence[str], update: Sequence[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+def affected_rows(fact: DataFrame, mark: datetime, affected_key: Sequence[str], aggregate: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """Whole keys that facts after the mark touch, aggregated again."""
+    return keep(aggregate(fact.join(affected(fact, mark, affected_key), list(affected_key), "left_semi")))
+
+
+def affected_recompute(fact: DataFrame, mart: DataFrame, affected_key: Sequence[str], aggregate: Callable[[DataFrame], DataFrame], grain: Sequence[str], compare: Sequence[str], update: Sequence[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda x: x, mark: datetime | None = None) -> DataFrame:
     """New content of a mart: whole affected keys are aggregated again and merged.
 
     Facts are cut to the affected keys before they are aggregated; other rows of the mart aren't
-    touched, nor are rows whose grain has gone. Only a difference in ``compare`` writes a row.
+    touched, nor are rows whose grain has gone. Only a difference in ``compare`` writes a row. Without
+    a mark that of the mart's rows counts.
     """
-    keys = affected(fact, mart, affected_key)
-    delta = keep(aggregate(fact.join(keys, list(affected_key), "left_semi")))
-    return scd1_upsert(mart, delta, grain, compare, update)
+    mark = high_water_mark(mart, "_load_ts") if mark is None else mark
+    return scd1_upsert(mart, affected_rows(fact, mark, affected_key, aggregate, keep), grain, compare, update)
 
 
 def roles(rows: DataFrame, role: str, key: str, variants: dict[str, str]) -> DataFrame:

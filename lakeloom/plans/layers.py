@@ -7,7 +7,8 @@ that the same load wrote.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,37 +18,41 @@ from lakeloom.operators import dimension, increment, merge, recompute
 from lakeloom.plans import marts
 from lakeloom.schemas import INCREMENTAL, SNAPSHOT, SOURCE, TABLES, source_schema
 from lakeloom.session import Run
-from lakeloom.sources.readers import Reader
+from lakeloom.sources.readers import DATED, Reader
 from lakeloom.sources.storage import Store, stable
 
-#: Business time of an incremental source; a booking's time stands for its tickets and segments.
-EVENT = {"bookings": "book_date", "flights": "scheduled_departure"}
-
-
 # staging
 
 
-def incremental_source(source: Reader, name: str) -> tuple[DataFrame, str]:
-    """Source rows with the column that dates them."""
-    rows = source(name)
-    if name in EVENT:
-        return rows, EVENT[name]
-    bookings = source("bookings").select("book_ref", "book_date")
+def incremental_source(source: Reader, name: str, mark: datetime | None = None) -> tuple[DataFrame, str]:
+    """Source rows with the column that dates them, those above a mark alone if there is one.
+
+    A source that can cut its increments does so; of others the dating table is cut before it is joined.
+    """
+    event = DATED.get(name, "book_date")
+    if mark is not None and hasattr(source, "increment"):
+        return source.increment(name, mark), event
+    cut = (lambda rows, c: rows) if mark is None else (lambda rows, c: increment.newer(rows, c, mark))
+    if name in DATED:
+        return cut(source(name), event), event
+    bookings = cut(source("bookings").select("book_ref", "book_date"), "book_date")
     if name == "tickets":
-        return rows.join(bookings, "book_ref"), "book_date"
+        return source(name).join(bookings, "book_ref"), event
     dated = source("tickets").select("ticket_no", "book_ref").join(bookings, "book_ref").select("ticket_no", "book_date")
-    return rows.join(dated, "ticket_no"), "book_date"
+    return source(name).join(dated, "ticket_no"), event
 
 
 def load_stage(store: Store, source: Reader, name: str, run: Run) -> None:
+    """Append what is new. The mark is read from the staged rows without this run's, so that a retry sees the same window."""
     business = source_schema(name).fieldNames()
     key = SOURCE[name][1]
     target = store.read(f"stg.{name}")
     if name in SNAPSHOT:
         rows = increment.snapshot_append(source(name), target, key, business, run)
     else:
-        dated, event = incremental_source(source, name)
-        rows = increment.hwm_append(dated, target, key, event, business, run, all_history=name == "tickets")
+        mark = increment.high_water_mark(target, "event_ts", run.run_id)
+        dated, event = incremental_source(source, name, mark)
+        rows = increment.hwm_append(dated, target, key, event, business, run, all_history=name == "tickets", mark=mark)
     store.append(f"stg.{name}", rows)
 
 
@@ -190,12 +195,49 @@ def dims_of(store: Store) -> marts.Dims:
     return {n: store.read(f"dds.dim_{n}") for n in ("calendar", "airports", "airplanes", "tariffs", "passengers", "routes")}
 
 
+FACT = "dds.fact_flight_sales"
+
+
+def _marks(ods: dict[str, DataFrame]) -> dict[str, str]:
+    """How far each incremental source of the fact has come."""
+    return {n: found.isoformat() for n in INCREMENTAL if (found := ods[n].agg(F.max("_load_ts")).first()[0])}
+
+
+def changed_segments(store: Store, ods: dict[str, DataFrame]) -> DataFrame:
+    """Keys of segments that the current state got since the last load of the fact: new ones, and those whose
+    pass, ticket, booking or flight is new."""
+    marks = {n: store.mark(FACT, n) or increment.FLOOR for n in INCREMENTAL}
+    new = {n: increment.newer(ods[n], "_load_ts", marks[n]) for n in INCREMENTAL}
+    segments = ods["segments"].select("ticket_no", "flight_id")
+    booked = ods["tickets"].join(new["bookings"].select("book_ref"), "book_ref", "left_semi").select("ticket_no")
+    tickets = new["tickets"].select("ticket_no").unionByName(booked).distinct()
+    parts = [
+        new["segments"].select("ticket_no", "flight_id"),
+        new["boarding_passes"].select("ticket_no", "flight_id"),
+        segments.join(tickets, "ticket_no", "left_semi"),
+        segments.join(new["flights"].select("flight_id"), "flight_id", "left_semi"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def load_fact(store: Store, run: Run, rebuild: bool = False) -> None:
-    """``rebuild`` drops the fact first, which resolves late dimensions."""
+    """Upsert the segments that changed, into the partitions that hold them or will.
+
+    The rest of the fact is neither computed nor written again; to find known segments their keys alone
+    are read. ``rebuild`` makes the whole fact anew, which resolves late dimensions.
+    """
     ods = {n: store.read(f"ods.{n}") for n in (*INCREMENTAL, "routes")}
-    name = "dds.fact_flight_sales"
-    fact = store.spark.createDataFrame([], TABLES[name].schema) if rebuild else store.read(name)
-    store.replace(name, fact_upsert(fact, fact_rows(ods, dims_of(store)), run))
+    marks = _marks(ods)
+    if rebuild or not store.partitions(FACT):
+        store.replace(FACT, fact_upsert(store.spark.createDataFrame([], TABLES[FACT].schema), fact_rows(ods, dims_of(store)), run), marks)
+        return
+    keys = stable(changed_segments(store, ods))
+    mine = ods["segments"].join(keys, ["ticket_no", "flight_id"], "left_semi")
+    delta = stable(fact_rows(ods | {"segments": mine}, dims_of(store)))
+    known = store.read(FACT).select("ticket_no", "flight_id", "calendar_sk").join(keys, ["ticket_no", "flight_id"], "left_semi")
+    touched = sorted({*store.partition_of(FACT, known), *store.partition_of(FACT, delta)})
+    if touched:
+        store.replace_partitions(FACT, fact_upsert(store.read(FACT, partitions=touched), delta, run), touched, marks)
 
 
 # marts
@@ -220,18 +262,28 @@ INCREMENTAL_MARTS: dict[str, tuple[list[str], Callable[[DataFrame, marts.Dims],
 
 
 def load_mart(store: Store, name: str, run: Run) -> None:
-    """Recompute the grains that new or changed facts touch and merge them."""
+    """Recompute the grains that new or changed facts touch and merge them, into the months that hold them
+    where the mart has months."""
     key, aggregate, compare, update = INCREMENTAL_MARTS[name]
-    mart, fact, dims = store.read(f"dm.{name}"), store.read("dds.fact_flight_sales"), dims_of(store)
-    grain = list(TABLES[f"dm.{name}"].key)
+    table = f"dm.{name}"
+    mart, fact, dims = store.read(table), store.read(FACT), dims_of(store)
+    grain = list(TABLES[table].key)
     business = [c for c in mart.columns if c not in ("created_at", "updated_at", "_load_id", "_load_ts")]
     compare = compare or [c for c in business if c not in grain]
     update = update or [c for c in mart.columns if c not in grain and c != "created_at"]
+    mark = store.mark(table, FACT) or increment.high_water_mark(mart, "_load_ts")
+    if key == ["calendar_sk"]:  # the fact's partitions that new rows are in hold all rows of their days
+        fact = store.read(FACT, partitions=store.partition_of(FACT, increment.newer(fact, "_load_ts", mark)))
     if name == "monthly_overview":  # its key is a month: facts carry it while they are cut
         months = dims["calendar"].select(F.col("calendar_sk").alias("_m"), "year_actual", "month_actual")
         fact = fact.join(months, F.col("calendar_sk") == F.col("_m")).drop("_m")
         aggregate = lambda rows, d, f=aggregate: f(rows.drop("year_actual", "month_actual"), d)
-    store.replace(f"dm.{name}", recompute.affected_recompute(fact, mart, key, lambda rows: aggregate(rows, dims), grain, compare, update, lambda d: _audited(d, run).select(*mart.columns)))
+    delta = stable(recompute.affected_rows(fact, mark, key, lambda rows: aggregate(rows, dims), lambda d: _audited(d, run).select(*mart.columns)))
+    marks = {FACT: found.isoformat()} if (found := store.read(FACT).agg(F.max("_load_ts")).first()[0]) else {}
+    if not TABLES[table].partition:
+        store.replace(table, merge.scd1_upsert(mart, delta, grain, compare, update), marks)
+    elif touched := store.partition_of(table, delta):
+        store.replace_partitions(table, merge.scd1_upsert(store.read(table, partitions=touched), delta, grain, compare, update), touched, marks)
 
 
 def load_route_performance(store: Store, run: Run) -> None:

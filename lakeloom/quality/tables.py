@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.parse import shift_time
@@ -27,6 +28,13 @@ PARENTS = {
     "seats": [(["airplane_code"], "airplanes", ["airplane_code"])],
 }
 
+#: References whose failure only warns: routes may name airplanes that come with a later batch.
+LENIENT = {("routes", "airplanes")}
+
+
+def _severity(child: str, parent: str) -> str:
+    return checks.WARN if (child, parent) in LENIENT else checks.ERROR
+
 
 def check_stage(store: Store, source: Reader, name: str, run: Run) -> list[Finding]:
     """The batch against its source window; keys unique and filled; parents in the same history."""
@@ -35,15 +43,16 @@ def check_stage(store: Store, source: Reader, name: str, run: Run) -> list[Findi
     if name in SNAPSHOT:
         out = [checks.not_empty(f"stg.{name}.source", source(name)), checks.count_equal(f"stg.{name}.rows", source(name), batch)]
     else:
-        rows, event = layers.incremental_source(source, name)
-        window = increment.newer(rows, event, increment.high_water_mark(stage, "event_ts", run.run_id))
+        mark = increment.high_water_mark(stage, "event_ts", run.run_id)
+        rows, event = layers.incremental_source(source, name, mark)
+        window = increment.newer(rows, event, mark)
         out = checks.window_equal(f"stg.{name}.window", window, batch)
     out += [checks.unique(f"stg.{name}.unique", batch, key), checks.filled(f"stg.{name}.filled", batch, key, key)]
     for own, parent, theirs in PARENTS.get(name, []):
         there = store.read(f"stg.{parent}")
         if parent in SNAPSHOT:
             there = there.where(F.col("_load_id") == run.run_id)
-        out.append(checks.references(f"stg.{name}.{parent}", batch, own, there, theirs))
+        out.append(checks.references(f"stg.{name}.{parent}", batch, own, there, theirs, _severity(name, parent)))
     return checks.require(out)
 
 
@@ -58,7 +67,7 @@ def check_ods(store: Store, name: str, batch: str | None = None) -> list[Finding
     if name in SNAPSHOT:
         out += [checks.not_empty(f"ods.{name}.batch", stage), checks.no_extra(f"ods.{name}.extra", expected, rows, key)]
     for own, parent, theirs in PARENTS.get(name, []):
-        out.append(checks.references(f"ods.{name}.{parent}", rows, own, store.read(f"ods.{parent}"), theirs))
+        out.append(checks.references(f"ods.{name}.{parent}", rows, own, store.read(f"ods.{parent}"), theirs, _severity(name, parent)))
     return checks.require(out)
 
 
@@ -110,6 +119,13 @@ def validate_snapshot(store: Store, name: str) -> list[Finding]:
     return checks.require([one, checks.covers(f"{name}.missing", expected, rows, key), checks.no_extra(f"{name}.extra", expected, rows, key), checks.unique(f"{name}.unique", rows, key), checks.filled(f"{name}.keys", rows, key)])
 
 
+def same_batch(store: Store, names: tuple[str, ...] = ("airplanes", "seats")) -> Finding:
+    """Snapshots that are read together hold one and the same batch."""
+    held = {n: sorted(r[0] for r in store.read(f"ods.{n}").select("_load_id").distinct().limit(2).collect()) for n in names}
+    ok = len({tuple(x) for x in held.values()}) == 1 and all(len(x) == 1 for x in held.values())
+    return Finding(f"{'_'.join(names)}.same_batch", checks.ERROR, ok, len(held), f"batches {held}")
+
+
 def validate_dimensions(store: Store) -> list[Finding]:
     out = []
     for name, (source, theirs, own) in _COVERED.items():
@@ -177,3 +193,49 @@ def reconcile(store: Store) -> list[Finding]:
     out.append(Finding("revenue", checks.ERROR, (a[0] or 0) == (b[0] or 0), 0, f"fact {a[0]}, mart {b[0]}"))
     out.append(Finding("boarded", checks.ERROR, (a[1] or 0) == (b[1] or 0), 0, f"fact {a[1]}, mart {b[1]}"))
     return checks.require(out)
+
+
+_ORPHANS = {"calendar_sk": "dim_calendar", "departure_airport_sk": "dim_airports", "arrival_airport_sk": "dim_airports", "airplane_sk": "dim_airplanes", "tariff_sk": "dim_tariffs", "passenger_sk": "dim_passengers", "route_sk": "dim_routes"}
+
+
+def fact_orphans(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """For each key of the fact the rows whose key no dimension row has; nulls aren't looked up."""
+    parts = []
+    for column, name in _ORPHANS.items():
+        dim = dims[name.removeprefix("dim_")]
+        own = fact.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        lost = own.join(dim.select(F.col("calendar_sk" if name == "dim_calendar" else dim.columns[0]).alias("k")), "k", "left_anti")
+        parts.append(lost.agg(F.lit(column).alias("key_column"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def parity(ods: dict[str, DataFrame], fact: DataFrame) -> DataFrame:
+    """Rows, revenue and boarded passengers of the current state and of the fact, side by side."""
+    segments = ods["segments"].agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("revenue"))
+    passes = ods["boarding_passes"].agg(F.count(F.lit(1)).alias("boarded"))
+    facts = fact.agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("revenue"), F.count_if("is_boarded").alias("boarded"))
+    return segments.crossJoin(passes).withColumn("layer", F.lit("ods")).unionByName(facts.withColumn("layer", F.lit("dds")))  # one row each
+
+
+def recent_duplicates(stage: DataFrame, key: list[str], run: Run, days: int = 5) -> DataFrame:
+    """Keys staged more than once within the last days, whatever runs staged them."""
+    since = run.ts() - F.make_dt_interval(F.lit(days))
+    return checks.duplicate_keys(stage.where((F.col("_load_ts") > since) & (F.col("_load_ts") <= run.ts())), key)
+
+
+def qa(store: Store, run: Run) -> list[Finding]:
+    """Parity of layers, orphan keys, snapshots of one batch, keys staged twice within five days."""
+    ods = {n: store.read(f"ods.{n}") for n in ("segments", "boarding_passes")}
+    fact = store.read("dds.fact_flight_sales")
+    a, b = (r for r in parity(ods, fact).orderBy("layer").collect())
+    out = [Finding("qa.parity", checks.ERROR, a["n"] == b["n"] and a["revenue"] == b["revenue"], abs(a["n"] - b["n"]), f"dds {tuple(a)}, ods {tuple(b)}")]
+    lost = {r["key_column"]: r["orphans"] for r in fact_orphans(fact, layers.dims_of(store)).collect()}
+    out += [Finding(f"qa.orphans.{k}", checks.ERROR, not n, n, f"{n} rows of the fact have a key that no row has") for k, n in lost.items()]
+    out.append(same_batch(store))
+    out += [Finding(f"qa.recent.{n}", checks.WARN, not (k := recent_duplicates(store.read(f"stg.{n}"), list(SOURCE[n][1]), run).count()), k, f"{k} keys were staged more than once") for n in INCREMENTAL]
+    return checks.require(out)
+
+
+def as_rows(spark: SparkSession, findings: list[Finding]) -> DataFrame:
+    """Findings as a table."""
+    return spark.createDataFrame([(f.check, f.severity, f.ok, float(f.value)) for f in findings], "check_name string, severity string, ok boolean, value double")

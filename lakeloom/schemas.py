@@ -17,6 +17,10 @@ class Table:
     columns: dict[str, str]
     key: tuple[str, ...]
     comment: str = ""
+    partition: str = ""  # SQL expression; its values must not change for a key
+
+    def comment_of(self, column: str) -> str:
+        return COMMENTS.get(column, "surrogate key" if column.endswith("_sk") else "business key" if column.endswith("_bk") or column in self.key else "")
 
     @property
     def required(self) -> list[str]:
@@ -117,11 +121,29 @@ _DM = {
     ),
 }
 
+#: What columns mean, wherever they are.
+COMMENTS = {
+    "event_ts": "business time of a row in its source",
+    "_load_id": "run that wrote the row, or the batch it came with",
+    "_load_ts": "moment of that run",
+    "created_at": "moment of the run that added the row",
+    "updated_at": "moment of the run that last changed it",
+    "valid_from": "first day of a version",
+    "valid_to": "day after the last of a version, null while it is open",
+    "hashdiff": "digest of the attributes whose change makes a version",
+    "is_boarded": "whether the segment has a boarding pass",
+    "avg_load_factor": "boarded passengers by seats, over all flights",
+    "boarding_rate": "boarded passengers by tickets sold",
+}
+
+#: Partitions of tables that grow with time: a month of days.
+PARTITIONS = {"dds.fact_flight_sales": "calendar_sk div 32", "dm.sales_report": "date_format(flight_date, 'yyyy-MM')", "dm.airport_traffic": "date_format(traffic_date, 'yyyy-MM')"}
+
 TABLES: dict[str, Table] = (
     _STG
     | {f"ods.{n}": Table(f"ods.{n}", _columns(f"{c}, {LOAD}"), SOURCE[n][1], "typed current state") for n, c in _ODS.items()}
-    | {f"dds.{n}": Table(f"dds.{n}", _columns(c), k, "star schema") for n, (c, k) in _DDS.items()}
-    | {f"dm.{n}": Table(f"dm.{n}", _columns(c), k, "data mart") for n, (c, k) in _DM.items()}
+    | {f"dds.{n}": Table(f"dds.{n}", _columns(c), k, "star schema", PARTITIONS.get(f"dds.{n}", "")) for n, (c, k) in _DDS.items()}
+    | {f"dm.{n}": Table(f"dm.{n}", _columns(c), k, "data mart", PARTITIONS.get(f"dm.{n}", "")) for n, (c, k) in _DM.items()}
 )
 
 

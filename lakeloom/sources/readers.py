@@ -13,6 +13,9 @@ from lakeloom.schemas import SOURCE, source_schema
 
 Reader = Callable[[str], DataFrame]
 
+#: Incremental sources that have a date of their own; a booking's dates the others.
+DATED = {"bookings": "book_date", "flights": "scheduled_departure"}
+
 
 def parquet_source(spark: SparkSession, folder: str) -> Reader:
     return lambda name: spark.read.schema(source_schema(name)).parquet(f"{folder}/{name}.parquet")
@@ -30,27 +33,57 @@ class Jdbc:
     schema: str
     properties: dict[str, str] = field(default_factory=dict)
     text_columns: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-    def options(self, table: str, newer_than: tuple[str, datetime] | None = None, split: tuple[str, int, int, int] | None = None) -> dict[str, str]:
-        """Reader options of one table; a mark goes to the database as a filter, ``split`` is (column, low, high, parts)."""
+    splits: dict[str, tuple[str, int, int, int]] = field(default_factory=dict)
+
+    def _dated(self, table: str) -> tuple[str, str]:
+        """A table with the column that dates its rows; the database joins what a table takes from others."""
+        rows, date = f"{self.schema}.{table} r", DATED.get(table)
+        if date:
+            return f"SELECT r.* FROM {rows}", f"r.{date}"
+        ticket = "r" if table == "tickets" else "t"
+        joins = "" if table == "tickets" else f" JOIN {self.schema}.tickets t ON t.ticket_no = r.ticket_no"
+        return f"SELECT r.*, b.book_date FROM {rows}{joins} JOIN {self.schema}.bookings b ON b.book_ref = {ticket}.book_ref", "b.book_date"
+
+    def options(self, table: str, newer_than: datetime | None = None, split: tuple[str, int, int, int] | None = None) -> dict[str, str]:
+        """Reader options of one table. A mark goes to the database, which sends newer rows alone; ``split`` is
+        (column, low, high, parts) of reads side by side."""
         own = {"url": self.url} | self.properties
         custom = self.text_columns.get(table)
         if custom:
             own["customSchema"] = ", ".join(f"{c} STRING" for c in custom)
         own["dbtable"] = f"{self.schema}.{table}"
         if newer_than:
-            own["dbtable"] = f"(SELECT * FROM {self.schema}.{table} WHERE {newer_than[0]} > TIMESTAMP '{newer_than[1]}') AS t"
+            rows, date = self._dated(table)
+            own["dbtable"] = f"({rows} WHERE {date} > {{ts '{newer_than.isoformat(sep=' ')}'}}) q"
+        split = split or self.splits.get(table)
         if split:
             column, low, high, parts = split
             own |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
         return own
 
-    def read(self, spark: SparkSession, table: str, newer_than: tuple[str, datetime] | None = None, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, table: str, newer_than: datetime | None = None, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+        """Business columns of a table; with a mark also ``book_date``, where another table dates its rows."""
         rows = spark.read.format("jdbc").options(**self.options(table, newer_than, split)).load()
-        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in source_schema(table)])
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in source_schema(table)]
+        dated = [F.col("book_date").cast("timestamp_ntz").alias("book_date")] if newer_than and table not in DATED else []
+        return rows.select(*columns, *dated)
+
+    def source(self, spark: SparkSession) -> JdbcSource:
+        return JdbcSource(self, spark)
+
+
+@dataclass(frozen=True)
+class JdbcSource:
+    """A reader whose increments are cut and dated by the database."""
+
+    jdbc: Jdbc
+    spark: SparkSession
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.jdbc.read(self.spark, name)
 
-    def source(self, spark: SparkSession) -> Reader:
-        return lambda name: self.read(spark, name)
+    def increment(self, name: str, mark: datetime) -> DataFrame:
+        return self.jdbc.read(self.spark, name, mark)
 
 
 SOURCES = tuple(SOURCE)

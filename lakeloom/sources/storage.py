@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.schemas import TABLES, Table
 
 _OWN: list[str] = []
+#: End of a whole pointer file, and the folder name of a partition.
+_END, _PARTITION = "\n.", "_p"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is configured."""
+    """The folder named by spark.checkpoint.dir; a local one only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lakeloom-store-"))
     return f"file://{_OWN[0]}"
@@ -61,12 +68,6 @@ class Files:
         finally:
             stream.close()
 
-    def move(self, a: str, b: str) -> None:
-        if self.exists(b):
-            self.delete(b)
-        if not self.fs.rename(self._path(a), self._path(b)):
-            raise OSError(f"could not move {a} to {b}")
-
     def delete(self, p: str) -> None:
         self.fs.delete(self._path(p), True)
 
@@ -78,12 +79,24 @@ class Missing(ValueError):
     """A required column holds nulls."""
 
 
+@dataclass
+class Pointer:
+    """What a table is: its versions, each a list of parts, and of each version how far its sources were loaded."""
+
+    versions: list[list[str]] = field(default_factory=list)
+    marks: list[dict[str, str]] = field(default_factory=list)
+
+
 class Store:
     """Tables below a root. A table is a list of immutable parts; a pointer names the current list.
 
-    A write makes new files and then moves the pointer, so that readers see the old rows or the
-    new ones, and a table may be written from its own content. Appends add a part and leave the
-    others alone. Earlier versions stay until ``vacuum``.
+    Pointers are numbered files that are created, never changed; the highest whole one counts. So
+    a crash at any moment leaves the old pointer or the new one, readers see the old rows or the new ones, a
+    second writer of the same number fails, and a table may be written from its own content. Appends
+    add a part and leave the others alone. Earlier versions stay until ``vacuum``.
+
+    A table with a ``partition`` (an SQL expression) is written in folders of its values; readers may name
+    those they need, and ``replace_partitions`` leaves the others as they are.
     """
 
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, Table] | None = None):
@@ -93,21 +106,43 @@ class Store:
     def _dir(self, name: str) -> str:
         return f"{self.root}/{name.replace('.', '/')}"
 
-    def _versions(self, name: str) -> list[list[str]]:
-        p = f"{self._dir(name)}/_pointer"
-        return [line.split(",") if line else [] for line in self.files.read(p).split("\n")] if self.files.exists(p) else []
+    def _numbers(self, name: str) -> list[int]:
+        return sorted((int(f) for f in self.files.list(f"{self._dir(name)}/_pointers") if f.isdigit()), reverse=True)
 
-    def _point(self, name: str, versions: list[list[str]]) -> None:
-        p = f"{self._dir(name)}/_pointer"
-        self.files.write(p + ".new", "\n".join(",".join(v) for v in versions))
-        self.files.move(p + ".new", p)
+    def _pointer(self, name: str) -> Pointer:
+        for n in self._numbers(name):
+            text = self.files.read(f"{self._dir(name)}/_pointers/{n:012d}")
+            if text.endswith(_END):  # else a writer was stopped while it wrote
+                return Pointer(**json.loads(text.removesuffix(_END)))
+        return Pointer()
+
+    def _versions(self, name: str) -> list[list[str]]:
+        return self._pointer(name).versions
+
+    def _write(self, name: str, new: Pointer) -> None:
+        numbers = self._numbers(name)
+        self.files.write(f"{self._dir(name)}/_pointers/{(numbers or [0])[0] + 1:012d}", json.dumps(asdict(new)) + _END, overwrite=False)
+        for n in numbers[2:]:
+            self.files.delete(f"{self._dir(name)}/_pointers/{n:012d}")
+
+    def _add(self, name: str, parts: list[str], marks: dict[str, str] | None = None, like: int = -1) -> None:
+        """A new version, with the marks of another one (the last) and what it changes in them."""
+        old = self._pointer(name)
+        base = old.marks[like] if old.marks else {}
+        self._write(name, Pointer([*old.versions, parts], [*old.marks, base | (marks or {})]))
+
+    def mark(self, name: str, source: str) -> datetime | None:
+        """How far a source was loaded into the current version of a table."""
+        marks = self._pointer(name).marks
+        found = marks[-1].get(source) if marks else None
+        return datetime.fromisoformat(found) if found else None
 
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
 
     def create(self, name: str) -> None:
         if not self.exists(name):
-            self._point(name, [[]])
+            self._add(name, [])
 
     def bootstrap(self) -> None:
         """Create what is missing; running it again changes nothing."""
@@ -117,15 +152,29 @@ class Store:
     def version(self, name: str) -> int:
         return len(self._versions(name))
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """The current rows, or those of an earlier version (from 1)."""
+    def read(self, name: str, version: int | None = None, partitions: Iterable[str] | None = None) -> DataFrame:
+        """The current rows, or those of an earlier version (from 1); of some partitions only, if they are named."""
         versions = self._versions(name)
         parts = versions[-1 if version is None else version - 1] if versions else []
+        if partitions is not None:
+            wanted = {f"{_PARTITION}={p}" for p in partitions}
+            parts = [p for p in parts if p.partition("/")[2] in wanted]
         schema = self.tables[name].schema
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self._dir(name)}/{p}" for p in parts])
 
+    def partitions(self, name: str) -> list[str]:
+        versions = self._versions(name)
+        return sorted({p.partition(f"/{_PARTITION}=")[2] for p in (versions[-1] if versions else [])} - {""})
+
+    def partition_of(self, name: str, rows: DataFrame) -> list[str]:
+        """The partitions that rows of a table belong to, as few as a table has."""
+        return sorted(r[0] for r in rows.select(self._partition(name)).distinct().collect())
+
+    def _partition(self, name: str) -> Column:
+        return F.coalesce(F.expr(self.tables[name].partition).cast("string"), F.lit("none")).alias(_PARTITION)
+
     def _checked(self, name: str, rows: DataFrame) -> DataFrame:
         table = self.tables[name]
         lacking = [c for c in table.columns if c not in rows.columns]
@@ -133,27 +182,39 @@ class Store:
             raise ValueError(f"{name} lacks {lacking}")
         return rows.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in zip(table.columns, table.schema, strict=True)])
 
-    def _part(self, name: str, rows: DataFrame) -> str:
+    def _part(self, name: str, rows: DataFrame) -> list[str]:
         """Write a part, then look for nulls where none may be; a bad part is removed."""
         part = f"part-{uuid.uuid4().hex}"
-        path = f"{self._dir(name)}/{part}"
-        self._checked(name, rows).write.parquet(path)
-        table = self.tables[name]
+        path, table = f"{self._dir(name)}/{part}", self.tables[name]
+        checked = self._checked(name, rows)
+        if table.partition:
+            checked.select("*", self._partition(name)).hint("rebalance", _PARTITION).write.partitionBy(_PARTITION).parquet(path)
+        else:
+            checked.write.parquet(path)
+        folders = [f"{part}/{f}" for f in self.files.list(path) if f.startswith(f"{_PARTITION}=")] if table.partition else [part]
         bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in table.required], F.lit(False))
-        if not self.spark.read.schema(table.schema).parquet(path).where(bad).isEmpty():
+        if folders and not self.spark.read.schema(table.schema).parquet(*[f"{self._dir(name)}/{f}" for f in folders]).where(bad).isEmpty():
             self.files.delete(path)
             raise Missing(f"null in a required column of {name}")
-        return part
+        return folders
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None) -> None:
         versions = self._versions(name)
-        self._point(name, [*versions, [*(versions[-1] if versions else []), self._part(name, rows)]])
+        self._add(name, [*(versions[-1] if versions else []), *self._part(name, rows)], marks)
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        self._point(name, [*self._versions(name), [self._part(name, rows)]])
+    def replace(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None) -> None:
+        self._add(name, self._part(name, rows), marks)
+
+    def replace_partitions(self, name: str, rows: DataFrame, partitions: Iterable[str], marks: dict[str, str] | None = None) -> None:
+        """The whole new content of these partitions; the others keep their files."""
+        gone = {f"{_PARTITION}={p}" for p in partitions}
+        versions = self._versions(name)
+        kept = [p for p in (versions[-1] if versions else []) if p.partition("/")[2] not in gone]
+        self._add(name, [*kept, *self._part(name, rows)], marks)
 
     def truncate(self, name: str) -> None:
-        self._point(name, [*self._versions(name), []])
+        old = self._pointer(name)
+        self._write(name, Pointer([*old.versions, []], [*old.marks, {}]))
 
     def reset(self) -> None:
         for name in self.tables:
@@ -162,25 +223,52 @@ class Store:
 
     def restore(self, name: str, version: int) -> None:
         """Make an earlier version the current one."""
-        versions = self._versions(name)
-        self._point(name, [*versions, versions[version - 1]])
+        self._add(name, self._versions(name)[version - 1], like=version - 1)
 
     def vacuum(self, name: str) -> None:
         """Remove the files of all versions but the current one."""
-        current = self._versions(name)[-1]
-        self._point(name, [current])
+        old = self._pointer(name)
+        current = old.versions[-1]
+        self._write(name, Pointer([current], [old.marks[-1]]))
+        held = {p.partition("/")[0] for p in current}
         for p in self.files.list(self._dir(name)):
-            if p.startswith("part-") and p not in current:
+            if p.startswith("part-") and p not in held:
                 self.files.delete(f"{self._dir(name)}/{p}")
 
+    def describe(self, name: str) -> DataFrame:
+        """Columns of a table with their types, whether they are required, and their comments."""
+        table = self.tables[name]
+        rows = [(name, c, f.dataType.simpleString(), c in table.required, table.comment_of(c)) for c, f in zip(table.columns, table.schema, strict=True)]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, type string, required boolean, comment string")
+
+    def analyze(self, name: str) -> DataFrame:
+        """Statistics of a table in one scan: rows, and of each column nulls, about how many values, least and greatest."""
+        rows, table = self.read(name), self.tables[name]
+        plain = [f.name for f in table.schema if f.dataType.typeName() not in ("array", "interval day to second")]
+        each = [F.struct(F.lit(c).alias("column_name"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.approx_count_distinct(c).alias("values"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")) for c in plain]
+        one = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("columns"))
+        return one.select(F.lit(name).alias("table_name"), "n", F.explode("columns").alias("c")).select("table_name", "n", "c.*")
+
     @contextmanager
-    def lock(self) -> Iterator[None]:
-        """One writer at a time: surrogate keys rely on it."""
-        p = f"{self.root}/_lock"
+    def lock(self, stale: timedelta = timedelta(hours=24)) -> Iterator[None]:
+        """One writer at a time: surrogate keys rely on it.
+
+        The lock names its owner and time. One older than ``stale`` was left by a driver that died and is
+        taken over; a younger one can be removed by ``break_lock`` once its owner is known to be gone.
+        """
+        p, me, now = f"{self.root}/_lock", uuid.uuid4().hex, datetime.now(timezone.utc)
         if self.files.exists(p):
-            raise RuntimeError(f"{self.root} is locked by another load")
-        self.files.write(p, "", overwrite=False)
+            held = json.loads(self.files.read(p) or "{}")
+            since = datetime.fromisoformat(held["at"]) if "at" in held else None
+            if since is None or now - since < stale:
+                raise RuntimeError(f"{self.root} is locked by {held.get('owner', 'another load')} since {held.get('at', 'an unknown time')}")
+            self.break_lock()
+        self.files.write(p, json.dumps({"owner": me, "app": self.spark.sparkContext.applicationId, "at": now.isoformat()}), overwrite=False)
         try:
             yield
         finally:
-            self.files.delete(p)
+            if self.files.exists(p) and json.loads(self.files.read(p) or "{}").get("owner") == me:
+                self.files.delete(p)
+
+    def break_lock(self) -> None:
+        self.files.delete(f"{self.root}/_lock")

@@ -1,15 +1,16 @@
 """Whole loads on a store: two days, repeats, late dimensions, checks, validators."""
 
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.flow.graph import Graph, Task
+from lakeloom.flow.graph import Graph, Task, poll
 from lakeloom.flow.runs import dds_graph, dm_graph, ods_graph, run_all, stage_graph, validate_graph
 from lakeloom.plans import adapter, layers
 from lakeloom.quality import checks, tables
-from lakeloom.schemas import TABLES, Table
+from lakeloom.schemas import TABLES, Table, source_schema
 from lakeloom.session import Run
 from lakeloom.sources.readers import Jdbc, frames_source
 from lakeloom.sources.storage import Missing, Store
@@ -151,15 +152,132 @@ def test_store(spark, tmp_path):
             pass
     with s.lock():
         pass
+    with s.lock():
+        held = json.loads(s.files.read(f"{s.root}/_lock"))
+        s.files.write(f"{s.root}/_lock", json.dumps(held | {"at": "2020-01-01T00:00:00+00:00"}))
+        with s.lock():  # left by a driver that died long ago
+            pass
+    s.break_lock()
     s.reset()
     assert s.read("a.t").count() == 0
 
 
+def test_a_crash_leaves_the_old_table_or_the_new_one(spark, tmp_path, monkeypatch):
+    """Every step of a pointer change may be the last one."""
+    s = Store(spark, f"file://{tmp_path}", {"a.t": Table("a.t", {"k": "int!"}, ("k",))})
+    s.bootstrap()
+    s.append("a.t", spark.createDataFrame([(1,)], "k int"))
+    s.append("a.t", spark.createDataFrame([(2,)], "k int"))
+    held = s._dir("a.t")
+    n = s._numbers("a.t")[0]
+    whole = s.files.read(f"{held}/_pointers/{n:012d}")
+    for cut in (0, 5, len(whole) - 1):  # the next pointer, written in part
+        s.files.write(f"{held}/_pointers/{n + 1:012d}", whole[:cut])
+        assert s.exists("a.t") and s.read("a.t").count() == 2 and s.version("a.t") == 3
+    monkeypatch.setattr(s.files, "delete", lambda p: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):  # after the pointer, before the old ones go
+        s.append("a.t", spark.createDataFrame([(3,)], "k int"))
+    monkeypatch.undo()
+    assert s.read("a.t").count() == 3 and s.version("a.t") == 4
+    s.append("a.t", spark.createDataFrame([(4,)], "k int"))
+    assert s.read("a.t").count() == 4
+    with pytest.raises(Exception):  # another writer took the number
+        s.files.write(f"{held}/_pointers/{s._numbers('a.t')[0]:012d}", "x", overwrite=False)
+
+
+def test_partitions_and_marks(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}", {"a.t": Table("a.t", {"k": "int!", "d": "date", "v": "string"}, ("k",), partition="date_format(d, 'yyyy-MM')")})
+    s.bootstrap()
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, d string, v string").withColumn("d", F.to_date("d"))
+    s.append("a.t", rows((1, "2024-01-05", "a"), (2, "2024-02-05", "b"), (3, None, "c")), {"x": "2024-01-01"})
+    assert s.partitions("a.t") == ["2024-01", "2024-02", "none"]
+    assert [r["k"] for r in s.read("a.t", partitions=["2024-02"]).collect()] == [2]
+    before = set(s._versions("a.t")[-1])
+    s.replace_partitions("a.t", rows((2, "2024-02-05", "B"), (4, "2024-03-01", "d")), ["2024-02", "2024-03"])
+    assert sorted((r["k"], r["v"]) for r in s.read("a.t").collect()) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
+    assert len(before & set(s._versions("a.t")[-1])) == 2 and s.mark("a.t", "x") == datetime(2024, 1, 1)
+    s.truncate("a.t")
+    assert s.mark("a.t", "x") is None
+    s.restore("a.t", 3)
+    s.vacuum("a.t")
+    assert s.read("a.t").count() == 4 and s.mark("a.t", "x") == datetime(2024, 1, 1)
+    assert {r["column_name"]: (r["n"], r["nulls"]) for r in s.analyze("a.t").collect()} == {"k": (4, 0), "d": (4, 1), "v": (4, 0)}
+    assert s.describe("a.t").where("required").count() == 1
+
+
+def test_fact_load_touches_changed_partitions_alone(spark, frames, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    s.bootstrap()
+    run_all(s, frames_source(first_day(frames)), DAY_1, DAYS)
+    old = set(s._versions(layers.FACT)[-1])
+    layers.load_fact(s, DAY_2)
+    assert set(s._versions(layers.FACT)[-1]) == old  # nothing new, nothing written
+    one = s.read("ods.boarding_passes").limit(1).collect()[0]
+    passes = s.read("ods.boarding_passes")
+    s.replace("ods.boarding_passes", passes.withColumn("seat_no", F.when((F.col("ticket_no") == one["ticket_no"]) & (F.col("flight_id") == one["flight_id"]), "99Z").otherwise(F.col("seat_no"))).withColumn("_load_ts", F.when(F.col("seat_no") == "99Z", DAY_2.ts()).otherwise(F.col("_load_ts"))))
+    layers.load_fact(s, DAY_2)
+    new = set(s._versions(layers.FACT)[-1])
+    assert len(old - new) == 1 and len(old & new) == len(old) - 1
+    assert s.read(layers.FACT).where("seat_no = '99Z'").count() == 1 and s.read(layers.FACT).count() == s.read("ods.segments").count()
+    mart = set(s._versions("dm.sales_report")[-1])
+    layers.load_mart(s, "sales_report", DAY_2)
+    assert len(mart - set(s._versions("dm.sales_report")[-1])) <= 2
+    tables.qa(s, DAY_2)
+
+
+def test_polling_ends():
+    answers = iter([0, None, "yes"])
+    assert poll(lambda: next(answers), 1, 3, lambda _: None) == "yes"
+    with pytest.raises(TimeoutError):
+        poll(lambda: None, 0, 2)
+
+
 def test_jdbc_options():
-    j = Jdbc("jdbc:postgresql://h/db", "bookings", {"user": "u"}, {"airports": ("city",)})
-    o = j.options("airports", ("book_date", datetime(2024, 1, 1)), ("id", 0, 10, 4))
-    assert o["dbtable"].startswith("(SELECT * FROM bookings.airports WHERE book_date > TIMESTAMP '2024-01-01") and o["customSchema"] == "city STRING" and o["numPartitions"] == "4"
-    assert j.options("seats")["dbtable"] == "bookings.seats"
+    j = Jdbc("jdbc:postgresql://h/db", "bookings", {"user": "u"}, {"airports": ("city",)}, {"seats": ("n", 0, 10, 4)})
+    o = j.options("bookings", datetime(2024, 1, 1), ("id", 0, 10, 4))
+    assert o["dbtable"] == "(SELECT r.* FROM bookings.bookings r WHERE r.book_date > {ts '2024-01-01 00:00:00'}) q" and o["numPartitions"] == "4"
+    assert "JOIN bookings.bookings b ON b.book_ref = t.book_ref WHERE b.book_date >" in j.options("segments", datetime(2024, 1, 1))["dbtable"]
+    assert j.options("airports")["customSchema"] == "city STRING"
+    assert j.options("seats")["dbtable"] == "bookings.seats" and j.options("seats")["partitionColumn"] == "n"
+
+
+def test_jdbc_loads_increments_alone(spark, frames, tmp_path):
+    """Against a database in this JVM: the second load asks it for newer rows and gets no others."""
+    url = "jdbc:derby:memory:lakeloom_test;create=true"
+    for name in ("bookings", "tickets", "segments"):
+        f = frames[name]
+        for c, k in f.dtypes:
+            f = f.withColumn(c, F.col(c).cast("timestamp")) if k == "timestamp_ntz" else f
+        f = f.toDF(*[c.upper() for c in f.columns])
+        f.write.format("jdbc").options(url=url, dbtable=f"APP.{name}", createTableColumnTypes=", ".join(f"{c} VARCHAR(60)" for c, k in f.dtypes if k == "string")).option("quoteIdentifiers", "false").mode("overwrite").save()
+    j = Jdbc(url, "APP")
+    source = j.source(spark)
+    mark = datetime(1999, 1, 1)
+    for name in ("bookings", "tickets", "segments"):
+        rows, event = layers.incremental_source(source, name, mark)
+        want, _ = layers.incremental_source(frames_source(frames), name, mark)
+        key = list(source_schema(name).fieldNames())
+        assert event == "book_date"
+        assert sorted(map(repr, rows.select(*key, event).collect())) == sorted(map(repr, want.select(*key, event).collect()))
+        assert 0 < rows.count() < frames[name].count()
+    s = Store(spark, f"file://{tmp_path}")
+    s.bootstrap()
+    layers.load_stage(s, source, "bookings", DAY_1)
+    assert s.read("stg.bookings").count() == frames["bookings"].count()
+    layers.load_stage(s, source, "bookings", DAY_2)
+    assert s.read("stg.bookings").count() == frames["bookings"].count()
+
+
+def test_commands(spark, tmp_path):
+    from lakeloom.__main__ import arguments, main
+
+    a = arguments(["load", "file:///x", "--parquet", "/y", "--days", "2020-01-01", "2020-12-31"])
+    assert a.command == "load" and a.days[1].year == 2020
+    root = f"file://{tmp_path}"
+    Store(spark, root).bootstrap()
+    assert main(["status", root]) == 0 and main(["truncate", root]) == 0 and main(["analyze", root, "ods.bookings"]) == 0 and main(["unlock", root]) == 0
+    with pytest.raises(SystemExit):
+        main(["load", root])
 
 
 # graphs
