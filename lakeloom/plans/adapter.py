@@ -7,7 +7,6 @@ Orders are bookings and tickets, suppliers are routes, lines of an order are seg
 from __future__ import annotations
 
 from datetime import date, datetime
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +92,6 @@ def staged(frames: dict[str, DataFrame], name: str, run: Run = RUN) -> DataFrame
     return increment.staged(rows, frames[name].columns, event or run.ts(), run)
 
 
-@lru_cache(8)
 def current(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Current-state frames of a first load."""
     frames = sources(spark, sf_dir)
@@ -104,9 +102,36 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name].schema)
 
 
-@lru_cache(8)
-def dims(spark: SparkSession, sf_dir: str, run: Run = RUN) -> marts.Dims:
-    """Dimensions of a first load, stored once for a folder as a warehouse stores them."""
+#: What was stored for a folder, with the state of its files then.
+_STORED: dict[tuple[str, str, str], tuple[int, object]] = {}
+TABLES_READ = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def files_state(spark: SparkSession, sf_dir: str) -> int:
+    """A digest of names, sizes and times of the files that the frames come from."""
+    seen = []
+    for name in TABLES_READ:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.listStatus(path)
+        seen += [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found]
+    return hash(tuple(seen))
+
+
+def _stored(kind: str, spark: SparkSession, sf_dir: str, make):
+    """What ``make`` gives, stored as a warehouse stores it, until the folder's files change."""
+    key, state = (kind, spark.sparkContext.applicationId, sf_dir), files_state(spark, sf_dir)
+    if _STORED.get(key, (None,))[0] != state:
+        _STORED[key] = state, make()
+    return _STORED[key][1]
+
+
+def dims(spark: SparkSession, sf_dir: str) -> marts.Dims:
+    """Dimensions of a first load."""
+    return _stored("dims", spark, sf_dir, lambda: make_dims(spark, sf_dir))
+
+
+def make_dims(spark: SparkSession, sf_dir: str, run: Run = RUN) -> marts.Dims:
     ods = current(spark, sf_dir)
     make = lambda n, rows, sk, bk, attributes: stable(dimension.scd1_dimension(empty(spark, f"dds.dim_{n}"), rows, sk, bk, attributes, run))
     airports = make("airports", ods["airports"].withColumnRenamed("airport_code", "airport_bk"), "airport_sk", "airport_bk", ["airport_name", "city", "country", "timezone", "coordinates"])
@@ -122,13 +147,40 @@ def dims(spark: SparkSession, sf_dir: str, run: Run = RUN) -> marts.Dims:
     }
 
 
-def fact(spark: SparkSession, sf_dir: str, run: Run = RUN) -> tuple[DataFrame, marts.Dims]:
-    """The fact of a first load and its dimensions."""
-    d = dims(spark, sf_dir, run)
+def new_fact(spark: SparkSession, sf_dir: str, run: Run = RUN) -> tuple[DataFrame, marts.Dims]:
+    """The fact of a first load, computed anew, and its dimensions."""
+    d = dims(spark, sf_dir)
     rows = layers.fact_rows(current(spark, sf_dir), d)
     return rows.withColumn("_load_id", run.id()).withColumn("_load_ts", run.ts()), d
 
 
+def fact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, marts.Dims]:
+    """The stored fact of a first load and its dimensions: what marts and reports read."""
+    return _stored("fact", spark, sf_dir, lambda: stable(new_fact(spark, sf_dir)[0])), dims(spark, sf_dir)
+
+
+class Held:
+    """Tables of a first load by name, read like a store; ``changed`` replaces some."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, changed: dict[str, DataFrame] | None = None):
+        self.spark, self.sf_dir, self.changed = spark, sf_dir, changed or {}
+
+    def read(self, name: str) -> DataFrame:
+        if name in self.changed:
+            return self.changed[name]
+        layer, table_name = name.split(".")
+        if layer == "stg":
+            return staged(sources(self.spark, self.sf_dir), table_name)
+        if layer == "ods":
+            return current(self.spark, self.sf_dir)[table_name]
+        rows, d = fact(self.spark, self.sf_dir)
+        if name == layers.FACT:
+            return rows
+        if layer == "dds":
+            return d[table_name.removeprefix("dim_")]
+        return getattr(marts, table_name)(rows, d)
+
+
 #: The same frames in SQL; queries go on after it with a comma or a SELECT.
 SQL = """
 WITH li AS (

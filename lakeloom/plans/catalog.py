@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import parse
 from lakeloom.operators import dimension, increment, merge, recompute
 from lakeloom.plans import adapter, layers, marts
-from lakeloom.quality import checks
+from lakeloom.quality import checks, tables
 from lakeloom.session import Run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,7 +141,7 @@ def mart_sales_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(adapter.SQL + "SELECT calendar_sk, dep_sk AS departure_airport_sk, arr_sk AS arrival_airport_sk, airplane_sk, tariff_sk, passenger_sk, route_sk, ticket_no AS book_ref, ticket_no, CAST(flight_id AS BIGINT) AS flight_id, book_date, seat_no, CAST(price AS DOUBLE) AS price, is_boarded FROM fact")
 def fact_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return business(adapter.fact(spark, sf_dir)[0])
+    return business(adapter.new_fact(spark, sf_dir)[0])
 
 
 @query(
@@ -169,9 +169,12 @@ def dim_airplanes_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business(adapter.dims(spark, sf_dir)["airplanes"])
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS passenger_id, c_name AS passenger_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT passenger_id, passenger_name FROM (SELECT CAST(o_custkey AS VARCHAR) AS passenger_id, c_name || '/' || CAST(o_orderkey % 7 AS VARCHAR) AS passenger_name, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, CAST(o_orderkey AS VARCHAR) DESC) AS k FROM orders JOIN customer ON c_custkey = o_custkey) WHERE k = 1")
 def dim_passengers_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers.latest_passengers(adapter.current(spark, sf_dir)["tickets"])
+    """Passengers change their names; of tickets of one day the last ticket number decides."""
+    tickets = adapter.current(spark, sf_dir)["tickets"]
+    named = tickets.withColumn("passenger_name", F.concat_ws("/", "passenger_name", (F.col("ticket_no").cast("bigint") % 7).cast("string")))
+    return layers.latest_passengers(named.withColumn("event_ts", F.date_trunc("day", "event_ts").cast("timestamp_ntz")))
 
 
 @query("SELECT r AS passenger_sk, c_custkey AS passenger_id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey % 2 <> 0, c_custkey) AS r FROM customer)")
@@ -182,6 +185,13 @@ def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(known.unionByName(dimension.assign_keys(c.where("passenger_id % 2 <> 0"), "passenger_sk", ["passenger_id"], dimension.max_key(known, "passenger_sk"))))
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 7 AS sk, o_orderdate, o_orderkey FROM orders")
+def surrogate_keys_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense keys by a range-partitioned sort, as of more rows than one task should sort."""
+    o = adapter.table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey")
+    return plain(dimension.assign_keys(o, "sk", ["o_orderdate", "o_orderkey"], 7, one_sort=0))
+
+
 @query("SELECT n_nationkey AS bk, CASE WHEN n_nationkey % 3 = 0 THEN n_name || '!' ELSE n_name END AS name, CASE WHEN n_nationkey >= 20 OR n_nationkey % 3 = 0 THEN 'run_2' ELSE 'run_1' END AS touched, row_number() OVER (ORDER BY n_nationkey >= 20, n_nationkey) AS sk FROM nation")
 def scd1_dim_two_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = adapter.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("bk"), F.col("n_name").alias("name"))
@@ -224,14 +234,33 @@ def scd2_two_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(two_versions(spark, sf_dir).select("route_sk", "route_bk", "arrival_airport", "hashdiff", "valid_from", "valid_to"))
 
 
-@query(_ROUTES + "SELECT a.bk AS route_bk, a.valid_to, b.valid_from AS next_from FROM dim a JOIN dim b ON a.bk = b.bk AND a.route_sk < b.route_sk WHERE a.valid_to IS NULL OR a.valid_to <> b.valid_from")
+#: Later versions of every tenth route start ten days late, those of every other fifth ten days early.
+_BROKEN = _ROUTES.rstrip() + """, broken AS (SELECT route_sk, bk, valid_to, CASE WHEN valid_from <> DATE '2000-01-01' THEN valid_from WHEN CAST(bk AS INTEGER) % 10 = 0 THEN DATE '2000-01-11' ELSE DATE '1999-12-22' END AS valid_from FROM dim)
+"""
+
+
+def broken_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda x: F.lit(x).cast("date")
+    moved = F.when(F.col("route_bk").cast("int") % 10 == 0, day("2000-01-11")).otherwise(day("1999-12-22"))
+    return two_versions(spark, sf_dir).withColumn("valid_from", F.when(F.col("valid_from") == day("2000-01-01"), moved).otherwise(F.col("valid_from")))
+
+
+@query(_BROKEN + "SELECT a.bk AS route_bk, a.valid_to, b.valid_from AS next_from FROM broken a JOIN broken b ON a.bk = b.bk AND a.route_sk < b.route_sk WHERE a.valid_to IS NULL OR a.valid_to <> b.valid_from")
 def scd2_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimension.gaps(two_versions(spark, sf_dir), "route_bk").select("route_bk", "valid_to", "next_from")
+    """Versions that don't meet, planted gaps and overlaps both."""
+    return dimension.gaps(broken_versions(spark, sf_dir), "route_bk").select("route_bk", "valid_to", "next_from")
 
 
-@query(_ROUTES + "SELECT a.route_sk AS a_sk, b.route_sk AS b_sk FROM dim a JOIN dim b ON a.bk = b.bk AND a.route_sk < b.route_sk AND a.valid_from < coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_to, DATE '9999-12-31')")
+@query(_BROKEN + "SELECT a.route_sk AS a_sk, b.route_sk AS b_sk FROM broken a JOIN broken b ON a.bk = b.bk AND a.route_sk < b.route_sk AND a.valid_from < coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_to, DATE '9999-12-31')")
 def scd2_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(dimension.overlaps(two_versions(spark, sf_dir), "route_sk", "route_bk").select("a_sk", "b_sk"))
+    return plain(dimension.overlaps(broken_versions(spark, sf_dir), "route_sk", "route_bk").select("a_sk", "b_sk"))
+
+
+@query(_ROUTES + "SELECT bk AS route_bk, count(*) AS versions, min(valid_from) AS first_from, count(DISTINCT hash) AS hashes FROM dim GROUP BY bk HAVING count(*) > 1")
+def report_multi_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes with several versions."""
+    g = two_versions(spark, sf_dir).groupBy("route_bk").agg(F.count(F.lit(1)).alias("versions"), F.min("valid_from").alias("first_from"), F.count_distinct("hashdiff").alias("hashes"))
+    return g.where("versions > 1")
 
 
 @query(
@@ -399,8 +428,7 @@ def ordered_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
 def scorecard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_t(n)(spark, sf_dir).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n in ("orders", "customer", "part", "supplier")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return tables.counts({n: _t(n)(spark, sf_dir) for n in ("orders", "customer", "part", "supplier")})
 
 
 @query("SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS done, ((20000 * CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) + count(*)) // (2 * count(*))) / 10000.0 AS rate, greatest(min(l_linenumber), 2) AS low FROM lineitem GROUP BY 1")
@@ -482,9 +510,10 @@ def report_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # data quality
 
 
-@query("SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS repeated FROM lineitem")
+@query("SELECT 'lines' AS check_name, 'ERROR' AS severity, n = 0 AS ok, CAST(n AS DOUBLE) AS value FROM (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n FROM lineitem) UNION ALL SELECT 'suppliers', 'ERROR', n = 0, CAST(n AS DOUBLE) FROM (SELECT count(*) - count(DISTINCT (l_orderkey, l_suppkey % 3)) AS n FROM lineitem)")
 def dq_unique_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t("lineitem")(spark, sf_dir).agg((F.count(F.lit(1)) - F.count_distinct(F.struct("l_orderkey", "l_linenumber"))).alias("repeated"))
+    li = _t("lineitem")(spark, sf_dir).withColumn("third", F.col("l_suppkey") % 3)
+    return tables.as_rows(spark, [checks.unique("lines", li, ["l_orderkey", "l_linenumber"]), checks.unique("suppliers", li, ["l_orderkey", "third"])])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -511,16 +540,30 @@ def dq_null_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.coalesce(checks.blank(["event_type"], ["event_type"]), F.lit(True))).select("event_id")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS bad, count(*) FILTER (WHERE c_acctbal < 0) * 100 > count(*) AS fails FROM customer")
+_SHARES = " UNION ALL ".join(
+    f"SELECT '{n}.any' AS check_name, 'WARN' AS severity, b = 0 AS ok, CAST(b AS DOUBLE) AS value FROM {v} UNION ALL SELECT '{n}', 'ERROR', b / n <= 0.01, b / n FROM {v}" for n, v in (("poor", "p"), ("few", "f"))
+)
+
+
+@query(f"WITH p AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS b FROM customer), f AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_orderkey % 1000 = 1) AS b FROM lineitem) {_SHARES}")
 def dq_ratio_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t("customer")(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("bad"))
-    return c.withColumn("fails", F.col("bad") * 100 > F.col("n"))
+    """A share above the limit and one below it; any bad row warns."""
+    c, li = _t("customer")(spark, sf_dir), _t("lineitem")(spark, sf_dir)
+    return tables.as_rows(spark, [*checks.share("poor", c, F.col("c_acctbal") < 0), *checks.share("few", li, F.col("l_orderkey") % 1000 == 1)])
 
 
-@query(adapter.SQL + "SELECT count(*) FILTER (WHERE b > n) AS over_sold, count(*) FILTER (WHERE s < 0) AS negative, count(*) AS grains FROM (SELECT count(*) AS n, count(*) FILTER (WHERE is_boarded) AS b, sum(price) AS s FROM fact WHERE dep_sk IS NOT NULL AND arr_sk IS NOT NULL GROUP BY day, dep_sk, arr_sk, tariff_sk)")
+@query(
+    adapter.SQL
+    + """, m AS (SELECT dep_sk, count(*) AS n, count(*) FILTER (WHERE is_boarded) AS b, sum(price) * CASE WHEN dep_sk = 1 THEN -1 ELSE 1 END AS s FROM fact WHERE dep_sk IS NOT NULL AND arr_sk IS NOT NULL GROUP BY day, dep_sk, arr_sk, tariff_sk),
+    c AS (SELECT count(*) FILTER (WHERE b + CASE WHEN dep_sk = 2 THEN 1000 ELSE 0 END > n) AS boarded, count(*) FILTER (WHERE s < 0) AS revenue FROM m)
+  SELECT 'sales_report.boarded' AS check_name, 'ERROR' AS severity, boarded = 0 AS ok, CAST(boarded AS DOUBLE) AS value FROM c UNION ALL SELECT 'sales_report.rate', 'ERROR', true, 0.0 UNION ALL SELECT 'sales_report.revenue', 'ERROR', revenue = 0, CAST(revenue AS DOUBLE) FROM c"""
+)
 def dq_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invariants of the sales mart, with negative revenue of one airport and too many passengers of another."""
     m = marts.sales_report(*adapter.fact(spark, sf_dir))
-    return m.agg(F.count_if(F.col("passengers_boarded") > F.col("tickets_sold")).alias("over_sold"), F.count_if(F.col("total_revenue") < 0).alias("negative"), F.count(F.lit(1)).alias("grains"))
+    k = F.col("departure_airport_sk")
+    broken = m.withColumn("total_revenue", F.when(k == 1, -F.col("total_revenue")).otherwise(F.col("total_revenue"))).withColumn("passengers_boarded", F.col("passengers_boarded") + F.when(k == 2, 1000).otherwise(0))
+    return tables.as_rows(spark, checks.sales_invariants(broken))
 
 
 @query(f"SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderdate >= TIMESTAMP '{adapter.DAY_2}' AND o_orderkey % 3 = 0)")
@@ -532,6 +575,17 @@ def dq_affected_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.only_run(o, tagged, "run_2", ["day"]).select("o_orderkey")
 
 
+def _more() -> None:
+    """Queries over stored tables, validators, flows and streams."""
+    from lakeloom.plans import stored
+
+    QUERIES.update(stored.QUERIES)
+    SQL.update(stored.SQL)
+
+
+_more()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart_sales_report(spark, sf_dir)
 

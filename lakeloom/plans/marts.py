@@ -59,18 +59,20 @@ def sales_report(fact: DataFrame, dims: Dims) -> DataFrame:
 
 def airport_traffic(fact: DataFrame, dims: Dims) -> DataFrame:
     """Date and airport; each fact counts once as a departure and once as an arrival."""
-    each = roles(fact, "role", "airport_sk", {"departure": "departure_airport_sk", "arrival": "arrival_airport_sk"}).where("airport_sk IS NOT NULL")
+    # flights first: a flight has many tickets, and only then each row becomes two
+    flights = fact.groupBy("calendar_sk", "departure_airport_sk", "arrival_airport_sk", "flight_id").agg(_boarded().alias("b"), F.sum("price").alias("s"))
+    each = roles(flights, "role", "airport_sk", {"departure": "departure_airport_sk", "arrival": "arrival_airport_sk"}).where("airport_sk IS NOT NULL")
     dep, arr = F.col("role") == "departure", F.col("role") == "arrival"
     zero = F.lit(0).cast("decimal(20,2)")
-    measures = [F.col("calendar_sk"), F.col("airport_sk")]
-    agg = each.groupBy(*measures).agg(
+    boarded = lambda role: F.sum(F.when(role, F.col("b")).otherwise(0)).cast("int")
+    agg = each.groupBy("calendar_sk", "airport_sk").agg(
         distinct_in_role(dep, F.col("flight_id")).cast("int").alias("departures_flights"),
-        F.sum(F.when(dep & F.col("is_boarded"), 1).otherwise(0)).cast("int").alias("departures_passengers"),
-        F.coalesce(F.sum(F.when(dep, F.col("price"))), zero).cast("decimal(15,2)").alias("departures_revenue"),
+        boarded(dep).alias("departures_passengers"),
+        F.coalesce(F.sum(F.when(dep, F.col("s"))), zero).cast("decimal(15,2)").alias("departures_revenue"),
         distinct_in_role(arr, F.col("flight_id")).cast("int").alias("arrivals_flights"),
-        F.sum(F.when(arr & F.col("is_boarded"), 1).otherwise(0)).cast("int").alias("arrivals_passengers"),
-        F.coalesce(F.sum(F.when(arr, F.col("price"))), zero).cast("decimal(15,2)").alias("arrivals_revenue"),
-        F.sum(F.when(F.col("is_boarded"), 1).otherwise(0)).cast("int").alias("total_passengers"),
+        boarded(arr).alias("arrivals_passengers"),
+        F.coalesce(F.sum(F.when(arr, F.col("s"))), zero).cast("decimal(15,2)").alias("arrivals_revenue"),
+        F.sum("b").cast("int").alias("total_passengers"),
     )
     named = dated(agg, dims).join(dims["airports"].select("airport_sk", "airport_bk", "city"), "airport_sk")
     return named.select(F.col("date_actual").alias("traffic_date"), "airport_sk", "airport_bk", "city", "departures_flights", "departures_passengers", "departures_revenue", "arrivals_flights", "arrivals_passengers", "arrivals_revenue", "total_passengers")

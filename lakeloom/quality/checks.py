@@ -16,7 +16,11 @@ ERROR, WARN, INFO = "ERROR", "WARN", "INFO"
 
 
 class QualityError(AssertionError):
-    """A check of severity ERROR failed."""
+    """A check of severity ERROR failed; it carries all findings."""
+
+    def __init__(self, message: str, findings: Sequence[Finding] = ()):
+        super().__init__(message)
+        self.findings = list(findings)
 
 
 @dataclass(frozen=True)
@@ -32,7 +36,7 @@ def require(findings: Iterable[Finding]) -> list[Finding]:
     out = list(findings)
     bad = [f for f in out if not f.ok and f.severity == ERROR]
     if bad:
-        raise QualityError("; ".join(f"{f.check}: {f.message}" for f in bad))
+        raise QualityError("; ".join(f"{f.check}: {f.message}" for f in bad), out)
     return out
 
 

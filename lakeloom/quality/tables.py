@@ -173,13 +173,13 @@ def scd2_active_test(store: Store, run: Run, load: Callable[[Store, Run], None]
             store.restore(name, version)
 
 
-def scorecard(store: Store) -> DataFrame:
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table."""
-    parts = [store.read(n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n in TABLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n, rows in tables.items()])
+
+
+def scorecard(store: Store) -> DataFrame:
+    return counts({n: store.read(n) for n in TABLES})
 
 
 def reconcile(store: Store) -> list[Finding]:

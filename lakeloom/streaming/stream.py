@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lakeloom.operators.increment import latest_event, staged
+from lakeloom.operators.dimension import lookup
+from lakeloom.operators.increment import free, latest_event, staged
 from lakeloom.operators.merge import insert_new, scd1_upsert
 from lakeloom.session import Run
 from lakeloom.sources.storage import Store, stable
@@ -42,6 +43,36 @@ def upsert_stream(rows: DataFrame, store: Store, name: str, key: Sequence[str],
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def resolve_stream(rows: DataFrame, store: Store, name: str, lookups: dict[str, tuple[str, str, str]], checkpoint: str, clock: Callable[[], datetime] = datetime.now, **trigger: object) -> StreamingQuery:
+    """Append a stream of facts with surrogate keys: ``lookups`` maps a key column to (business column, dimension, its key).
+
+    Each micro-batch reads the dimensions as they are then. A fact whose dimension row is late keeps a null
+    key until ``backfill``. A repeated micro-batch adds nothing.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        run = Run(f"stream-{number}", clock())
+        if not store.read(name).where(F.col("_load_id") == run.run_id).isEmpty():
+            return
+        for sk, (own, dim, bk) in lookups.items():
+            batch = lookup(batch, store.read(dim), own, bk, {sk: sk})
+        store.append(name, batch.withColumn("_load_id", run.id()).withColumn("_load_ts", run.ts()))
+
+    return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def backfill(store: Store, name: str, lookups: dict[str, tuple[str, str, str]], run: Run) -> None:
+    """Fill null keys whose dimension rows have come since; keys that are there stay."""
+    rows = store.read(name)
+    for sk, (own, dim, bk) in lookups.items():
+        late = free("_late", rows)
+        found = lookup(rows, store.read(dim), own, bk, {sk: late})
+        filled = F.col(sk).isNull() & F.col(late).isNotNull()
+        stamped = {"_load_ts": F.when(filled, run.ts()).otherwise(F.col("_load_ts")), "_load_id": F.when(filled, run.id()).otherwise(F.col("_load_id"))}
+        rows = found.withColumns(stamped | {sk: F.coalesce(sk, late)}).drop(late)
+    store.replace(name, rows)
+
+
 def windowed_counts(rows: DataFrame, ts: str, every: str, late: str, *key: str) -> DataFrame:
     """Counts in tumbling windows; rows later than the watermark are dropped."""
     timed = rows.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
