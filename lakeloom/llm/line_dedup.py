@@ -12,9 +12,11 @@ has an earlier place. Any passage of two or more lines consists of windows, so i
 later place and no boundary matters. Windows inside a removed chunk have an earlier place for sure
 and aren't counted again; chunks take most of the copies with one row for each.
 
-The table that is kept holds each document with the list of its chunks and a 64-bit key for each
-window; digests and keys are counted from the lists alone, and texts are read again only for
-documents with repeated chunks or windows. Keys only screen: windows are the same by 128-bit digests.
+The table that is kept holds for each document the list of its chunks and a 64-bit key for each
+window; digests and keys are counted from the lists alone, and texts are read again, from where
+they are, for documents with repeated chunks or windows. Keys only screen: windows are the same by
+128-bit digests. Rows are named by a hash of doc_id and text; only where two rows have one name, as repeated rows
+do, the documents are written once more with numbers.
 
 Defined cases: null and empty texts have no lines and stay empty; a text whose lines are all
 removed becomes empty. Lines end at ``\\n``. A line that is repeated alone, without a neighbour,
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import join_bounded, map_arrow, materialise, read, several_texts
+from lakeloom.llm.common import discard, join_bounded, map_arrow, materialise, read, several_texts
 
 SPAN = 2
 MODULUS = 3
@@ -96,7 +98,7 @@ def _chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         h = _hashes(lines)
         out.append([{"no": n, "lines": k, "start": a, "stop": b, "digest": blake2b(_body(text, a, b), digest_size=16).digest()} for n, k, a, b in _chunks(len(text), lines, h)])
         keys.append(_keys(h))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(_CHUNK)), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "text", "chunks", "keys"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(_CHUNK)), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "chunks", "keys"])
 
 
 def _candidate_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -108,18 +110,6 @@ def _candidate_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
 
 
-def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts, n_lines, n_chunks, n_removed = [], [], [], []
-    for text, own, gone in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        drop = set(gone or ())
-        n_lines.append(sum(c["lines"] for c in own))
-        n_chunks.append(len(own))
-        n_removed.append(sum(c["lines"] for c in own if c["no"] in drop))
-        kept = b"".join(text[c["start"] : c["stop"]] for c in own if c["no"] not in drop) if drop else text or b""
-        texts.append((kept.removesuffix(b"\n") if drop else kept).decode())
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_chunks", "n_removed", "text"])
-
-
 def _flags(sizes: list[int], gone: list[int] | None) -> np.ndarray:
     """Of each line, whether it is in a removed chunk; by the chunks' lines."""
     drop = np.zeros(len(sizes), bool)
@@ -158,17 +148,21 @@ def _window_bodies(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _cut_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts without removed chunks and ranges of lines. Chunks are cut again, which costs less than keeping texts beside them."""
     texts, n_lines, n_chunks, n_removed = [], [], [], []
-    for text, own, gone, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+    for text, gone, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        text = text or b""
+        lines = lines_of(text)
+        own = [k for _, k, _, _ in _chunks(len(text), lines, _hashes(lines))]
         flags = _flags(own, gone)
         for r in ranges or ():
             flags[r["low"] : r["high"] + 1] = True
-        n_lines.append(len(flags))
+        n_lines.append(len(lines))
         n_chunks.append(len(own))
         n_removed.append(int(flags.sum()))
         if flags.any():
-            text = b"\n".join(x for x, f in zip(lines_of(text), flags.tolist(), strict=True) if not f)
-        texts.append((text or b"").decode())
+            text = b"\n".join(x for x, f in zip(lines, flags.tolist(), strict=True) if not f)
+        texts.append(text.decode())
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_chunks", "n_removed", "text"])
 
 
@@ -176,42 +170,53 @@ def _place(number: str) -> Column:
     return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "row", F.col(number).alias("no"))
 
 
-def _chunk_level(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Documents with chunks and window keys; numbers of the chunks that go, by row; a bound for the latter's entries."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    held = materialise(map_arrow(numbered, _chunk_rows, f"row long, doc_id long, text string, chunks {CHUNKS}, keys array<bigint>"), "chunks")
+def _named(docs: DataFrame) -> DataFrame:
+    """row (a name that no other row has), doc_id and text."""
+    named = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    if named.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return named
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+
+
+def _chunk_level(named: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Chunks and window keys of each document; numbers of the chunks that go, by row; a bound for the latter's entries."""
+    held = materialise(map_arrow(named, _chunk_rows, f"row long, doc_id long, chunks {CHUNKS}, keys array<bigint>"), "chunks")
     places = held.select("row", "doc_id", F.explode(F.filter("chunks", lambda c: c["lines"] > 1)).alias("c")).select("row", "doc_id", "c.no", "c.start", "c.stop", "c.digest")
     again = materialise(places.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated-digests")
     n = again.count()
     found = materialise(join_bounded(places, again, ["digest"], "left_semi", n, 40), "repeated-chunks")
     by_row = found.groupBy("row").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("own"))
-    texts = join_bounded(held.select("row", "text"), by_row, ["row"], "inner", found.count(), 60)
+    texts = join_bounded(named.select("row", "text"), by_row, ["row"], "inner", found.count(), 60)
     bodies = map_arrow(texts.select("text", "own"), _candidate_bytes, "digest binary, body binary")
     if not several_texts(bodies, "digest", "body").isEmpty():
         raise ValueError("different chunks with one 128-bit digest")
     first = found.groupBy("digest").agg(F.min(_place("no")).alias("first"))
     later = join_bounded(found, first, ["digest"], "inner", n, 60).where((F.col("row") != F.col("first.row")) | (F.col("no") != F.col("first.no")))
     gone = materialise(later.groupBy("row").agg(F.collect_list("no").alias("gone")), "removed-chunks")
+    discard(again, found)
     return held, gone, gone.agg(F.sum(F.size("gone") + 16)).first()[0] or 0
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_chunks, n_removed (lines) and the text that stays, of each document; by chunks alone."""
-    held, gone, entries = _chunk_level(docs)
-    joined = join_bounded(held, gone, ["row"], "left", entries, 4)
-    return map_arrow(joined.select("doc_id", "text", "chunks", "gone"), _cut, "doc_id long, n_lines long, n_chunks long, n_removed long, text string")
+    named = _named(docs)
+    held, gone, entries = _chunk_level(named)
+    discard(held)
+    joined = join_bounded(named, gone, ["row"], "left", entries, 4)
+    return map_arrow(joined.select("doc_id", "text", "gone", F.lit(None).cast("array<struct<low:int,high:int>>").alias("ranges")), _cut_lines, "doc_id long, n_lines long, n_chunks long, n_removed long, text string")
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """The columns of ``dedup_lines``; by chunks, then by windows of two lines."""
-    held, gone, entries = _chunk_level(docs)
+    named = _named(docs)
+    held, gone, entries = _chunk_level(named)
     sizes = F.col("chunks.lines").alias("sizes")
     marked = join_bounded(held.select("row", sizes, "keys"), gone, ["row"], "left", entries, 4).select("row", "sizes", "gone", "keys")
     windows = materialise(map_arrow(marked, _open_windows, "row long, no int, key long"), "windows")
     again = materialise(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
     found = materialise(join_bounded(windows, again, ["key"], "left_semi", again.count(), 24).select("row", "no"), "repeated-windows")
     by_row = found.groupBy("row").agg(F.collect_list("no").alias("own"))
-    texts = join_bounded(held.select("row", "doc_id", "text"), by_row, ["row"], "inner", found.count(), 24)
+    texts = join_bounded(named, by_row, ["row"], "inner", found.count(), 24)
     bodies = map_arrow(texts.select("row", "doc_id", "text", "own"), _window_bodies, "row long, doc_id long, no int, digest binary, body binary")
     if not several_texts(bodies, "digest", "body").isEmpty():
         raise ValueError("different windows with one 128-bit digest")
@@ -222,9 +227,10 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     low = F.greatest("no", F.when(F.col("row") == F.col("first.row"), F.col("first.no") + 2))
     ranges = later.groupBy("row").agg(F.collect_list(F.struct(low.alias("low"), (F.col("no") + 1).alias("high"))).alias("ranges"))
     cut = materialise(gone.join(ranges, "row", "full_outer"), "removed-lines")
+    discard(held, gone, windows, again, found, exact, first)
     entries = cut.agg(F.sum(F.coalesce(F.size("gone"), F.lit(0)) + 2 * F.coalesce(F.size("ranges"), F.lit(0)) + 24)).first()[0] or 0
-    joined = join_bounded(held.select("row", "doc_id", "text", sizes), cut, ["row"], "left", entries, 4)
-    return map_arrow(joined.select("doc_id", "text", "sizes", "gone", "ranges"), _cut_lines, "doc_id long, n_lines long, n_chunks long, n_removed long, text string")
+    joined = join_bounded(named, cut, ["row"], "left", entries, 4)
+    return map_arrow(joined.select("doc_id", "text", "gone", "ranges"), _cut_lines, "doc_id long, n_lines long, n_chunks long, n_removed long, text string")
 
 
 def op1_chunk_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,14 @@ def test_passages_like_brute_force(spark, sf_dir):
     assert line_dedup.dedup_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_in_repeated_rows(spark):
+    """Of rows that agree in everything one keeps its text; rows of one doc_id with other texts are rows like any other."""
+    text = "a\nb\nc"
+    df = spark.createDataFrame([(1, text), (1, text), (1, text), (1, "x\na\nb"), (None, text), (2, None), (2, None)], "doc_id long, text string")
+    rows = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_passages(df).collect())
+    assert rows == Counter({(1, text, 0): 1, (1, "", 3): 2, (1, "x", 2): 1, (None, "", 3): 1, (2, "", 0): 2})
+
+
 # token counts
 
 
