@@ -6,8 +6,9 @@ about ``GROUP`` pieces, and each group is packed, longest pieces first, by the s
 goes where the sum of the squared counts of open sequences per residual gap becomes smallest (ties:
 the smallest gap left); a new sequence is opened where no open one has room.
 
-Texts are cut at ASCII white space before they reach the tokenizer, which never joins ids across
-it; the ids of each such word are kept in a bounded table of the worker.
+Texts are cut at ASCII white space, and between a letter and punctuation, before they reach the
+tokenizer, which never joins ids across either, and lower-cased, as the tokenizer does itself; the ids
+of each such word are kept in a bounded table of the worker.
 
 Defined cases: null and empty texts are one piece, the end id. Repeated rows are packed each. An
 empty table gives no piece. Extra columns are ignored.
@@ -18,10 +19,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,11 @@ WORDS = 300_000
 #: Stands between words that share a text on their way through the tokenizer.
 MARK = "~"
 
+#: A letter and a mark of punctuation, which are never one part of a text and don't merge into one character.
+AFTER_LETTER = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:$&%#*)])"
+#: Texts whose ASCII letters are left to the tokenizer: those that may hold a special token or combining marks.
+KEEPS_CASE = "<\\||[\u0300-\u036f]"
+
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 _KEPT: dict[int, Words] = {}
@@ -55,18 +63,28 @@ class Words:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part of a text
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of whole texts, without the end id."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        lacking = words - self.new.keys()
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts, without the end id; each distinct word of the texts is looked up once."""
+        if not len(texts):
+            return []
+        apart = pc.replace_substring_regex(texts, AFTER_LETTER, r"\1 \2")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(apart, KEEPS_CASE), apart, pc.ascii_lower(apart)))
+        coded = words.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_buffer().to_pybytes().split(b" ")
+        lacking = list(filterfalse(self.new.__contains__, distinct))
         if len(self.new) + len(lacking) > self.kept:
             self.old, self.new = self.new, {}
-            lacking = words
-        known = lacking & self.old.keys()
-        self.new |= {w: self.old[w] for w in known}
-        self.new |= self.ids(list(lacking - known))
-        return [np.frombuffer(b"".join(map(self.new.__getitem__, own)), "<u4") for own in split]
+            lacking = distinct
+        known = list(filter(self.old.__contains__, lacking))
+        self.new |= zip(known, map(self.old.__getitem__, known), strict=True)
+        self.new |= self.ids(list(filterfalse(self.old.__contains__, lacking)))
+        found = list(map(self.new.__getitem__, distinct))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        held = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), np.frombuffer(b"".join(found), "<u4"))
+        taken = held.take(coded.indices)
+        bounds = taken.offsets.to_numpy()[words.offsets.to_numpy()]
+        ids = taken.values.to_numpy()
+        return [ids[a:b] for a, b in pairwise(bounds.tolist())]
 
     def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word as little-endian bytes. Many words share a text on their way through the tokenizer.
@@ -102,7 +120,7 @@ class Words:
                 out |= zip(part, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)], strict=True)
 
 
-def encode(json: str, texts: list[bytes]) -> list[np.ndarray]:
+def encode(json: str, texts: pa.Array) -> list[np.ndarray]:
     """Ids of whole texts, without the end id, by this worker's tables."""
     key = hash(json)
     if key not in _KEPT:
@@ -152,7 +170,7 @@ def pieces(docs: DataFrame, json: str, size: int = LENGTH) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, at = [], []
-        for i, ids in enumerate(encode(shared.value, [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
+        for i, ids in enumerate(encode(shared.value, batch.column(1).fill_null(""))):
             raw = ids.tobytes() + END_ID.to_bytes(4, "little")
             for k, start in enumerate(range(0, len(ids) + 1, size)):
                 part = raw[4 * start : 4 * (start + size)]

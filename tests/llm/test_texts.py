@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -428,12 +429,13 @@ def test_words_like_whole_texts():
 
     words = packing.Words(packing.vocabulary(), 40)
     r = random.Random(1)
-    letters = "ab'stSTrevmldLD~.,!0 9éÉß×½ªİ\u0301<|>日 \x85"
+    letters = "ab'stSTrevmldLDH~.,!:=)0 9éÉß×½ªİ\u0301\u0331\u0338Σσς<|>日 \x85"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(800)]
-    texts += ["don't 'S **'s I'VE 'd'd", "Straße ÿŸ İı ſ ﬁ", "<|endoftext|>a a<|b", "a " * 200]
+    texts += ["don't 'S **'s I'VE 'd'd", "Straße ÿŸ İı ſ ﬁ", "<|endoftext|>a a<|b", "<|ENDOFTEXT|>", "a " * 200]
+    texts += ["H\u0331a.Σ AΣ.b E\u0301.É. A\u0344 I'S. I'M, K\u0331", "", " ", "a)'s.'s", "x=\u0338.\u0301"]
     for at in range(0, len(texts), 7):
         part = texts[at : at + 7]
-        for t, ids in zip(part, words.encode([t.encode() for t in part]), strict=True):
+        for t, ids in zip(part, words.encode(pa.array(part)), strict=True):
             assert ids.tolist() == words.coder.encode(t, add_special_tokens=False).ids, t
 
 
