@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.operators.increment import same
+from lakeloom.operators.increment import free, same
 
 #: Bytes of a counted delta up to which it may be broadcast instead of shuffling the target.
 BROADCAST_BYTES = 32 << 20
@@ -33,22 +33,23 @@ def scd1_upsert(target: DataFrame, delta: DataFrame, key: Sequence[str], compare
     """
     columns = target.columns
     update = [c for c in (update or columns) if c not in key]
+    hit, own = free("_hit", target, delta), free("_own", target, delta)
     changed = differs("t", "d", compare)
-    pick = [(F.when(F.col("_hit") & changed, F.col(f"d.{c}")).otherwise(F.col(f"t.{c}")) if c in update else F.col(f"t.{c}")).alias(c) for c in columns]
-    new = delta.select(*columns).withColumn("_hit", F.lit(True))
+    pick = [(F.when(F.col(hit) & changed, F.col(f"d.{c}")).otherwise(F.col(f"t.{c}")) if c in update else F.col(f"t.{c}")).alias(c) for c in columns]
+    new = delta.select(*columns).withColumn(hit, F.lit(True))
     if delta_rows is not None and delta_rows * row_bytes(delta) <= BROADCAST_BYTES:
         small = F.broadcast(new)
-        kept = target.alias("t").join(small.alias("d"), same("t", "d", key), "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))).select(*pick)
+        kept = target.alias("t").join(small.alias("d"), same("t", "d", key), "left").withColumn(hit, F.coalesce(hit, F.lit(False))).select(*pick)
         if not insert:
             return kept
         matched = F.broadcast(target.alias("t").join(small.alias("d"), same("t", "d", key), "left_semi").select(*key).distinct())
         return kept.unionByName(delta.select(*columns).alias("d").join(matched.alias("t"), same("d", "t", key), "left_anti"))
-    old = target.withColumn("_own", F.lit(True))
-    joined = old.alias("t").join(new.alias("d"), same("t", "d", key), "full_outer" if insert else "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    old = target.withColumn(own, F.lit(True))
+    joined = old.alias("t").join(new.alias("d"), same("t", "d", key), "full_outer" if insert else "left").withColumn(hit, F.coalesce(hit, F.lit(False)))
     if not insert:
         return joined.select(*pick)
-    own = F.col("_own").isNotNull()
-    return joined.select(*[F.when(own, p).otherwise(F.col(f"d.{c}")).alias(c) for p, c in zip(pick, columns, strict=True)])
+    known = F.col(own).isNotNull()
+    return joined.select(*[F.when(known, p).otherwise(F.col(f"d.{c}")).alias(c) for p, c in zip(pick, columns, strict=True)])
 
 
 def insert_new(target: DataFrame, delta: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Checks over DataFrames. Each returns findings; ERROR findings make ``require`` raise."""
+"""Checks over DataFrames. Each returns findings; ERROR findings make ``require`` raise.
+
+A check that is an aggregate of one table is a ``Rule``; ``judge`` answers all rules of a table by one scan.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +44,20 @@ def require(findings: Iterable[Finding]) -> list[Finding]:
     return out
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A check that is an aggregate of a table's rows, with the findings that its value makes."""
+
+    value: Column
+    findings: Callable[[Any], list[Finding]]
+
+
+def judge(rows: DataFrame, *rules: Rule) -> list[Finding]:
+    """Findings of the rules, in their order, from one scan."""
+    found = rows.agg(*[r.value.alias(f"_{i}") for i, r in enumerate(rules)]).first()
+    return [f for r, v in zip(rules, found, strict=True) for f in r.findings(v)]
+
+
 def _none(check: str, n: int, what: str, severity: str = ERROR) -> Finding:
     return Finding(check, severity, n == 0, n, f"{n} {what}")
 
@@ -60,9 +78,12 @@ def not_empty(check: str, rows: DataFrame) -> Finding:
     return Finding(check, ERROR, not rows.isEmpty(), 0, "there are no rows")
 
 
+def has_rows(check: str, least: int) -> Rule:
+    return Rule(F.count(F.lit(1)), lambda n: [Finding(check, ERROR, n >= least, n, f"{n} rows, {least} at least are needed")])
+
+
 def at_least(check: str, rows: DataFrame, least: int) -> Finding:
-    n = rows.count()
-    return Finding(check, ERROR, n >= least, n, f"{n} rows, {least} at least are needed")
+    return judge(rows, has_rows(check, least))[0]
 
 
 def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -70,10 +91,13 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def unique(check: str, rows: DataFrame, key: Sequence[str]) -> Finding:
+def is_unique(check: str, key: Sequence[str]) -> Rule:
     """Rows less distinct keys, where a null key is a key like any other."""
-    n = rows.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*key))).alias("n")).first()[0]
-    return _none(check, n, f"rows repeat a key {tuple(key)}")
+    return Rule(F.count(F.lit(1)) - F.count_distinct(F.struct(*key)), lambda n: [_none(check, n, f"rows repeat a key {tuple(key)}")])
+
+
+def unique(check: str, rows: DataFrame, key: Sequence[str]) -> Finding:
+    return judge(rows, is_unique(check, key))[0]
 
 
 def blank(columns: Sequence[str], text: Sequence[str] = ()) -> Column:
@@ -81,8 +105,12 @@ def blank(columns: Sequence[str], text: Sequence[str] = ()) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns] + [F.trim(F.col(c)) == "" for c in text], F.lit(False))
 
 
+def is_filled(check: str, columns: Sequence[str], text: Sequence[str] = (), severity: str = ERROR) -> Rule:
+    return Rule(F.count_if(F.coalesce(blank(columns, text), F.lit(True))), lambda n: [_none(check, n, f"rows lack one of {tuple(columns)}", severity)])
+
+
 def filled(check: str, rows: DataFrame, columns: Sequence[str], text: Sequence[str] = (), severity: str = ERROR) -> Finding:
-    return _none(check, rows.where(F.coalesce(blank(columns, text), F.lit(True))).count(), f"rows lack one of {tuple(columns)}", severity)
+    return judge(rows, is_filled(check, columns, text, severity))[0]
 
 
 def references(check: str, rows: DataFrame, key: Sequence[str], parent: DataFrame, parent_key: Sequence[str], severity: str = ERROR) -> Finding:
@@ -99,16 +127,27 @@ def no_extra(check: str, expected: DataFrame, held: DataFrame, key: Sequence[str
     return _none(check, missing(held, expected, key).count(), "keys are held that were not expected")
 
 
-def share(check: str, rows: DataFrame, bad: Column, limit: float = 0.01) -> list[Finding]:
+def is_rare(check: str, bad: Column, limit: float = 0.01) -> Rule:
     """Any bad row warns, more than a share of them fails."""
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("b")).first()
-    part = r["b"] / r["n"] if r["n"] else 0.0
-    return [Finding(f"{check}.any", WARN, r["b"] == 0, r["b"], f"{r['b']} rows"), Finding(check, ERROR, part <= limit, part, f"{part:.2%} of the rows, {limit:.2%} are allowed")]
 
+    def told(r: Any) -> list[Finding]:
+        part = r["b"] / r["n"] if r["n"] else 0.0
+        return [Finding(f"{check}.any", WARN, r["b"] == 0, r["b"], f"{r['b']} rows"), Finding(check, ERROR, part <= limit, part, f"{part:.2%} of the rows, {limit:.2%} are allowed")]
 
-def invariant(check: str, rows: DataFrame, holds: Column, severity: str = ERROR) -> Finding:
+    return Rule(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("b")), told)
+
+
+def share(check: str, rows: DataFrame, bad: Column, limit: float = 0.01) -> list[Finding]:
+    return judge(rows, is_rare(check, bad, limit))
+
+
+def always(check: str, holds: Column, severity: str = ERROR) -> Rule:
     """A condition that no row may break; unknown counts as kept."""
-    return _none(check, rows.where(~F.coalesce(holds, F.lit(True))).count(), "rows break the invariant", severity)
+    return Rule(F.count_if(~F.coalesce(holds, F.lit(True))), lambda n: [_none(check, n, "rows break the invariant", severity)])
+
+
+def invariant(check: str, rows: DataFrame, holds: Column, severity: str = ERROR) -> Finding:
+    return judge(rows, always(check, holds, severity))[0]
 
 
 def only_run(rows: DataFrame, changed: DataFrame, run_id: str, key: Sequence[str]) -> DataFrame:
@@ -127,17 +166,25 @@ def versions(check: str, dim: DataFrame, sk: str, bk: str, source: DataFrame | N
     return out if source is None else [*out, _none(f"{check}.source", missing(open_, source, [bk]).count(), "open keys are not in the source")]
 
 
-def sales_invariants(mart: DataFrame) -> list[Finding]:
+def sales_rules() -> list[Rule]:
     c = F.col
     return [
-        invariant("sales_report.boarded", mart, c("tickets_sold") >= c("passengers_boarded")),
-        invariant("sales_report.rate", mart, c("boarding_rate").between(0, 1)),
-        invariant("sales_report.revenue", mart, c("total_revenue") >= 0),
+        always("sales_report.boarded", c("tickets_sold") >= c("passengers_boarded")),
+        always("sales_report.rate", c("boarding_rate").between(0, 1)),
+        always("sales_report.revenue", c("total_revenue") >= 0),
     ]
 
 
+def sales_invariants(mart: DataFrame) -> list[Finding]:
+    return judge(mart, *sales_rules())
+
+
+def load_rule(check: str) -> Rule:
+    return always(check, F.col("avg_load_factor").between(0, 2))
+
+
 def load_factors(check: str, mart: DataFrame) -> Finding:
-    return invariant(check, mart, F.col("avg_load_factor").between(0, 2))
+    return judge(mart, load_rule(check))[0]
 
 
 def no_gaps(check: str, dim: DataFrame, bk: str) -> Finding:

@@ -47,7 +47,7 @@ def check_stage(store: Store, source: Reader, name: str, run: Run) -> list[Findi
         rows, event = layers.incremental_source(source, name, mark)
         window = increment.newer(rows, event, mark)
         out = checks.window_equal(f"stg.{name}.window", window, batch)
-    out += [checks.unique(f"stg.{name}.unique", batch, key), checks.filled(f"stg.{name}.filled", batch, key, key)]
+    out += checks.judge(batch, checks.is_unique(f"stg.{name}.unique", key), checks.is_filled(f"stg.{name}.filled", key, key))
     for own, parent, theirs in PARENTS.get(name, []):
         there = store.read(f"stg.{parent}")
         if parent in SNAPSHOT:
@@ -63,7 +63,7 @@ def check_ods(store: Store, name: str, batch: str | None = None) -> list[Finding
     if name in SNAPSHOT:
         stage = stage.where(F.col("_load_id") == batch)
     expected = layers.typed_rows(name, stage)
-    out = [checks.unique(f"ods.{name}.unique", rows, key), checks.filled(f"ods.{name}.filled", rows, table.required), checks.covers(f"ods.{name}.covers", expected, rows, key)]
+    out = [*checks.judge(rows, checks.is_unique(f"ods.{name}.unique", key), checks.is_filled(f"ods.{name}.filled", table.required)), checks.covers(f"ods.{name}.covers", expected, rows, key)]
     if name in SNAPSHOT:
         out += [checks.not_empty(f"ods.{name}.batch", stage), checks.no_extra(f"ods.{name}.extra", expected, rows, key)]
     for own, parent, theirs in PARENTS.get(name, []):
@@ -76,32 +76,36 @@ _COVERED = {"dim_airports": ("airports", "airport_code", "airport_bk"), "dim_air
 
 def check_dds(store: Store, name: str, least_days: int = 1000) -> list[Finding]:
     rows, table = store.read(f"dds.{name}"), TABLES[f"dds.{name}"]
-    out = [checks.unique(f"dds.{name}.unique", rows, table.key), checks.filled(f"dds.{name}.filled", rows, table.required)]
+    rules = [checks.is_unique(f"dds.{name}.unique", table.key), checks.is_filled(f"dds.{name}.filled", table.required)]
+    if name in _COVERED:
+        rules.append(checks.is_unique(f"dds.{name}.sk", [rows.columns[0]]))
+    if name == "dim_calendar":
+        rules.append(checks.has_rows("dds.dim_calendar.days", least_days))
+    if name == "fact_flight_sales":
+        rules += [checks.is_rare(f"dds.fact.{c}", F.col(c).isNull()) for c in ("calendar_sk", "departure_airport_sk", "arrival_airport_sk")]
+        rules.append(checks.is_filled("dds.fact.tariff_sk", ["tariff_sk"]))
+        rules += [checks.is_filled(f"dds.fact.{c}", [c], severity=checks.INFO) for c in ("airplane_sk", "passenger_sk", "route_sk")]
+    out = checks.judge(rows, *rules)
     if name in _COVERED:
         source, theirs, own = _COVERED[name]
-        out += [checks.unique(f"dds.{name}.sk", rows, [rows.columns[0]]), checks.covers(f"dds.{name}.covers", store.read(f"ods.{source}").where(F.col(theirs).isNotNull()), rows, [theirs], [own])]
+        out.append(checks.covers(f"dds.{name}.covers", store.read(f"ods.{source}").where(F.col(theirs).isNotNull()), rows, [theirs], [own]))
     if name == "dim_calendar":
-        out.append(checks.at_least("dds.dim_calendar.days", rows, least_days))
         out.append(checks.covers("dds.dim_calendar.covers", store.read("ods.flights").where("scheduled_departure IS NOT NULL").select(F.to_date("scheduled_departure").alias("d")), rows, ["d"], ["date_actual"]))
     if name == "dim_routes":
         out += checks.versions("dds.dim_routes", rows, "route_sk", "route_bk", store.read("ods.routes").select(F.col("route_no").alias("route_bk")))
     if name == "fact_flight_sales":
         out.append(checks.count_equal("dds.fact.rows", store.read("ods.segments"), rows))
-        for c in ("calendar_sk", "departure_airport_sk", "arrival_airport_sk"):
-            out += checks.share(f"dds.fact.{c}", rows, F.col(c).isNull())
-        out.append(checks.filled("dds.fact.tariff_sk", rows, ["tariff_sk"]))
-        out += [checks.filled(f"dds.fact.{c}", rows, [c], severity=checks.INFO) for c in ("airplane_sk", "passenger_sk", "route_sk")]
     return checks.require(out)
 
 
 def check_dm(store: Store, name: str, run_id: str | None = None) -> list[Finding]:
     rows, table = store.read(f"dm.{name}"), TABLES[f"dm.{name}"]
-    out = [checks.unique(f"dm.{name}.unique", rows, table.key), checks.filled(f"dm.{name}.filled", rows, table.required)]
-    if name == "sales_report":
-        scope = rows if run_id is None else rows.where(F.col("_load_id") == run_id)
-        out += checks.sales_invariants(scope)
+    rules = [checks.is_unique(f"dm.{name}.unique", table.key), checks.is_filled(f"dm.{name}.filled", table.required)]
     if "avg_load_factor" in rows.columns:
-        out.append(checks.load_factors(f"dm.{name}.load_factor", rows))
+        rules.append(checks.load_rule(f"dm.{name}.load_factor"))
+    out = checks.judge(rows, *rules)
+    if name == "sales_report":
+        out += checks.sales_invariants(rows if run_id is None else rows.where(F.col("_load_id") == run_id))
     return checks.require(out)
 
 
@@ -116,7 +120,8 @@ def validate_snapshot(store: Store, name: str) -> list[Finding]:
     if not one.ok:
         return checks.require([one])
     expected = layers.typed_rows(name, store.read(f"stg.{name}").where(F.col("_load_id") == batches[0]))
-    return checks.require([one, checks.covers(f"{name}.missing", expected, rows, key), checks.no_extra(f"{name}.extra", expected, rows, key), checks.unique(f"{name}.unique", rows, key), checks.filled(f"{name}.keys", rows, key)])
+    own = checks.judge(rows, checks.is_unique(f"{name}.unique", key), checks.is_filled(f"{name}.keys", key))
+    return checks.require([one, checks.covers(f"{name}.missing", expected, rows, key), checks.no_extra(f"{name}.extra", expected, rows, key), *own])
 
 
 def same_batch(store: Store, names: tuple[str, ...] = ("airplanes", "seats")) -> Finding:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import parse
 from lakeloom.operators import dimension, increment, merge, recompute
+from lakeloom.quality import checks
 from lakeloom.session import Run
 
 R1, R2, R3 = (Run(f"r{i}", datetime(2024, 1, i), date(2024, 1, i)) for i in (1, 2, 3))
@@ -120,6 +121,24 @@ def test_upsert(spark, small):
     assert rows(merge.scd1_upsert(target, delta, ["k"], ["v"], ["v"], delta_rows=small).where("k = 'a'"), "v", "_load_id") == [("now", "r1")]
 
 
+@pytest.mark.parametrize("small", [None, 10])
+def test_upsert_keeps_columns_of_its_own_names(spark, small):
+    target = spark.createDataFrame([("a", "x", "1"), ("b", "x", "2")], "k string, _hit string, _own string")
+    delta = spark.createDataFrame([("a", "y", "3"), ("c", "z", "4")], "k string, _hit string, _own string")
+    out = merge.scd1_upsert(target, delta, ["k"], ["_hit"], delta_rows=small)
+    assert rows(out, "k", "_hit", "_own") == [("a", "y", "3"), ("b", "x", "2"), ("c", "z", "4")]
+
+
+def test_rules_by_one_scan(spark):
+    t = spark.createDataFrame([(1, "a"), (1, None), (2, " ")], "k int, v string")
+    rules = [checks.is_unique("u", ["k"]), checks.is_filled("f", ["v"], ["v"]), checks.has_rows("n", 3), checks.is_rare("r", F.col("k") == 2), checks.always("i", F.col("k") > 1)]
+    found = checks.judge(t, *rules)
+    assert [(f.check, f.ok, round(f.value, 2)) for f in found] == [("u", False, 1), ("f", False, 2), ("n", True, 3), ("r.any", False, 1), ("r", False, 0.33), ("i", False, 2)]
+    assert all(f.ok for f in checks.judge(t.limit(0), *rules) if f.check != "n")
+    one_by_one = [checks.unique("u", t, ["k"]), checks.filled("f", t, ["v"], ["v"]), checks.at_least("n", t, 3), *checks.share("r", t, F.col("k") == 2), checks.invariant("i", t, F.col("k") > 1)]
+    assert found == one_by_one
+
+
 def test_missing_keys(spark):
     a = spark.createDataFrame([("x",), ("y",), (None,)], "k string")
     b = spark.createDataFrame([("x",), ("z",), (None,)], "k string")
