@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, exact_dedup, hilbert, html_lstm, language_id, line_dedup, packing, pii, simhash, token_counts
+from lakeloom.llm import decontaminate, exact_dedup, hilbert, html_lstm, importance, language_id, line_dedup, packing, pii, prefix_trie, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_line_dedup": line_dedup.op1_chunk_line_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_simhash": simhash.op8_pivot_simhash,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_patricia_prefix_trie": prefix_trie.op11_patricia_prefix_trie,
+    "op12_counterfactual_toxicity": toxicity.op12_counterfactual_toxicity,
+    "op13_crc_ring_resampling": importance.op13_crc_ring_resampling,
 }
 
 SQL: dict[str, str] = {
