@@ -42,7 +42,7 @@ SAMPLE, FEATURES, CHI, SEEN = 5_000, 1024, 24.0, 4
 #: Weight of a squared change of the logit by a swap; ridge; score from which a text counts as toxic.
 PENALTY, RIDGE, THRESHOLD = 4.0, 0.1, 0.7
 #: Characters of a word's beginnings; words that a worker's memo, or a task's partial sums, hold at most.
-STEMS, MEMO = range(3, 8), 200_000
+STEMS, MEMO = range(3, 8), 50_000
 
 # Terms that are swapped for one another. The last of each line is the neutral word.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -280,16 +280,19 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
         return Model(Vocabulary({}), [], None)
     vocabulary = choose(once, n, n1)
 
+    pair = np.dtype([("at", "<u2"), ("value", "<f8")])
+
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [Counter(dict(zip(w, c, strict=True))) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        rows = [[list(vocabulary.values(x).items()) for x in (w, *swapped(w))] for w in own]
-        pair = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("value", pa.float64())])))
-        return pa.RecordBatch.from_arrays([pa.array([[[{"at": k, "value": v} for k, v in x] for x in r] for r in rows], pair), batch.column(2), batch.column(3), batch.column(4)], ["bags", "toxic", "share", "sha"])
+        bags = []
+        for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = Counter(dict(zip(w, c, strict=True)))
+            bags.append([np.array(list(vocabulary.values(x).items()), dtype=pair).tobytes() for x in (own, *swapped(own))])
+        return pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.binary())), batch.column(2), batch.column(3), batch.column(4)], ["bags", "toxic", "share", "sha"])
 
-    few = map_arrow(once.select("own", "counts", "toxic", "share", "sha"), cut, "bags array<array<struct<at:int,value:double>>>, toxic double, share double, sha string")
+    few = map_arrow(once.select("own", "counts", "toxic", "share", "sha"), cut, "bags array<binary>, toxic double, share double, sha string")
     rows = []
     for r in sorted(few.collect(), key=lambda r: r["sha"]):
-        own, *others = [{x["at"]: x["value"] for x in bag} for bag in r["bags"]]
+        own, *others = [{int(k): float(v) for k, v in np.frombuffer(bag, pair)} for bag in r["bags"]]
         rows.append((own, others, r["toxic"], r["share"]))
     discard(chosen, once)
     return fit(rows, vocabulary, penalty)
