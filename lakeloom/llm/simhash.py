@@ -16,7 +16,8 @@ fingerprints within two bits name a common one. That is exact, linear, and no na
 ``keep_one`` removes near copies as the pipeline means them: five words and a similarity of 0.8. Two bits of
 64 are much nearer than that (a pair at 0.8 differs in about ten), so it has sketches of SKETCH bits:
 one of shingles of two words, whose bands bring candidates together, and one of five words, whose
-distance decides. References of its pivot tables are rows of the bucket.
+distance decides where it is far from the limit; near it the shingles themselves are compared. References of its pivot
+tables are rows of the bucket.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other. Rows with
 one fingerprint are in one group. A null doc_id is passed through and never names a group unless
@@ -49,6 +50,8 @@ SCREEN_WORDS, WORDS = 2, 5
 SIMILAR = 0.8
 MISSED = 0.03
 CHUNK = 512
+#: Chunks of a bucket up to which all pairs of them meet; bits that split a larger one, and how many times.
+MANY_CHUNKS, SPLIT_BITS, MOST_SPLITS = 32, 6, 4
 
 _BANDS = list(combinations(range(4), 2))
 _REFERENCES = np.random.default_rng(20).integers(0, 1 << 64, PIVOTS, np.uint64)
@@ -214,19 +217,20 @@ def _differing(jaccard: float, size: int) -> float:
     return float(np.arccos(kept) / np.pi)
 
 
-#: Differing bits of two sketches at the least similarity.
-FAR_BITS = int(SKETCH * _differing(SIMILAR, WORDS))
+#: Differing bits of two sketches at the least similarity; at one that is surely above it, and at one that may be: pairs between
+#: those are compared by their shingles.
+FAR_BITS, SURE_BITS, LOOSE_BITS = (int(SKETCH * _differing(s, WORDS)) for s in (SIMILAR, SIMILAR + 0.07, SIMILAR - 0.08))
 
 
-def near_pairs(sketch: np.ndarray, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices i < j of linked sketches, one a row. The first rows are the references of the pivot tables: pairs whose
-    distances to one of them differ by more than the radius are discarded, the others verified."""
+def near_pairs(sketch: np.ndarray, radius: int | None = None, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices i < j of linked sketches, one a row; with ``first`` i is below it and j isn't. The first rows are the references of the
+    pivot tables: pairs whose distances to one of them differ by more than the radius are discarded, the others verified."""
     radius = FAR_BITS if radius is None else radius
     apart = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
     tables = np.stack([apart(sketch, p) for p in sketch[:PIVOTS]], 1)
     out_i, out_j = [], []
-    for i in range(len(sketch) - 1):
-        j = np.arange(i + 1, len(sketch))
+    for i in range(len(sketch) - 1 if first is None else first):
+        j = np.arange(i + 1 if first is None else first, len(sketch))
         for c in range(tables.shape[1]):
             j = j[np.abs(tables[j, c] - tables[i, c]) <= radius]
         j = j[apart(sketch[j], sketch[i]) <= radius]
@@ -276,65 +280,220 @@ def _band_rows(many: np.ndarray):
     return run
 
 
-def _chunk_links(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _tied(nodes: list, sketches: list[bytes], first: int | None = None) -> tuple[list[tuple], list[int], np.ndarray, list]:
+    """Edges (u, v, differing bits) of rows that meet, and their hubs, sketches and nodes in one order; with ``first`` only pairs
+    of one of the first so many rows and a later one.
+
+    Sure links hang the rows of a component to its hub. Of other pairs those that may be alike join the components, the nearest
+    pairs first: a component is joined to another one once.
+    """
+    order = sorted(range(len(nodes)), key=nodes.__getitem__) if first is None else list(range(len(nodes)))
+    x = np.frombuffer(b"".join(sketches[k] for k in order), np.uint64).reshape(len(order), -1)
+    i, j = near_pairs(x, LOOSE_BITS, first)
+    far = np.bitwise_count(x[i] ^ x[j]).sum(-1, dtype=np.int64)
+    sure = far <= SURE_BITS
+    edges, hubs = forest(len(order), i[sure], j[sure])
+    own = [nodes[k] for k in order]
+    out = [(own[u], own[v], 0) for u, v in edges]
+    root = list(range(len(order)))
+    for u, v in edges:
+        root[v] = u
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    i, j, far = i[~sure], j[~sure], far[~sure]
+    for k in np.argsort(far, kind="stable"):
+        u, v = find(int(i[k])), find(int(j[k]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((own[i[k]], own[j[k]], int(far[k])))
+    return out, hubs, x, own
+
+
+def _links(node: str) -> str:
+    return f"bucket long, u {node}, v {node}, far int, sketch binary"
+
+
+def _links_of(rows: list[tuple], node: str) -> pa.RecordBatch:
+    kind = pa.binary() if node == "binary" else pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), kind, kind, pa.int32(), pa.binary()))], ["bucket", "u", "v", "far", "sketch"])
+
+
+def _chunk_links(node: str):
     """Edges of each chunk, and its hubs where its bucket has more chunks."""
-    bucket, u, v, sketch = [], [], [], []
-    for b, chunks, nodes, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-        order = np.argsort(np.array(nodes))
-        x = np.frombuffer(b"".join(own), np.uint64).reshape(len(nodes), -1)[order]
-        edges, hubs = forest(len(nodes), *near_pairs(x))
-        nodes = [nodes[k] for k in order]
-        bucket += [b] * len(edges)
-        u += [nodes[i] for i, _ in edges]
-        v += [nodes[j] for _, j in edges]
-        sketch += [None] * len(edges)
-        if chunks > 1:
-            bucket += [b] * len(hubs)
-            u += [nodes[i] for i in hubs]
-            v += [None] * len(hubs)
-            sketch += [x[i].tobytes() for i in hubs]
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sketch, pa.binary())], ["bucket", "u", "v", "sketch"])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for bucket, chunks, nodes, sketches in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            edges, hubs, x, own = _tied(nodes, sketches)
+            out += [(bucket, *e, None) for e in edges]
+            if chunks > 1:
+                out += [(bucket, own[k], None, None, x[k].tobytes()) for k in hubs]
+        return _links_of(out, node)
+
+    return run
+
+
+def _block_links(node: str):
+    """Edges in a chunk of a bucket, or between the rows of two."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for bucket, low, rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows = sorted(rows, key=lambda r: (r["chunk"] != low, r["node"]))
+            first = sum(r["chunk"] == low for r in rows)
+            if first and len(rows) > 1:  # a chunk by itself, or two
+                edges, *_ = _tied([r["node"] for r in rows], [r["sketch"] for r in rows], first if first < len(rows) else None)
+                out += [(bucket, *e, None) for e in edges]
+        return _links_of(out, node)
+
+    return run
+
+
+def _split_rows(level: int):
+    """Rows of crowded buckets under narrower ones: SPLIT_BITS more bits of the screen, in as many ways as MISSED asks for."""
+    agree = (1 - _differing(SIMILAR, SCREEN_WORDS)) ** SPLIT_BITS
+    n = int(np.ceil(np.log(MISSED) / np.log(1 - agree)))
+    many = np.stack([np.random.default_rng(100 * level + k).permutation(SKETCH)[:SPLIT_BITS] for k in range(n)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bucket = batch.column(0).to_numpy().view(np.uint64)
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+        weight = np.uint64(1) << np.arange(SPLIT_BITS, dtype=np.uint64)
+        keys = [_mixed(_mixed(bucket + np.uint64(k + 1)) + bits[:, band].astype(np.uint64) @ weight).view(np.int64) for k, band in enumerate(many)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(1)] * n), pa.concat_arrays([batch.column(3)] * n)], ["bucket", "node", "sketch"])
+
+    return run
+
+
+def _blocks(rows: DataFrame, chunk: int) -> DataFrame:
+    """Links between rows of a bucket (bucket, node, sketch, chunks): every chunk is linked whole, and every pair of chunks meets once."""
+    part = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("chunks")).cast("int")
+    own = rows.withColumn("chunk", part)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    met = own.select("bucket", "chunk", other, F.struct(F.col("chunk").alias("chunk"), "node", "sketch").alias("row"))
+    pairs = met.groupBy("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).agg(F.collect_list("row").alias("rows"))
+    kind = rows.schema["node"].dataType.simpleString()
+    return map_arrow(pairs.select("bucket", "low", "rows"), _block_links(kind), _links(kind))
 
 
 def near_edges(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v) between the ``node`` of ``held`` (node, screen, sketch) whose sketches link.
+    """Edges (u, v) whose sketches are at the least similarity or nearer; see ``near_links``."""
+    return near_links(held, chunk).where(F.col("far") <= FAR_BITS).select("u", "v")
+
 
-    Rows that agree in a band meet in its bucket. A bucket is dealt to chunks of about ``chunk`` rows,
-    each of which is linked whole; where a bucket has several, the hub of each component goes on to
-    a next round over the bucket, until one chunk holds them. All rounds together take little more
-    than the first, whatever the size of a group.
+def near_links(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v, far) between the ``node`` of ``held`` (node, screen, sketch; one row each) whose sketches are near.
+
+    Rows that agree in a band meet in its bucket. A bucket is dealt to chunks of about ``chunk`` rows, each of
+    which is linked whole. Of a bucket with several chunks the hub of each component goes on: where that leaves
+    half of the rows or fewer, as with near copies, to a next round; else every pair of its chunks meets, block by block,
+    and no pair of what went on is unmet. A bucket that is too large for that is first split by further bits.
     """
-    many = bands(held.count())
-    rows = map_arrow(held.select("node", "screen", "sketch"), _band_rows(many), "bucket long, node long, sketch binary")
-    found, level, before = [], 0, None
+    many, kind = bands(held.count()), held.schema["node"].dataType.simpleString().replace("bigint", "long")
+    banded = f"bucket long, node {kind}, sketch binary"
+    rows = map_arrow(held.select("node", "screen", "sketch"), _band_rows(many), banded)
+    found, level, splits = [], 0, 0
     while True:
         rows = materialise(rows, "band-rows")
-        large = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "large-buckets")
+        large = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("bucket", "n", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "large-buckets")
         n = large.count()
-        dealt = join_bounded(rows, large, ["bucket"], "left", n, 24).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        dealt = join_bounded(rows, large.drop("n"), ["bucket"], "left", n, 24).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         part = F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks")).alias("part")
-        groups = dealt.groupBy("bucket", part, "chunks").agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches")).where((F.size("nodes") > 1) | (F.col("chunks") > 1))
-        out = materialise(map_arrow(groups.select("bucket", "chunks", "nodes", "sketches"), _chunk_links, "bucket long, u long, v long, sketch binary"), "near-links")
-        found.append(out.where("v IS NOT NULL").select("u", "v"))
-        discard(rows, large)
-        hubs = out.where("v IS NULL")
-        left = hubs.count() if n else 0
-        if not left or left == before:  # the same hubs again: chunks that don't link
+        groups = dealt.groupBy("bucket", part, "chunks").agg(F.collect_list(F.struct("node", "sketch")).alias("own")).where((F.size("own") > 1) | (F.col("chunks") > 1))
+        out = materialise(map_arrow(groups.select("bucket", "chunks", F.col("own.node").alias("nodes"), F.col("own.sketch").alias("sketches")), _chunk_links(kind), _links(kind)), "near-links")
+        found.append(out.where("v IS NOT NULL").select("u", "v", "far"))
+        discard(rows)
+        if not n:
+            discard(large)
+            break
+        hubs = out.where("v IS NULL").select("bucket", F.col("u").alias("node"), "sketch")
+        left = hubs.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"))
+        state = materialise(large.join(left, "bucket").select("bucket", (F.col("left") * 2 <= F.col("n")).alias("shrinks"), F.ceil(F.col("left") / chunk).cast("int").alias("chunks")), "large-buckets")
+        discard(large)
+        sorts = F.when(F.col("shrinks") | (F.col("chunks") == 1), "again").when((F.col("chunks") > MANY_CHUNKS) & F.lit(splits < MOST_SPLITS), "split").otherwise("blocks")
+        state = state.withColumn("way", sorts)
+        ways = {r["way"] for r in state.select("way").distinct().collect()}
+        on = join_bounded(hubs, state, ["bucket"], "inner", n, 40)
+        if "blocks" in ways:
+            met = materialise(_blocks(on.where("way = 'blocks'"), chunk), "block-links")
+            found.append(met.select("u", "v", "far"))
+        rows = on.where("way = 'again'").select("bucket", "node", "sketch")
+        if "split" in ways:
+            wide = on.where("way = 'split'").join(held.select("node", "screen"), "node").select("bucket", "node", "screen", "sketch")
+            rows = rows.unionByName(map_arrow(wide, _split_rows(splits), banded))
+            splits += 1
+        if not ways - {"blocks"}:
             break
-        before, level = left, level + 1
-        rows = hubs.select("bucket", F.col("u").alias("node"), "sketch")
+        level += 1
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     return edges
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the different shingles of WORDS words of a whole text."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    word = np.array([xxhash.xxh64_intdigest(x, 7) for x in w], np.uint64)
+    n = max(1, len(word) - WORDS + 1)
+    h = np.full(n, len(word) if len(word) < WORDS else WORDS, np.uint64)
+    for k in range(min(WORDS, len(word))):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n])
+    return np.unique(h)
+
+
+def alike(docs: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of the nodes of ``held`` (doc_id, sha, node) those whose texts have SIMILAR or more of their shingles in common.
+
+    Only texts of such nodes are read into shingles, one text a node.
+    """
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    n = ends.count()
+    chosen = materialise(join_bounded(held.select("node", "sha"), ends, ["node"], "left_semi", n, 64).groupBy("node").agg(F.min("sha").alias("sha")), "near-chosen")
+    marked = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
+    texts = join_bounded(marked, chosen, ["sha"], "inner", n, 140).select("node", "text")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t or b"").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["node", "own"])
+
+    own = materialise(map_arrow(texts, sets, "node binary, own binary").groupBy("node").agg(F.first("own").alias("own")), "near-shingles")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("own").alias(f"{c}_own"))
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        return batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    met = materialise(map_arrow(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_own", "v_own"), compare, "u binary, v binary"), "near-alike")
+    discard(chosen, own)
+    return met
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and sha of each different row with its group ``component``; doc_id and sha of the one that stays of each group."""
-    held = materialise(sketches(docs).groupBy("doc_id", "sha").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "sketches")
-    joined = components(near_edges(held), "near-components")
-    named = held.select("doc_id", "sha", "node").join(joined, "node", "left").select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
+    """doc_id and sha of each different row with its group ``component``; doc_id and sha of the one that stays of each group.
+
+    A node is a pair of sketches, named by a digest of them, so that neither the nodes nor what is linked depend on how rows lie.
+    """
+    node = F.unhex(F.md5(F.concat("screen", "sketch"))).alias("node")
+    held = materialise(sketches(docs).groupBy("doc_id", "sha").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")).withColumn("node", node), "sketches")
+    nodes = materialise(held.groupBy("node").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    near = materialise(near_links(nodes).groupBy("u", "v").agg(F.min("far").alias("far")), "near-links")
+    verified = alike(docs, held, near.where(F.col("far") > SURE_BITS).select("u", "v"))
+    joined = materialise(components(near.where(F.col("far") <= SURE_BITS).select("u", "v").unionByName(verified), "near-components"), "near-nodes")
+    discard(nodes, near, verified)
+    named = join_bounded(held.select("doc_id", "sha", "node"), joined, ["node"], "left", joined.count(), 64).select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "near-classes")
+    discard(held, joined)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
     stay = named.groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.sha")
     return named, stay
@@ -346,7 +505,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id (nulls are alike) and text, so rows with one doc_id and different
     texts go or stay each for itself; of rows that agree in both one stays, if any does. Columns of any name
     are kept as they are. Two texts are near copies at a similarity of SIMILAR of their sets of
-    five-word shingles, as the distance of their sketches tells it.
+    five-word shingles: where the distance of their sketches doesn't tell it surely, the sets are compared.
     """
     named, stay = near_copies(docs)
     id_, sha, mine = free("_id", docs), free("_sha", docs), free("_mine", docs)

@@ -378,6 +378,74 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def crowded(spark, n, pairs, seed):
+    """Rows of one bucket in every band, unlike but for some pairs a few bits apart."""
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 1 << 63, (n, 4)).astype(np.uint64)
+    at = r.permutation(n)[: 2 * pairs].reshape(-1, 2)
+    for a, b in at:
+        x[b] = x[a]
+        x[b, 0] ^= np.uint64(int(r.integers(1, 1 << 6)))
+    rows = [(k, bytes(32), v.tobytes()) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "node long, screen binary, sketch binary"), {tuple(sorted(p)) for p in at.tolist()}
+
+
+@pytest.mark.parametrize(("many", "splits"), [(32, 4), (3, 2)])
+def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch, many, splits):
+    """5,000 otherwise unlike rows in one bucket: every pair that links is found, by blocks, also where bits can't split the bucket."""
+    monkeypatch.setattr(simhash, "bands", lambda rows: np.arange(16).reshape(1, 16))
+    monkeypatch.setattr(simhash, "MANY_CHUNKS", many)
+    monkeypatch.setattr(simhash, "MOST_SPLITS", splits if many > 9 else 1)
+    held, planted = crowded(spark, 5000 if many > 9 else 1500, 60, 1)
+    got = simhash.near_edges(simhash.materialise(held, "test-crowded"), 512 if many > 9 else 300)
+    assert {tuple(sorted((x["u"], x["v"]))) for x in got.collect()} == planted
+
+
+def test_a_crowded_bucket_is_split_by_further_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "bands", lambda rows: np.arange(16).reshape(1, 16))
+    monkeypatch.setattr(simhash, "MANY_CHUNKS", 2)
+    r = np.random.default_rng(5)
+    held, planted = crowded(spark, 3000, 40, 2)
+    screens = r.integers(0, 1 << 63, (3000, 4)).astype(np.uint64)
+    screens[:, 0] &= ~np.uint64(0xFFFF)
+    for a, b in planted:
+        screens[b] = screens[a]
+    rows = [(x["node"], screens[x["node"]].tobytes(), x["sketch"]) for x in held.collect()]
+    held = simhash.materialise(spark.createDataFrame(rows, held.schema), "test-split")
+    assert {tuple(sorted((x["u"], x["v"]))) for x in simhash.near_edges(held, 100).collect()} == planted
+
+
+def test_the_same_rows_stay_at_any_partitioning(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    kept = []
+    for parts in (2, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        kept.append(sorted(x["doc_id"] for x in simhash.keep_one(docs.repartition(parts)).select("doc_id").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert kept[0] == kept[1]
+
+
+def test_recall_on_real_documents(spark, sf_dir):
+    """Of pairs at 0.8 to 0.85 nine in ten are in one group; a document without a partner at 0.75 is in none."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    texts = {x["doc_id"]: x["text"] if isinstance(x["text"], str) else bytes(x["text"] or b"").decode() for x in docs.collect()}
+    sets = {i: frozenset(hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))) for i, w in ((i, t.encode().lower().split()) for i, t in texts.items()) if w}
+    named, _ = simhash.near_copies(docs)
+    group = {x["doc_id"]: x["component"] for x in named.collect()}
+    where = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            where[x].append(i)
+    told, size = [], Counter(group.values())
+    for i, own in sets.items():
+        shared = Counter(j for x in own for j in where[x] if j != i)
+        near = [(n / (len(own) + len(sets[j]) - n), j) for j, n in shared.items()]
+        told += [group[i] == group[j] for s, j in near if i < j and 0.8 <= s < 0.85]
+        if max((s for s, _ in near), default=0) < 0.75:
+            assert size[group[i]] == 1
+    assert len(told) > 100 and np.mean(told) >= 0.9
+
+
 @pytest.mark.parametrize("chunk", [512, 20])
 def test_recall_of_near_copies(spark, chunk):
     """Against the Jaccard of five-word shingles: pairs clearly above 0.8 meet, unlike ones never; a group of many, too."""
