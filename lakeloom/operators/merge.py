@@ -9,14 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.increment import free, same
-
-#: Bytes of a counted delta up to which it may be broadcast instead of shuffling the target.
-BROADCAST_BYTES = 32 << 20
-
-
-def row_bytes(df: DataFrame) -> int:
-    """A generous size of a row in memory, by its types: the engine's own default sizes, with 100 bytes a text."""
-    return 16 + sum(100 if k == "string" else 400 if "<" in k else 16 for _, k in df.dtypes)
+from lakeloom.sources.storage import BROADCAST_BYTES, row_bytes
 
 
 def differs(a: str, b: str, columns: Sequence[str]) -> Column:

@@ -577,10 +577,11 @@ def dq_affected_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _more() -> None:
     """Queries over stored tables, validators, flows and streams."""
-    from lakeloom.plans import stored
+    from lakeloom.plans import feeds, stored
 
-    QUERIES.update(stored.QUERIES)
-    SQL.update(stored.SQL)
+    for more in (stored, feeds):
+        QUERIES.update(more.QUERIES)
+        SQL.update(more.SQL)
 
 
 _more()

@@ -19,7 +19,7 @@ from lakeloom.plans import marts
 from lakeloom.schemas import INCREMENTAL, SNAPSHOT, SOURCE, TABLES, source_schema
 from lakeloom.session import Run
 from lakeloom.sources.readers import DATED, Reader
-from lakeloom.sources.storage import Store, stable
+from lakeloom.sources.storage import Store, scratched, stable
 
 # staging
 
@@ -42,6 +42,7 @@ def incremental_source(source: Reader, name: str, mark: datetime | None = None)
     return source(name).join(dated, "ticket_no"), event
 
 
+@scratched
 def load_stage(store: Store, source: Reader, name: str, run: Run) -> None:
     """Append what is new. The mark is read from the staged rows without this run's, so that a retry sees the same window."""
     business = source_schema(name).fieldNames()
@@ -79,6 +80,7 @@ def typed_rows(name: str, rows: DataFrame, *lineage: F.Column | str) -> DataFram
     return rows.select(*[c.alias(n) for n, c in _ods_columns(name).items()], *lineage)
 
 
+@scratched
 def load_snapshot(store: Store, name: str, batch: str, run: Run) -> None:
     """Replace a snapshot table by one batch; the batch's id is its lineage."""
     rows = increment.snapshot_of(store.read(f"stg.{name}"), batch, SOURCE[name][1])
@@ -95,11 +97,9 @@ def current_delta(store: Store, name: str) -> DataFrame:
 
 
 def load_current(store: Store, name: str) -> None:
-    """Upsert what was staged since; the staged rows' lineage goes along, as it is the next mark."""
-    delta = stable(current_delta(store, name))
-    target = store.read(f"ods.{name}")
-    compare = [c for c in target.columns if c not in SOURCE[name][1] and c not in ("_load_id", "_load_ts", "event_ts")]
-    store.replace(f"ods.{name}", merge.scd1_upsert(target, delta, SOURCE[name][1], compare, delta_rows=delta.count()))
+    """Upsert what was staged since; the staged rows' lineage goes along, as it is the next mark. New and changed rows alone are written."""
+    compare = [c for c in TABLES[f"ods.{name}"].columns if c not in SOURCE[name][1] and c not in ("_load_id", "_load_ts", "event_ts")]
+    store.upsert(f"ods.{name}", current_delta(store, name), SOURCE[name][1], compare)
 
 
 # star schema
@@ -110,6 +110,7 @@ def load_calendar(store: Store, first: date = date(2016, 1, 1), last: date = dat
         store.replace("dds.dim_calendar", dimension.calendar(store.spark, first, last))
 
 
+@scratched
 def load_airports(store: Store, run: Run) -> None:
     source = store.read("ods.airports").withColumnRenamed("airport_code", "airport_bk")
     store.replace("dds.dim_airports", dimension.scd1_dimension(store.read("dds.dim_airports"), source, "airport_sk", "airport_bk", ["airport_name", "city", "country", "timezone", "coordinates"], run))
@@ -120,11 +121,13 @@ def airplanes_with_seats(airplanes: DataFrame, seats: DataFrame) -> DataFrame:
     return airplanes.join(n, "airplane_code", "left").withColumn("total_seats", F.coalesce("total_seats", F.lit(0)))
 
 
+@scratched
 def load_airplanes(store: Store, run: Run) -> None:
     source = airplanes_with_seats(store.read("ods.airplanes"), store.read("ods.seats")).withColumnRenamed("airplane_code", "airplane_bk")
     store.replace("dds.dim_airplanes", dimension.scd1_dimension(store.read("dds.dim_airplanes"), source, "airplane_sk", "airplane_bk", ["model", "range_km", "speed_kmh", "total_seats"], run))
 
 
+@scratched
 def load_tariffs(store: Store, run: Run) -> None:
     """Insert only: from the fares of segments."""
     source = store.read("ods.segments").where("fare_conditions IS NOT NULL").select("fare_conditions").distinct()
@@ -137,6 +140,7 @@ def latest_passengers(tickets: DataFrame) -> DataFrame:
     return increment.latest(tickets, ["passenger_id"], *order).select("passenger_id", "passenger_name")
 
 
+@scratched
 def load_passengers(store: Store, run: Run) -> None:
     store.replace("dds.dim_passengers", dimension.scd1_dimension(store.read("dds.dim_passengers"), latest_passengers(store.read("ods.tickets")), "passenger_sk", "passenger_id", ["passenger_name"], run))
 
@@ -154,6 +158,7 @@ def route_versions(routes: DataFrame, airports: DataFrame, airplanes: DataFrame)
     return rows.withColumn("days_of_week", parse.array_text("days_of_week")).withColumn("_duration", parse.interval_text("duration"))
 
 
+@scratched
 def load_routes(store: Store, run: Run, refresh_all: bool = False) -> None:
     source = route_versions(store.read("ods.routes"), store.read("dds.dim_airports"), store.read("dds.dim_airplanes"))
     store.replace("dds.dim_routes", dimension.scd2_apply(store.read("dds.dim_routes"), source, "route_sk", "route_bk", ROUTE_HASH, ROUTE_REFRESH, run, refresh_all))
@@ -220,6 +225,7 @@ def changed_segments(store: Store, ods: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+@scratched
 def load_fact(store: Store, run: Run, rebuild: bool = False) -> None:
     """Upsert the segments that changed, into the partitions that hold them or will.
 
@@ -261,6 +267,7 @@ INCREMENTAL_MARTS: dict[str, tuple[list[str], Callable[[DataFrame, marts.Dims],
 }
 
 
+@scratched
 def load_mart(store: Store, name: str, run: Run) -> None:
     """Recompute the grains that new or changed facts touch and merge them, into the months that hold them
     where the mart has months."""

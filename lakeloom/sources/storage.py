@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta, timezone
-from functools import reduce
+from functools import reduce, wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.schemas import TABLES, Table
@@ -19,6 +20,13 @@ from lakeloom.schemas import TABLES, Table
 _OWN: list[str] = []
 #: End of a whole pointer file, and the folder name of a partition.
 _END, _PARTITION = "\n.", "_p"
+#: Bytes of a counted side of a join up to which it may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """A generous size of a row in memory, by its types: the engine's own default sizes, with 100 bytes a text."""
+    return 16 + sum(100 if k == "string" else 400 if "<" in k else 16 for _, k in df.dtypes)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,10 +41,43 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables that ``stable`` makes inside are deleted at the end, also after an error."""
+    held: list[tuple[SparkSession, str]] = []
+    stack = _SCOPES.__dict__.setdefault("stack", [])
+    stack.append(held)
+    try:
+        yield
+    finally:
+        stack.remove(held)
+        for spark, path in held:
+            Files(spark, path).delete(path)
+
+
+def scratched(f: Callable) -> Callable:
+    """A function whose intermediate tables are deleted when it returns."""
+
+    @wraps(f)
+    def run(*args: object, **kwargs: object) -> object:
+        with scratch():
+            return f(*args, **kwargs)
+
+    return run
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """Write once and read back: cuts the lineage, and later reads see the same rows."""
+    """Write once and read back: cuts the lineage, and later reads see the same rows.
+
+    Inside ``scratch`` the files are deleted at its end; outside they stay, as what is returned may be read at any time.
+    """
     path = f"{shared_folder(df.sparkSession)}/lakeloom-stable/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if stack := _SCOPES.__dict__.get("stack"):
+        stack[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,75 +115,172 @@ class Files:
     def list(self, p: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(p))) if self.exists(p) else []
 
+    def bytes(self, p: str) -> int:
+        return self.fs.getContentSummary(self._path(p)).getLength()
+
+    def changed(self, p: str) -> datetime:
+        """When a file or folder was last changed, UTC."""
+        return datetime.fromtimestamp(self.fs.getFileStatus(self._path(p)).getModificationTime() / 1000, timezone.utc)
+
 
 class Missing(ValueError):
     """A required column holds nulls."""
 
 
 @dataclass
-class Pointer:
-    """What a table is: its versions, each a list of parts, and of each version how far its sources were loaded."""
+class State:
+    """What a table is at a version: its parts with their rows (null: not known), deleted rows by table of
+    positions, how far its sources were loaded, and the last batch of each writer that numbers its batches."""
+
+    parts: dict[str, int | None] = field(default_factory=dict)
+    hidden: dict[str, int] = field(default_factory=dict)
+    marks: dict[str, str] = field(default_factory=dict)
+    batches: dict[str, int] = field(default_factory=dict)
 
-    versions: list[list[str]] = field(default_factory=list)
-    marks: list[dict[str, str]] = field(default_factory=list)
+
+@dataclass
+class Commit:
+    """A change of a table, or its whole state at some versions, so that few changes are read to know a table."""
+
+    add: dict[str, int | None] = field(default_factory=dict)
+    drop: list[str] = field(default_factory=list)
+    hide: dict[str, int] = field(default_factory=dict)
+    show: list[str] = field(default_factory=list)
+    marks: dict[str, str] = field(default_factory=dict)
+    unmark: bool = False
+    batches: dict[str, int] = field(default_factory=dict)
+    state: dict | None = None
+
+    def apply(self, old: State) -> State:
+        if self.state is not None:
+            return State(**self.state)
+        gone, shown = set(self.drop), set(self.show)
+        return State(
+            {p: n for p, n in old.parts.items() if p not in gone} | self.add,
+            {p: n for p, n in old.hidden.items() if p not in shown} | self.hide,
+            ({} if self.unmark else old.marks) | self.marks,
+            old.batches | self.batches,
+        )
 
 
 class Store:
-    """Tables below a root. A table is a list of immutable parts; a pointer names the current list.
+    """Tables below a root. A table is a set of immutable parts; numbered pointers say what each version changed.
+
+    A pointer is created, never changed, and counts once it is whole. So a crash at any moment leaves
+    the old version or the new one, readers see the old rows or the new ones, a second writer of the same
+    number fails, and a table may be written from its own content. A pointer holds what its version adds and
+    drops, and every ``WHOLE`` versions the whole state, so that its size doesn't grow with the number of versions.
 
-    Pointers are numbered files that are created, never changed; the highest whole one counts. So
-    a crash at any moment leaves the old pointer or the new one, readers see the old rows or the new ones, a
-    second writer of the same number fails, and a table may be written from its own content. Appends
-    add a part and leave the others alone. Earlier versions stay until ``vacuum``.
+    Appends add a part. ``upsert`` adds a part of new and changed rows and a table of the positions of the rows
+    that those replace, which readers leave out: bytes written follow the change. ``compact`` writes small
+    parts and parts with deleted rows again; ``retain`` forgets old versions with their files; ``maintain`` does both.
+
+    A writer that numbers its batches, as a stream does, gives (writer, number): a batch that is in the table already
+    is not written again, as the number is committed together with the parts.
 
     A table with a ``partition`` (an SQL expression) is written in folders of its values; readers may name
     those they need, and ``replace_partitions`` leaves the others as they are.
     """
 
+    #: Versions between two whole states; versions that ``maintain`` keeps; small parts and deleted rows it lets be.
+    WHOLE, KEEP, SMALL_PARTS, HIDDEN_SHARE = 20, 50, 20, 0.1
+    #: Bytes up to which a part is small.
+    SMALL_BYTES = 64 << 20
+
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, Table] | None = None):
         self.spark, self.root, self.tables = spark, root.rstrip("/"), TABLES if tables is None else tables
         self.files = Files(spark, self.root)
+        self._known: dict[str, tuple[int, State]] = {}
+        self._top: dict[str, int] = {}  # number of the last pointer, whole or not
+        self._lost = False
 
     def _dir(self, name: str) -> str:
         return f"{self.root}/{name.replace('.', '/')}"
 
+    def _path(self, name: str, part: str) -> str:
+        """Parts of a clone's origin have whole paths."""
+        return part if "://" in part or part.startswith("/") else f"{self._dir(name)}/{part}"
+
+    # pointers
+
     def _numbers(self, name: str) -> list[int]:
+        """Numbers of pointers, the latest first, whole or not."""
         return sorted((int(f) for f in self.files.list(f"{self._dir(name)}/_pointers") if f.isdigit()), reverse=True)
 
-    def _pointer(self, name: str) -> Pointer:
-        for n in self._numbers(name):
-            text = self.files.read(f"{self._dir(name)}/_pointers/{n:012d}")
-            if text.endswith(_END):  # else a writer was stopped while it wrote
-                return Pointer(**json.loads(text.removesuffix(_END)))
-        return Pointer()
-
-    def _versions(self, name: str) -> list[list[str]]:
-        return self._pointer(name).versions
-
-    def _write(self, name: str, new: Pointer) -> None:
-        numbers = self._numbers(name)
-        self.files.write(f"{self._dir(name)}/_pointers/{(numbers or [0])[0] + 1:012d}", json.dumps(asdict(new)) + _END, overwrite=False)
-        for n in numbers[2:]:
-            self.files.delete(f"{self._dir(name)}/_pointers/{n:012d}")
-
-    def _add(self, name: str, parts: list[str], marks: dict[str, str] | None = None, like: int = -1) -> None:
-        """A new version, with the marks of another one (the last) and what it changes in them."""
-        old = self._pointer(name)
-        base = old.marks[like] if old.marks else {}
-        self._write(name, Pointer([*old.versions, parts], [*old.marks, base | (marks or {})]))
+    def _commit_of(self, name: str, number: int, base: bool = False) -> Commit | None:
+        path = f"{self._dir(name)}/_pointers/{number:012d}{'.base' if base else ''}"
+        text = self.files.read(path) if not base or self.files.exists(path) else ""
+        return Commit(**json.loads(text.removesuffix(_END))) if text.endswith(_END) else None  # else a writer was stopped while it wrote
+
+    def _held(self, name: str) -> list[tuple[int, State]]:
+        """All versions that are held, from the oldest whole state, with their numbers."""
+        out: list[tuple[int, State]] = []
+        for n in reversed(self._numbers(name)):
+            c = self._commit_of(name, n)
+            if c is not None and not out and c.state is None:
+                c = self._commit_of(name, n, base=True)
+            if c is not None:
+                out.append((n, c.apply(out[-1][1] if out else State())))
+        return out
+
+    def _newer(self, name: str, at: int, top: int) -> list[int]:
+        """Numbers above a known version, the latest first. Numbers have no holes, so that few files are looked at, not all listed."""
+        there = lambda n: self.files.exists(f"{self._dir(name)}/_pointers/{n:012d}")
+        while there(top + 1):
+            top += 1
+        return list(range(top, at, -1))
+
+    def _state(self, name: str) -> State:
+        at, state = self._known.get(name, (0, State()))
+        if at and self.files.exists(f"{self._dir(name)}/_pointers/{at:012d}"):
+            numbers = self._newer(name, at, self._top[name])
+        else:  # not known yet, or forgotten since
+            numbers, at, state = self._numbers(name), 0, State()
+        newer: list[tuple[int, Commit]] = []
+        for n in numbers:
+            if n <= at:
+                break
+            if (c := self._commit_of(name, n)) is not None:
+                if c.state is None and not at and (whole := self._commit_of(name, n, base=True)):
+                    c = whole
+                newer.append((n, c))
+                if c.state is not None:
+                    break
+        for n, c in reversed(newer):
+            at, state = n, c.apply(state)
+        self._known[name], self._top[name] = (at, state), max([at, *numbers])
+        return state
+
+    def _commit(self, name: str, change: Commit) -> None:
+        if self._lost:
+            raise RuntimeError(f"the lock of {self.root} was taken over")
+        state = change.apply(self._state(name))
+        at = self._known[name][0]
+        number = self._top[name] + 1
+        if change.state is None and (not at or number % self.WHOLE == 0):
+            change.state = asdict(state)
+        self.files.write(f"{self._dir(name)}/_pointers/{number:012d}", json.dumps(asdict(change)) + _END, overwrite=False)
+        self._known[name] = number, state
 
     def mark(self, name: str, source: str) -> datetime | None:
         """How far a source was loaded into the current version of a table."""
-        marks = self._pointer(name).marks
-        found = marks[-1].get(source) if marks else None
+        found = self._state(name).marks.get(source)
         return datetime.fromisoformat(found) if found else None
 
+    def batch(self, name: str, writer: str) -> int | None:
+        """The last batch of a writer that the current version has."""
+        return self._state(name).batches.get(writer)
+
+    def _done(self, name: str, batch: tuple[str, int] | None) -> bool:
+        return batch is not None and self._state(name).batches.get(batch[0], -1) >= batch[1]
+
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        self._state(name)
+        return self._known[name][0] > 0
 
     def create(self, name: str) -> None:
         if not self.exists(name):
-            self._add(name, [])
+            self._commit(name, Commit())
 
     def bootstrap(self) -> None:
         """Create what is missing; running it again changes nothing."""
@@ -150,23 +288,43 @@ class Store:
             self.create(name)
 
     def version(self, name: str) -> int:
-        return len(self._versions(name))
+        """How many versions are held; the current one has this number, the oldest one has 1."""
+        return len(self._held(name))
+
+    def parts(self, name: str) -> set[str]:
+        """Parts of the current version."""
+        return set(self._state(name).parts)
+
+    def written(self, name: str, parts: Iterable[str] | None = None) -> int:
+        """Rows of parts of the current version as they were written, deleted ones too; tables in partitions don't know them."""
+        held = self._state(name).parts
+        return sum(n or 0 for p, n in held.items() if parts is None or p in parts)
+
+    # reading
 
     def read(self, name: str, version: int | None = None, partitions: Iterable[str] | None = None) -> DataFrame:
         """The current rows, or those of an earlier version (from 1); of some partitions only, if they are named."""
-        versions = self._versions(name)
-        parts = versions[-1 if version is None else version - 1] if versions else []
-        if partitions is not None:
-            wanted = {f"{_PARTITION}={p}" for p in partitions}
-            parts = [p for p in parts if p.partition("/")[2] in wanted]
+        state = self._state(name) if version is None else self._held(name)[version - 1][1]
+        wanted = None if partitions is None else {f"{_PARTITION}={p}" for p in partitions}
+        return self._rows(name, state, [p for p in state.parts if wanted is None or p.rpartition("/")[2] in wanted])
+
+    def _rows(self, name: str, state: State, parts: Sequence[str], located: bool = False) -> DataFrame:
+        """Rows of parts without the deleted ones; ``located``: with their file and place in it."""
         schema = self.tables[name].schema
         if not parts:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self._dir(name)}/{p}" for p in parts])
+            rows = self.spark.createDataFrame([], schema)
+            return rows.withColumns({"_file": F.lit(None).cast("string"), "_row": F.lit(None).cast("long")}) if located else rows
+        rows = self.spark.read.schema(schema).parquet(*[self._path(name, p) for p in parts])
+        if not located and not state.hidden:
+            return rows
+        rows = rows.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        if state.hidden:
+            hidden = self.spark.read.schema("_file string, _row long").parquet(*[self._path(name, p) for p in state.hidden])
+            rows = rows.join(F.broadcast(hidden) if sum(state.hidden.values()) * 120 <= BROADCAST_BYTES else hidden, ["_file", "_row"], "left_anti")
+        return rows if located else rows.select(*schema.names)
 
     def partitions(self, name: str) -> list[str]:
-        versions = self._versions(name)
-        return sorted({p.partition(f"/{_PARTITION}=")[2] for p in (versions[-1] if versions else [])} - {""})
+        return sorted({p.rpartition(f"/{_PARTITION}=")[2] for p in self._state(name).parts if f"/{_PARTITION}=" in p})
 
     def partition_of(self, name: str, rows: DataFrame) -> list[str]:
         """The partitions that rows of a table belong to, as few as a table has."""
@@ -175,6 +333,8 @@ class Store:
     def _partition(self, name: str) -> Column:
         return F.coalesce(F.expr(self.tables[name].partition).cast("string"), F.lit("none")).alias(_PARTITION)
 
+    # writing
+
     def _checked(self, name: str, rows: DataFrame) -> DataFrame:
         table = self.tables[name]
         lacking = [c for c in table.columns if c not in rows.columns]
@@ -182,39 +342,88 @@ class Store:
             raise ValueError(f"{name} lacks {lacking}")
         return rows.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in zip(table.columns, table.schema, strict=True)])
 
-    def _part(self, name: str, rows: DataFrame) -> list[str]:
-        """Write a part, then look for nulls where none may be; a bad part is removed."""
+    def _part(self, name: str, rows: DataFrame) -> dict[str, int | None]:
+        """Write a part; its rows, and nulls where none may be, are counted while it is written. A bad part is removed."""
         part = f"part-{uuid.uuid4().hex}"
-        path, table = f"{self._dir(name)}/{part}", self.tables[name]
+        path, table, seen = f"{self._dir(name)}/{part}", self.tables[name], Observation()
         checked = self._checked(name, rows)
         if table.partition:
-            checked.select("*", self._partition(name)).hint("rebalance", _PARTITION).write.partitionBy(_PARTITION).parquet(path)
+            checked = checked.select("*", self._partition(name)).hint("rebalance", _PARTITION)
+        bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in table.required], F.lit(False))
+        checked = checked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+        if table.partition:
+            checked.write.partitionBy(_PARTITION).parquet(path)
         else:
             checked.write.parquet(path)
-        folders = [f"{part}/{f}" for f in self.files.list(path) if f.startswith(f"{_PARTITION}=")] if table.partition else [part]
-        bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in table.required], F.lit(False))
-        if folders and not self.spark.read.schema(table.schema).parquet(*[f"{self._dir(name)}/{f}" for f in folders]).where(bad).isEmpty():
+        found = seen.get
+        if found["bad"]:
             self.files.delete(path)
             raise Missing(f"null in a required column of {name}")
-        return folders
+        if not found["rows"]:
+            self.files.delete(path)
+            return {}
+        if not table.partition:
+            return {part: found["rows"]}
+        return {f"{part}/{f}": None for f in self.files.list(path) if f.startswith(f"{_PARTITION}=")}
 
-    def append(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None) -> None:
-        versions = self._versions(name)
-        self._add(name, [*(versions[-1] if versions else []), *self._part(name, rows)], marks)
+    def append(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> None:
+        if not self._done(name, batch):
+            self._commit(name, Commit(add=self._part(name, rows), marks=marks or {}, batches=dict([batch] if batch else [])))
 
-    def replace(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None) -> None:
-        self._add(name, self._part(name, rows), marks)
+    def replace(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> None:
+        if not self._done(name, batch):
+            new, old = self._part(name, rows), self._state(name)
+            self._commit(name, Commit(new, list(old.parts), show=list(old.hidden), marks=marks or {}, batches=dict([batch] if batch else [])))
 
     def replace_partitions(self, name: str, rows: DataFrame, partitions: Iterable[str], marks: dict[str, str] | None = None) -> None:
         """The whole new content of these partitions; the others keep their files."""
         gone = {f"{_PARTITION}={p}" for p in partitions}
-        versions = self._versions(name)
-        kept = [p for p in (versions[-1] if versions else []) if p.partition("/")[2] not in gone]
-        self._add(name, [*kept, *self._part(name, rows)], marks)
+        new = self._part(name, rows)
+        self._commit(name, Commit(new, [p for p in self._state(name).parts if p.rpartition("/")[2] in gone], marks=marks or {}))
+
+    def upsert(self, name: str, delta: DataFrame, key: Sequence[str], compare: Sequence[str], update: Sequence[str] | None = None, sequence: Sequence[str] = (), marks: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Update rows whose compared columns differ, insert new keys, delete nothing, and write no other row.
+
+        ``delta`` has one row for each key; ``update`` names the columns that an update writes (all but the key by
+        default). With a ``sequence`` of columns a row is changed only by one whose sequence is greater (null
+        least), and the sequence decides before ``compare``. A null key matches nothing. Of the table, the columns
+        that decide are read; a delta of few bytes is broadcast, so that the table isn't shuffled.
+        """
+        if self._done(name, batch):
+            return
+        done = {"marks": marks or {}, "batches": dict([batch] if batch else [])}
+        state, columns = self._state(name), list(self.tables[name].columns)
+        if not state.parts:
+            self._commit(name, Commit(add=self._part(name, delta), **done))
+            return
+        update = [c for c in (update or columns) if c not in key]
+        with scratch():
+            new = stable(self._checked(name, delta))
+            n = new.count()
+            if not n:
+                self._commit(name, Commit(**done))
+                return
+            small = n * row_bytes(new) <= BROADCAST_BYTES
+            target = self._rows(name, state, list(state.parts), located=True).alias("t")
+            on = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"d.{k}") for k in key])
+            differs = reduce(lambda a, b: a | b, [~F.col(f"t.{c}").eqNullSafe(F.col(f"d.{c}")) for c in compare], F.lit(False))
+            if sequence:
+                later = F.struct(*[F.col(f"d.{c}") for c in sequence]) > F.struct(*[F.col(f"t.{c}") for c in sequence])
+                differs = differs & later
+            pick = [F.col(f"d.{c}" if c in update or c in key else f"t.{c}").alias(c) for c in columns]
+            met = stable(target.join((F.broadcast(new) if small else new).alias("d"), on).select(*pick, "t._file", "t._row", differs.alias("_changed")))
+            changed = met.where("_changed")
+            known = met.select(*key).distinct()
+            fresh = new.alias("d").join((F.broadcast(known) if small else known).alias("t"), on, "left_anti")
+            part = self._part(name, changed.select(*columns).unionByName(fresh.select(*columns)))
+            hide, gone = f"gone-{uuid.uuid4().hex}", changed.count()
+            if gone:
+                changed.select("_file", "_row").write.parquet(f"{self._dir(name)}/{hide}")
+            self._commit(name, Commit(part, hide={hide: gone} if gone else {}, **done))
 
     def truncate(self, name: str) -> None:
-        old = self._pointer(name)
-        self._write(name, Pointer([*old.versions, []], [*old.marks, {}]))
+        old = self._state(name)
+        self._commit(name, Commit(drop=list(old.parts), show=list(old.hidden), unmark=True))
 
     def reset(self) -> None:
         for name in self.tables:
@@ -222,18 +431,61 @@ class Store:
                 self.truncate(name)
 
     def restore(self, name: str, version: int) -> None:
-        """Make an earlier version the current one."""
-        self._add(name, self._versions(name)[version - 1], like=version - 1)
+        """Make an earlier version the current one. Batches that writers committed since stay committed."""
+        then, now = self._held(name)[version - 1][1], self._state(name)
+        drop, show = [p for p in now.parts if p not in then.parts], [p for p in now.hidden if p not in then.hidden]
+        self._commit(name, Commit({p: n for p, n in then.parts.items() if p not in now.parts}, drop, {p: n for p, n in then.hidden.items() if p not in now.hidden}, show, then.marks, True))
+
+    # upkeep
+
+    def compact(self, name: str) -> bool:
+        """Write small parts, and parts with deleted rows if those are many, again as one; false if there is no need."""
+        state = self._state(name)
+        whole = {p for p in state.parts if f"/{_PARTITION}=" not in p}
+        small = {p for p in whole if p.startswith("part-") and self.files.bytes(self._path(name, p)) <= self.SMALL_BYTES} if len(whole) > self.SMALL_PARTS else set()
+        hidden, held = sum(state.hidden.values()), [state.parts[p] for p in state.parts]
+        many = hidden and (hidden * 120 > BROADCAST_BYTES or (None not in held and hidden > self.HIDDEN_SHARE * sum(held)))
+        chosen = list(state.parts) if many else sorted(small) if len(small) > self.SMALL_PARTS else []
+        if not chosen:
+            return False
+        self._commit(name, Commit(self._part(name, self._rows(name, state, chosen)), chosen, show=list(state.hidden) if many else []))
+        return True
+
+    def retain(self, name: str, keep: int, grace: timedelta = timedelta(0)) -> None:
+        """Forget all but the last versions; files that no held version has, and that are older than ``grace``, are deleted."""
+        held = self._held(name)[-keep:]
+        if not held:
+            return
+        first, state = held[0]
+        if self._commit_of(name, first).state is None:  # its whole state, beside the pointer, which isn't changed
+            self.files.write(f"{self._dir(name)}/_pointers/{first:012d}.base", json.dumps(asdict(Commit(state=asdict(state)))) + _END)
+        for n in self._numbers(name):
+            if n < first:
+                self.files.delete(f"{self._dir(name)}/_pointers/{n:012d}")
+                self.files.delete(f"{self._dir(name)}/_pointers/{n:012d}.base")
+        used = {p.partition("/")[0] for _, s in held for p in (*s.parts, *s.hidden)}
+        before = datetime.now(timezone.utc) - grace
+        for f in self.files.list(self._dir(name)):
+            if f.startswith(("part-", "gone-")) and f not in used and self.files.changed(f"{self._dir(name)}/{f}") <= before:
+                self.files.delete(f"{self._dir(name)}/{f}")
 
     def vacuum(self, name: str) -> None:
-        """Remove the files of all versions but the current one."""
-        old = self._pointer(name)
-        current = old.versions[-1]
-        self._write(name, Pointer([current], [old.marks[-1]]))
-        held = {p.partition("/")[0] for p in current}
-        for p in self.files.list(self._dir(name)):
-            if p.startswith("part-") and p not in held:
-                self.files.delete(f"{self._dir(name)}/{p}")
+        """Forget all versions but the current one, with their files."""
+        self.retain(name, 1)
+
+    def maintain(self, name: str, keep: int | None = None, grace: timedelta = timedelta(hours=24)) -> None:
+        """Compact where there is need; keep the last versions, and files that a reader or writer may still use."""
+        self.compact(name)
+        self.retain(name, keep or self.KEEP, grace)
+
+    def clone(self, root: str, names: Iterable[str]) -> Store:
+        """Another store with the current content of tables and no copy of their files: what is written there stays there."""
+        other = Store(self.spark, root, {n: self.tables[n] for n in names})
+        for n in other.tables:
+            state = self._state(n)
+            whole = lambda held, n=n: {self._path(n, p): k for p, k in held.items()}
+            other._commit(n, Commit(state=asdict(State(whole(state.parts), whole(state.hidden), state.marks, state.batches))))
+        return other
 
     def describe(self, name: str) -> DataFrame:
         """Columns of a table with their types, whether they are required, and their comments."""
@@ -249,25 +501,44 @@ class Store:
         one = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("columns"))
         return one.select(F.lit(name).alias("table_name"), "n", F.explode("columns").alias("c")).select("table_name", "n", "c.*")
 
+    # one writer
+
     @contextmanager
-    def lock(self, stale: timedelta = timedelta(hours=24)) -> Iterator[None]:
+    def lock(self, stale: timedelta = timedelta(minutes=15)) -> Iterator[None]:
         """One writer at a time: surrogate keys rely on it.
 
-        The lock names its owner and time. One older than ``stale`` was left by a driver that died and is
-        taken over; a younger one can be removed by ``break_lock`` once its owner is known to be gone.
+        The lock names its owner and time, and a live owner renews it every third of ``stale``. An older one was left
+        by a driver that died and is taken over; if its owner lives after all, its next commit fails. ``break_lock``
+        removes one whose owner is known to be gone.
         """
-        p, me, now = f"{self.root}/_lock", uuid.uuid4().hex, datetime.now(timezone.utc)
+        p, me = f"{self.root}/_lock", uuid.uuid4().hex
+        says = lambda: json.dumps({"owner": me, "app": self.spark.sparkContext.applicationId, "at": datetime.now(timezone.utc).isoformat()})
+        holder = lambda: json.loads(self.files.read(p) or "{}") if self.files.exists(p) else {}
         if self.files.exists(p):
-            held = json.loads(self.files.read(p) or "{}")
+            held = holder()
             since = datetime.fromisoformat(held["at"]) if "at" in held else None
-            if since is None or now - since < stale:
+            if since is None or datetime.now(timezone.utc) - since < stale:
                 raise RuntimeError(f"{self.root} is locked by {held.get('owner', 'another load')} since {held.get('at', 'an unknown time')}")
             self.break_lock()
-        self.files.write(p, json.dumps({"owner": me, "app": self.spark.sparkContext.applicationId, "at": now.isoformat()}), overwrite=False)
+        self.files.write(p, says(), overwrite=False)
+        ended = threading.Event()
+
+        def renew() -> None:
+            while not ended.wait(stale.total_seconds() / 3):
+                if holder().get("owner") != me:
+                    self._lost = True
+                    return
+                self.files.write(p, says())
+
+        beat = threading.Thread(target=renew, daemon=True)
+        beat.start()
         try:
             yield
         finally:
-            if self.files.exists(p) and json.loads(self.files.read(p) or "{}").get("owner") == me:
+            ended.set()
+            beat.join()
+            self._lost = False
+            if holder().get("owner") == me:
                 self.files.delete(p)
 
     def break_lock(self) -> None:
