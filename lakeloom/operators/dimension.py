@@ -114,6 +114,34 @@ def asof_lookup(fact: DataFrame, dim: DataFrame, key: tuple[str, str], day: Colu
     return rows.join(d, on, "left").drop(k, low, high, at)
 
 
+def asof_carry(fact: DataFrame, dim: DataFrame, key: tuple[str, str], at: Column, columns: dict[str, str], valid_from: str = "valid_from", valid_to: str = "valid_to", span: int | None = None) -> DataFrame:
+    """As ``asof_lookup``, for keys of many versions: rows and versions are sorted together and the last version is carried forward.
+
+    A row costs the same whatever the number of versions; ``asof_lookup`` meets all versions of its key. Of versions
+    that overlap the one that began last counts, so that no row repeats. ``at`` and the bounds have one type, a date or a
+    timestamp. With a ``span`` of days a key is cut into ranges of time, each sorted by itself, as one key may hold a
+    large share of all rows: the version that is valid when a range begins is added to it.
+    """
+    k, low, high, kind, t, own, cell, held = (free(x, fact) for x in ("_k", "_from", "_to", "_kind", "_at", "_row", "_cell", "_held"))
+    version = dim.where(F.col(key[1]).isNotNull() & F.col(valid_from).isNotNull()).select(F.col(key[1]).alias(k), F.col(valid_from).alias(low), F.col(valid_to).alias(high), F.struct(*[F.col(c).alias(n) for c, n in columns.items()]).alias(held))
+    rows = fact.select(F.col(key[0]).alias(k), at.alias(t), F.lit(1).alias(kind), F.struct(*fact.columns).alias(own))
+    keys = [k]
+    if span:
+        number = lambda c: F.floor(F.unix_date(F.to_date(c)) / span)
+        first, last = rows.agg(F.min(number(F.col(t))), F.max(number(F.col(t)))).first()
+        if first is not None:
+            after = Window.partitionBy(k).orderBy(low)
+            until = F.least(F.coalesce(number(F.lead(low).over(after)), F.lit(last)), F.lit(last))
+            start = F.greatest(number(F.col(low)), F.lit(first))
+            version = version.withColumn("_until", until).where(start <= F.col("_until")).withColumn(cell, F.explode(F.sequence(start, F.col("_until")))).drop("_until")
+            rows, keys = rows.withColumn(cell, number(F.col(t))), [k, cell]
+    both = rows.unionByName(version.withColumn(t, F.col(low)).withColumn(kind, F.lit(0)), allowMissingColumns=True)
+    seen = F.last(F.when(F.col(kind) == 0, F.struct(F.col(high).alias("to"), F.col(held).alias("v"))), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col(t).asc_nulls_first(), kind, F.col(low).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn(held, seen).where(F.col(kind) == 1)
+    valid = F.col(k).isNotNull() & F.col(t).isNotNull() & (F.col(f"{held}.to").isNull() | (F.col(t) < F.col(f"{held}.to")))
+    return found.select(f"{own}.*", *[F.when(valid, F.col(f"{held}.v.{n}")).alias(n) for n in columns.values()])
+
+
 def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The row with the greatest version of each key, as text."""
     return latest(rows, [key], F.col(version).desc_nulls_first())
@@ -162,4 +190,4 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, columns
     return fact.join(d, fact[fact_key] == d[k], "left").drop(k)
 
 
-__all__ = ["asof_lookup", "assign_keys", "calendar", "gaps", "latest_version", "lookup", "max_key", "overlaps", "same", "scd1_dimension", "scd2_apply"]
+__all__ = ["asof_carry", "asof_lookup", "assign_keys", "calendar", "gaps", "latest_version", "lookup", "max_key", "overlaps", "same", "scd1_dimension", "scd2_apply"]

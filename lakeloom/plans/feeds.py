@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lakeloom.operators import dimension
 from lakeloom.plans import adapter
 from lakeloom.plans.stored import RUN_1, _checkpoint, _customers, new_store
 from lakeloom.schemas import Table
@@ -181,3 +182,24 @@ def store_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
     other.maintain("a.customers", keep=1, grace=timedelta(0))
     return store.read("a.customers").withColumn("store", F.lit("origin")).unionByName(other.read("a.customers").withColumn("store", F.lit("clone")))
 
+
+
+# many versions of one key
+
+
+@query(
+    "WITH ver AS (SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS BIGINT) AS k, CAST(o_orderdate AS DATE) AS f, min(o_orderkey) AS v FROM orders GROUP BY 1, 2), span AS (SELECT k, f, CASE WHEN v % 5 = 0 THEN f + 3 ELSE lead(f) OVER (PARTITION BY k ORDER BY f) END AS t, v FROM ver)"
+    ", x AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS BIGINT) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+    " SELECT l_orderkey, l_linenumber, CASE WHEN t IS NULL OR day < t THEN CAST(v AS BIGINT) END AS v FROM x ASOF LEFT JOIN span ON x.k = span.k AND x.day >= span.f"
+)
+def asof_many_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price list of a day for each line: a third of all rows and versions have one key, every fifth version ends early."""
+    day = lambda c: F.to_date(c)
+    k = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).cast("bigint").alias("k")
+    orders = adapter.table(spark, sf_dir, "orders").select("o_orderkey", k, day("o_orderdate").alias("valid_from"))
+    lists = orders.groupBy("k", "valid_from").agg(F.min("o_orderkey").cast("bigint").alias("v"))
+    after = F.lead("valid_from").over(Window.partitionBy("k").orderBy("valid_from"))
+    dim = lists.select(F.col("k").alias("bk"), "valid_from", F.when(F.col("v") % 5 == 0, F.date_add("valid_from", 3)).otherwise(after).alias("valid_to"), "v")
+    lines = adapter.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(orders.select("o_orderkey", "k"), F.col("l_orderkey") == F.col("o_orderkey"))
+    out = dimension.asof_carry(lines, dim, ("k", "bk"), day("l_shipdate"), {"v": "v"}, span=90)
+    return out.select(F.col("l_orderkey"), F.col("l_linenumber"), "v")

@@ -164,24 +164,32 @@ def load_routes(store: Store, run: Run, refresh_all: bool = False) -> None:
     store.replace("dds.dim_routes", dimension.scd2_apply(store.read("dds.dim_routes"), source, "route_sk", "route_bk", ROUTE_HASH, ROUTE_REFRESH, run, refresh_all))
 
 
-def fact_rows(ods: dict[str, DataFrame], dims: marts.Dims) -> DataFrame:
-    """Every segment with its keys resolved; a dimension that lacks a row leaves a null key."""
-    segments = ods["segments"].select("ticket_no", "flight_id", "fare_conditions", F.col("amount").alias("price"))
-    tickets = ods["tickets"].select("ticket_no", "book_ref", "passenger_id")
-    bookings = ods["bookings"].select("book_ref", F.to_date("book_date").alias("book_date"))
-    flights = ods["flights"].select("flight_id", "route_no", F.to_date("scheduled_departure").alias("_day"))
-    passes = ods["boarding_passes"].select("ticket_no", "flight_id", "seat_no", F.lit(True).alias("_boarded"))
-    rows = segments.join(passes, ["ticket_no", "flight_id"], "left").join(tickets, "ticket_no").join(bookings, "book_ref").join(flights, "flight_id")
-    routes = dimension.latest_version(ods["routes"], "route_no", "validity").select(F.col("route_no").alias("_r"), "departure_airport", "arrival_airport")
-    rows = rows.join(routes, rows["route_no"] == routes["_r"], "left").drop("_r")
+def resolved_flights(flights: DataFrame, routes: DataFrame, dims: marts.Dims) -> DataFrame:
+    """Flights with all keys that follow from them: day, airports, the route's version of the day and its airplane.
+
+    Resolved here, a flight is looked up once, not once for each of its passengers.
+    """
+    rows = flights.select("flight_id", "route_no", F.to_date("scheduled_departure").alias("_day"))
+    latest = dimension.latest_version(routes, "route_no", "validity").select(F.col("route_no").alias("_r"), "departure_airport", "arrival_airport")
+    rows = rows.join(latest, rows["route_no"] == latest["_r"], "left").drop("_r")
     look = dimension.lookup
     rows = look(rows, dims["calendar"], "_day", "date_actual", {"calendar_sk": "calendar_sk"})
     rows = look(rows, dims["airports"], "departure_airport", "airport_bk", {"airport_sk": "departure_airport_sk"})
     rows = look(rows, dims["airports"], "arrival_airport", "airport_bk", {"airport_sk": "arrival_airport_sk"})
-    rows = look(rows, dims["tariffs"], "fare_conditions", "fare_conditions", {"tariff_sk": "tariff_sk"})
-    rows = look(rows, dims["passengers"], "passenger_id", "passenger_id", {"passenger_sk": "passenger_sk"})
-    rows = dimension.asof_lookup(rows, dims["routes"], ("route_no", "route_bk"), F.col("_day"), {"route_sk": "route_sk", "airplane_code": "_plane"})
+    rows = dimension.asof_carry(rows, dims["routes"], ("route_no", "route_bk"), F.col("_day"), {"route_sk": "route_sk", "airplane_code": "_plane"})
     rows = look(rows, dims["airplanes"], "_plane", "airplane_bk", {"airplane_sk": "airplane_sk"})
+    return rows.select("flight_id", "calendar_sk", "departure_airport_sk", "arrival_airport_sk", "airplane_sk", "route_sk")
+
+
+def fact_rows(ods: dict[str, DataFrame], dims: marts.Dims) -> DataFrame:
+    """Every segment with its keys resolved; a dimension that lacks a row leaves a null key."""
+    segments = ods["segments"].select("ticket_no", "flight_id", "fare_conditions", F.col("amount").alias("price"))
+    bookings = ods["bookings"].select("book_ref", F.to_date("book_date").alias("book_date"))
+    tickets = dimension.lookup(ods["tickets"].select("ticket_no", "book_ref", "passenger_id"), dims["passengers"], "passenger_id", "passenger_id", {"passenger_sk": "passenger_sk"}).join(bookings, "book_ref")
+    passes = ods["boarding_passes"].select("ticket_no", "flight_id", "seat_no", F.lit(True).alias("_boarded"))
+    flights = resolved_flights(ods["flights"], ods["routes"], dims)
+    rows = segments.join(passes, ["ticket_no", "flight_id"], "left").join(tickets, "ticket_no").join(flights, "flight_id")
+    rows = dimension.lookup(rows, dims["tariffs"], "fare_conditions", "fare_conditions", {"tariff_sk": "tariff_sk"})
     return rows.select(
         "calendar_sk", "departure_airport_sk", "arrival_airport_sk", "airplane_sk", "tariff_sk", "passenger_sk", "route_sk", "book_ref", "ticket_no", "flight_id", "book_date", "seat_no", "price", F.col("_boarded").isNotNull().alias("is_boarded")
     )
@@ -200,7 +208,7 @@ def dims_of(store: Store) -> marts.Dims:
     return {n: store.read(f"dds.dim_{n}") for n in ("calendar", "airports", "airplanes", "tariffs", "passengers", "routes")}
 
 
-FACT = "dds.fact_flight_sales"
+FACT, SUMS = "dds.fact_flight_sales", "dds.flight_sums"
 
 
 def _marks(ods: dict[str, DataFrame]) -> dict[str, str]:
@@ -236,6 +244,7 @@ def load_fact(store: Store, run: Run, rebuild: bool = False) -> None:
     marks = _marks(ods)
     if rebuild or not store.partitions(FACT):
         store.replace(FACT, fact_upsert(store.spark.createDataFrame([], TABLES[FACT].schema), fact_rows(ods, dims_of(store)), run), marks)
+        load_sums(store, run)
         return
     keys = stable(changed_segments(store, ods))
     mine = ods["segments"].join(keys, ["ticket_no", "flight_id"], "left_semi")
@@ -244,6 +253,16 @@ def load_fact(store: Store, run: Run, rebuild: bool = False) -> None:
     touched = sorted({*store.partition_of(FACT, known), *store.partition_of(FACT, delta)})
     if touched:
         store.replace_partitions(FACT, fact_upsert(store.read(FACT, partitions=touched), delta, run), touched, marks)
+        load_sums(store, run, touched)
+
+
+def load_sums(store: Store, run: Run, partitions: list[str] | None = None) -> None:
+    """Sums of each flight, of the fact's partitions that a load has touched or of all: what marts over flights read instead of the fact."""
+    sums = marts.flight_sums(store.read(FACT, partitions=partitions)).withColumn("_load_id", run.id()).withColumn("_load_ts", run.ts())
+    if partitions is None:
+        store.replace(SUMS, sums)
+    else:
+        store.replace_partitions(SUMS, sums, partitions)
 
 
 # marts
@@ -281,8 +300,11 @@ def load_mart(store: Store, name: str, run: Run) -> None:
     mark = store.mark(table, FACT) or increment.high_water_mark(mart, "_load_ts")
     if key == ["calendar_sk"]:  # the fact's partitions that new rows are in hold all rows of their days
         fact = store.read(FACT, partitions=store.partition_of(FACT, increment.newer(fact, "_load_ts", mark)))
-    if name == "monthly_overview":  # its key is a month: facts carry it while they are cut
+    if name == "monthly_overview":  # its key is a month: facts carry it while they are cut, and only those months' partitions are read
         months = dims["calendar"].select(F.col("calendar_sk").alias("_m"), "year_actual", "month_actual")
+        days = stable(increment.newer(fact, "_load_ts", mark).select(F.col("calendar_sk").alias("_m")).distinct())
+        there = months.join(months.join(days, "_m").select("year_actual", "month_actual").distinct(), ["year_actual", "month_actual"])
+        fact = store.read(FACT, partitions=store.partition_of(FACT, there.select(F.col("_m").alias("calendar_sk"))))
         fact = fact.join(months, F.col("calendar_sk") == F.col("_m")).drop("_m")
         aggregate = lambda rows, d, f=aggregate: f(rows.drop("year_actual", "month_actual"), d)
     delta = stable(recompute.affected_rows(fact, mark, key, lambda rows: aggregate(rows, dims), lambda d: _audited(d, run).select(*mart.columns)))
@@ -294,5 +316,6 @@ def load_mart(store: Store, name: str, run: Run) -> None:
 
 
 def load_route_performance(store: Store, run: Run) -> None:
-    rows = marts.route_performance(store.read("dds.fact_flight_sales"), dims_of(store))
+    """From the sums of flights, some hundred times fewer rows than the fact's."""
+    rows = marts.route_performance_of(store.read(SUMS), dims_of(store))
     store.replace("dm.route_performance", rows.withColumn("_load_id", run.id()).withColumn("_load_ts", run.ts()))

@@ -2,7 +2,7 @@
 
 Each takes the fact (cut to what is affected) and the dimensions by name, and returns the mart's
 business columns. Dimensions are left to the optimizer: it broadcasts those it knows to be small.
-Distinct counts come from the raw rows, never from partial sums.
+Distinct counts come from distinct rows of the grain they count, never from partial counts.
 """
 
 from __future__ import annotations
@@ -78,14 +78,23 @@ def airport_traffic(fact: DataFrame, dims: Dims) -> DataFrame:
     return named.select(F.col("date_actual").alias("traffic_date"), "airport_sk", "airport_bk", "city", "departures_flights", "departures_passengers", "departures_revenue", "arrivals_flights", "arrivals_passengers", "arrivals_revenue", "total_passengers")
 
 
+def flight_sums(fact: DataFrame) -> DataFrame:
+    """Tickets, boarded passengers and revenue of each flight: what marts over flights need of the fact."""
+    return fact.groupBy("route_sk", "airplane_sk", "calendar_sk", "flight_id").agg(F.count(F.lit(1)).alias("n"), _boarded().cast("bigint").alias("b"), F.sum("price").cast("decimal(20,2)").alias("s"))
+
+
 def route_performance(fact: DataFrame, dims: Dims) -> DataFrame:
+    return route_performance_of(flight_sums(fact), dims)
+
+
+def route_performance_of(sums: DataFrame, dims: Dims) -> DataFrame:
     """Route across all its versions, with the attributes of the open one; closed routes drop out."""
     routes = dims["routes"]
     versions = routes.select("route_sk", "route_bk")
     agg = (
-        dated(fact.join(versions, "route_sk"), dims, "left")
+        dated(sums.join(versions, "route_sk"), dims, "left")
         .groupBy("route_bk")
-        .agg(F.count_distinct("flight_id").alias("flights"), F.count(F.lit(1)).alias("n"), _boarded().alias("b"), F.sum("price").alias("s"), F.min("date_actual").alias("first_flight_date"), F.max("date_actual").alias("last_flight_date"))
+        .agg(F.count_distinct("flight_id").alias("flights"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("s").alias("s"), F.min("date_actual").alias("first_flight_date"), F.max("date_actual").alias("last_flight_date"))
     )
     now = routes.where("valid_to IS NULL").select(
         "route_bk", "route_sk", F.col("departure_airport").alias("departure_airport_bk"), "departure_city", F.col("arrival_airport").alias("arrival_airport_bk"), "arrival_city", F.col("airplane_code").alias("airplane_bk"), "airplane_model", "total_seats"
@@ -119,11 +128,14 @@ def monthly_overview(fact: DataFrame, dims: Dims) -> DataFrame:
     that average is boarded over flights times seats, exactly and without a second grouping.
     """
     key = ["year_actual", "month_actual", "airplane_sk"]
-    rows = dated(fact.where("airplane_sk IS NOT NULL"), dims).join(dims["routes"].select("route_sk", "route_bk"), "route_sk", "left")
+    some = fact.where("airplane_sk IS NOT NULL")
+    flights = dated(flight_sums(some), dims).join(dims["routes"].select("route_sk", "route_bk"), "route_sk", "left")
     planes = dims["airplanes"].select("airplane_sk", "airplane_bk", F.col("model").alias("airplane_model"), "total_seats")
-    agg = rows.groupBy(*key).agg(
-        F.count_distinct("flight_id").alias("flights"), F.count(F.lit(1)).alias("n"), _boarded().alias("b"), F.sum("price").alias("s"), F.count_distinct("route_bk").alias("routes"), F.count_distinct("passenger_sk").alias("passengers")
-    )
+    sums = flights.groupBy(*key).agg(F.count_distinct("flight_id").alias("flights"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("s").alias("s"), F.count_distinct("route_bk").alias("routes"))
+    # each passenger once a day, once a month, then counted: no row of the fact is repeated for another distinct count
+    daily = some.where("passenger_sk IS NOT NULL").groupBy("airplane_sk", "calendar_sk", "passenger_sk").agg(F.lit(1).alias("one"))
+    people = dated(daily, dims).groupBy(*key, "passenger_sk").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count(F.lit(1)).alias("passengers"))
+    agg = sums.join(people, key, "left").withColumn("passengers", F.coalesce("passengers", F.lit(0)))
     return (
         agg.join(planes, "airplane_sk")
         .select(

@@ -1,6 +1,7 @@
 """Operators on tiny frames: the seed scenarios."""
 
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
@@ -201,6 +202,23 @@ def test_lookup_edges(spark):
     assert rows(out, "k", "d", "sk") == sorted([("a", date(2024, 1, 1), 1), ("a", date(2024, 1, 2), 2), ("z", date(2024, 1, 2), None), ("a", None, None)], key=repr)
 
 
+@pytest.mark.parametrize("span", [None, 1, 30, 400])
+def test_versions_carried_forward(spark, span):
+    """Against the join with all versions, with gaps, ties of time, null keys and days, a key of ten thousand versions, names that clash."""
+    day = lambda n: date(2000, 1, 1) + timedelta(days=n)
+    r = random.Random(1)
+    versions = [("hot", i, day(i), day(i + 1 if i % 3 else i + 2 if i % 2 else i + 1)) for i in range(0, 3000, 2)]
+    versions += [(k, 10_000 + i, day(100 * i), None if i == 3 else day(100 * i + (100 if i % 2 else 40))) for k in "abc" for i in range(4)] + [(None, 1, day(0), None)]
+    dim = spark.createDataFrame(versions, "bk string, sk int, valid_from date, valid_to date")
+    facts = [(r.choice(["hot", "hot", "a", "b", "c", "z", None]), None if r.random() < 0.02 else day(r.randint(-50, 3100)), i) for i in range(1500)] + [("hot", day(10), 7)] * 3
+    fact = spark.createDataFrame(facts, "k string, d date, _k int")
+    mine = dimension.asof_carry(fact, dim, ("k", "bk"), F.col("d"), {"sk": "sk"}, span=span)
+    assert mine.columns == ["k", "d", "_k", "sk"]
+    assert rows(mine, "k", "d", "_k", "sk") == rows(dimension.asof_lookup(fact, dim, ("k", "bk"), F.col("d"), {"sk": "sk"}), "k", "d", "_k", "sk")
+    assert dimension.asof_carry(fact.limit(0), dim, ("k", "bk"), F.col("d"), {"sk": "sk"}, span=span).count() == 0
+    assert dimension.asof_carry(fact, dim.limit(0), ("k", "bk"), F.col("d"), {"sk": "sk"}, span=span).where("sk IS NOT NULL").count() == 0
+
+
 def test_calendar(spark):
     c = dimension.calendar(spark)
     assert c.count() == 5479
