@@ -28,8 +28,8 @@ from lakeloom.llm.common import discard, join_bounded, map_arrow, materialise, r
 BINS = 4096
 #: Labelled rows a language that a model is fitted on; the bound of the training sample.
 SAMPLE = 300
-#: Characters of a sampled text that are fitted on. Predictions read whole texts.
-FIT_CHARS = 20_000
+#: Characters of a sampled text that are fitted on: so many pieces spread evenly over it. Predictions read whole texts.
+FIT_CHARS, FIT_PIECES = 20_000, 10
 CENTROIDS = 3
 #: A text is rejected below MARGIN times this quantile of the cosines of labelled pieces with as many n-grams.
 QUANTILE, MARGIN = 0.01, 0.65
@@ -137,13 +137,20 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], l
     return langs, scores, rejected
 
 
+def spread_pieces(column: str) -> Column:
+    """A text, or pieces spread evenly over a long one."""
+    size, n = FIT_CHARS // FIT_PIECES, F.char_length(column)
+    piece = lambda k: F.substring(F.col(column), (F.floor(k * (n - size) / (FIT_PIECES - 1)) + 1).cast("int"), F.lit(size))
+    return F.when(n <= FIT_CHARS, F.col(column)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FIT_PIECES - 1)), piece), ""))
+
+
 def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE) -> list[tuple[str, bytes]]:
     """At most ``per_language`` different rows of each language, chosen by a hash of doc_id and text.
 
     Rows that agree in language, doc_id and text count once, whatever their number, so that a
     language with any labelled row is learned. A language's count sets how low a hash must be, so
-    that about twice the rows needed are sorted; of each chosen text the first FIT_CHARS characters
-    are fitted on, which bounds what reaches the driver.
+    that about twice the rows needed are sorted; of each longer text FIT_CHARS characters, in pieces
+    from its beginning to its end, are fitted on, which bounds what reaches the driver.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
@@ -155,7 +162,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE) -> list[t
     named = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"))
     held = materialise(ids, "sampled")
     chosen = join_bounded(named, held, ["lang", "h", "h2"], "left_semi", held.count(), 60)
-    once = chosen.groupBy("lang", "h", "h2").agg(F.first(F.substring("text", 1, FIT_CHARS)).alias("text"))
+    once = chosen.groupBy("lang", "h", "h2").agg(F.first(spread_pieces("text")).alias("text"))
     found = [(r["lang"], r["text"].encode()) for r in once.collect()]
     discard(distinct, share, held)
     return found

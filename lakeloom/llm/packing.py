@@ -8,7 +8,8 @@ the smallest gap left); a new sequence is opened where no open one has room.
 
 Texts are cut at ASCII white space, and between a letter and punctuation, before they reach the
 tokenizer, which never joins ids across either, and lower-cased, as the tokenizer does itself; the ids
-of each such word are kept in a bounded table of the worker.
+of each such word are kept in a bounded table of the worker. A tokenizer whose file doesn't say that it works
+so gets whole texts.
 
 Defined cases: null and empty texts are one piece, the end id. Repeated rows are packed each. An
 empty table gives no piece. Extra columns are ignored.
@@ -16,6 +17,7 @@ empty table gives no piece. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -49,13 +51,24 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _KEPT: dict[int, Words] = {}
 
 
+def works_by_words(json_text: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, and joins neither letters with other characters nor words."""
+    c = json.loads(json_text)
+    flat = lambda x, many: [x] if x and many not in x else (x or {}).get(many, [])
+    normal, cut = flat(c.get("normalizer"), "normalizers"), flat(c.get("pre_tokenizer"), "pretokenizers")
+    split = cut[0] if cut and cut[0].get("type") == "Split" else {}
+    pattern = split.get("pattern", {}).get("Regex", "")
+    removes = split.get("behavior") == "Removed" and split.get("invert") is True and "[\\p{L}]+|" in pattern and pattern.endswith("[^\\s\\p{L}\\p{N}]+")
+    return any(n["type"] == "Lowercase" for n in normal) and removes and c["model"].get("end_of_word_suffix") == "</w>"
+
+
 class Words:
     """Ids of words, kept in two tables: when the newer one is full it becomes the older one."""
 
-    def __init__(self, json: str, kept: int = WORDS):
+    def __init__(self, text: str, kept: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.coder, self.kept = Tokenizer.from_str(json), kept
+        self.coder, self.kept, self.by_words = Tokenizer.from_str(text), kept, works_by_words(text)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.mark = self.coder.encode(MARK, add_special_tokens=False).ids
@@ -67,6 +80,8 @@ class Words:
         """Ids of whole texts, without the end id; each distinct word of the texts is looked up once."""
         if not len(texts):
             return []
+        if not self.by_words:
+            return [np.array(self.coder.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
         apart = pc.replace_substring_regex(texts, AFTER_LETTER, r"\1 \2")
         words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(apart, KEEPS_CASE), apart, pc.ascii_lower(apart)))
         coded = words.flatten().dictionary_encode()
@@ -120,13 +135,13 @@ class Words:
                 out |= zip(part, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)], strict=True)
 
 
-def encode(json: str, texts: pa.Array) -> list[np.ndarray]:
+def encode(vocabulary_: str, texts: pa.Array) -> list[np.ndarray]:
     """Ids of whole texts, without the end id, by this worker's tables."""
-    key = hash(json)
+    key = hash(vocabulary_)
     if key not in _KEPT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _KEPT.clear()
-        _KEPT[key] = Words(json)
+        _KEPT[key] = Words(vocabulary_)
     return _KEPT[key].encode(texts)
 
 
@@ -164,9 +179,9 @@ def sum_of_squares(lengths: np.ndarray, size: int = LENGTH, open_early: bool = F
     return where, offset
 
 
-def pieces(docs: DataFrame, json: str, size: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary_: str, size: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece."""
-    shared = docs.sparkSession.sparkContext.broadcast(json)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, at = [], []
@@ -183,12 +198,12 @@ def pieces(docs: DataFrame, json: str, size: int = LENGTH) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, json: str, size: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_: str, size: int = LENGTH, group: int = GROUP) -> DataFrame:
     """A row for each piece with its sequence_id and offset.
 
     Sequences of group g have ids from g * 2**32; whole ones have negative ids.
     """
-    cut = pieces(docs, json, size).withColumn("row", F.monotonically_increasing_id())
+    cut = pieces(docs, vocabulary_, size).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(cut, "pieces")
     groups = max(1, round(rows.where(F.col("length") < size).count() / group))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -17,6 +17,7 @@ of any length. Repeated rows get equal rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ UNKNOWN = -30.0
 #: Nodes of a trie and pre-tokens with known counts, of one task; beyond them the tables start anew.
 NODES, KEPT = 200_000, 300_000
 
-_MODEL: dict[int, tuple] = {}
+_MODEL: dict[bytes, Counter] = {}
 
 
 class Vocabulary:
@@ -100,9 +101,9 @@ class Counter:
 def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     """doc_id, n_pretokens and n_tokens of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    key = hashlib.sha256("\0".join(pieces).encode()).digest()  # of all pieces: a worker may serve several vocabularies
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = hash(tuple(shared.value[:99])) ^ len(shared.value)
         if key not in _MODEL:
             _MODEL.clear()
             _MODEL[key] = Counter(Vocabulary(shared.value))

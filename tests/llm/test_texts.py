@@ -530,3 +530,28 @@ def test_language_predictions_like_brute_force(spark, sf_dir):
         sizes, limits = model.limits[row["lang_pred"]]
         limit = np.interp(math.log2(sum(tf.values())), sizes, limits)
         assert row["rejected"] == (cosines[best] < limit) or abs(cosines[best] - limit) < 1e-5
+
+
+def test_a_tokenizer_that_does_not_work_by_words_gets_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  World, it's 42!\n New line", "", "ÀB  c", "tabs\tand   spaces "]
+    for name, by_words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        json = packing.vocabulary(public_tokenizers.path(name))
+        assert packing.works_by_words(json) is by_words
+        got = packing.Words(json).encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [Tokenizer.from_str(json).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_vocabularies_that_begin_alike_are_told_apart(spark):
+    start = [f"a{i}" for i in range(100)]
+    counts = lambda *last: token_counts.count_tokens(frame(spark, ["xyz"]), [*start, *last, *"xyz▁"]).first()["n_tokens"]
+    assert [counts("▁xyz"), counts("▁xy"), counts("▁xyz")] == [1, 2, 1]
+
+
+def test_pieces_of_a_long_text_are_spread(spark):
+    long = "".join(chr(97 + i // 10_000) for i in range(200_000))
+    df = spark.createDataFrame([("short",), (long,), (None,)], "text string").select(language_id.spread_pieces("text").alias("p"))
+    short, spread, none = [r["p"] for r in df.collect()]
+    assert (short, none) == ("short", None) and spread.startswith("aa") and spread.endswith("tt") and len(set(spread)) > 9 and len(spread) == language_id.FIT_CHARS
