@@ -141,7 +141,7 @@ def spread_pieces(column: str) -> Column:
     """A text, or pieces spread evenly over a long one."""
     size, n = FIT_CHARS // FIT_PIECES, F.char_length(column)
     piece = lambda k: F.substring(F.col(column), (F.floor(k * (n - size) / (FIT_PIECES - 1)) + 1).cast("int"), F.lit(size))
-    return F.when(n <= FIT_CHARS, F.col(column)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FIT_PIECES - 1)), piece), ""))
+    return F.when(n > FIT_CHARS, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FIT_PIECES - 1)), piece), "")).otherwise(F.col(column))
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE) -> list[tuple[str, bytes]]:
