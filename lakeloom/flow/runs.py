@@ -72,7 +72,10 @@ def validate_graph(store: Store, run: Run) -> Graph:
 
 
 def run_all(store: Store, source: Reader, run: Run, days: tuple[date, date] | None = None, threads: int = 4, delay: float = 0.0) -> list[Outcome]:
-    """Staging, current state, star schema and marts, one after the other, under the store's lock."""
+    """Staging, current state, star schema and marts, one after the other, under the store's lock; then the tables' upkeep."""
     with store.lock():
         graphs = (lambda: stage_graph(store, source, run, delay), lambda: ods_graph(store, run, delay=delay), lambda: dds_graph(store, run, days, delay=delay), lambda: dm_graph(store, run, delay))
-        return [g().run(threads).check() for g in graphs]
+        out = [g().run(threads).check() for g in graphs]
+        for name in store.tables:
+            store.maintain(name)
+        return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.parse import hashdiff
 from lakeloom.operators.increment import free, latest, same
-from lakeloom.operators.merge import insert_new, scd1_upsert
+from lakeloom.operators.merge import differs, insert_new, scd1_upsert
 from lakeloom.session import Run
 from lakeloom.sources.storage import stable
 
@@ -60,6 +60,18 @@ def scd1_dimension(dim: DataFrame, source: DataFrame, sk: str, bk: str, attribut
     return old.unionByName(new.select(*dim.columns))
 
 
+def scd1_delta(dim: DataFrame, source: DataFrame, sk: str, bk: str, attributes: Sequence[str], run: Run, update: bool = True) -> DataFrame:
+    """The rows of a type-1 dimension that a load adds or changes, whole, with their keys; see ``scd1_dimension``."""
+    fresh = source.select(bk, *attributes)
+    audit = [run.ts().alias("created_at"), run.ts().alias("updated_at"), run.id().alias("_load_id"), run.ts().alias("_load_ts")]
+    new = assign_keys(insert_new(dim, fresh, [bk]), sk, [bk], max_key(dim, sk)).select(sk, bk, *attributes, *audit)
+    if not (update and attributes):
+        return new.select(*dim.columns)
+    known = dim.select(bk, sk, *attributes).alias("t").join(fresh.alias("s"), same("t", "s", [bk])).where(differs("t", "s", attributes))
+    changed = known.select(F.col(f"t.{sk}"), F.col(f"s.{bk}"), *[F.col(f"s.{c}") for c in attributes], *audit)
+    return new.unionByName(changed).select(*dim.columns)
+
+
 def scd2_apply(dim: DataFrame, source: DataFrame, sk: str, bk: str, hashed: Sequence[Column | str], refreshed: Sequence[str], run: Run, refresh_all: bool = False) -> DataFrame:
     """Type-2 dimension with half-open versions ``[valid_from, valid_to)``; open ones have no end.
 

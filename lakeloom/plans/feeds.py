@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from datetime import timedelta
@@ -13,9 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakeloom.operators import dimension
 from lakeloom.plans import adapter
-from lakeloom.plans.stored import RUN_1, _checkpoint, _customers, new_store
+from lakeloom.plans.stored import RUN_1, RUN_2, _checkpoint, _customers, new_store
+from lakeloom.quality import checks, tables
 from lakeloom.schemas import Table
-from lakeloom.sources.storage import shared_folder
+from lakeloom.sources.storage import Refused, shared_folder
 from lakeloom.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +205,46 @@ def asof_many_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = adapter.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(orders.select("o_orderkey", "k"), F.col("l_orderkey") == F.col("o_orderkey"))
     out = dimension.asof_carry(lines, dim, ("k", "bk"), day("l_shipdate"), {"v": "v"}, span=90)
     return out.select(F.col("l_orderkey"), F.col("l_linenumber"), "v")
+
+
+# checks that need no join, or no read
+
+
+@query(
+    "SELECT 'whole' AS load, 'keys' AS check_name, 'ERROR' AS severity, true AS ok, CAST(0 AS DOUBLE) AS value, (SELECT count(*) FROM customer) AS held UNION ALL SELECT 'whole', 'rich.any', 'WARN', n = 0, CAST(n AS DOUBLE), (SELECT count(*) FROM customer) FROM (SELECT count(*) FILTER (WHERE c_acctbal > 9990) AS n FROM customer)"
+    " UNION ALL SELECT 'whole', 'rich', 'ERROR', true, CAST(count(*) FILTER (WHERE c_acctbal > 9990) AS DOUBLE) / count(*), count(*) FROM customer"
+    " UNION ALL SELECT 'broken', 'keys', 'ERROR', false, CAST(count(*) FILTER (WHERE c_custkey % 5 = 0) AS DOUBLE), count(*) FROM customer UNION ALL SELECT 'broken', 'rich.any', 'WARN', n = 0, CAST(n AS DOUBLE), (SELECT count(*) FROM customer) FROM (SELECT count(*) FILTER (WHERE c_acctbal > 9990) AS n FROM customer)"
+    " UNION ALL SELECT 'broken', 'rich', 'ERROR', true, CAST(count(*) FILTER (WHERE c_acctbal > 9990) AS DOUBLE) / count(*), count(*) FROM customer"
+)
+def store_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules answered while a part is written, without another read; a part that breaks one of severity ERROR is refused."""
+    store = new_store(spark, c=Table("a.accounts", {"k": "bigint!", "name": "string", "balance": "double"}, ("k",)))
+    c = adapter.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("balance"))
+    rules = [checks.is_filled("keys", ["k", "name"], ["name"]), checks.is_rare("rich", F.col("balance") > 9990, 0.5)]
+    out = []
+    for load, rows in (("whole", c), ("broken", c.withColumn("name", F.when(F.col("k") % 5 != 0, F.col("name")).otherwise(F.lit(" "))))):
+        with contextlib.suppress(Refused):
+            store.append("a.accounts", rows, rules=rules)
+        out.append(tables.as_rows(spark, store.findings["a.accounts"]).select(F.lit(load).alias("load"), "*", F.lit(store.written("a.accounts")).cast("bigint").alias("held")))
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "SELECT 'alike.missing' AS check_name, 'ERROR' AS severity, true AS ok, CAST(0 AS DOUBLE) AS value UNION ALL SELECT 'alike.extra', 'ERROR', true, 0 UNION ALL SELECT 'other.missing', 'ERROR', n = 0, CAST(n AS DOUBLE) FROM (SELECT count(*) FILTER (WHERE o_orderkey % 100 = 1) AS n FROM orders)"
+    " UNION ALL SELECT 'other.extra', 'ERROR', n = 0, CAST(n AS DOUBLE) FROM (SELECT count(*) FILTER (WHERE o_orderkey % 100 = 2) AS n FROM orders)"
+)
+def dq_same_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of two tables by sums of hashes; they are joined only where the sums differ: here one in a hundred is lost and another renamed."""
+    o = adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
+    k = F.col("k")
+    held = o.where(k % 100 != 1).unionByName(o.where(k % 100 == 2).select((-k - 1).alias("k")))
+    return tables.as_rows(spark, [*checks.same_keys("alike.missing", "alike.extra", o, o.repartition(7, "k"), ["k"]), *checks.same_keys("other.missing", "other.extra", o, held, ["k"])])
+
+
+@query("SELECT 'batch' AS check_name, 'ERROR' AS severity, false AS ok, CAST(count(*) AS DOUBLE) AS value FROM nation WHERE n_regionkey IN (1, 3) UNION ALL SELECT 'history', 'ERROR', true, 0")
+def dq_batch_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents are looked for in the child's own batch: those that an earlier batch had, and this one lacks, are no parents of it."""
+    n = adapter.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    history = n.select("k", F.lit("run_1").alias("_load_id")).unionByName(n.where("r NOT IN (1, 3)").select("k", F.lit("run_2").alias("_load_id")))
+    found = [checks.references("batch", n, ["k"], history.where(F.col("_load_id") == RUN_2.run_id), ["k"]), checks.references("history", n, ["k"], history, ["k"])]
+    return tables.as_rows(spark, found)

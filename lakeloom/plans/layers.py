@@ -6,7 +6,9 @@ that the same load wrote.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from functools import reduce
 
@@ -18,7 +20,7 @@ from lakeloom.operators import dimension, increment, merge, recompute
 from lakeloom.plans import marts
 from lakeloom.schemas import INCREMENTAL, SNAPSHOT, SOURCE, TABLES, source_schema
 from lakeloom.session import Run
-from lakeloom.sources.readers import DATED, Reader
+from lakeloom.sources.readers import DATED, Jdbc, Reader
 from lakeloom.sources.storage import Store, scratched, stable
 
 # staging
@@ -57,6 +59,30 @@ def load_stage(store: Store, source: Reader, name: str, run: Run) -> None:
     store.append(f"stg.{name}", rows)
 
 
+def load_first(store: Store, source: Jdbc, name: str, run: Run, column: str, parts: int, threads: int = 4) -> int:
+    """The first load of a large source table, in parts of equal rows that are read side by side.
+
+    Where the database cuts is kept with the table, and each part is committed as a batch of this run. So a load that was
+    stopped goes on with the parts that are lacking when it is called again with its run, and a whole one adds nothing. How many
+    parts there are is returned.
+    """
+    table, writer = f"stg.{name}", f"first.{run.run_id}"
+    cuts = store.note(table, f"{writer}.{column}")
+    if cuts is None:
+        cuts = store.note(table, f"{writer}.{column}", json.dumps(source.cuts(store.spark, name, column, parts)))
+    kind = source_schema(name)[column].dataType.typeName()
+    conditions = source.predicates(f"r.{column}", json.loads(cuts), kind == "string" and column not in source.numbers.get(name, ()))
+    business = source_schema(name).fieldNames()
+
+    def load(k: int) -> None:
+        rows, event = source.part(store.spark, name, conditions[k])
+        store.append(table, increment.staged(rows, business, event, run), batch=(f"{writer}.{k}", 0))
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(load, range(len(conditions))))
+    return len(conditions)
+
+
 # current state
 
 
@@ -110,10 +136,17 @@ def load_calendar(store: Store, first: date = date(2016, 1, 1), last: date = dat
         store.replace("dds.dim_calendar", dimension.calendar(store.spark, first, last))
 
 
+def _upsert_dimension(store: Store, name: str, source: DataFrame, sk: str, bk: str, attributes: Sequence[str], run: Run, update: bool = True) -> None:
+    """A type-1 dimension: rows that are new or have changed are written, the others aren't touched."""
+    table = f"dds.dim_{name}"
+    delta = dimension.scd1_delta(store.read(table), source, sk, bk, attributes, run, update)
+    store.upsert(table, delta, [bk], attributes or [bk], [*attributes, "updated_at", "_load_id", "_load_ts"])
+
+
 @scratched
 def load_airports(store: Store, run: Run) -> None:
     source = store.read("ods.airports").withColumnRenamed("airport_code", "airport_bk")
-    store.replace("dds.dim_airports", dimension.scd1_dimension(store.read("dds.dim_airports"), source, "airport_sk", "airport_bk", ["airport_name", "city", "country", "timezone", "coordinates"], run))
+    _upsert_dimension(store, "airports", source, "airport_sk", "airport_bk", ["airport_name", "city", "country", "timezone", "coordinates"], run)
 
 
 def airplanes_with_seats(airplanes: DataFrame, seats: DataFrame) -> DataFrame:
@@ -124,14 +157,14 @@ def airplanes_with_seats(airplanes: DataFrame, seats: DataFrame) -> DataFrame:
 @scratched
 def load_airplanes(store: Store, run: Run) -> None:
     source = airplanes_with_seats(store.read("ods.airplanes"), store.read("ods.seats")).withColumnRenamed("airplane_code", "airplane_bk")
-    store.replace("dds.dim_airplanes", dimension.scd1_dimension(store.read("dds.dim_airplanes"), source, "airplane_sk", "airplane_bk", ["model", "range_km", "speed_kmh", "total_seats"], run))
+    _upsert_dimension(store, "airplanes", source, "airplane_sk", "airplane_bk", ["model", "range_km", "speed_kmh", "total_seats"], run)
 
 
 @scratched
 def load_tariffs(store: Store, run: Run) -> None:
     """Insert only: from the fares of segments."""
     source = store.read("ods.segments").where("fare_conditions IS NOT NULL").select("fare_conditions").distinct()
-    store.replace("dds.dim_tariffs", dimension.scd1_dimension(store.read("dds.dim_tariffs"), source, "tariff_sk", "fare_conditions", [], run, update=False))
+    _upsert_dimension(store, "tariffs", source, "tariff_sk", "fare_conditions", [], run, update=False)
 
 
 def latest_passengers(tickets: DataFrame) -> DataFrame:
@@ -142,7 +175,7 @@ def latest_passengers(tickets: DataFrame) -> DataFrame:
 
 @scratched
 def load_passengers(store: Store, run: Run) -> None:
-    store.replace("dds.dim_passengers", dimension.scd1_dimension(store.read("dds.dim_passengers"), latest_passengers(store.read("ods.tickets")), "passenger_sk", "passenger_id", ["passenger_name"], run))
+    _upsert_dimension(store, "passengers", latest_passengers(store.read("ods.tickets")), "passenger_sk", "passenger_id", ["passenger_name"], run)
 
 
 ROUTE_HASH = ["departure_airport", "arrival_airport", "airplane_code", "days_of_week", "departure_time", "_duration"]

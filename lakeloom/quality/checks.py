@@ -127,6 +127,23 @@ def no_extra(check: str, expected: DataFrame, held: DataFrame, key: Sequence[str
     return _none(check, missing(held, expected, key).count(), "keys are held that were not expected")
 
 
+def content(rows: DataFrame, key: Sequence[str]) -> Column:
+    """Number of rows and a sum of hashes of their keys, whatever their order."""
+    return F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*key).cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64(F.lit(1), *key).cast("decimal(20,0)")).alias("more"))
+
+
+def same_keys(missing_check: str, extra_check: str, expected: DataFrame, held: DataFrame, key: Sequence[str]) -> list[Finding]:
+    """``covers`` and ``no_extra`` of tables that should hold the same keys.
+
+    Each side is read once and summed; they are joined only where the sums differ, to tell how many keys are
+    missing or extra. Keys of one type are hashed alike.
+    """
+    a, b = (r.select(content(r, key).alias("c")).first()["c"] for r in (expected.select(*key), held.select(*key)))
+    if a == b:
+        return [_none(missing_check, 0, "expected keys are missing"), _none(extra_check, 0, "keys are held that were not expected")]
+    return [covers(missing_check, expected, held, key), no_extra(extra_check, expected, held, key)]
+
+
 def is_rare(check: str, bad: Column, limit: float = 0.01) -> Rule:
     """Any bad row warns, more than a share of them fails."""
 

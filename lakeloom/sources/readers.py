@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -34,6 +34,8 @@ class Jdbc:
     properties: dict[str, str] = field(default_factory=dict)
     text_columns: dict[str, tuple[str, ...]] = field(default_factory=dict)
     splits: dict[str, tuple[str, int, int, int]] = field(default_factory=dict)
+    #: Columns that are text in the staging tables and numbers in the database.
+    numbers: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"flights": ("flight_id",), "segments": ("flight_id",), "boarding_passes": ("flight_id",)})
 
     def _dated(self, table: str) -> tuple[str, str]:
         """A table with the column that dates its rows; the database joins what a table takes from others."""
@@ -68,6 +70,39 @@ class Jdbc:
         dated = [F.col("book_date").cast("timestamp_ntz").alias("book_date")] if newer_than and table not in DATED else []
         return rows.select(*columns, *dated)
 
+    def cuts(self, spark: SparkSession, table: str, column: str, parts: int) -> list[str]:
+        """Values of a column, text or number, that cut a table into parts of equal rows: the database orders and skips.
+
+        They come from the column's own values, so that reads side by side are balanced however those are spread.
+        Fewer than ``parts - 1`` come back where one value would begin several parts.
+        """
+        own = {"url": self.url} | self.properties
+        ask = lambda sql: spark.read.format("jdbc").options(**own, query=sql).load().collect()
+        where = f"FROM {self.schema}.{table} WHERE {column} IS NOT NULL"
+        n = ask(f"SELECT COUNT(*) AS n {where}")[0][0]
+        found = [ask(f"SELECT {column} AS k {where} ORDER BY {column} OFFSET {n * i // parts} ROWS FETCH NEXT 1 ROWS ONLY") for i in range(1, parts)] if n >= parts else []
+        return list(dict.fromkeys(str(r[0][0]) for r in found if r))
+
+    @staticmethod
+    def predicates(column: str, cuts: Sequence[str], text: bool = True) -> list[str]:
+        """Conditions that cut a table at values of a column: every row meets exactly one, rows without a value the first."""
+        quoted = ["'" + c.replace("'", "''") + "'" if text else c for c in cuts]
+        if not quoted:
+            return ["1 = 1"]
+        inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(quoted, quoted[1:], strict=False)]
+        return [f"{column} < {quoted[0]} OR {column} IS NULL", *inner, f"{column} >= {quoted[-1]}"]
+
+    def part(self, spark: SparkSession, table: str, condition: str) -> tuple[DataFrame, str]:
+        """The rows of a table that meet a condition on a column ``r.name``, with the column that dates them."""
+        rows, date = self._dated(table)
+        sql = f"({rows} WHERE {condition}) q"
+        options = {k: v for k, v in self.options(table).items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")} | {"dbtable": sql}
+        found = spark.read.format("jdbc").options(**options).load()
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in source_schema(table)]
+        event = date.partition(".")[2]
+        extra = [] if event in source_schema(table).fieldNames() else [F.col(event).cast("timestamp_ntz").alias(event)]
+        return found.select(*columns, *extra), event
+
     def source(self, spark: SparkSession) -> JdbcSource:
         return JdbcSource(self, spark)
 

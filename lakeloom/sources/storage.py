@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta, timezone
 from functools import reduce, wraps
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,17 @@ class Missing(ValueError):
     """A required column holds nulls."""
 
 
+class Refused(ValueError):
+    """A rule that a part was written under doesn't hold."""
+
+
+class Rule(Protocol):
+    """What can be asked of rows while they are written: an aggregate without distinct, and the findings its value makes."""
+
+    value: Column
+    findings: Callable
+
+
 @dataclass
 class State:
     """What a table is at a version: its parts with their rows (null: not known), deleted rows by table of
@@ -191,8 +203,10 @@ class Store:
         self.spark, self.root, self.tables = spark, root.rstrip("/"), TABLES if tables is None else tables
         self.files = Files(spark, self.root)
         self._known: dict[str, tuple[int, State]] = {}
+        self.findings: dict[str, list] = {}  # of the rules of the last part of each table
         self._top: dict[str, int] = {}  # number of the last pointer, whole or not
         self._lost = False
+        self._turn = threading.RLock()  # threads of one driver may append to one table
 
     def _dir(self, name: str) -> str:
         return f"{self.root}/{name.replace('.', '/')}"
@@ -231,6 +245,10 @@ class Store:
         return list(range(top, at, -1))
 
     def _state(self, name: str) -> State:
+        with self._turn:
+            return self._look(name)
+
+    def _look(self, name: str) -> State:
         at, state = self._known.get(name, (0, State()))
         if at and self.files.exists(f"{self._dir(name)}/_pointers/{at:012d}"):
             numbers = self._newer(name, at, self._top[name])
@@ -254,13 +272,19 @@ class Store:
     def _commit(self, name: str, change: Commit) -> None:
         if self._lost:
             raise RuntimeError(f"the lock of {self.root} was taken over")
-        state = change.apply(self._state(name))
-        at = self._known[name][0]
-        number = self._top[name] + 1
-        if change.state is None and (not at or number % self.WHOLE == 0):
-            change.state = asdict(state)
-        self.files.write(f"{self._dir(name)}/_pointers/{number:012d}", json.dumps(asdict(change)) + _END, overwrite=False)
-        self._known[name] = number, state
+        with self._turn:
+            state = change.apply(self._state(name))
+            at, number = self._known[name][0], self._top[name] + 1
+            if change.state is None and (not at or number % self.WHOLE == 0):
+                change.state = asdict(state)
+            self.files.write(f"{self._dir(name)}/_pointers/{number:012d}", json.dumps(asdict(change)) + _END, overwrite=False)
+            self._known[name], self._top[name] = (number, state), number
+
+    def note(self, name: str, key: str, text: str | None = None) -> str | None:
+        """A text that a load keeps with a table, beside the marks; given one, it is written."""
+        if text is not None:
+            self._commit(name, Commit(marks={f"note.{key}": text}))
+        return self._state(name).marks.get(f"note.{key}")
 
     def mark(self, name: str, source: str) -> datetime | None:
         """How far a source was loaded into the current version of a table."""
@@ -342,15 +366,16 @@ class Store:
             raise ValueError(f"{name} lacks {lacking}")
         return rows.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in zip(table.columns, table.schema, strict=True)])
 
-    def _part(self, name: str, rows: DataFrame) -> dict[str, int | None]:
-        """Write a part; its rows, and nulls where none may be, are counted while it is written. A bad part is removed."""
+    def _part(self, name: str, rows: DataFrame, rules: Sequence[Rule] = ()) -> dict[str, int | None]:
+        """Write a part; its rows, nulls where none may be, and what rules ask for are counted while it is written. A part
+        that has such nulls, or of which a rule's findings make ``require`` raise, is removed."""
         part = f"part-{uuid.uuid4().hex}"
         path, table, seen = f"{self._dir(name)}/{part}", self.tables[name], Observation()
         checked = self._checked(name, rows)
         if table.partition:
             checked = checked.select("*", self._partition(name)).hint("rebalance", _PARTITION)
         bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in table.required], F.lit(False))
-        checked = checked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+        checked = checked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"), *[r.value.alias(f"rule{i}") for i, r in enumerate(rules)])
         if table.partition:
             checked.write.partitionBy(_PARTITION).parquet(path)
         else:
@@ -359,6 +384,11 @@ class Store:
         if found["bad"]:
             self.files.delete(path)
             raise Missing(f"null in a required column of {name}")
+        self.findings[name] = [f for i, r in enumerate(rules) for f in r.findings(found[f"rule{i}"])]
+        worst = [f for f in self.findings[name] if not f.ok and f.severity == "ERROR"]
+        if worst:
+            self.files.delete(path)
+            raise Refused("; ".join(f"{f.check}: {f.message}" for f in worst))
         if not found["rows"]:
             self.files.delete(path)
             return {}
@@ -366,9 +396,9 @@ class Store:
             return {part: found["rows"]}
         return {f"{part}/{f}": None for f in self.files.list(path) if f.startswith(f"{_PARTITION}=")}
 
-    def append(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> None:
+    def append(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None, batch: tuple[str, int] | None = None, rules: Sequence[Rule] = ()) -> None:
         if not self._done(name, batch):
-            self._commit(name, Commit(add=self._part(name, rows), marks=marks or {}, batches=dict([batch] if batch else [])))
+            self._commit(name, Commit(add=self._part(name, rows, rules), marks=marks or {}, batches=dict([batch] if batch else [])))
 
     def replace(self, name: str, rows: DataFrame, marks: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> None:
         if not self._done(name, batch):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators.merge import scd1_upsert
+from lakeloom.quality import checks
 from lakeloom.schemas import Table
 from lakeloom.session import Run
 from lakeloom.sources import storage
@@ -172,6 +173,24 @@ def test_a_lock_is_renewed_and_a_lost_one_stops_its_owner(spark, store):
     store.break_lock()
 
 
+def test_rules_while_writing(spark, store):
+    good, bad = spark.createDataFrame([(1, "a", 1, 1), (2, "b", 2, 1)], SCHEMA), spark.createDataFrame([(3, " ", 3, 1)], SCHEMA)
+    rules = [checks.is_filled("v", ["v"], ["v"]), checks.always("n", F.col("n") < 10), checks.has_rows("least", 1)]
+    store.append("a.t", good, rules=rules)
+    assert [(f.check, f.ok, f.value) for f in store.findings["a.t"]] == [("v", True, 0), ("n", True, 0), ("least", True, 2)]
+    with pytest.raises(storage.Refused, match="v: 1 rows"):
+        store.append("a.t", bad, rules=rules)
+    assert store.read("a.t").count() == 2 and len([f for f in store.files.list(store._dir("a.t")) if f.startswith("part-")]) == 1
+
+
+def test_threads_append_to_one_table(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: store.append("a.t", spark.createDataFrame([(k, "a", 1, 1)], SCHEMA), batch=(f"w{k}", 0)), range(12)))
+    assert sorted(r["k"] for r in store.read("a.t").collect()) == list(range(12))
+
+
 # streams
 
 

@@ -277,11 +277,53 @@ def test_jdbc_loads_increments_alone(spark, frames, tmp_path):
     assert s.read("stg.bookings").count() == frames["bookings"].count()
 
 
+def test_first_load_in_parts(spark, frames, tmp_path, monkeypatch):
+    """Parts of equal rows cut by the database; a stopped load goes on with the parts it lacks, by the same cuts."""
+    url = "jdbc:derby:memory:lakeloom_first;create=true"
+    for name in ("bookings", "tickets"):
+        f = frames[name]
+        for c, k in f.dtypes:
+            f = f.withColumn(c, F.col(c).cast("timestamp")) if k == "timestamp_ntz" else f
+        f.toDF(*[c.upper() for c in f.columns]).write.format("jdbc").options(url=url, dbtable=f"APP.{name}", createTableColumnTypes=", ".join(f"{c} VARCHAR(60)" for c, k in f.dtypes if k == "string")).option("quoteIdentifiers", "false").mode("overwrite").save()
+    j, s = Jdbc(url, "APP"), Store(spark, f"file://{tmp_path}")
+    s.bootstrap()
+    cuts = j.cuts(spark, "tickets", "ticket_no", 5)
+    assert len(cuts) == 4 and cuts == sorted(cuts)
+    n = frames["tickets"].count()
+    sizes = [j.part(spark, "tickets", c)[0].count() for c in j.predicates("r.ticket_no", cuts)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 2
+    append, calls = s.append, []
+
+    def stops(*a, **k):
+        calls.append(a)
+        if len(calls) == 3:
+            raise OSError("stopped")
+        return append(*a, **k)
+
+    monkeypatch.setattr(s, "append", stops)
+    with pytest.raises(OSError):
+        layers.load_first(s, j, "tickets", DAY_1, "ticket_no", 5, threads=1)
+    monkeypatch.undo()
+    assert 0 < s.read("stg.tickets").count() < n
+    for _ in range(2):
+        assert layers.load_first(s, j, "tickets", DAY_1, "ticket_no", 5) == 5
+    assert s.read("stg.tickets").count() == s.read("stg.tickets").select("ticket_no").distinct().count() == n
+    want, event = layers.incremental_source(frames_source(frames), "tickets")
+    assert s.read("stg.tickets").agg(F.max("event_ts")).first() == want.agg(F.max(event)).first()
+    layers.load_stage(s, j.source(spark), "tickets", DAY_2)  # the marks go on from there
+    assert s.read("stg.tickets").count() == n
+    assert j.predicates("c", ["a", "o'b"]) == ["c < 'a' OR c IS NULL", "c >= 'a' AND c < 'o''b'", "c >= 'o''b'"] and j.predicates("c", []) == ["1 = 1"] and j.predicates("c", ["5"], False)[1] == "c >= 5"
+
+
 def test_commands(spark, tmp_path):
-    from lakeloom.__main__ import arguments, main
+    from lakeloom.__main__ import arguments, jdbc_of, main
 
     a = arguments(["load", "file:///x", "--parquet", "/y", "--days", "2020-01-01", "2020-12-31"])
     assert a.command == "load" and a.days[1].year == 2020
+    j = jdbc_of(arguments(["load", "file:///x", "--jdbc", "jdbc:x", "--property", "user=u", "--split", "seats:n:0:10:4", "--text", "airports:city", "--text", "airports:country"]))
+    assert (j.properties, j.splits, j.text_columns) == ({"user": "u"}, {"seats": ("n", 0, 10, 4)}, {"airports": ("city", "country")})
+    with pytest.raises(SystemExit, match="--run"):
+        main(["load", f"file://{tmp_path}", "--jdbc", "jdbc:x", "--first", "tickets:ticket_no:4"])
     root = f"file://{tmp_path}"
     Store(spark, root).bootstrap()
     assert main(["status", root]) == 0 and main(["truncate", root]) == 0 and main(["analyze", root, "ods.bookings"]) == 0 and main(["unlock", root]) == 0
