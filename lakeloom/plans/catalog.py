@@ -258,10 +258,10 @@ def scd2_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES = _BROKEN.rstrip() + """, x AS (SELECT route_sk, bk, CASE WHEN route_sk % 6 = 0 THEN NULL ELSE valid_to END AS t, valid_from AS f0 FROM broken),
 y AS (SELECT route_sk, bk, t, coalesce(t, DATE '9999-12-31') AS far, CASE WHEN route_sk % 13 = 0 AND t IS NOT NULL THEN t + 1 ELSE f0 END AS f FROM x),
-n AS (SELECT (SELECT count(*) FROM (SELECT bk FROM y WHERE t IS NULL GROUP BY bk HAVING count(*) > 1)) AS opens, (SELECT count(*) FROM y WHERE f > t) AS orders,
-  (SELECT count(*) FROM y b WHERE b.f < b.far AND EXISTS (SELECT 1 FROM y a WHERE a.bk = b.bk AND a.f < a.far AND (a.f < b.f OR (a.f = b.f AND a.route_sk < b.route_sk)) AND a.far > b.f)) AS overlaps,
-  (SELECT count(DISTINCT bk) FROM y WHERE t IS NULL AND CAST(bk AS INTEGER) % 3 = 0) AS sources)
-SELECT c AS check_name, 'ERROR' AS severity, v = 0 AS ok, CAST(v AS DOUBLE) AS value FROM n, (VALUES ('v.open'), ('v.order'), ('v.overlap'), ('v.source')) k(c), LATERAL (SELECT CASE c WHEN 'v.open' THEN opens WHEN 'v.order' THEN orders WHEN 'v.overlap' THEN overlaps ELSE sources END AS v) z"""
+n AS (SELECT (SELECT count(*) FROM (SELECT bk FROM y WHERE t IS NULL GROUP BY bk HAVING count(*) > 1)) AS n_opens, (SELECT count(*) FROM y WHERE f > t) AS n_orders,
+  (SELECT count(*) FROM y b WHERE b.f < b.far AND EXISTS (SELECT 1 FROM y a WHERE a.bk = b.bk AND a.f < a.far AND (a.f < b.f OR (a.f = b.f AND a.route_sk < b.route_sk)) AND a.far > b.f)) AS n_overlaps,
+  (SELECT count(DISTINCT bk) FROM y WHERE t IS NULL AND CAST(bk AS INTEGER) % 3 = 0) AS n_sources)
+SELECT c AS check_name, 'ERROR' AS severity, v = 0 AS ok, CAST(v AS DOUBLE) AS value FROM n, (VALUES ('v.open'), ('v.order'), ('v.overlap'), ('v.source')) k(c), LATERAL (SELECT CASE c WHEN 'v.open' THEN n_opens WHEN 'v.order' THEN n_orders WHEN 'v.overlap' THEN n_overlaps ELSE n_sources END AS v) z"""
 
 
 @query(_RULES)
