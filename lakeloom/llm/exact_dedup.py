@@ -66,19 +66,80 @@ def build_snapshot(digests: DataFrame, filter_keys: int = FILTER_KEYS, incoming:
     return Snapshot(entries, filters, buckets, distinct)
 
 
-def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """The distinct incoming digests that the snapshot's exact buckets hold; filters first."""
+def _positives(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+    """bucket and digest of the distinct incoming digests that the filters let through."""
 
     def test(new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(new) or not len(held):
             return new[["bucket", "digest"]].iloc[:0]
         return new[["bucket", "digest"]][fuse.contains(held["filter"].iloc[0], new["digest"].to_numpy(np.int64))]
 
-    incoming = digests.select(bucket_of("digest", snapshot.buckets).alias("bucket"), "digest")
-    positive = incoming.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(test, "bucket int, digest long")
+    incoming = digests.select(bucket_of("digest", buckets).alias("bucket"), "digest")
+    return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, "bucket int, digest long")
+
+
+def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The distinct incoming digests that the snapshot's exact buckets hold; filters first."""
+    positive = _positives(digests, snapshot.filters, snapshot.buckets)
     return positive.join(snapshot.entries, ["bucket", "digest"], "left_semi").select("digest")
 
 
+# a snapshot that is stored, and later batches against it
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    norm = normalised("text")
+    return docs.select(digest64(norm).alias("digest"), F.unhex(F.sha2(norm, 256)).alias("sha"))
+
+
+def store_snapshot(docs: DataFrame, path: str, filter_keys: int = FILTER_KEYS) -> None:
+    """Write an immutable snapshot of the texts of ``docs``: their digests in a folder for each bucket, and a filter for each bucket.
+
+    A folder that is there already is an error: a snapshot is never changed, a later state is another snapshot.
+    """
+    spark = docs.sparkSession
+    distinct = materialise(_digests(docs).distinct(), "snapshot-digests")
+    snapshot = build_snapshot(distinct, filter_keys)
+    placed = distinct.select("digest", "sha", bucket_of("digest", snapshot.buckets).alias("bucket"))
+    placed.repartition(snapshot.buckets, "bucket").write.partitionBy("bucket").parquet(f"{path}/entries")
+    snapshot.filters.write.parquet(f"{path}/filters")
+    spark.range(1).select(F.lit(snapshot.buckets).alias("buckets")).write.parquet(f"{path}/about")  # last: without it there is no snapshot
+    discard(distinct, snapshot.filters, snapshot.distinct)
+
+
+@dataclass(frozen=True)
+class Screening:
+    """Digests and SHA-256 of a batch that a stored snapshot holds, and the part of its entries that was read for them."""
+
+    known: DataFrame  # digest long, sha binary
+    entries: DataFrame
+
+
+def screen_stored(docs: DataFrame, path: str) -> Screening:
+    """Screen a batch by the filters of a stored snapshot; of its entries only buckets with positives are read."""
+    spark = docs.sparkSession
+    buckets = spark.read.parquet(f"{path}/about").first()["buckets"]
+    batch = materialise(_digests(docs).distinct(), "batch-digests")
+    filters = spark.read.schema("bucket int, filter binary").parquet(f"{path}/filters")
+    positive = materialise(batch.join(_positives(batch.select("digest").distinct(), filters, buckets), "digest"), "positives")
+    found = [r["bucket"] for r in positive.select("bucket").distinct().collect()]  # one number a bucket at most
+    entries = spark.createDataFrame([], "digest long, sha binary")
+    if found:  # their folders alone
+        entries = spark.read.schema("digest long, sha binary").parquet(*[f"{path}/entries/bucket={b}" for b in sorted(found)])
+    known = positive.select("digest", "sha").join(entries.select("digest", "sha"), ["digest", "sha"], "left_semi")
+    discard(batch)
+    return Screening(known, entries)
+
+
+def drop_known(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of a batch whose text a stored snapshot lacks, with all their columns; copies within the batch are left to ``drop_copies``."""
+    sha, theirs = free("_sha", docs), free("_known", docs)
+    known = materialise(screen_stored(docs, path).known.select(F.col("sha").alias(theirs)), "known")
+    there = F.broadcast(known) if known.count() * 50 <= BROADCAST_BYTES else known
+    marked = docs.withColumn(sha, F.unhex(F.sha2(normalised("text"), 256)))
+    return marked.join(there, marked[sha] == there[theirs], "left_anti").drop(sha)
+
+
 def classify(docs: DataFrame, in_snapshot: Column | None = None, digest: Callable[[Column], Column] = digest64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 

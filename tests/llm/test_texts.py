@@ -555,3 +555,26 @@ def test_pieces_of_a_long_text_are_spread(spark):
     df = spark.createDataFrame([("short",), (long,), (None,)], "text string").select(language_id.spread_pieces("text").alias("p"))
     short, spread, none = [r["p"] for r in df.collect()]
     assert (short, none) == ("short", None) and spread.startswith("aa") and spread.endswith("tt") and len(set(spread)) > 9 and len(spread) == language_id.FIT_CHARS
+
+
+def test_a_batch_against_a_stored_snapshot(spark, tmp_path):
+    """Texts that an earlier batch stored are found by the filters and few buckets; the snapshot isn't changed or written twice."""
+    path = f"file://{tmp_path}/snapshot"
+    old = [f"text number {i}" for i in range(3000)] + ["", "same\ttext", "same text"]
+    exact_dedup.store_snapshot(frame(spark, old), path, filter_keys=50)
+    buckets = spark.read.parquet(f"{path}/about").first()["buckets"]
+    assert buckets >= 60
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        exact_dedup.store_snapshot(frame(spark, ["x"]), path)
+    new = ["text  number 17", "text number 17", "sametext", None, "new", "new", "text number 9999"]
+    batch = frame(spark, new).withColumn("_sha", F.lit("mine"))
+    got = exact_dedup.screen_stored(batch, path)
+    read = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in got.entries.inputFiles()}
+    assert 1 <= len(read) <= 6 < buckets and got.known.count() == 3
+    left = exact_dedup.drop_known(batch, path)
+    assert left.columns == batch.columns and sorted(r["text"] for r in left.collect()) == ["new", "new", "text number 9999"]
+    assert sorted(r["text"] for r in exact_dedup.drop_copies(left).collect()) == ["new", "text number 9999"]
+    assert exact_dedup.drop_known(batch.limit(0), path).count() == 0
+    none = f"file://{tmp_path}/none"
+    exact_dedup.store_snapshot(frame(spark, []), none)
+    assert exact_dedup.drop_known(batch, none).count() == len(new)
