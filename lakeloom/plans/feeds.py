@@ -17,7 +17,8 @@ from lakeloom.plans import adapter
 from lakeloom.plans.stored import RUN_1, RUN_2, _checkpoint, _customers, new_store
 from lakeloom.quality import checks, tables
 from lakeloom.schemas import Table
-from lakeloom.sources.storage import Refused, shared_folder
+from lakeloom.session import setting, templated
+from lakeloom.sources.storage import Refused, scratch, shared_folder, stable
 from lakeloom.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +249,50 @@ def dq_batch_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = n.select("k", F.lit("run_1").alias("_load_id")).unionByName(n.where("r NOT IN (1, 3)").select("k", F.lit("run_2").alias("_load_id")))
     found = [checks.references("batch", n, ["k"], history.where(F.col("_load_id") == RUN_2.run_id), ["k"]), checks.references("history", n, ["k"], history, ["k"])]
     return tables.as_rows(spark, found)
+
+
+# runs
+
+
+@query("SELECT o_orderkey AS k, 'run_2' AS load_id, CAST(o_orderdate AS DATE) AS day, 'unset' AS mode FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_totalprice > 1000")
+def run_templated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL of a load with the run's id and other values as arguments, and a setting that isn't set."""
+    mode = setting(spark, "lakeloom.mode.of.no.one", "unset")
+    sql = "SELECT CAST(o_orderkey AS BIGINT) AS k, :run_id AS load_id, CAST(o_orderdate AS DATE) AS day, :mode AS mode FROM {o} WHERE o_orderdate >= CAST(:since AS TIMESTAMP_NTZ) AND o_totalprice > :least"
+    return templated(spark, sql, RUN_2, {"o": adapter.table(spark, sf_dir, "orders")}, since="1999-01-01", least=1000, mode=mode)
+
+
+@query("SELECT min(r) AS route_bk FROM (SELECT CAST(s_suppkey AS VARCHAR) AS r FROM supplier WHERE s_suppkey % 4 <> 0)")
+def pick_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least route with exactly one version, of those of which every fourth has two."""
+    s = adapter.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("route_bk"))
+    return tables.single_version(s.unionByName(s.where("k % 4 = 0")), "route_bk").select("route_bk")
+
+
+@query("SELECT c_custkey AS k, c_name AS name, true AS gone FROM customer")
+def store_scratch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intermediate tables of a load are gone when it ends; what it wrote stays."""
+    store = new_store(spark, c=Table("a.customers", {"k": "bigint!", "name": "string"}, ("k",)))
+    with scratch():
+        rows = stable(_customers(spark, sf_dir))
+        files = rows.inputFiles()
+        store.append("a.customers", rows)
+    gone = bool(files) and not any(store.files.exists(f) for f in files)
+    return store.read("a.customers").withColumn("gone", F.lit(gone))
+
+
+@query("SELECT c_custkey AS k, c_name AS name, CAST(1 AS BIGINT) AS refused FROM customer")
+def store_serial_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that begins while another one runs is refused; the next one, after it, runs."""
+    c, store = _customers(spark, sf_dir), new_store(spark, c=Table("a.customers", {"k": "bigint!", "name": "string"}, ("k",)))
+    refused = 0
+    with store.lock():
+        store.append("a.customers", c.where("k % 2 = 0"))
+        try:
+            with store.lock():
+                store.append("a.customers", c)
+        except RuntimeError:
+            refused += 1
+    with store.lock():
+        store.append("a.customers", c.where("k % 2 = 1"))
+    return store.read("a.customers").withColumn("refused", F.lit(refused).cast("bigint"))

@@ -118,9 +118,12 @@ def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.analyze("a.customers").drop("values")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS one, 'constant' AS label")
+@query("SELECT CAST(1 AS BIGINT) AS one, 'constant' AS label, (SELECT count(*) FROM orders) AS n, EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000) AS some")
 def constant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT CAST(1 AS BIGINT) AS one, 'constant' AS label")
+    """A row of constants with what is asked of a table: its rows, and whether it has a certain one, which one row decides."""
+    o = adapter.table(spark, sf_dir, "orders")
+    some = not o.where("o_totalprice > 400000").limit(1).isEmpty()
+    return spark.sql("SELECT CAST(1 AS BIGINT) AS one, 'constant' AS label, (SELECT count(*) FROM {o}) AS n, :some AS some", args={"some": some}, o=o)
 
 
 @query("SELECT k, label FROM nation JOIN (VALUES (CAST(1 AS BIGINT), 'one'), (7, 'seven'), (99, 'none')) t(k, label) ON k = n_nationkey")
@@ -223,12 +226,14 @@ def dq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.as_rows(spark, found)
 
 
-@query("SELECT 'ERROR' AS severity, true AS raised, CAST(2 AS BIGINT) AS findings, 'a: 1 rows are bad' AS message UNION ALL SELECT 'WARN', false, 2, ''")
+@query(
+    "WITH n AS (SELECT count(*) FILTER (WHERE o_orderkey % 10 = 3) AS bad FROM orders) SELECT s AS severity, s = 'ERROR' AS raised, CAST(2 AS BIGINT) AS findings, CASE s WHEN 'ERROR' THEN 'a: ' || CAST(bad AS VARCHAR) || ' rows break the invariant' ELSE '' END AS message FROM n, (VALUES ('ERROR'), ('WARN')) t(s)"
+)
 def dq_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of severity ERROR stop a load with their message; others are kept."""
-    rows = []
+    o, rows = adapter.table(spark, sf_dir, "orders"), []
     for severity in ("ERROR", "WARN"):
-        found = [Finding("a", severity, False, 1, "1 rows are bad"), Finding("b", "ERROR", True, 0, "fine")]
+        found = checks.judge(o, checks.always("a", F.col("o_orderkey") % 10 != 3, severity), checks.always("b", F.col("o_orderkey") >= 0))
         try:
             rows.append((severity, False, len(checks.require(found)), ""))
         except QualityError as e:
@@ -309,18 +314,26 @@ def qa_recent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.recent_duplicates(stage, ["o_orderkey"], RUN_2)
 
 
-@query("SELECT * FROM (VALUES ('flaky', 'done', CAST(2 AS BIGINT)), ('broken', 'failed', 3), ('after', 'skipped', 0), ('always', 'done', 1), ('polled', 'done', 3)) t(task, state, tries)")
+@query("SELECT task, state, tries, CASE state WHEN 'done' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 5 = k) ELSE 0 END AS n FROM (VALUES ('flaky', 'done', CAST(2 AS BIGINT), 0), ('broken', 'failed', 3, 1), ('after', 'skipped', 0, 2), ('always', 'done', 1, 3), ('polled', 'done', 3, 4)) t(task, state, tries, k)")
 def flow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retries, a failure, what it skips, a task that runs anyway, and one that polls."""
-    tries = {n: 0 for n in ("flaky", "broken", "after", "always", "polled")}
+    """Loads of a fifth of the orders each: retries, a failure, what it skips, one that runs anyway, and one that polls."""
+    names = ("flaky", "broken", "after", "always", "polled")
+    tries, store = {n: 0 for n in names}, new_store(spark, **{n: Table(f"a.{n}", {"k": "bigint!"}, ("k",)) for n in names})
+    orders = adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
+
+    def load(name: str) -> None:
+        store.append(f"a.{name}", orders.where(F.col("k") % 5 == names.index(name)))
 
     def run(name: str, good_at: int | None) -> None:
         tries[name] += 1
         if good_at is None or tries[name] < good_at:
             raise OSError(name)
+        load(name)
 
     def asked() -> bool:
         tries["polled"] += 1
+        if tries["polled"] == 3:
+            load("polled")
         return tries["polled"] == 3
 
     tasks = [
@@ -331,7 +344,7 @@ def flow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         Task("polled", lambda: poll(asked, 0, 5), (), 0),
     ]
     out = Graph(tasks).run(2)
-    return spark.createDataFrame([(n, out.state[n], tries[n]) for n in tries], "task string, state string, tries bigint")
+    return spark.createDataFrame([(n, out.state[n], tries[n], store.written(f"a.{n}")) for n in tries], "task string, state string, tries bigint, n bigint")
 
 
 # streams

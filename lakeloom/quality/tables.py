@@ -157,6 +157,11 @@ def validate_marts(store: Store) -> list[Finding]:
     return checks.require(out)
 
 
+def single_version(dim: DataFrame, bk: str) -> DataFrame:
+    """The least business key that has exactly one version, if any."""
+    return dim.groupBy(bk).agg(F.count(F.lit(1)).alias("n")).where("n = 1").orderBy(bk).limit(1)
+
+
 def scd2_active_test(store: Store, run: Run, load: Callable[[Store, Run], None] = layers.load_routes) -> list[Finding]:
     """Change one route's departure time, load, look for exactly one new version.
 
@@ -166,9 +171,8 @@ def scd2_active_test(store: Store, run: Run, load: Callable[[Store, Run], None]
     root = f"{store.root}/_clones/{uuid.uuid4().hex}"
     try:
         trial = store.clone(root, ("ods.routes", "dds.dim_routes", "dds.dim_airports", "dds.dim_airplanes"))
-        routes, dim = trial.read("ods.routes"), trial.read("dds.dim_routes")
-        single = dim.groupBy("route_bk").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-        chosen = single.orderBy("route_bk").limit(1).collect()
+        routes = trial.read("ods.routes")
+        chosen = single_version(trial.read("dds.dim_routes"), "route_bk").collect()
         if not chosen:
             raise LookupError("no route has exactly one version")
         route = chosen[0]["route_bk"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -45,3 +45,17 @@ class Run:
 
     def date(self) -> Column:
         return F.lit(self.day.isoformat()).cast("date")
+
+
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """A setting of the session, or the default where it isn't set: no error, as an unset one is usual."""
+    found = spark.conf.get(name, None)
+    return default if found is None else found
+
+
+def templated(spark: SparkSession, text: str, run: Run, frames: dict[str, DataFrame] | None = None, **args: object) -> DataFrame:
+    """SQL of a load, with the run's id, moment and day as ``:run_id``, ``:run_ts`` and ``:run_date`` and more arguments by name.
+
+    Arguments are values, never text of the statement; frames stand in braces by name.
+    """
+    return spark.sql(text, args={"run_id": run.run_id, "run_ts": run.run_ts, "run_date": run.day} | args, **(frames or {}))
