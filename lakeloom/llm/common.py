@@ -19,6 +19,9 @@ BATCH_ROWS = 512
 #: Largest table, in bytes, that an operator broadcasts; its rows are counted first.
 BROADCAST_BYTES = 32 << 20
 
+#: CRC-32 in SQL: ``{bytes}`` is a list of bytes.
+CRC32_SQL = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"
+
 _OWN_DIR: list[str] = []
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import discard, map_arrow, materialise, read, small_batches
+from lakeloom.llm.common import CRC32_SQL, discard, map_arrow, materialise, read, small_batches
 
 N, BUCKETS, LEAST_WORDS, PERCENT, SEED = 1, 10_000, 20, 10, 2024
 
@@ -164,3 +164,26 @@ def draw(docs: DataFrame, target: DataFrame, **how: int) -> DataFrame:
 
 def op13_crc_ring_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13_SQL = (
+    f"WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark), dw AS (SELECT r, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b)"
+    + ", hexed AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)), crc AS (SELECT word, CAST("
+    + CRC32_SQL.format(bytes="list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))")
+    + """ % 10000 AS BIGINT) AS bucket FROM hexed)
+, s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (word) GROUP BY bucket)
+, totals AS (SELECT (SELECT count(*) FROM dw) AS ss, (SELECT count(*) FROM bw) AS tt)
+, gain AS (
+  SELECT k AS bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (ss + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM range(10000) k(k) CROSS JOIN totals LEFT JOIN s ON s.bucket = k LEFT JOIN t ON t.bucket = k
+), sums AS (SELECT r, sum(g) AS weight FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY r)
+, scored AS (
+  SELECT doc_id, r, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN sums USING (r)
+), placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank, CAST(n_features AS BIGINT) AS n_words FROM scored LEFT JOIN placed USING (r)
+"""
+)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import join_bounded, map_arrow, materialise, read, small_batches
+from lakeloom.llm.common import CRC32_SQL, join_bounded, map_arrow, materialise, read, small_batches
 
 TURN = 16
 #: Rows of an output batch; children that wait for their parent's name; bytes of a piece of ids.
@@ -291,3 +291,30 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
 def op11_patricia_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(read(spark, sf_dir, "conversations")))
+
+
+#: Each node as the list of its turns, not by sorting.
+OP11_SQL = (
+    r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), ids AS (SELECT conv_id, t, """
+    + CRC32_SQL.format(bytes="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))")
+    + r""" % 4 AS h FROM own
+), paths AS (SELECT i.conv_id, list_concat(coalesce(b.t[1:i.h], []), i.t[i.h + 1:]) AS p FROM ids i LEFT JOIN own b ON b.conv_id = i.conv_id - ((i.conv_id % 20) + 20) % 20
+), members AS (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM paths
+), nodes AS (SELECT p[1:d] AS node, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n FROM members GROUP BY p[1:d]
+), ends AS (SELECT p AS node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM paths GROUP BY p
+), kids AS (SELECT node[1:d - 1] AS node, count(*) AS k FROM nodes WHERE d > 0 GROUP BY node[1:d - 1]
+), own_sums AS (
+  SELECT n.node, n.d, CASE WHEN k.k IS NULL THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN n.d = 0 THEN 0 ELSE (n.n - 1) * len(regexp_extract_all(n.node[n.d].x, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN kids k ON k.node = n.node
+), up AS (SELECT node, leaf, saved, unnest(range(0, d + 1)) AS a FROM own_sums
+), sums AS (SELECT node[1:a] AS node, sum(leaf) AS leaves, sum(saved) AS saved FROM up GROUP BY node[1:a])
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN nodes q ON n.d > 0 AND q.node = n.node[1:n.d - 1]
+LEFT JOIN kids k ON k.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+)

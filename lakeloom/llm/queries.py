@@ -27,4 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_fuse_exact_dedup": exact_dedup.OP2_SQL,
     "op4_automaton_decontamination": decontaminate.OP4_SQL,
+    "op11_patricia_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_crc_ring_resampling": importance.OP13_SQL,
 }
