@@ -16,6 +16,7 @@ from lakeloom.operators import dimension, increment, merge, recompute
 from lakeloom.plans import adapter, layers, marts
 from lakeloom.quality import checks, tables
 from lakeloom.session import Run
+from lakeloom.sources.storage import stable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -355,7 +356,7 @@ def flights_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights staged on day two, and older ones that segments of day two name."""
     frames = adapter.sources(spark, sf_dir)
     by_day = lambda x: x.withColumn("_load_ts", F.when(F.col("event_ts") < F.lit(adapter.DAY_2).cast("timestamp_ntz"), RUN_1.ts()).otherwise(RUN_2.ts()))
-    flights, segments = by_day(adapter.staged(frames, "flights")), by_day(adapter.staged(frames, "segments"))
+    flights, segments = (stable(by_day(adapter.staged(frames, n))) for n in ("flights", "segments"))  # as a warehouse has them: the marks read them again
     old = flights.where(F.col("_load_ts") == RUN_1.ts())
     rows = increment.hwm_delta_with_history(flights, old, ["flight_id"], segments, segments.where(F.col("_load_ts") == RUN_1.ts()), "flight_id")
     return rows.select("flight_id", "event_ts")
