@@ -147,6 +147,18 @@ def test_checks_fail_when_they_should(spark, store):
     assert store.read("ods.routes").count() == store.read("ods.routes").select("route_no").distinct().count()
 
 
+def test_checks_of_a_load_look_at_its_keys(store):
+    """A repeated key of the last load is found, in the current state and in the fact; the rest isn't looked at."""
+    for name, check in (("ods.segments", lambda: tables.check_ods(store, "segments")), (layers.FACT, lambda: tables.check_dds(store, "fact_flight_sales", 0))):
+        check()
+        held = store.version(name)
+        store.append(name, tables.last_loaded(store.read(name)).limit(1))
+        with pytest.raises(checks.QualityError, match="unique"):
+            check()
+        store.restore(name, held)
+        check()
+
+
 # store
 
 
