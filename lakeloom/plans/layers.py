@@ -322,7 +322,7 @@ INCREMENTAL_MARTS: dict[str, tuple[list[str], Callable[[DataFrame, marts.Dims],
 @scratched
 def load_mart(store: Store, name: str, run: Run) -> None:
     """Recompute the grains that new or changed facts touch and merge them, into the months that hold them
-    where the mart has months."""
+    where the mart has months; of other marts, whose rows may be as many as passengers, changed rows alone are written."""
     key, aggregate, compare, update = INCREMENTAL_MARTS[name]
     table = f"dm.{name}"
     mart, fact, dims = store.read(table), store.read(FACT), dims_of(store)
@@ -340,11 +340,13 @@ def load_mart(store: Store, name: str, run: Run) -> None:
         fact = store.read(FACT, partitions=store.partition_of(FACT, there.select(F.col("_m").alias("calendar_sk"))))
         fact = fact.join(months, F.col("calendar_sk") == F.col("_m")).drop("_m")
         aggregate = lambda rows, d, f=aggregate: f(rows.drop("year_actual", "month_actual"), d)
-    delta = stable(recompute.affected_rows(fact, mark, key, lambda rows: aggregate(rows, dims), lambda d: _audited(d, run).select(*mart.columns)))
+    delta = recompute.affected_rows(fact, mark, key, lambda rows: aggregate(rows, dims), lambda d: _audited(d, run).select(*mart.columns))
     marks = {FACT: found.isoformat()} if (found := store.read(FACT).agg(F.max("_load_ts")).first()[0]) else {}
     if not TABLES[table].partition:
-        store.replace(table, merge.scd1_upsert(mart, delta, grain, compare, update), marks)
-    elif touched := store.partition_of(table, delta):
+        store.upsert(table, delta, grain, compare, update, marks=marks)
+        return
+    delta = stable(delta)
+    if touched := store.partition_of(table, delta):
         store.replace_partitions(table, merge.scd1_upsert(store.read(table, partitions=touched), delta, grain, compare, update), touched, marks)
 
 

@@ -23,6 +23,8 @@ _OWN: list[str] = []
 _END, _PARTITION = "\n.", "_p"
 #: Bytes of a counted side of a join up to which it may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of the place of a deleted row in memory: most of it is the file's name.
+POSITION_BYTES = 120
 
 
 def row_bytes(df: DataFrame) -> int:
@@ -30,6 +32,16 @@ def row_bytes(df: DataFrame) -> int:
     return 16 + sum(100 if k == "string" else 400 if "<" in k else 16 for _, k in df.dtypes)
 
 
+def _folder(part: str) -> str:
+    """The folder that a part's files are in, as their paths name it."""
+    return part.rpartition("/")[2]
+
+
+def unescaped(path: Column) -> Column:
+    """A piece of a file's address as the file system names it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -343,10 +355,14 @@ class Store:
             return rows
         rows = rows.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("_file"), F.col("_metadata.row_index").alias("_row"))
         if state.hidden:
-            hidden = self.spark.read.schema("_file string, _row long").parquet(*[self._path(name, p) for p in state.hidden])
-            rows = rows.join(F.broadcast(hidden) if sum(state.hidden.values()) * 120 <= BROADCAST_BYTES else hidden, ["_file", "_row"], "left_anti")
+            hidden = self._hidden(name, state)
+            rows = rows.join(F.broadcast(hidden) if sum(state.hidden.values()) * POSITION_BYTES <= BROADCAST_BYTES else hidden, ["_file", "_row"], "left_anti")
         return rows if located else rows.select(*schema.names)
 
+    def _hidden(self, name: str, state: State) -> DataFrame:
+        """Files and places of deleted rows."""
+        return self.spark.read.schema("_file string, _row long").parquet(*[self._path(name, p) for p in state.hidden])
+
     def partitions(self, name: str) -> list[str]:
         return sorted({p.rpartition(f"/{_PARTITION}=")[2] for p in self._state(name).parts if f"/{_PARTITION}=" in p})
 
@@ -469,18 +485,61 @@ class Store:
     # upkeep
 
     def compact(self, name: str) -> bool:
-        """Write small parts, and parts with deleted rows if those are many, again as one; false if there is no need."""
+        """Write again what there is need for, and nothing else; false if there is none.
+
+        Small parts are joined if a table, or one of its partitions, has many. A part, or a partition, is written
+        without its deleted rows once they are more than ``HIDDEN_SHARE`` of it. Positions of deleted rows stay few
+        enough to be broadcast: beyond that, the parts with most of them are written again, until the rest are half as many.
+        """
         state = self._state(name)
-        whole = {p for p in state.parts if f"/{_PARTITION}=" not in p}
-        small = {p for p in whole if p.startswith("part-") and self.files.bytes(self._path(name, p)) <= self.SMALL_BYTES} if len(whole) > self.SMALL_PARTS else set()
-        hidden, held = sum(state.hidden.values()), [state.parts[p] for p in state.parts]
-        many = hidden and (hidden * 120 > BROADCAST_BYTES or (None not in held and hidden > self.HIDDEN_SHARE * sum(held)))
-        chosen = list(state.parts) if many else sorted(small) if len(small) > self.SMALL_PARTS else []
-        if not chosen:
+        held: dict[str, list[str]] = {}
+        for p in state.parts:
+            held.setdefault(_folder(p), []).append(p)
+        chosen: set[str] = set()
+        for own in held.values() if self.tables[name].partition else [list(state.parts)]:
+            small = [p for p in own if p.startswith("part-") and self.files.bytes(self._path(name, p)) <= self.SMALL_BYTES] if len(own) > self.SMALL_PARTS else []
+            chosen |= set(small) if len(small) > self.SMALL_PARTS else set()
+        gone = self._gone(name, state)
+        chosen |= {p for f in self._worn(name, state, held, gone) for p in held[f]}
+        swept = {f for f in gone if chosen.issuperset(held.get(f, ()))}  # of parts that are written again or aren't there any more
+        tidy = bool(swept) or len(state.hidden) > self.SMALL_PARTS
+        if not chosen and not tidy:
             return False
-        self._commit(name, Commit(self._part(name, self._rows(name, state, chosen)), chosen, show=list(state.hidden) if many else []))
+        rest, hide = {f: n for f, n in gone.items() if f not in swept}, {}
+        if tidy and rest:
+            hide = {f"gone-{uuid.uuid4().hex}": sum(rest.values())}
+            left = self._hidden(name, state)
+            if swept:
+                left = left.where(~unescaped(F.substring_index("_file", "/", 1)).isin(*swept))
+            left.coalesce(1).write.parquet(self._path(name, next(iter(hide))))
+        part = self._part(name, self._rows(name, state, sorted(chosen))) if chosen else {}
+        self._commit(name, Commit(part, sorted(chosen), hide, list(state.hidden) if tidy else []))
         return True
 
+    def _gone(self, name: str, state: State) -> dict[str, int]:
+        """Deleted rows by the folder of their files: a part, or a partition."""
+        if not state.hidden:
+            return {}
+        folder = unescaped(F.substring_index("_file", "/", 1)).alias("f")
+        return {r["f"]: r["n"] for r in self._hidden(name, state).groupBy(folder).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def _worn(self, name: str, state: State, held: dict[str, list[str]], gone: dict[str, int]) -> set[str]:
+        """Folders to write again for their deleted rows. Rows of partitions are counted, by the files' footers."""
+        there = {f: n for f, n in gone.items() if f in held}
+        rows = {f: sum(state.parts[p] or 0 for p in held[f]) for f in there if None not in [state.parts[p] for p in held[f]]}
+        if counted := [self._path(name, p) for f in there if f not in rows for p in held[f]]:
+            folder = unescaped(F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)).alias("f")
+            rows |= {r["f"]: r["n"] for r in self.spark.read.schema(self.tables[name].schema).parquet(*counted).select(folder).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+        worn = {f for f, n in there.items() if n > self.HIDDEN_SHARE * rows.get(f, 0)}
+        left = sum(n for f, n in there.items() if f not in worn)
+        if left * POSITION_BYTES > BROADCAST_BYTES:
+            for f in sorted(there.keys() - worn, key=lambda f: (-there[f], f)):
+                if left * POSITION_BYTES * 2 <= BROADCAST_BYTES:
+                    break
+                worn.add(f)
+                left -= there[f]
+        return worn
+
     def retain(self, name: str, keep: int, grace: timedelta = timedelta(0)) -> None:
         """Forget all but the last versions; files that no held version has, and that are older than ``grace``, are deleted."""
         held = self._held(name)[-keep:]

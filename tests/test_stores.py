@@ -90,6 +90,37 @@ def test_positions_in_partitions(spark, tmp_path):
     assert s.read("a.t").count() == 61 and s.read("a.t").where("v = 'again'").count() == 20
 
 
+@pytest.mark.parametrize("partition", ["", "concat('a b%:+', n)"])
+def test_upkeep_writes_worn_parts_alone(spark, tmp_path, monkeypatch, partition):
+    """Of three parts, or partitions, the one with many deleted rows is written again, then those with most until positions are few."""
+    s = Store(spark, f"file://{tmp_path}/dw", {"a.t": Table("a.t", dict(T.columns), ("k",), partition=partition)})
+    s.bootstrap()
+    for n in range(3):
+        s.append("a.t", spark.range(100 * n, 100 * n + 100).select(F.col("id").cast("int").alias("k"), F.lit("old").alias("v"), F.lit(n).alias("n"), F.lit(0).alias("at")))
+    first = s.parts("a.t")
+    put = lambda *keys: s.upsert("a.t", spark.createDataFrame([(k, "new", k // 100, 1) for k in keys], SCHEMA), ["k"], ["v"])
+    now = lambda: {r["k"]: r["v"] for r in s.read("a.t").collect()}
+    put(*range(20), 100, 101, 102, 200, 201)
+    want = now()
+    assert s.compact("a.t")
+    assert len(first - s.parts("a.t")) == 1 and sum(s._state("a.t").hidden.values()) == 5
+    assert now() == want and s.read("a.t").count() == 300 and sum(v == "new" for v in want.values()) == 25
+    assert not s.compact("a.t")
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 4 * storage.POSITION_BYTES)  # of five positions at most two stay
+    assert s.compact("a.t") and sum(s._state("a.t").hidden.values()) == 2 and len(first - s.parts("a.t")) == 2
+    assert now() == want and s.read("a.t").count() == 300
+    put(202)
+    assert now() == want | {202: "new"} and s.read("a.t", s.version("a.t") - 1).where("v = 'new'").count() == 25
+    s.replace("a.t", s.read("a.t"))
+    assert not s._state("a.t").hidden and now() == want | {202: "new"}
+    monkeypatch.undo()
+    monkeypatch.setattr(Store, "SMALL_PARTS", 3)
+    for k in range(203, 208):
+        put(k)
+    assert len(s._state("a.t").hidden) == 5 and s.compact("a.t")
+    assert len(s._state("a.t").hidden) <= 1 and now() == want | {k: "new" for k in range(202, 208)}
+
+
 def test_sequences_decide(spark, store):
     one = lambda *r: spark.createDataFrame([r], SCHEMA)
     put = lambda *r: store.upsert("a.t", one(*r), ["k"], ["v", "n", "at"], sequence=["at", "n"])

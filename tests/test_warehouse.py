@@ -118,6 +118,30 @@ def test_fact_load_touches_changed_partitions_alone(store):
     tables.qa(store, second)
 
 
+def test_a_mart_of_passengers_writes_changed_rows_alone(store):
+    """One changed price: of the loyalty mart one row is written, and the content is that of a computation from scratch."""
+    first, second = Run("loyal", datetime(2024, 2, 5)), Run("loyal_2", datetime(2024, 2, 6))
+    for name in ("passenger_loyalty", "monthly_overview"):
+        layers.load_mart(store, name, first)
+    old, rows = store.parts("dm.passenger_loyalty"), store.written("dm.passenger_loyalty")
+    one = store.read("ods.boarding_passes").orderBy(F.desc("ticket_no"), "flight_id").limit(1).collect()[0]
+    mine = (F.col("ticket_no") == one["ticket_no"]) & (F.col("flight_id") == one["flight_id"])
+    segments = store.read("ods.segments")
+    store.replace("ods.segments", segments.withColumn("amount", F.when(mine, F.col("amount") + 1).otherwise(F.col("amount"))).withColumn("_load_ts", F.when(mine, second.ts()).otherwise(F.col("_load_ts"))))
+    layers.load_fact(store, second)
+    for name in ("passenger_loyalty", "monthly_overview"):
+        layers.load_mart(store, name, second)
+        aggregate = layers.INCREMENTAL_MARTS[name][1]
+        scratch = aggregate(store.read(layers.FACT), layers.dims_of(store))
+        mart = store.read(f"dm.{name}").select(*scratch.columns)
+        assert sorted(map(repr, mart.collect())) == sorted(map(repr, scratch.select(*[F.col(c).cast(t).alias(c) for c, t in mart.dtypes]).collect())), name
+    assert old < store.parts("dm.passenger_loyalty") and store.written("dm.passenger_loyalty") == rows + 1
+    assert [r["total_spent"] is not None for r in store.read("dm.passenger_loyalty").where("_load_id = 'loyal_2'").collect()] == [True]
+    before = store.parts("dm.passenger_loyalty")
+    layers.load_mart(store, "passenger_loyalty", second)
+    assert store.parts("dm.passenger_loyalty") == before and store.mark("dm.passenger_loyalty", layers.FACT) == second.run_ts
+
+
 def test_checks_fail_when_they_should(spark, store):
     rows = store.read("ods.segments")
     with pytest.raises(checks.QualityError):
