@@ -6,10 +6,11 @@ spaces; the words of a document, joined by spaces, run through it once. Hits are
 code points of the original text.
 
 Windows are cut, grouped and measured by Spark. The driver takes them block by block, and a block has about
-``BLOCK_CHARS`` characters. One block, the usual case, is one automaton over one scan. With
-more, each block scans the documents with an automaton of its own and gives rows for hit documents alone, which
-are merged by doc_id and a digest of the text; a task belongs to one block, so a
-worker builds an automaton once, not once for each batch.
+``BLOCK_CHARS`` characters. One block, the usual case, is one automaton over one scan. Of
+more, the documents are scanned once for each ``SCREEN_WINDOWS`` windows, by 64-bit hashes of those: a document that
+shares one goes on, whole, with the numbers of the blocks that hold it, and only those blocks' automata
+run over it. A hash decides nothing but that. Hit documents' rows are merged by doc_id and a digest of the
+text; a task belongs to one block, so a worker builds an automaton once, not once for each batch.
 
 Defined cases: null and empty texts have no words and no hits; items without words are never
 found; equal items all count; a null item_id counts as the empty string. Repeated documents get
@@ -24,11 +25,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from lakeloom.llm.common import BROADCAST_BYTES, discard, free, map_arrow, mater
 WINDOW = 10
 #: Characters of windows in one automaton; it needs about 60 bytes for each.
 BLOCK_CHARS = 4_000_000
+#: Windows of one screen: a hash and a block's number, 12 bytes, for each; about 25 MB of benchmark text.
+SCREEN_WINDOWS = 4_000_000
 
 #: Same length as the text: lower-case words stay, all else becomes a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,6 +54,40 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(w: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` words, from the words' hashes."""
+    n = max(0, len(hashes) - size + 1) if size else 0
+    out = np.zeros(n, np.uint64)
+    for j in range(size):
+        out = out * _BASE + hashes[j : j + n]
+    return out
+
+
+@dataclass(frozen=True)
+class Screen:
+    """Sorted hashes of windows and the numbers of their blocks, by the windows' words."""
+
+    held: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def blocks(self, w: list[bytes]) -> list[int]:
+        """Numbers of the blocks that may hold a window of a text: of all that do, and hardly any other."""
+        found: set[int] = set()
+        own = word_hashes(w)
+        for size, (hashes, numbers) in self.held.items():
+            mine = np.unique(window_hashes(own, size))
+            lo, hi = np.searchsorted(hashes, mine), np.searchsorted(hashes, mine, "right")
+            for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                found.update(numbers[a:b].tolist())
+        return sorted(found)
+
+
 @dataclass(frozen=True)
 class Block:
     """Windows, with the items that have them, of one automaton; broadcast under a name of its own."""
@@ -77,29 +114,61 @@ def automaton(block: Block) -> ahocorasick.Automaton | None:
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """window (binary) and the ids of the items that have it, as sorted strings; a row for each distinct window."""
+    """window (binary), its words and hash, and the ids of the items that have it, as sorted strings; a row for each distinct window."""
     ids = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, found = [], []
+        names, found, counts, hashes = [], [], [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            own = set(windows(text or b"", size))
+            w = words(text or b"")
+            n = min(size, len(w))
+            own = dict(zip(windows(text or b"", size), window_hashes(word_hashes(w), n).view(np.int64).tolist(), strict=True))
             names += [name] * len(own)
-            found += own
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["id", "window"])
+            counts += [n] * len(own)
+            found += own.keys()
+            hashes += own.values()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary()), pa.array(counts, pa.int32()), pa.array(hashes, pa.int64())], ["id", "window", "words", "hash"])
 
-    return map_arrow(ids, cut, "id string, window binary").groupBy("window").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    each = map_arrow(ids, cut, "id string, window binary, words int, hash long")
+    return each.groupBy("window", "words", "hash").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+class Windows:
+    """The windows of all items, written once, in ``n`` blocks of about ``chars`` characters of windows and ids."""
+
+    def __init__(self, items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS):
+        self.rows = materialise(item_windows(items, size), "windows")
+        total = self.rows.agg(F.sum(F.length("window") + 2 + F.aggregate("ids", F.lit(0), lambda a, x: a + F.length(x))), F.count(F.lit(1))).first()
+        self.n = max(1, -(-int(total[0] or 0) // chars))
+        self.at_once = max(1, SCREEN_WINDOWS * self.n // max(1, total[1]))  # blocks of one screen
+
+    def _number(self) -> Column:
+        return F.pmod(F.xxhash64("window"), F.lit(self.n)).cast("int")
+
+    def block(self, k: int) -> Block:
+        rows = self.rows.where(self._number() == k).select("window", "ids").collect()
+        return Block(uuid.uuid4().hex, {bytes(r["window"]): r["ids"] for r in rows})
+
+    def screen(self, first: int, last: int) -> Screen:
+        """Of the blocks from ``first`` to ``last``, exclusive: bounded by ``SCREEN_WINDOWS``."""
+        found = self.rows.select("words", "hash", self._number().alias("k")).where(F.col("k").between(first, last - 1)).toArrow()
+        size, hashes, numbers = (found.column(i).to_numpy() for i in range(3))
+        held = {}
+        for n in np.unique(size).tolist():
+            mine = hashes[size == n].view(np.uint64)
+            order = np.argsort(mine)
+            held[n] = mine[order], numbers[size == n][order]
+        return Screen(held)
+
+    def close(self) -> None:
+        discard(self.rows)
 
 
 def blocks(items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS) -> Iterator[Block]:
-    """The windows in blocks of about ``chars`` characters of windows and ids; the driver holds one at a time."""
-    held = materialise(item_windows(items, size), "windows")
-    total = held.agg(F.sum(F.length("window") + 2 + F.aggregate("ids", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
-    n = max(1, -(-int(total) // chars))
-    for k in range(n):
-        rows = held.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).collect()
-        yield Block(uuid.uuid4().hex, {bytes(r["window"]): r["ids"] for r in rows})
-    discard(held)
+    """The windows block by block; the driver holds one at a time."""
+    held = Windows(items, size, chars)
+    yield from map(held.block, range(held.n))
+    held.close()
 
 
 def scan(a: ahocorasick.Automaton | None, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -189,17 +258,38 @@ def _digest() -> Column:
     return F.md5(F.coalesce("text", F.lit("")))
 
 
-def all_hits(docs: DataFrame, many: Iterable[Block]) -> DataFrame:
-    """The hit rows of all blocks, a row for each hit doc_id and text; each block is scanned and written by itself."""
-    found = [materialise(hit_rows(docs, block), "hits") for block in many]
-    rows = reduce(DataFrame.unionByName, found)
+def screened(docs: DataFrame, screen: Screen) -> DataFrame:
+    """doc_id, text and the numbers of the blocks to look at, of the documents that share a hash with a screen."""
+    shared = docs.sparkSession.sparkContext.broadcast(screen)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        numbers = [shared.value.blocks(words(x or b"")) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        own = pa.array([i for i, k in enumerate(numbers) if k], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array([k for k in numbers if k], pa.list_(pa.int32()))], ["doc_id", "text", "blocks"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, text string, blocks array<int>")
+
+
+def all_hits(docs: DataFrame, held: Windows) -> DataFrame:
+    """The hit rows of all blocks, a row for each hit doc_id and text. What the screens leave is written, and each block
+    is looked for in its own documents of those."""
+    found = []
+    for first in range(0, held.n, held.at_once):
+        last = min(held.n, first + held.at_once)
+        near = materialise(screened(docs, held.screen(first, last)), "screened")
+        there = [r["k"] for r in near.select(F.explode("blocks").alias("k")).distinct().collect()]
+        found += [materialise(hit_rows(near.where(F.array_contains("blocks", k)), held.block(k)), "hits") for k in sorted(there)]
+        discard(near)
+    rows = reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], _HITS))
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731 - a document has one row for each block, and for each repeated row
     once = rows.groupBy("doc_id", "digest", "starts", "stops", "items").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    return materialise(once.groupBy("doc_id", "digest").agg(flat("starts"), flat("stops"), flat("items")), "merged-hits")
+    hits = materialise(once.groupBy("doc_id", "digest").agg(flat("starts"), flat("stops"), flat("items")), "merged-hits")
+    discard(*found)
+    return hits
 
 
-def _scan_many(docs: DataFrame, many: Iterable[Block]) -> DataFrame:
-    hits = all_hits(docs, many)
+def _scan_many(docs: DataFrame, held: Windows) -> DataFrame:
+    hits = all_hits(docs, held)
     there = hits.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "starts", "stops", "items")
     mine = docs.select("doc_id", "text", _digest().alias("digest"))
     size = hits.agg(F.sum(80 + 8 * F.size("starts") + 40 * F.size("items"))).first()[0] or 0
@@ -216,28 +306,26 @@ def _scan_many(docs: DataFrame, many: Iterable[Block]) -> DataFrame:
     return map_arrow(joined.select("doc_id", "text", "starts", "stops", "items"), run, f"doc_id long, {FIELDS}")
 
 
-def _first_two(many: Iterator[Block]) -> tuple[Block, Iterator[Block] | None]:
-    """The first block, and all of them if there are more."""
-    first = next(many)
-    second = next(many, None)
-    return first, None if second is None else chain([first, second], many)
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans of each document."""
-    first, more = _first_two(blocks(items, size, chars))
-    return _scan_one(docs, first) if more is None else _scan_many(docs, more)
+    held = Windows(items, size, chars)
+    out = _scan_one(docs, held.block(0)) if held.n == 1 else _scan_many(docs, held)
+    held.close()
+    return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
-    first, more = _first_two(blocks(items, size, chars))
-    if more is not None:
+    held = Windows(items, size, chars)
+    if held.n > 1:
         id_, digest, mine = free("_id", docs), free("_digest", docs), free("_mine", docs)
-        hits = all_hits(docs, more).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+        hits = all_hits(docs, held).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+        held.close()
         marked = docs.withColumn(mine, _digest())
         there = F.broadcast(hits) if hits.count() * 80 <= BROADCAST_BYTES else hits
         return marked.join(there, marked["doc_id"].eqNullSafe(hits[id_]) & (marked[mine] == hits[digest]), "left_anti").drop(mine)
+    first = held.block(0)
+    held.close()
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(first)
     at = docs.columns.index("text")

@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -173,6 +174,44 @@ def test_windows_come_in_blocks(spark):
     assert decontaminate.automaton(many[0]) is decontaminate.automaton(many[0])
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 10])
+def test_hashes_of_windows_do_not_depend_on_place(size):
+    """Equal windows have one hash wherever they are, others have others, and long texts are hashed too."""
+    r = np.random.default_rng(size)
+    seen: dict[bytes, int] = {}
+    for _ in range(60):
+        w = [bytes(r.choice(list(b"ab\xc3\xa9"), r.integers(1, 4)).tolist()) for _ in range(int(r.integers(0, 400)))]
+        hashes = decontaminate.window_hashes(decontaminate.word_hashes(w), size).tolist()
+        assert len(hashes) == max(0, len(w) - size + 1)
+        for i, h in enumerate(hashes):
+            assert seen.setdefault(b" ".join(w[i : i + size]), h) == h
+    assert len(set(seen.values())) == len(seen)
+    long = decontaminate.window_hashes(decontaminate.word_hashes([b"word", b"x"] * 200_000), 10)
+    assert len(long) == 399_991 and len(set(long.tolist())) == 2 and set(long[:2].tolist()) == set(long.tolist())
+
+
+def test_blocks_look_at_their_own_documents_alone(spark, monkeypatch):
+    """Of many blocks, screens leave the documents that share a window, and no others are scanned by an automaton, with few windows a screen too."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(3000)}"
+    items = [(i, " ".join(word() for _ in range(r.randint(3, 60)))) for i in range(60)]
+    clean = [" ".join(word() for _ in range(300)) for _ in range(150)]
+    texts = [t if i % 10 else f"{t} {items[i % 60][1]}, {t}" for i, t in enumerate(clean)]
+    held, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    want = [brute_hits(t, items) for t in texts]
+    windows_ = decontaminate.Windows(bench, chars=5000)
+    assert windows_.n > 5
+    near = decontaminate.screened(held, windows_.screen(0, windows_.n)).collect()
+    assert {x["doc_id"] for x in near} == {i for i, x in enumerate(want) if x[4]}
+    assert all(set(x["blocks"]) <= set(range(windows_.n)) for x in near) and min(len(x["blocks"]) for x in near) < windows_.n
+    windows_.close()
+    for few in (1, 700, 10**6):
+        monkeypatch.setattr(decontaminate, "SCREEN_WINDOWS", few)
+        rows = decontaminate.decontaminate(held, bench, chars=20_000 if few == 1 else 5000).collect()
+        assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in rows} == dict(enumerate(want))
+    assert {x["doc_id"] for x in decontaminate.drop_contaminated(held, bench, chars=5000).collect()} == {i for i, x in enumerate(want) if not x[4]}
+
+
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.decontaminate(frame(spark, TEXTS), none).collect()} == {0}
