@@ -27,6 +27,7 @@ all its rows have none. Repeated rows get equal rows. Extra columns are ignored,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,8 @@ MISSED = 0.03
 CHUNK = 512
 #: Chunks of a bucket up to which all pairs of them meet; bits that split a larger one, and how many times.
 MANY_CHUNKS, SPLIT_BITS, MOST_SPLITS = 32, 6, 4
+#: Links that a worker keeps before it hands them on.
+LINK_ROWS = 50_000
 
 _BANDS = list(combinations(range(4), 2))
 _REFERENCES = np.random.default_rng(20).integers(0, 1 << 64, PIVOTS, np.uint64)
@@ -284,8 +287,8 @@ def _tied(nodes: list, sketches: list[bytes], first: int | None = None) -> tuple
     """Edges (u, v, differing bits) of rows that meet, and their hubs, sketches and nodes in one order; with ``first`` only pairs
     of one of the first so many rows and a later one.
 
-    Sure links hang the rows of a component to its hub. Of other pairs those that may be alike join the components, the nearest
-    pairs first: a component is joined to another one once.
+    Sure links hang the rows of a component to its hub. Of the other pairs that may be alike none is left out whose ends aren't in one
+    such component, as only their shingles tell which of them joins two components.
     """
     order = sorted(range(len(nodes)), key=nodes.__getitem__) if first is None else list(range(len(nodes)))
     x = np.frombuffer(b"".join(sketches[k] for k in order), np.uint64).reshape(len(order), -1)
@@ -295,22 +298,11 @@ def _tied(nodes: list, sketches: list[bytes], first: int | None = None) -> tuple
     edges, hubs = forest(len(order), i[sure], j[sure])
     own = [nodes[k] for k in order]
     out = [(own[u], own[v], 0) for u, v in edges]
-    root = list(range(len(order)))
+    root = np.arange(len(order))
     for u, v in edges:
         root[v] = u
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    i, j, far = i[~sure], j[~sure], far[~sure]
-    for k in np.argsort(far, kind="stable"):
-        u, v = find(int(i[k])), find(int(j[k]))
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append((own[i[k]], own[j[k]], int(far[k])))
+    apart = ~sure & (root[i] != root[j])
+    out += [(own[a], own[b], d) for a, b, d in zip(i[apart].tolist(), j[apart].tolist(), far[apart].tolist(), strict=True)]
     return out, hubs, x, own
 
 
@@ -326,14 +318,17 @@ def _links_of(rows: list[tuple], node: str) -> pa.RecordBatch:
 def _chunk_links(node: str):
     """Edges of each chunk, and its hubs where its bucket has more chunks."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for bucket, chunks, nodes, sketches in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             edges, hubs, x, own = _tied(nodes, sketches)
             out += [(bucket, *e, None) for e in edges]
             if chunks > 1:
                 out += [(bucket, own[k], None, None, x[k].tobytes()) for k in hubs]
-        return _links_of(out, node)
+            if len(out) >= LINK_ROWS:
+                yield _links_of(out, node)
+                out = []
+        yield _links_of(out, node)
 
     return run
 
@@ -341,7 +336,7 @@ def _chunk_links(node: str):
 def _block_links(node: str):
     """Edges in a chunk of a bucket, or between the rows of two."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for bucket, low, rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             rows = sorted(rows, key=lambda r: (r["chunk"] != low, r["node"]))
@@ -349,7 +344,10 @@ def _block_links(node: str):
             if first and len(rows) > 1:  # a chunk by itself, or two
                 edges, *_ = _tied([r["node"] for r in rows], [r["sketch"] for r in rows], first if first < len(rows) else None)
                 out += [(bucket, *e, None) for e in edges]
-        return _links_of(out, node)
+            if len(out) >= LINK_ROWS:
+                yield _links_of(out, node)
+                out = []
+        yield _links_of(out, node)
 
     return run
 
@@ -479,6 +477,38 @@ def alike(docs: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
     return met
 
 
+def _apart(loose: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (u, v, far) whose ends are in different components, with those as ``a`` and ``b``."""
+    n = joined.count()
+    for end, c in (("u", "_a"), ("v", "_b")):
+        there = joined.select(F.col("node").alias(end), F.col("component").alias(c))
+        loose = join_bounded(loose, there, [end], "left", n, 64).withColumn(c, F.coalesce(c, end))
+    return loose.where("_a != _b").select("u", "v", "far", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
+def near_groups(docs: DataFrame, held: DataFrame, near: DataFrame) -> DataFrame:
+    """node, component of the nodes of links (u, v, far): sure ones, and of the others those whose shingles are alike.
+
+    Between two components the nearest pair is compared first; where that doesn't join them, all the others are.
+    """
+    links = near.where(F.col("far") <= SURE_BITS).select("u", "v")
+    joined = materialise(components(links, "near-components"), "near-nodes")
+    loose, made = near.where(F.col("far") > SURE_BITS), []
+    for each in (False, True):
+        apart = materialise(_apart(loose, joined), "near-apart")
+        made.append(apart)
+        if apart.isEmpty():
+            break
+        nearest = apart.groupBy("a", "b").agg(F.min(F.struct("far", "u", "v")).alias("p")).select("p.u", "p.v")
+        made.append(alike(docs, held, apart.select("u", "v") if each else nearest))
+        links = links.unionByName(made[-1])
+        made.append(joined)
+        joined = materialise(components(links, "near-components"), "near-nodes")
+        loose = apart.select("u", "v", "far").join(nearest, ["u", "v"], "left_anti")
+    discard(*made)
+    return joined
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id and sha of each different row with its group ``component``; doc_id and sha of the one that stays of each group.
 
@@ -487,10 +517,10 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = F.unhex(F.md5(F.concat("screen", "sketch"))).alias("node")
     held = materialise(sketches(docs).groupBy("doc_id", "sha").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")).withColumn("node", node), "sketches")
     nodes = materialise(held.groupBy("node").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")), "sketch-nodes")
-    near = materialise(near_links(nodes).groupBy("u", "v").agg(F.min("far").alias("far")), "near-links")
-    verified = alike(docs, held, near.where(F.col("far") > SURE_BITS).select("u", "v"))
-    joined = materialise(components(near.where(F.col("far") <= SURE_BITS).select("u", "v").unionByName(verified), "near-components"), "near-nodes")
-    discard(nodes, near, verified)
+    ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    near = materialise(near_links(nodes).groupBy(*ends).agg(F.min("far").alias("far")), "near-links")
+    joined = near_groups(docs, held, near)
+    discard(nodes, near)
     named = join_bounded(held.select("doc_id", "sha", "node"), joined, ["node"], "left", joined.count(), 64).select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "near-classes")
     discard(held, joined)

@@ -446,6 +446,27 @@ def test_recall_on_real_documents(spark, sf_dir):
     assert len(told) > 100 and np.mean(told) >= 0.9
 
 
+def test_a_pair_that_a_nearer_one_hides_is_compared(spark, monkeypatch):
+    """Of two pairs between the same sure components the nearer one isn't alike: the other one is looked at, and joins them."""
+    bits = lambda n, at=0: sum(1 << (at + k) for k in range(n)).to_bytes(32, "little")
+    near, wide = simhash.SURE_BITS + 2, simhash.SURE_BITS + 3
+    x = [bytes(32), bits(1, 200), bits(near)]  # the first two are sure; to the third they are near and wide
+    edges, *_ = simhash._tied([1, 2, 3], x)
+    assert sorted(edges) == [(1, 2, 0), (1, 3, near), (2, 3, wide)]
+    links = spark.createDataFrame([(bytes([u]), bytes([v]), far) for u, v, far in edges], "u binary, v binary, far int")
+    asked = []
+
+    def alike(docs, held, pairs):
+        rows = sorted((bytes(r["u"]), bytes(r["v"])) for r in pairs.collect())
+        asked.append(rows)
+        return simhash.materialise(spark.createDataFrame([r for r in rows if r == (b"\2", b"\3")], "u binary, v binary"), "test-alike")
+
+    monkeypatch.setattr(simhash, "alike", alike)
+    group = {bytes(r["node"]): bytes(r["component"]) for r in simhash.near_groups(None, None, links).collect()}
+    assert asked == [[(b"\1", b"\3")], [(b"\2", b"\3")]]
+    assert group == {b"\1": b"\1", b"\2": b"\1", b"\3": b"\1"}
+
+
 @pytest.mark.parametrize("chunk", [512, 20])
 def test_recall_of_near_copies(spark, chunk):
     """Against the Jaccard of five-word shingles: pairs clearly above 0.8 meet, unlike ones never; a group of many, too."""
