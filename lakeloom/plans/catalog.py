@@ -60,7 +60,7 @@ FROM fact f JOIN airport d ON d.airport_sk = f.dep_sk JOIN airport a ON a.airpor
 GROUP BY ALL"""
 )
 def mart_sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.sales_report(*adapter.fact(spark, sf_dir)))
+    return plain(marts.sales_report(*adapter.new_fact(spark, sf_dir)))
 
 
 @query(
@@ -73,7 +73,7 @@ SELECT day AS traffic_date, sk AS airport_sk, airport_bk, city, count(DISTINCT C
 FROM r JOIN airport ON airport_sk = sk GROUP BY day, sk, airport_bk, city"""
 )
 def mart_airport_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.airport_traffic(*adapter.fact(spark, sf_dir)))
+    return plain(marts.airport_traffic(*adapter.new_fact(spark, sf_dir)))
 
 
 _FLIGHTS = "count(DISTINCT flight_id)"
@@ -89,7 +89,7 @@ FROM fact f JOIN route r USING (route_sk) JOIN airport d ON d.n_nationkey = r.de
 GROUP BY ALL"""
 )
 def mart_route_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.route_performance(*adapter.fact(spark, sf_dir)))
+    return plain(marts.route_performance(*adapter.new_fact(spark, sf_dir)))
 
 
 @query(
@@ -167,7 +167,7 @@ def calendar_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand AS airplane_bk, lower(p_brand) AS model, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) * 100 AS range_km, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) * 10 + 500 AS speed_kmh, count(*) AS total_seats, row_number() OVER (ORDER BY p_brand) AS airplane_sk FROM part GROUP BY p_brand")
 def dim_airplanes_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return business(adapter.dims(spark, sf_dir)["airplanes"])
+    return business(adapter.dims(spark, sf_dir, "airplanes")["airplanes"])
 
 
 @query("SELECT passenger_id, passenger_name FROM (SELECT CAST(o_custkey AS VARCHAR) AS passenger_id, c_name || '/' || CAST(o_orderkey % 7 AS VARCHAR) AS passenger_name, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, CAST(o_orderkey AS VARCHAR) DESC) AS k FROM orders JOIN customer ON c_custkey = o_custkey) WHERE k = 1")
@@ -206,7 +206,7 @@ def scd1_dim_two_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes of two loads: every fifth one moves, the seventh ones vanish, the last appear later."""
     frames = [adapter.sources(spark, sf_dir, changed_routes=c)["routes"] for c in (False, True)]
-    d = adapter.dims(spark, sf_dir)
+    d = adapter.dims(spark, sf_dir, "airports", "airplanes")
     typed = [layers.typed_rows("routes", f.withColumn("event_ts", RUN_1.ts()).withColumn("_load_id", F.lit("b")).withColumn("_load_ts", RUN_1.ts())) for f in frames]
     r = F.col("route_no").cast("int")
     now = [layers.route_versions(x, d["airports"], d["airplanes"]) for x in (typed[0].where(r % 11 != 0), typed[1].where(r % 7 != 0))]
@@ -494,7 +494,7 @@ def top1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(adapter.SQL + ", per AS (SELECT airplane_sk, flight_id, count(*) AS n, count(*) FILTER (WHERE is_boarded) AS b FROM fact WHERE airplane_sk IS NOT NULL GROUP BY 1, 2) SELECT airplane_sk, count(*) AS flights, CAST(sum(n) AS BIGINT) AS tickets, max(b) AS most_boarded FROM per GROUP BY 1")
 def two_level_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights first, then airplanes."""
-    rows, _ = adapter.fact(spark, sf_dir)
+    rows, _ = adapter.new_fact(spark, sf_dir)
     per = rows.where("airplane_sk IS NOT NULL").groupBy("airplane_sk", "flight_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_boarded").alias("b"))
     return plain(per.groupBy("airplane_sk").agg(F.count(F.lit(1)).alias("flights"), F.sum("n").alias("tickets"), F.max("b").alias("most_boarded")))
 
@@ -507,13 +507,13 @@ def most_frequent_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(adapter.SQL + "SELECT fare_conditions, count(*) AS tickets, CAST(sum(price) AS DOUBLE) AS revenue FROM fact JOIN tariff USING (tariff_sk) GROUP BY 1 ORDER BY 3 DESC")
 def report_by_tariff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, d = adapter.fact(spark, sf_dir)
+    rows, d = adapter.new_fact(spark, sf_dir)
     return plain(rows.join(d["tariffs"].select("tariff_sk", "fare_conditions"), "tariff_sk").groupBy("fare_conditions").agg(F.count(F.lit(1)).alias("tickets"), F.sum("price").alias("revenue")).orderBy(F.col("revenue").desc()))
 
 
 @query(adapter.SQL + "SELECT r.route_sk, r.route_bk, count(f.ticket_no) AS facts FROM route r LEFT JOIN fact f USING (route_sk) GROUP BY 1, 2")
 def report_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, d = adapter.fact(spark, sf_dir)
+    rows, d = adapter.new_fact(spark, sf_dir)
     return plain(d["routes"].select("route_sk", "route_bk").join(rows.select("route_sk", "ticket_no"), "route_sk", "left").groupBy("route_sk", "route_bk").agg(F.count("ticket_no").alias("facts")))
 
 
@@ -522,7 +522,7 @@ _KEYS = ("calendar_sk", "departure_airport_sk", "arrival_airport_sk", "airplane_
 
 @query(adapter.SQL + "SELECT count(*) AS n, " + ", ".join(f"count(*) - count({s}) AS null_{k}" for k, s in zip(_KEYS, ("calendar_sk", "dep_sk", "arr_sk", "airplane_sk", "tariff_sk", "passenger_sk", "route_sk"), strict=True)) + " FROM fact")
 def report_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = adapter.fact(spark, sf_dir)
+    rows, _ = adapter.new_fact(spark, sf_dir)
     return rows.agg(F.count(F.lit(1)).alias("n"), *[(F.count(F.lit(1)) - F.count(k)).alias(f"null_{k}") for k in _KEYS])
 
 

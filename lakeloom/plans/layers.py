@@ -221,7 +221,11 @@ def fact_rows(ods: dict[str, DataFrame], dims: marts.Dims) -> DataFrame:
     tickets = dimension.lookup(ods["tickets"].select("ticket_no", "book_ref", "passenger_id"), dims["passengers"], "passenger_id", "passenger_id", {"passenger_sk": "passenger_sk"}).join(bookings, "book_ref")
     passes = ods["boarding_passes"].select("ticket_no", "flight_id", "seat_no", F.lit(True).alias("_boarded"))
     flights = resolved_flights(ods["flights"], ods["routes"], dims)
-    rows = segments.join(passes, ["ticket_no", "flight_id"], "left").join(tickets, "ticket_no").join(flights, "flight_id")
+    # passes meet their segments by ticket, which has few, and the flights are compared there: a join by both would shuffle segments that lie by ticket again
+    mine = F.col("s.ticket_no") == F.col("p.ticket_no")
+    same = F.col("s.flight_id") - F.col("p.flight_id") == 0
+    boarded = segments.alias("s").join(passes.alias("p"), mine & same, "left").select("s.*", "p.seat_no", "p._boarded")
+    rows = boarded.join(tickets, "ticket_no").join(flights, "flight_id")
     rows = dimension.lookup(rows, dims["tariffs"], "fare_conditions", "fare_conditions", {"tariff_sk": "tariff_sk"})
     return rows.select(
         "calendar_sk", "departure_airport_sk", "arrival_airport_sk", "airplane_sk", "tariff_sk", "passenger_sk", "route_sk", "book_ref", "ticket_no", "flight_id", "book_date", "seat_no", "price", F.col("_boarded").isNotNull().alias("is_boarded")

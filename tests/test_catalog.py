@@ -46,3 +46,16 @@ def test_small_deltas_are_counted(spark, sf_dir, monkeypatch):
         catalog.QUERIES["scd1_upsert_large_target"](spark, at)
     assert all(n == rows for _, n, rows in seen)
     assert seen[1][1] == seen[2][1] < 50 and seen[2][0] >= 1000
+
+
+def test_a_query_makes_what_it_reads_itself(spark, sf_dir):
+    """What a mart shuffles doesn't depend on what ran before, and queries of routes make neither passengers nor tariffs."""
+    from lakeloom.plans import adapter
+
+    assert set(adapter.dims(spark, sf_dir, "airports", "airplanes")) == {"airports", "airplanes"}
+    assert set(adapter.dims(spark, sf_dir, "routes")) == {"airports", "airplanes", "routes"}
+    rows, _ = adapter.new_fact(spark, sf_dir)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # lines are dealt by ticket once; the second shuffle of their rows is the join with flights
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(ticket_no" in x]
+    assert all("flight_id" not in x for x in dealt) and any("REPARTITION_BY_COL" in x for x in dealt)
