@@ -55,6 +55,8 @@ CHUNK = 512
 MANY_CHUNKS, SPLIT_BITS, MOST_SPLITS = 32, 6, 4
 #: Links that a worker keeps before it hands them on.
 LINK_ROWS = 50_000
+#: Bytes of shingles of a crowd that are compared in one piece.
+CROWD_BYTES = 16 << 20
 
 _BANDS = list(combinations(range(4), 2))
 _REFERENCES = np.random.default_rng(20).integers(0, 1 << 64, PIVOTS, np.uint64)
@@ -315,14 +317,27 @@ def _links_of(rows: list[tuple], node: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), kind, kind, pa.int32(), pa.binary()))], ["bucket", "u", "v", "far", "sketch"])
 
 
-def _chunk_links(node: str):
+def _told(bucket: int, edges: list[tuple], x: np.ndarray, own: list, crowds: bool) -> list[tuple]:
+    """Rows for the edges of rows that met. With ``crowds``, where more pairs may be alike than there are rows in them, those rows
+    go on in their place, as members (far -1) of a crowd that is named by all of them: rows, not pairs, are counted then."""
+    loose = [e for e in edges if e[2] > SURE_BITS]
+    ends = {n for u, v, _ in loose for n in (u, v)}
+    if not crowds or len(loose) <= len(ends):
+        return [(bucket, *e, None) for e in edges]
+    members = [k for k in range(len(own)) if own[k] in ends]
+    name = xxhash.xxh64_intdigest(repr(sorted(own[k] for k in members)))
+    sure = [(bucket, *e, None) for e in edges if e[2] <= SURE_BITS]
+    return sure + [(name - (1 << 63), own[k], None, -1, x[k].tobytes()) for k in members]
+
+
+def _chunk_links(node: str, crowds: bool):
     """Edges of each chunk, and its hubs where its bucket has more chunks."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for bucket, chunks, nodes, sketches in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             edges, hubs, x, own = _tied(nodes, sketches)
-            out += [(bucket, *e, None) for e in edges]
+            out += _told(bucket, edges, x, own, crowds)
             if chunks > 1:
                 out += [(bucket, own[k], None, None, x[k].tobytes()) for k in hubs]
             if len(out) >= LINK_ROWS:
@@ -333,7 +348,7 @@ def _chunk_links(node: str):
     return run
 
 
-def _block_links(node: str):
+def _block_links(node: str, crowds: bool):
     """Edges in a chunk of a bucket, or between the rows of two."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -342,8 +357,8 @@ def _block_links(node: str):
             rows = sorted(rows, key=lambda r: (r["chunk"] != low, r["node"]))
             first = sum(r["chunk"] == low for r in rows)
             if first and len(rows) > 1:  # a chunk by itself, or two
-                edges, *_ = _tied([r["node"] for r in rows], [r["sketch"] for r in rows], first if first < len(rows) else None)
-                out += [(bucket, *e, None) for e in edges]
+                edges, _, x, own = _tied([r["node"] for r in rows], [r["sketch"] for r in rows], first if first < len(rows) else None)
+                out += _told(bucket, edges, x, own, crowds)
             if len(out) >= LINK_ROWS:
                 yield _links_of(out, node)
                 out = []
@@ -368,7 +383,7 @@ def _split_rows(level: int):
     return run
 
 
-def _blocks(rows: DataFrame, chunk: int) -> DataFrame:
+def _blocks(rows: DataFrame, crowds: bool) -> DataFrame:
     """Links between rows of a bucket (bucket, node, sketch, chunks): every chunk is linked whole, and every pair of chunks meets once."""
     part = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("chunks")).cast("int")
     own = rows.withColumn("chunk", part)
@@ -376,7 +391,7 @@ def _blocks(rows: DataFrame, chunk: int) -> DataFrame:
     met = own.select("bucket", "chunk", other, F.struct(F.col("chunk").alias("chunk"), "node", "sketch").alias("row"))
     pairs = met.groupBy("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).agg(F.collect_list("row").alias("rows"))
     kind = rows.schema["node"].dataType.simpleString()
-    return map_arrow(pairs.select("bucket", "low", "rows"), _block_links(kind), _links(kind))
+    return map_arrow(pairs.select("bucket", "low", "rows"), _block_links(kind, crowds), _links(kind))
 
 
 def near_edges(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -385,7 +400,13 @@ def near_edges(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_links(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v, far) between the ``node`` of ``held`` (node, screen, sketch; one row each) whose sketches are near.
+    """Edges (u, v, far) between the ``node`` of ``held`` whose sketches are near, each by itself; see ``near_met``."""
+    return near_met(held, chunk, False)[0]
+
+
+def near_met(held: DataFrame, chunk: int = CHUNK, crowds: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v, far) between the ``node`` of ``held`` (node, screen, sketch; one row each) whose sketches are near; and, with
+    ``crowds``, members (crowd, node, sketch) of crowds, of which any two whose sketches are near are such an edge, too.
 
     Rows that agree in a band meet in its bucket. A bucket is dealt to chunks of about ``chunk`` rows, each of
     which is linked whole. Of a bucket with several chunks the hub of each component goes on: where that leaves
@@ -403,13 +424,13 @@ def near_links(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
         dealt = join_bounded(rows, large.drop("n"), ["bucket"], "left", n, 24).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         part = F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks")).alias("part")
         groups = dealt.groupBy("bucket", part, "chunks").agg(F.collect_list(F.struct("node", "sketch")).alias("own")).where((F.size("own") > 1) | (F.col("chunks") > 1))
-        out = materialise(map_arrow(groups.select("bucket", "chunks", F.col("own.node").alias("nodes"), F.col("own.sketch").alias("sketches")), _chunk_links(kind), _links(kind)), "near-links")
-        found.append(out.where("v IS NOT NULL").select("u", "v", "far"))
+        out = materialise(map_arrow(groups.select("bucket", "chunks", F.col("own.node").alias("nodes"), F.col("own.sketch").alias("sketches")), _chunk_links(kind, crowds), _links(kind)), "near-links")
+        found.append(out)
         discard(rows)
         if not n:
             discard(large)
             break
-        hubs = out.where("v IS NULL").select("bucket", F.col("u").alias("node"), "sketch")
+        hubs = out.where("v IS NULL AND far IS NULL").select("bucket", F.col("u").alias("node"), "sketch")
         left = hubs.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"))
         state = materialise(large.join(left, "bucket").select("bucket", (F.col("left") * 2 <= F.col("n")).alias("shrinks"), F.ceil(F.col("left") / chunk).cast("int").alias("chunks")), "large-buckets")
         discard(large)
@@ -418,8 +439,7 @@ def near_links(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
         ways = {r["way"] for r in state.select("way").distinct().collect()}
         on = join_bounded(hubs, state, ["bucket"], "inner", n, 40)
         if "blocks" in ways:
-            met = materialise(_blocks(on.where("way = 'blocks'"), chunk), "block-links")
-            found.append(met.select("u", "v", "far"))
+            found.append(materialise(_blocks(on.where("way = 'blocks'"), crowds), "block-links"))
         rows = on.where("way = 'again'").select("bucket", "node", "sketch")
         if "split" in ways:
             wide = on.where("way = 'split'").join(held.select("node", "screen"), "node").select("bucket", "node", "screen", "sketch")
@@ -428,10 +448,10 @@ def near_links(held: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if not ways - {"blocks"}:
             break
         level += 1
-    edges = found[0]
+    told = found[0]
     for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
+        told = told.unionByName(more)
+    return told.where("v IS NOT NULL").select("u", "v", "far"), told.where("far = -1").select(F.col("bucket").alias("crowd"), F.col("u").alias("node"), "sketch")
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -447,12 +467,18 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def alike(docs: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of the nodes of ``held`` (doc_id, sha, node) those whose texts have SIMILAR or more of their shingles in common.
+def _enough(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles have SIMILAR or more in common."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILAR * (len(x) + len(y) - both)
+
+
+def shingles_of(docs: DataFrame, held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, own (shingles, 8 bytes each), size in bytes of the given nodes of ``held`` (doc_id, sha, node).
 
     Only texts of such nodes are read into shingles, one text a node.
     """
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    ends = nodes.distinct()
     n = ends.count()
     chosen = materialise(join_bounded(held.select("node", "sha"), ends, ["node"], "left_semi", n, 64).groupBy("node").agg(F.min("sha").alias("sha")), "near-chosen")
     marked = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
@@ -461,22 +487,73 @@ def alike(docs: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t or b"").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["node", "own"])
 
-    own = materialise(map_arrow(texts, sets, "node binary, own binary").groupBy("node").agg(F.first("own").alias("own")), "near-shingles")
+    own = map_arrow(texts, sets, "node binary, own binary").groupBy("node").agg(F.first("own").alias("own"))
+    own = materialise(own.withColumn("size", F.octet_length("own")), "near-shingles")
+    discard(chosen)
+    return own
+
+
+def alike(docs: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of the nodes of ``held`` (doc_id, sha, node) those whose texts have SIMILAR or more of their shingles in common."""
+    own = shingles_of(docs, held, pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
     side = lambda c: own.select(F.col("node").alias(c), F.col("own").alias(f"{c}_own"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        keep = [_enough(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in both]
         return batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     met = materialise(map_arrow(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_own", "v_own"), compare, "u binary, v binary"), "near-alike")
-    discard(chosen, own)
+    discard(own)
     return met
 
 
+def _crowd_links(rows: pa.Table) -> pa.Table:
+    """Links (u, v) that join what is alike of a crowd, or of two pieces of one; the nearest pairs are compared first, and none
+    whose ends are joined already."""
+    rows = rows.sort_by([("piece", "ascending"), ("node", "ascending")])
+    node, piece, component = (rows[c].to_pylist() for c in ("node", "piece", "component"))
+    x = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
+    own = [np.frombuffer(s, np.uint64) for s in rows["own"].to_pylist()]
+    root = {c: c for c in component}
+
+    def find(c: bytes) -> bytes:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    first = piece.count(piece[0])
+    i, j = near_pairs(x, LOOSE_BITS, first if first < len(node) else None)
+    order = np.argsort(np.bitwise_count(x[i] ^ x[j]).sum(-1, dtype=np.int64), kind="stable")
+    out = []
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = find(component[a]), find(component[b])
+        if p != q and _enough(own[a], own[b]):
+            root[max(p, q)] = min(p, q)
+            out.append((node[a], node[b]))
+    return pa.table({c: pa.array([e[k] for e in out], pa.binary()) for k, c in enumerate("uv")})
+
+
+def crowd_links(docs: DataFrame, held: DataFrame, members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Links (u, v) that join the members (crowd, node, sketch) that are alike, given the components that are ``joined`` already.
+
+    A crowd that is in one component is left alone. A crowd meets in one task, its rows with their shingles; if it has more than
+    CROWD_BYTES of those it is dealt to pieces, any two of which meet.
+    """
+    there = join_bounded(members, joined, ["node"], "left", joined.count(), 64).withColumn("component", F.coalesce("component", "node"))
+    several = there.groupBy("crowd").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("crowd")
+    there = materialise(there.join(several, "crowd"), "near-members")
+    own = shingles_of(docs, held, there.select("node"))
+    pieces = there.join(own.select("node", "size"), "node").groupBy("crowd").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / CROWD_BYTES)).cast("int").alias("pieces"))
+    dealt = there.join(pieces, "crowd").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("low", F.least("piece", "other")).withColumn("high", F.greatest("piece", "other"))
+    met = met.select("crowd", "low", "high", "piece", "node", "component", "sketch").join(own.select("node", "own"), "node")
+    out = materialise(met.groupBy("crowd", "low", "high").applyInArrow(_crowd_links, "u binary, v binary"), "crowd-links")
+    discard(there, own)
+    return out
+
+
 def _apart(loose: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs (u, v, far) whose ends are in different components, with those as ``a`` and ``b``."""
     n = joined.count()
@@ -486,14 +563,18 @@ def _apart(loose: DataFrame, joined: DataFrame) -> DataFrame:
     return loose.where("_a != _b").select("u", "v", "far", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
-def near_groups(docs: DataFrame, held: DataFrame, near: DataFrame) -> DataFrame:
-    """node, component of the nodes of links (u, v, far): sure ones, and of the others those whose shingles are alike.
+def near_groups(docs: DataFrame, held: DataFrame, near: DataFrame, crowds: DataFrame | None = None) -> DataFrame:
+    """node, component of the nodes of links (u, v, far): sure ones, and of the others and in ``crowds`` those whose shingles are alike.
 
     Between two components the nearest pair is compared first; where that doesn't join them, all the others are.
     """
     links = near.where(F.col("far") <= SURE_BITS).select("u", "v")
     joined = materialise(components(links, "near-components"), "near-nodes")
     loose, made = near.where(F.col("far") > SURE_BITS), []
+    if crowds is not None and not crowds.isEmpty():
+        made += [joined, crowd_links(docs, held, crowds, joined)]
+        links = links.unionByName(made[-1])
+        joined = materialise(components(links, "near-components"), "near-nodes")
     for each in (False, True):
         apart = materialise(_apart(loose, joined), "near-apart")
         made.append(apart)
@@ -518,9 +599,11 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = materialise(sketches(docs).groupBy("doc_id", "sha").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")).withColumn("node", node), "sketches")
     nodes = materialise(held.groupBy("node").agg(F.first("screen").alias("screen"), F.first("sketch").alias("sketch")), "sketch-nodes")
     ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    near = materialise(near_links(nodes).groupBy(*ends).agg(F.min("far").alias("far")), "near-links")
-    joined = near_groups(docs, held, near)
-    discard(nodes, near)
+    links, members = near_met(nodes)
+    near = materialise(links.groupBy(*ends).agg(F.min("far").alias("far")), "near-links")
+    crowds = materialise(members.dropDuplicates(["crowd", "node"]), "near-crowds")
+    joined = near_groups(docs, held, near, crowds)
+    discard(nodes, near, crowds)
     named = join_bounded(held.select("doc_id", "sha", "node"), joined, ["node"], "left", joined.count(), 64).select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "near-classes")
     discard(held, joined)

@@ -467,6 +467,36 @@ def test_a_pair_that_a_nearer_one_hides_is_compared(spark, monkeypatch):
     assert group == {b"\1": b"\1", b"\2": b"\1", b"\3": b"\1"}
 
 
+@pytest.mark.parametrize("piece", [16 << 20, 20_000])
+def test_a_large_group_of_copies_near_the_limit_is_not_made_into_pairs(spark, monkeypatch, piece):
+    """300 copies a little nearer to or farther from each other than the limit: no table has more rows than rows in bands, and groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "CROWD_BYTES", piece)
+    r = np.random.default_rng(8)
+    base = [f"word{x}" for x in r.integers(0, 10**5, 200)]
+    docs = spark.createDataFrame([(k, " ".join(edited(r, base, 0.018))) for k in range(300)], "doc_id long, text string")
+    held = simhash.sketches(docs).withColumn("node", F.unhex(F.md5(F.concat("screen", "sketch"))))
+    held = simhash.materialise(held, "test-held")
+    most = 2 * len(simhash.bands(300)) * 300
+    met = simhash.materialise(simhash.near_links(held.dropDuplicates(["node"])), "test-met")
+    assert met.count() > most
+    pairs = met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("far").alias("far"))
+    pairs = simhash.materialise(pairs, "test-pairs")
+    by_pairs = {bytes(x["node"]): bytes(x["component"]) for x in simhash.near_groups(docs, held, pairs).collect()}
+    made, write = {}, simhash.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    named, _ = simhash.near_copies(docs)
+    assert max(made.values()) <= most
+    group = {x["doc_id"]: x["component"] for x in named.collect()}
+    assert len({*by_pairs.values()}) > 1 or len(by_pairs) < 300
+    assert group == {x["doc_id"]: by_pairs.get(bytes(x["node"]), bytes(x["node"])) for x in held.collect()}
+
+
 @pytest.mark.parametrize("chunk", [512, 20])
 def test_recall_of_near_copies(spark, chunk):
     """Against the Jaccard of five-word shingles: pairs clearly above 0.8 meet, unlike ones never; a group of many, too."""
