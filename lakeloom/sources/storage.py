@@ -32,6 +32,11 @@ def row_bytes(df: DataFrame) -> int:
     return 16 + sum(100 if k == "string" else 400 if "<" in k else 16 for _, k in df.dtypes)
 
 
+def bounded(df: DataFrame, size: int) -> DataFrame:
+    """A side of a join, of so many bytes by its count: broadcast if they are few, else never, however small its files look to Spark."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
 def _folder(part: str) -> str:
     """The folder that a part's files are in, as their paths name it."""
     return part.rpartition("/")[2]
@@ -356,7 +361,7 @@ class Store:
         rows = rows.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("_file"), F.col("_metadata.row_index").alias("_row"))
         if state.hidden:
             hidden = self._hidden(name, state)
-            rows = rows.join(F.broadcast(hidden) if sum(state.hidden.values()) * POSITION_BYTES <= BROADCAST_BYTES else hidden, ["_file", "_row"], "left_anti")
+            rows = rows.join(bounded(hidden, sum(state.hidden.values()) * POSITION_BYTES), ["_file", "_row"], "left_anti")
         return rows if located else rows.select(*schema.names)
 
     def _hidden(self, name: str, state: State) -> DataFrame:
@@ -449,7 +454,7 @@ class Store:
             if not n:
                 self._commit(name, Commit(**done))
                 return
-            small = n * row_bytes(new) <= BROADCAST_BYTES
+            size = n * row_bytes(new)
             target = self._rows(name, state, list(state.parts), located=True).alias("t")
             on = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"d.{k}") for k in key])
             differs = reduce(lambda a, b: a | b, [~F.col(f"t.{c}").eqNullSafe(F.col(f"d.{c}")) for c in compare], F.lit(False))
@@ -457,10 +462,10 @@ class Store:
                 later = F.struct(*[F.col(f"d.{c}") for c in sequence]) > F.struct(*[F.col(f"t.{c}") for c in sequence])
                 differs = differs & later
             pick = [F.col(f"d.{c}" if c in update or c in key else f"t.{c}").alias(c) for c in columns]
-            met = stable(target.join((F.broadcast(new) if small else new).alias("d"), on).select(*pick, "t._file", "t._row", differs.alias("_changed")))
+            met = stable(target.join(bounded(new, size).alias("d"), on).select(*pick, "t._file", "t._row", differs.alias("_changed")))
             changed = met.where("_changed")
             known = met.select(*key).distinct()
-            fresh = new.alias("d").join((F.broadcast(known) if small else known).alias("t"), on, "left_anti")
+            fresh = new.alias("d").join(bounded(known, size).alias("t"), on, "left_anti")
             part = self._part(name, changed.select(*columns).unionByName(fresh.select(*columns)))
             hide, gone = f"gone-{uuid.uuid4().hex}", changed.count()
             if gone:

@@ -77,6 +77,18 @@ def test_bytes_written_follow_the_change(spark, store):
     assert store.read("a.t").count() == 50_003
 
 
+def test_many_positions_are_never_broadcast(spark, store, monkeypatch):
+    """Positions of deleted rows compress to small files, which Spark would broadcast by their size: the count decides."""
+    store.append("a.t", spark.range(3000).select(F.col("id").cast("int").alias("k"), F.lit("old").alias("v"), F.lit(1).alias("n"), F.lit(0).alias("at")))
+    delta = spark.range(1000).select(F.col("id").cast("int").alias("k"), F.lit("new").alias("v"), F.lit(1).alias("n"), F.lit(1).alias("at"))
+    store.upsert("a.t", delta, ["k"], ["v"])
+    plan = lambda: store.read("a.t")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 1000 * storage.POSITION_BYTES - 1)
+    assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
+    assert store.read("a.t").count() == 3000 and store.read("a.t").where("v = 'new'").count() == 1000
+
+
 def test_positions_in_partitions(spark, tmp_path):
     """Files of one write have one name in each partition; deleted rows are told apart by both."""
     s = Store(spark, f"file://{tmp_path}/dw", {"a.t": Table("a.t", dict(T.columns), ("k",), partition="n")})
