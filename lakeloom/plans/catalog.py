@@ -60,7 +60,7 @@ FROM fact f JOIN airport d ON d.airport_sk = f.dep_sk JOIN airport a ON a.airpor
 GROUP BY ALL"""
 )
 def mart_sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.sales_report(*adapter.new_fact(spark, sf_dir)))
+    return plain(marts.sales_report(*adapter.new_fact(spark, sf_dir, *adapter.FLIGHT, "tariffs")))
 
 
 @query(
@@ -73,7 +73,7 @@ SELECT day AS traffic_date, sk AS airport_sk, airport_bk, city, count(DISTINCT C
 FROM r JOIN airport ON airport_sk = sk GROUP BY day, sk, airport_bk, city"""
 )
 def mart_airport_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.airport_traffic(*adapter.new_fact(spark, sf_dir)))
+    return plain(marts.airport_traffic(*adapter.new_fact(spark, sf_dir, *adapter.FLIGHT)))
 
 
 _FLIGHTS = "count(DISTINCT flight_id)"
@@ -89,7 +89,7 @@ FROM fact f JOIN route r USING (route_sk) JOIN airport d ON d.n_nationkey = r.de
 GROUP BY ALL"""
 )
 def mart_route_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.route_performance(*adapter.new_fact(spark, sf_dir)))
+    return plain(marts.route_performance(*adapter.new_fact(spark, sf_dir, *adapter.FLIGHT)))
 
 
 @query(
@@ -494,7 +494,7 @@ def top1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(adapter.SQL + ", per AS (SELECT airplane_sk, flight_id, count(*) AS n, count(*) FILTER (WHERE is_boarded) AS b FROM fact WHERE airplane_sk IS NOT NULL GROUP BY 1, 2) SELECT airplane_sk, count(*) AS flights, CAST(sum(n) AS BIGINT) AS tickets, max(b) AS most_boarded FROM per GROUP BY 1")
 def two_level_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights first, then airplanes."""
-    rows, _ = adapter.new_fact(spark, sf_dir)
+    rows, _ = adapter.new_fact(spark, sf_dir, *adapter.FLIGHT)
     per = rows.where("airplane_sk IS NOT NULL").groupBy("airplane_sk", "flight_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_boarded").alias("b"))
     return plain(per.groupBy("airplane_sk").agg(F.count(F.lit(1)).alias("flights"), F.sum("n").alias("tickets"), F.max("b").alias("most_boarded")))
 
@@ -507,13 +507,13 @@ def most_frequent_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(adapter.SQL + "SELECT fare_conditions, count(*) AS tickets, CAST(sum(price) AS DOUBLE) AS revenue FROM fact JOIN tariff USING (tariff_sk) GROUP BY 1 ORDER BY 3 DESC")
 def report_by_tariff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, d = adapter.new_fact(spark, sf_dir)
+    rows, d = adapter.new_fact(spark, sf_dir, *adapter.FLIGHT, "tariffs")
     return plain(rows.join(d["tariffs"].select("tariff_sk", "fare_conditions"), "tariff_sk").groupBy("fare_conditions").agg(F.count(F.lit(1)).alias("tickets"), F.sum("price").alias("revenue")).orderBy(F.col("revenue").desc()))
 
 
 @query(adapter.SQL + "SELECT r.route_sk, r.route_bk, count(f.ticket_no) AS facts FROM route r LEFT JOIN fact f USING (route_sk) GROUP BY 1, 2")
 def report_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, d = adapter.new_fact(spark, sf_dir)
+    rows, d = adapter.new_fact(spark, sf_dir, *adapter.FLIGHT)
     return plain(d["routes"].select("route_sk", "route_bk").join(rows.select("route_sk", "ticket_no"), "route_sk", "left").groupBy("route_sk", "route_bk").agg(F.count("ticket_no").alias("facts")))
 
 

@@ -215,10 +215,16 @@ def resolved_flights(flights: DataFrame, routes: DataFrame, dims: marts.Dims) ->
 
 
 def fact_rows(ods: dict[str, DataFrame], dims: marts.Dims) -> DataFrame:
-    """Every segment with its keys resolved; a dimension that lacks a row leaves a null key."""
+    """Every segment with its keys resolved; a dimension that lacks a row leaves a null key.
+
+    Tariffs or passengers that aren't given aren't looked up, and the fact lacks their key.
+    """
     segments = ods["segments"].select("ticket_no", "flight_id", "fare_conditions", F.col("amount").alias("price"))
     bookings = ods["bookings"].select("book_ref", F.to_date("book_date").alias("book_date"))
-    tickets = dimension.lookup(ods["tickets"].select("ticket_no", "book_ref", "passenger_id"), dims["passengers"], "passenger_id", "passenger_id", {"passenger_sk": "passenger_sk"}).join(bookings, "book_ref")
+    tickets = ods["tickets"].select("ticket_no", "book_ref", "passenger_id")
+    if "passengers" in dims:
+        tickets = dimension.lookup(tickets, dims["passengers"], "passenger_id", "passenger_id", {"passenger_sk": "passenger_sk"})
+    tickets = tickets.join(bookings, "book_ref")
     passes = ods["boarding_passes"].select("ticket_no", "flight_id", "seat_no", F.lit(True).alias("_boarded"))
     flights = resolved_flights(ods["flights"], ods["routes"], dims)
     # passes meet their segments by ticket, which has few, and the flights are compared there: a join by both would shuffle segments that lie by ticket again
@@ -226,10 +232,10 @@ def fact_rows(ods: dict[str, DataFrame], dims: marts.Dims) -> DataFrame:
     same = F.col("s.flight_id") - F.col("p.flight_id") == 0
     boarded = segments.alias("s").join(passes.alias("p"), mine & same, "left").select("s.*", "p.seat_no", "p._boarded")
     rows = boarded.join(tickets, "ticket_no").join(flights, "flight_id")
-    rows = dimension.lookup(rows, dims["tariffs"], "fare_conditions", "fare_conditions", {"tariff_sk": "tariff_sk"})
-    return rows.select(
-        "calendar_sk", "departure_airport_sk", "arrival_airport_sk", "airplane_sk", "tariff_sk", "passenger_sk", "route_sk", "book_ref", "ticket_no", "flight_id", "book_date", "seat_no", "price", F.col("_boarded").isNotNull().alias("is_boarded")
-    )
+    if "tariffs" in dims:
+        rows = dimension.lookup(rows, dims["tariffs"], "fare_conditions", "fare_conditions", {"tariff_sk": "tariff_sk"})
+    columns = ("calendar_sk", "departure_airport_sk", "arrival_airport_sk", "airplane_sk", "tariff_sk", "passenger_sk", "route_sk", "book_ref", "ticket_no", "flight_id", "book_date", "seat_no", "price")
+    return rows.select(*[c for c in columns if c in rows.columns], F.col("_boarded").isNotNull().alias("is_boarded"))
 
 
 MUTABLE = ["seat_no", "price", "is_boarded"]

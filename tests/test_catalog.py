@@ -59,3 +59,38 @@ def test_a_query_makes_what_it_reads_itself(spark, sf_dir):
     # lines are dealt by ticket once; the second shuffle of their rows is the join with flights
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(ticket_no" in x]
     assert all("flight_id" not in x for x in dealt) and any("REPARTITION_BY_COL" in x for x in dealt)
+
+
+def test_fares_are_those_of_segments(spark, tmp_path):
+    """A fare of superseded lines alone is none; one that isn't the last line's in its least and greatest ticket is found among all."""
+    from lakeloom.plans import adapter
+
+    day = "TIMESTAMP_NTZ'1996-01-02 00:00:00'"
+    lines = [(1, 1, "R"), (1, 2, "N"), (2, 1, "R"), (3, 1, "R"), (3, 2, "N"), (4, 1, "X"), (4, 2, "N"), (5, 1, None)]
+    values = ", ".join(f"({k}L, 7L, 1L, {n}, 1D, 2D, 0D, 0D, {repr(f) if f else 'NULL'}, 'F', {day})" for k, n, f in lines)
+    names = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+    def found(where):
+        spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").where(where).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        rows = adapter.fares(spark, str(tmp_path))
+        own = adapter.segment_lines(spark, str(tmp_path)).select("l_returnflag").distinct()
+        assert sorted(map(repr, rows.collect())) == sorted(repr(r).replace("l_returnflag", "fare_conditions") for r in own.collect())
+        return {r[0] for r in rows.collect()}, "REPARTITION_BY_COL" in rows._jdf.queryExecution().executedPlan().toString()
+
+    # R is last in ticket 2 alone, neither its least nor its greatest: all lines are dealt
+    assert found("true") == ({"R", "N", None}, True)
+    assert found("l_orderkey <> 4 AND NOT (l_orderkey = 3 AND l_linenumber = 2)") == ({"R", "N", None}, False)
+
+
+def test_a_fact_takes_the_dimensions_that_are_named(spark, sf_dir):
+    """Passengers and tariffs aren't made for what doesn't read them; segments and passes aren't dated by their tickets."""
+    from lakeloom.plans import adapter
+
+    rows, d = adapter.new_fact(spark, sf_dir, *adapter.FLIGHT)
+    assert set(d) == set(adapter.FLIGHT) and not {"tariff_sk", "passenger_sk"} & set(rows.columns)
+    whole, all_ = adapter.new_fact(spark, sf_dir)
+    assert set(whole.columns) - set(rows.columns) == {"tariff_sk", "passenger_sk"} and set(all_) == {*adapter.FLIGHT, "tariffs", "passengers"}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # orders are read as tickets and as bookings, lines as segments, passes and flights, and nothing again to date them
+    assert [plan.count(f"Relation [{c}#") for c in ("o_orderkey", "c_custkey", "l_orderkey")] == [2, 1, 3]
+    assert whole.count() == rows.count() > 0
