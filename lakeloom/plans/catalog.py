@@ -100,7 +100,8 @@ def mart_route_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM fact f JOIN plane p USING (airplane_sk) GROUP BY ALL"""
 )
 def mart_monthly_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.monthly_overview(*adapter.fact(spark, sf_dir)))
+    needed = ("airplane_sk", "route_sk", "calendar_sk", "passenger_sk", "flight_id", "price", "is_boarded")
+    return plain(marts.monthly_overview(*adapter.fact(spark, sf_dir, *adapter.FLIGHT, "passengers", columns=needed)))
 
 
 _MODE = """, fares AS (SELECT passenger_sk, fare_conditions, row_number() OVER (PARTITION BY passenger_sk ORDER BY count(*) DESC, fare_conditions) AS k

@@ -1,6 +1,8 @@
 """Every registered query with SQL gives the same rows in DuckDB."""
 
 import os
+from datetime import date
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -94,3 +96,34 @@ def test_a_fact_takes_the_dimensions_that_are_named(spark, sf_dir):
     # orders are read as tickets and as bookings, lines as segments, passes and flights, and nothing again to date them
     assert [plan.count(f"Relation [{c}#") for c in ("o_orderkey", "c_custkey", "l_orderkey")] == [2, 1, 3]
     assert whole.count() == rows.count() > 0
+
+
+def _fact(spark, rows):
+    names = "calendar_sk int, airplane_sk int, tariff_sk int, passenger_sk int, route_sk int, book_ref string, flight_id int, price decimal(10,2), is_boarded boolean"
+    return spark.createDataFrame([(*r[:7], Decimal(r[7]), r[8]) for r in rows], names)
+
+
+def _dims(spark):
+    from lakeloom.operators import dimension
+
+    return {
+        "calendar": dimension.calendar(spark, date(1995, 1, 1), date(1995, 3, 31)),
+        "airplanes": spark.sql("SELECT 1 AS airplane_sk, 'P' AS airplane_bk, 'p' AS model, 10 AS total_seats"),
+        "routes": spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'a'), (3, 'b') AS t(route_sk, route_bk)"),
+        "tariffs": spark.sql("SELECT * FROM VALUES (1, 'Y'), (2, 'B') AS t(tariff_sk, fare_conditions)"),
+        "passengers": spark.sql("SELECT * FROM VALUES (1, 'one', 'One'), (2, 'two', 'Two'), (3, 'none', 'None') AS t(passenger_sk, passenger_id, passenger_name)"),
+    }
+
+
+def _exchanged(df, what):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x and what in x]
+
+
+def test_monthly_overview_shuffles_passengers_once(spark):
+    from lakeloom.plans import marts
+
+    rows = [(1, 1, 1, 1, 1, "x", 1, 10, True), (2, 1, 1, 1, 1, "x", 2, 10, True), (2, 1, 1, 2, 1, "y", 2, 10, False), (40, 1, 1, 1, 3, "z", 3, 10, True), (40, 1, 1, None, 3, "z", 3, 10, True)]
+    got = marts.monthly_overview(_fact(spark, rows), _dims(spark))
+    assert len(_exchanged(got, "passenger_sk")) == 1
+    names = ("month_actual", "total_flights", "total_tickets", "unique_routes", "unique_passengers")
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == [(1, 2, 3, 1, 2), (2, 1, 2, 1, 1)]
