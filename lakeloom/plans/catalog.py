@@ -117,7 +117,7 @@ _MODE = """, fares AS (SELECT passenger_sk, fare_conditions, row_number() OVER (
 FROM fact f JOIN passenger p USING (passenger_sk) LEFT JOIN fares g ON g.passenger_sk = f.passenger_sk AND g.k = 1 GROUP BY f.passenger_sk, p.passenger_id, p.c_name"""
 )
 def mart_passenger_loyalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(marts.passenger_loyalty(*adapter.fact(spark, sf_dir)))
+    return plain(marts.passenger_loyalty(*adapter.new_fact(spark, sf_dir)))
 
 
 @query(

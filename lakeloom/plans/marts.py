@@ -7,11 +7,11 @@ Distinct counts come from distinct rows of the grain they count, never from part
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.parse import mean, ratio
-from lakeloom.operators.recompute import distinct_in_role, most_frequent, roles
+from lakeloom.operators.recompute import distinct_in_role, roles
 
 Dims = dict[str, DataFrame]
 
@@ -162,21 +162,30 @@ def passenger_loyalty(fact: DataFrame, dims: Dims) -> DataFrame:
         .join(dims["routes"].select("route_sk", "route_bk"), "route_sk", "left")
         .join(dims["tariffs"].select("tariff_sk", "fare_conditions"), "tariff_sk", "left")
     )
-    agg = rows.groupBy("passenger_sk").agg(
-        F.count_distinct("book_ref").alias("bookings"),
-        F.count_distinct("flight_id").alias("flights"),
+    # rows are dealt by passenger once; there the first one of each booking, flight and route is marked, so that none is repeated for a distinct count
+    needed = ("passenger_sk", "book_ref", "flight_id", "route_bk", "fare_conditions", "price", "is_boarded", "date_actual")
+    first = lambda c: F.when(F.col(c).isNotNull() & (F.row_number().over(Window.partitionBy("passenger_sk", c).orderBy(c)) == 1), 1).otherwise(0)
+    counted = {"bookings": "book_ref", "flights": "flight_id", "routes": "route_bk"}
+    marked = rows.select(*needed).repartition("passenger_sk").withColumns({n: first(c) for n, c in counted.items()})
+    fares = marked.groupBy("passenger_sk", "fare_conditions").agg(
+        *[F.sum(n).alias(n) for n in counted],
         F.count(F.lit(1)).alias("n"),
         _boarded().alias("b"),
         F.sum("price").alias("s"),
-        F.count_distinct("route_bk").alias("routes"),
         F.min("date_actual").alias("first_flight_date"),
         F.max("date_actual").alias("last_flight_date"),
     )
-    fare = most_frequent(rows, ["passenger_sk"], "fare_conditions", "favorite_fare_conditions")
+    most = F.min(F.when(F.col("fare_conditions").isNotNull(), F.struct((-F.col("n")).alias("n"), "fare_conditions")))
+    agg = fares.groupBy("passenger_sk").agg(
+        *[F.sum(c).alias(c) for c in (*counted, "n", "b")],
+        F.sum("s").cast("decimal(20,2)").alias("s"),
+        F.min("first_flight_date").alias("first_flight_date"),
+        F.max("last_flight_date").alias("last_flight_date"),
+        most.getField("fare_conditions").alias("favorite_fare_conditions"),
+    )
     who = dims["passengers"].select("passenger_sk", F.col("passenger_id").alias("passenger_bk"), "passenger_name")
     return (
-        agg.join(fare, "passenger_sk", "left")
-        .join(who, "passenger_sk")
+        agg.join(who, "passenger_sk")
         .select(
             "passenger_sk",
             "passenger_bk",

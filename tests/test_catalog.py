@@ -127,3 +127,26 @@ def test_monthly_overview_shuffles_passengers_once(spark):
     assert len(_exchanged(got, "passenger_sk")) == 1
     names = ("month_actual", "total_flights", "total_tickets", "unique_routes", "unique_passengers")
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == [(1, 2, 3, 1, 2), (2, 1, 2, 1, 1)]
+
+
+def test_passenger_loyalty_deals_rows_once(spark):
+    """Versions of a route are one, nulls aren't counted, ties of fares go to the least; no row is repeated for a distinct count."""
+    from lakeloom.plans import marts
+
+    rows = [
+        (1, 1, 1, 1, 1, "x", 1, 10, True),
+        (2, 1, 2, 1, 2, "x", 2, 20, False),
+        (3, 1, 2, 1, 3, "y", 2, 30, True),
+        (40, 1, 1, 1, None, None, None, 40, False),
+        (5, 1, None, 1, 3, "z", 3, 50, None),
+        (5, 1, None, 2, 1, "w", 4, 5, True),
+        (6, 1, 1, None, 1, "v", 5, 6, True),
+    ]
+    got = marts.passenger_loyalty(_fact(spark, rows), _dims(spark))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Scan ExistingRDD") == 1
+    found = {r["passenger_bk"]: r for r in got.collect()}
+    assert set(found) == {"one", "two"}
+    names = ("total_bookings", "total_flights", "total_boarded", "total_spent", "avg_ticket_price", "favorite_fare_conditions", "unique_routes", "first_flight_date", "last_flight_date", "days_as_customer")
+    assert [found["one"][n] for n in names] == [3, 3, 2, Decimal("150.00"), Decimal("30.00"), "B", 2, date(1995, 1, 1), date(1995, 2, 9), 39]
+    assert [found["two"][n] for n in names] == [1, 1, 1, Decimal("5.00"), Decimal("5.00"), None, 1, date(1995, 1, 5), date(1995, 1, 5), 0]
