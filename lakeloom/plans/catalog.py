@@ -580,7 +580,7 @@ def dq_ratio_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dq_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The invariants of the sales mart, with negative revenue of one airport and too many passengers of another."""
-    m = marts.sales_report(*adapter.fact(spark, sf_dir))
+    m = marts.sales_report(*adapter.new_fact(spark, sf_dir, *adapter.FLIGHT, "tariffs"))
     k = F.col("departure_airport_sk")
     broken = m.withColumn("total_revenue", F.when(k == 1, -F.col("total_revenue")).otherwise(F.col("total_revenue"))).withColumn("passengers_boarded", F.col("passengers_boarded") + F.when(k == 2, 1000).otherwise(0))
     return tables.as_rows(spark, checks.sales_invariants(broken))
