@@ -63,6 +63,23 @@ def test_a_query_makes_what_it_reads_itself(spark, sf_dir):
     assert all("flight_id" not in x for x in dealt) and any("REPARTITION_BY_COL" in x for x in dealt)
 
 
+def test_versions_of_routes_read_no_sales(spark, sf_dir, tmp_path, monkeypatch):
+    """Neither the result nor what is written for it reads lines, orders or customers, so their growth costs queries of versions nothing."""
+    from lakeloom.operators import dimension
+    from lakeloom.plans import adapter
+
+    own = tmp_path / "sf"  # a path that no other test has read
+    own.symlink_to(sf_dir)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    read, stable = [], dimension.stable
+    for module in (adapter, dimension):
+        monkeypatch.setattr(module, "stable", lambda df: read.append(plan(df)) or stable(df))
+    read.append(plan(catalog.QUERIES["scd2_overlap_check"](spark, str(own))))
+    there = {c: sum(f"Relation [{c}#" in x for x in read) for c in ("s_suppkey", "p_partkey", "l_orderkey", "o_orderkey", "c_custkey")}
+    assert there["s_suppkey"] and there["p_partkey"]
+    assert not (there["l_orderkey"] or there["o_orderkey"] or there["c_custkey"])
+
+
 def test_fares_are_those_of_segments(spark, tmp_path):
     """A fare of superseded lines alone is none; one that isn't the last line's in its least and greatest ticket is found among all."""
     from lakeloom.plans import adapter
